@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,15 +46,18 @@ def reply_paths(messages: DataFrame, tree: str, node: str, parent: str, score: C
     known = ids.withColumnRenamed("id", "up")
     roots = nodes.join(known, "up", "left_anti").select("tree", "id", F.lit(None).cast(dict(nodes.dtypes)["up"]).alias("up"), "score")
     inner = nodes.join(known, "up", "left_semi").select("tree", "id", "up", "score")
-    jumps = [stored(inner.unionByName(roots).withColumn("steps", F.when(F.col("up").isNull(), 0).otherwise(1)).withColumn("total", F.col("score")))]
+    jumps = [stored(inner.unionByName(roots).select("tree", "id", "up", F.when(F.col("up").isNull(), 0).otherwise(1).alias("steps"), F.col("score").alias("total")))]
     leaves = jumps[0].select("id").join(jumps[0].select(F.col("up").alias("id")), "id", "left_anti")
     limit = jumps[0].count()
     while 2 ** (len(jumps) - 1) <= limit and not jumps[-1].where("up is not null").isEmpty():
         last = jumps[-1]
-        above = last.select(F.col("id").alias("up"), F.col("up").alias("further"), F.col("total").alias("above"), F.col("steps").alias("more"))
-        step = last.join(above, "up", "left").select("tree", "id", F.col("further").alias("up"), "score", (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (F.col("total") + F.coalesce("above", F.lit(0.0))).alias("total"))
+        known = reduce(DataFrame.unionByName, (j.where("up is null") for j in jumps[:-1]), last)
+        above = known.select(F.col("id").alias("up"), F.col("up").alias("further"), F.col("total").alias("above"), F.col("steps").alias("more"))
+        # Only nodes that have not reached their root go on; each is done in the round in which it does.
+        step = last.where("up is not null").join(above, "up").select("tree", "id", F.col("further").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("total") + F.col("above")).alias("total"))
         jumps.append(stored(step))
-    ranked = jumps[-1].where("up is null").join(leaves, "id")
+    done = [j.where("up is null").select("tree", "id", "steps", "total") for j in jumps]
+    ranked = reduce(DataFrame.unionByName, done).join(leaves, "id")
     order = [F.desc(F.col("total") / (F.col("steps") + 1)), F.desc("steps"), "id"]
     best = ranked.withColumn("branch", F.row_number().over(Window.partitionBy("tree").orderBy(*order))).where(F.col("branch") <= keep)
     paths = stored(best.select("tree", "branch", "id", F.col("steps").alias("depth")))
