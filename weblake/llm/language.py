@@ -171,8 +171,8 @@ def learn_languages(labelled: DataFrame, id_col: str = "doc_id", text_col: str =
     return LanguageFilters.of([(lang, gram) for lang, gram, rate in common if rate >= LEAST_RATIO * top[gram]])
 
 
-def identify_languages(docs: DataFrame, filters: LanguageFilters, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Predicts each text's language: id, lang_pred, score and the columns named in ``keep``.
+def identify_languages(docs: DataFrame, filters: LanguageFilters, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Predicts each text's language: id, the columns named in ``keep``, lang_pred and score (or ``names``).
 
     lang_pred is ``und`` with score 0 where the text is null or has no letter, or nothing was learned;
     ties go to the language that sorts first. score (0 to 1) is the share of the text's n-grams that
@@ -190,10 +190,10 @@ def identify_languages(docs: DataFrame, filters: LanguageFilters, id_col: str =
                 langs += a
                 scores += b
             rest = batch.columns[1:]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*(f.name for f in fields), "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*(f.name for f in fields), *names])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return columns.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return columns.mapInArrow(run, f"{schema}, `{names[0]}` string, `{names[1]}` double")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
