@@ -8,7 +8,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
-from operator import itemgetter
+from operator import add, itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-#: Words and fragments that a task remembers; beyond it the memory starts anew.
-REMEMBERED = 200_000
+#: Words, and chunks of text, that a task remembers; beyond it the memory starts anew.
+REMEMBERED = 250_000
+#: Longer words are not remembered, and merged by a heap.
+SHORT = 64
 SUFFIX = "</w>"
+NONE = (1 << 60, 0)
+#: The first code point without a meaning in any version of Unicode so far.
+FIRST_UNASSIGNED = "\u0378"
 
 
 def byte_letters() -> list[str]:
@@ -46,7 +51,7 @@ class ForcedCutBPE(dict):
 
     A pair of neighbouring letters that no token of the vocabulary holds can never end up in one
     token, so no merge crosses it and the parts on either side merge independently. Each word is cut
-    at all such pairs, its fragments are encoded alone (and remembered), and their ids are joined.
+    at all such pairs, its fragments are encoded alone, and their ids are joined.
     As a mapping it remembers, for each chunk of text without white space, its ids and tokens.
     """
 
@@ -55,7 +60,11 @@ class ForcedCutBPE(dict):
             spec = json.load(f)
         self.ids: dict[str, int] = spec["model"]["vocab"]
         self.tokens = {i: t for t, i in self.ids.items()}
-        self.ranks = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): k for k, m in enumerate(spec["model"]["merges"])}
+        #: For two ids the rank of their merge and the id it makes.
+        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        for rank, m in enumerate(spec["model"]["merges"]):
+            left, right = m if isinstance(m, list) else m.split(" ")
+            self.merges[self.ids[left], self.ids[right]] = rank, self.ids[left + right]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens |= {i: t for t, i in self.special.items()}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
@@ -63,55 +72,80 @@ class ForcedCutBPE(dict):
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.letters = byte_letters()
         self.joinable = {t[k : k + 2] for token in self.ids for t in [token.removesuffix(SUFFIX)] for k in range(len(t) - 1)}
-        self.fragments: dict[tuple[str, bool], list[int]] = {}
+        self.known: dict[str, list[int]] = {}
         self.white = regex.compile(r"\s+")
         self.newer = re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _unassigned()) + "]")
         self.library = Tokenizer.from_file(path)
 
     def fragment(self, letters: str, last: bool) -> list[int]:
-        """Ids of a fragment: merges by rank, leftmost first, in O(n log n)."""
-        found = self.fragments.get((letters, last))
-        if found is not None:
-            return found
-        parts: list[str | None] = list(letters)
+        """Ids of a fragment: merges by rank, leftmost first."""
+        parts = [self.ids[c] for c in letters]
         if last:
-            parts[-1] += SUFFIX
-        n = len(parts)
+            parts[-1] = self.ids[letters[-1] + SUFFIX]
+        if len(parts) > SHORT:
+            return self.long_fragment(parts)
+        merge = self.merges.get
+        pairs = [merge(p, NONE) for p in zip(parts, parts[1:], strict=False)]
+        while pairs and (least := min(pairs)) != NONE:
+            i = pairs.index(least)
+            new = least[1]
+            parts[i : i + 2] = [new]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = merge((parts[i - 1], new), NONE)
+            if i < len(pairs):
+                pairs[i] = merge((new, parts[i + 1]), NONE)
+        return parts
+
+    def long_fragment(self, parts: list[int]) -> list[int]:
+        """The same by a heap, in O(n log n)."""
+        n, gone = len(parts), -1
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := self.ranks.get((parts[i], parts[i + 1]))) is not None]
+        heap = [(*m, i, *p) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if (m := self.merges.get(p))]
+        heap = [(rank, i, left, right, new) for rank, new, i, left, right in heap]
         heapq.heapify(heap)
         while heap:
-            _, i, left, right = heapq.heappop(heap)
+            _, i, left, right, new = heapq.heappop(heap)
             j = after[i]
             if parts[i] != left or j >= n or parts[j] != right:
                 continue
-            parts[i], parts[j] = left + right, None
+            parts[i], parts[j] = new, gone
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-            for a, b in ((before[i], i), (i, k)):
-                if a >= 0 and b < n and (r := self.ranks.get((parts[a], parts[b]))) is not None:
-                    heapq.heappush(heap, (r, a, parts[a], parts[b]))
-        found = [self.ids[p] for p in parts if p is not None]
-        if len(self.fragments) >= REMEMBERED:
-            self.fragments.clear()
-        if len(letters) <= 64:
-            self.fragments[letters, last] = found
-        return found
+            for x, y in ((before[i], i), (i, k)):
+                if x >= 0 and y < n and (m := self.merges.get((parts[x], parts[y]))):
+                    heapq.heappush(heap, (m[0], x, parts[x], parts[y], m[1]))
+        return [p for p in parts if p != gone]
 
     def word(self, letters: str) -> list[int]:
         """Ids of a word in byte letters: cut, encoded by fragment, joined."""
-        out: list[int] = []
-        start = 0
-        for cut in range(1, len(letters)):
-            if letters[cut - 1 : cut + 1] not in self.joinable:
-                out += self.fragment(letters[start:cut], False)
-                start = cut
-        return out + self.fragment(letters[start:], True)
+        found = self.known.get(letters)
+        if found is not None:
+            return found
+        if self.joinable.issuperset(map(add, letters, letters[1:])):
+            found = self.fragment(letters, True)
+        else:
+            cuts = [0, *(k for k in range(1, len(letters)) if letters[k - 1 : k + 1] not in self.joinable)]
+            found = [i for a, b in zip(cuts, cuts[1:], strict=False) for i in self.fragment(letters[a:b], False)] + self.fragment(letters[cuts[-1] :], True)
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        if len(letters) <= SHORT:
+            self.known[letters] = found
+        return found
 
     def words_of(self, chunk: str) -> list[str]:
         """The words of a chunk without white space, in byte letters."""
-        if self.newer.search(chunk):
+        if chunk.isascii():
+            # Byte letters of printable ASCII are the characters themselves.
+            lower = chunk.lower()
+            if lower.isalpha():
+                return [lower]
+            if lower[:-1].isalpha() and lower[-1] in ".,;:!?":
+                return [lower[:-1], lower[-1]]
+            if lower.isprintable():
+                return self.words.findall(lower)
+        elif max(chunk) >= FIRST_UNASSIGNED and self.newer.search(chunk):
             # Characters younger than Python's own tables: the library's tables split and lower them.
             words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))
             return [w for w, _ in words]
@@ -122,10 +156,10 @@ class ForcedCutBPE(dict):
     def __missing__(self, chunk: str) -> tuple[str, str]:
         """Ids and tokens of a chunk of text, each joined by spaces."""
         ids = [self.special[chunk]] if chunk in self.special else [i for w in self.words_of(chunk) for i in self.word(w)]
-        found = " ".join(map(str, ids)), " ".join([self.tokens[i] for i in ids])
+        found = " ".join([str(i) for i in ids]), " ".join([self.tokens[i] for i in ids])
         if len(self) >= REMEMBERED:
             self.clear()
-        if len(chunk) <= 64:
+        if len(chunk) <= SHORT:
             self[chunk] = found
         return found
 
