@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from weblake.jobs import crawl_jobs, html_jobs, join_jobs, payload_jobs, stream_jobs, text_jobs, url_jobs
+from weblake.jobs.query import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "crawl_jobs", "html_jobs", "join_jobs", "payload_jobs", "stream_jobs", "text_jobs", "url_jobs"]
