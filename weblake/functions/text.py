@@ -28,8 +28,8 @@ def yes_no(c: Column) -> Column:
 
 
 def _marked(c: Column, cut: str, mark: str) -> Column:
-    found = F.filter(F.split(c, cut), lambda x: x.startswith(mark) & (F.length(x) > 1))
-    return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.lower(F.regexp_replace(x, f"^{mark}+", "")))))
+    found = F.transform(F.filter(F.split(c, cut), lambda x: x.startswith(mark)), lambda x: F.lower(F.regexp_replace(x, f"^{mark}+", "")))
+    return F.array_sort(F.array_distinct(F.filter(found, lambda x: x != "")))
 
 
 def extract_hashtags(c: Column) -> Column:
