@@ -63,12 +63,30 @@ def test_classes_equal_brute_force(spark, monkeypatch):
     assert expected[3] == expected[4] == 3 and expected[5] == 5 and len(set(expected.values())) < len(texts) - 150
 
 
-def test_open_buckets_are_compared_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK_ROWS", 2)
-    codes = {1: 1, 2: 2, 3: 2, 4: 2, 5: 9}
-    rows = [(7, i, 1, 5, i, np.full(minhash.SAMPLES, c, np.uint32).tobytes()) for i, c in codes.items()]
-    members = spark.createDataFrame(rows, "code long, id long, leader long, n long, class long, codes binary")
-    assert sorted(map(tuple, minhash._likely_pairs(members).collect())) == [(2, 3), (2, 4), (3, 4)]
+@pytest.mark.parametrize("block", [2, 512])
+def test_open_buckets_are_compared_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", block)
+    words = [f"w{i}" for i in range(100)]
+    texts = {i: " ".join(words[:i] + ["x"] + words[i:]) for i in (5, 30, 60, 90)} | {99: " ".join(words[::-1])}
+    idf = spark.sparkContext.broadcast(np.ones(minhash.SLOTS, np.float32))
+    same = np.zeros(minhash.SAMPLES, np.uint32).tobytes()
+    rows = [(7, i, 5, i, same, band, t) for i, t in texts.items() for band in (0, 3)]
+    members = spark.createDataFrame(rows, "code long, id long, n long, class long, codes binary, band int, text string")
+    links = minhash._links_in_blocks(members.where("band = 0"), idf).collect()
+    assert reached(texts, links) == {5: 5, 30: 5, 60: 5, 90: 5, 99: 99}
+    assert minhash._links_in_blocks(members.where("band = 3"), idf).count() == 0
+
+
+def test_overlaps_equal_pairwise_sums():
+    rng = random.Random(4)
+    sets = [minhash.shingles(" ".join(rng.choices("abcd", k=rng.randint(1, 400))))[:2] for _ in range(12)]
+    idf = np.linspace(0.3, 1.2, minhash.SLOTS).astype(np.float32)
+    both, own = minhash._overlaps(sets, idf)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            if i != j:
+                s = minhash.similarity((a[0], minhash.weights(*a, idf)), (b[0], minhash.weights(*b, idf)))
+                assert abs(both[i, j] / (own[i] + own[j] - both[i, j]) - s) < 1e-5
 
 
 def test_samples_agree_as_often_as_sets_are_similar():

@@ -24,11 +24,14 @@ SLOTS = 1 << 18
 #: Added to each document frequency. Without it, the shingles of a large group of near copies count so much
 #: less than the few edits that tell the copies apart that the group falls below the threshold.
 SMOOTHING = 0.5
-#: Members of a bucket that were not compared with its leader are compared if their samples agree this much:
+#: Members of a bucket in different classes are compared if their samples agree this much:
 #: five standard deviations of the estimate below the threshold.
 LEAST_ESTIMATE = SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / SAMPLES) ** 0.5
 BLOCK_ROWS = 512
 CHUNK = 512
+COLUMNS = 4096
+#: Sums of weights in another order differ by less.
+ROUNDING = 1e-6
 
 _TABLES: dict[str, np.ndarray] = {}
 
@@ -118,10 +121,10 @@ def samples(h: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two (sorted hashes, weights)."""
+    """Weighted Jaccard similarity of two (sorted hashes, weights), ROUNDING added."""
     common, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     low = np.minimum(a[1][i], b[1][j]).sum(dtype=np.float64) if len(common) else 0.0
-    return low / (a[1].sum(dtype=np.float64) + b[1].sum(dtype=np.float64) - low)
+    return low / (a[1].sum(dtype=np.float64) + b[1].sum(dtype=np.float64) - low) + ROUNDING
 
 
 def learn_idf(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -203,32 +206,77 @@ def verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _likely_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of a bucket whose classes differ, that the leader was no part of, and whose samples agree enough.
+def _overlaps(sets: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights that each two texts share, and each text's own weight, of (hashes, counts) of several texts.
 
-    members: code, id, leader, n, class, codes.
+    A shingle that occurs k times is k items; what two texts share is then a product of matrices over
+    the items that two or more of the texts have.
+    """
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [c.sum() for _, c in sets])
+    item = np.concatenate([np.repeat(h, c) for h, c in sets])
+    nth = np.concatenate([np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) for _, c in sets])
+    weight = idf[slots(item)].astype(np.float64)
+    own = np.bincount(owner, weights=weight, minlength=n)
+    keys = item + _mix(nth.astype(np.uint64)) * (nth > 0)
+    _, column, count = np.unique(keys, return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    owner, weight = owner[shared], weight[shared]
+    column = np.unique(column[shared], return_inverse=True)[1]
+    both = np.zeros((n, n))
+    for start in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        now = (column >= start) & (column < start + COLUMNS)
+        has, worth = np.zeros((n, COLUMNS)), np.zeros(COLUMNS)
+        has[owner[now], column[now] - start] = 1
+        worth[column[now] - start] = weight[now]
+        both += (has * worth) @ has.T
+    return both, own
+
+
+def _forest(nodes: np.ndarray, link: np.ndarray) -> list[tuple[int, int]]:
+    """(node, smallest node it reaches) of a graph given by a matrix."""
+    least = nodes.copy()
+    while True:
+        after = np.minimum(least, np.where(link, least[None, :], np.iinfo(np.int64).max).min(axis=1))
+        if (after == least).all():
+            return [(int(a), int(b)) for a, b in zip(nodes, least, strict=True) if a != b]
+        least = after
+
+
+def _links_in_blocks(members: DataFrame, idf) -> DataFrame:
+    """Links (a, b) between members of a bucket whose classes differ, as spanning forests of pairs of blocks.
+
+    members: code, id, n, class, codes, band, text. Each pair is looked at in the first band that it
+    shares; where the samples agree enough, the texts' shingles decide, all pairs of a block at once.
     """
-    dealt = in_block_pairs(members, F.col("n"), F.xxhash64("id"), BLOCK_ROWS)
     keys = ["code", "first", "second"]
+    dealt = in_block_pairs(members, F.col("n"), F.xxhash64("id"), BLOCK_ROWS)
     dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, keys):
             ids, classes, of = (t[c].to_numpy() for c in ("id", "class", "of"))
-            rest = ids != t["leader"].to_numpy()
+            if len(ids) < 2 or (classes == classes[0]).all():
+                continue
             codes = np.frombuffer(b"".join(t["codes"].to_pylist()), np.uint32).reshape(len(ids), SAMPLES)
-            first, second = t["first"][0].as_py(), t["second"][0].as_py()
-            left, right = np.flatnonzero(rest & (of == first)), np.flatnonzero(rest & (of == second))
-            for i in left:
-                likely = (classes[right] != classes[i]) & ((codes[right] == codes[i]).mean(axis=1) >= LEAST_ESTIMATE)
-                if first == second:
-                    likely &= ids[right] > ids[i]
-                if likely.any():
-                    b = ids[right[likely]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), ids[i])), pa.array(b)], names=["a", "b"])
-
-    found = dealt.select(*keys, "of", "id", "leader", "class", "codes").mapInArrow(run, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            band, first, second = t["band"][0].as_py(), t["first"][0].as_py(), t["second"][0].as_py()
+            likely = np.zeros((len(ids), len(ids)), bool)
+            for i in np.flatnonzero(of == first):
+                agree = codes == codes[i]
+                here = agree.reshape(len(ids), BANDS, BAND_ROWS).all(axis=2).argmax(axis=1) == band
+                likely[i] = here & (of == second) & (classes != classes[i]) & (agree.mean(axis=1) >= LEAST_ESTIMATE)
+            likely |= likely.T
+            at = np.flatnonzero(likely.any(axis=1))
+            if not len(at):
+                continue
+            texts = t["text"]
+            both, own = _overlaps([shingles(texts[int(i)].as_py())[:2] for i in at], idf.value)
+            linked = likely[np.ix_(at, at)] & (both >= SIMILARITY * (own[:, None] + own[None, :] - both) - ROUNDING)
+            if forest := _forest(ids[at], linked):
+                a, b = zip(*forest, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return dealt.select(*keys, "of", "id", "class", "band", "codes", "text").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,14 +291,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents of equal words are compared once. Of each bucket of a band, every member is verified
     against the smallest id; what is still in different classes is then compared in blocks by
     samples, and verified if those agree enough, so nothing is capped and a bucket of copies costs one
-    comparison for each. Verification reads the texts again, only those of candidates.
+    comparison for each. Verification reads the texts again, only those of candidates, and passes on
+    links, not the pairs it looked at.
     """
     context = docs.sparkSession.sparkContext
     idf = context.broadcast(learn_idf(docs, text_col))
     signed = stored(signatures(docs, idf, id_col, text_col))
     texts_of = signed.groupBy("words").agg(F.min("id").alias("first"))
     reps = stored(signed.join(texts_of.select(F.col("first").alias("id")), "id", "left_semi"))
-    banded = reps.select("id", F.explode("bands").alias("code"))
+    banded = reps.select("id", F.posexplode("bands").alias("band", "code"))
     buckets = banded.groupBy("code").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1")
     members = stored(banded.join(buckets, "code"))
 
@@ -262,8 +311,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     classed = members.where("n > 2").join(classes, "id", "left").withColumn("class", F.coalesce("component", "id"))
     open_ = classed.groupBy("code").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("code")
-    classed = classed.join(open_, "code").join(reps.select("id", "codes"), "id")
-    more = stored(verified(stored(_likely_pairs(classed)), texts, idf))
+    classed = classed.join(open_, "code").join(reps.select("id", "codes"), "id").join(texts, "id")
+    more = stored(_links_in_blocks(classed, idf))
     if not more.isEmpty():
         links = classes.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
         classes = stored(connected_components(links))
