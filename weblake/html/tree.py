@@ -14,7 +14,7 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr li map object ol output p pre progress section table tbody textarea tfoot thead tr ul video".split()
 )
 CONTENT = frozenset("h1 h2 h3 h4 h5 h6 p ul ol pre blockquote".split())
-#: An opening tag of the key closes an open element of these names, up to the nearest of the stops.
+#: An opening tag of the key closes the open elements of these names, up to the nearest of the stops.
 CLOSES = {
     "p": ({"p"}, {"div", "article", "section", "td", "li", "blockquote", "body"}),
     "li": ({"li", "p"}, {"ul", "ol"}),
@@ -88,12 +88,13 @@ class _Builder(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         names, stops = CLOSES.get(tag, (set(), set()))
+        outermost = len(self.open)
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].name in stops:
                 break
             if self.open[i].name in names:
-                del self.open[i:]
-                break
+                outermost = i
+        del self.open[outermost:]
         e = Element(tag, {k: v or "" for k, v in reversed(attrs)}, self.open[-1])
         self.open[-1].children.append(e)
         if tag not in VOID:

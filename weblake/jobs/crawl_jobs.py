@@ -1 +1,129 @@
+"""Queries of frontiers, crawls and link graphs."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weblake.jobs.join_jobs import ENTITIES, LINKS, WELINKS, corpus, links
+from weblake.jobs.query import query
+from weblake.operators import aggregates, frontier, graph, joins
+from weblake.sources.tables import table
+
+
+def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl queue of events: group by user, priority by number, most still to do."""
+    n = F.col("event_id")
+    status = F.when(n % 10 == 0, "done").when(n % 10 == 1, "doing").otherwise("todo")
+    return table(spark, sf_dir, "events").select(n.alias("index"), F.when(n % 50 != 7, F.col("user_id")).alias("group"), (n % 6).alias("priority"), status.alias("status"))
+
+
+QUEUE = "q AS (SELECT event_id AS index, CASE WHEN event_id % 50 <> 7 THEN user_id END AS \"group\", event_id % 6 AS priority, CASE event_id % 10 WHEN 0 THEN 'done' WHEN 1 THEN 'doing' ELSE 'todo' END AS status FROM events)"
+
+
+@query(f"WITH {QUEUE} SELECT \"group\", count(*) FILTER (status = 'todo') AS todo, count(*) FILTER (status = 'doing') AS doing, count(*) FILTER (status = 'done') AS done, greatest(0, 3 - count(*) FILTER (status = 'doing')) AS allowed FROM q GROUP BY 1")
+def a4_crawl_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.crawl_counts(queue(spark, sf_dir), parallelism=3)
+
+
+@query(f"WITH {QUEUE} SELECT index, priority, row_number() OVER (ORDER BY priority, index DESC) AS place FROM q WHERE status = 'todo' ORDER BY place LIMIT 100")
+def w4_frontier_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next 100 jobs, the report of the queue's head."""
+    from pyspark.sql import Window
+
+    head = frontier.frontier_order(queue(spark, sf_dir), lifo=True).select("index", "priority").limit(100)
+    return head.withColumn("place", F.row_number().over(Window.orderBy("priority", F.desc("index"))))
+
+
+@query(f"WITH {QUEUE}, r AS (SELECT *, row_number() OVER (PARTITION BY \"group\" ORDER BY priority, index) - 1 AS p FROM q WHERE status = 'todo') SELECT index, CASE WHEN \"group\" IS NULL THEN 0 ELSE p // 2 END AS batch, CASE WHEN \"group\" IS NULL THEN 0.0 ELSE (p // 2) * 0.5::DOUBLE END AS start FROM r")
+def w5_politeness_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frontier.politeness_plan(queue(spark, sf_dir), throttle=0.5, parallelism=2).select("index", "batch", F.col("start").cast("double").alias("start"))
+
+
+@query(f"WITH {QUEUE} SELECT index, CASE status WHEN 'doing' THEN 'todo' ELSE status END AS status FROM q WHERE status <> 'done' OR index = (SELECT max(index) FROM q)")
+def w9_dump_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frontier.dump_queue(queue(spark, sf_dir), resumed=True, cleanup=True).select("index", "status")
+
+
+@query("""WITH f AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages), seen AS (SELECT DISTINCT u FROM f WHERE page_id % 4 = 0)
+  SELECT min(page_id) AS page_id FROM f WHERE u NOT IN (SELECT u FROM seen) GROUP BY u""")
+def w10_next_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "#.*$", "").alias("url"))
+    return frontier.next_frontier(pages.where("page_id % 2 = 1"), pages.where("page_id % 2 = 0"), pages.where("page_id % 4 = 0").select("url"), "url", "page_id").select("page_id")
+
+
+@query("SELECT j.page_id AS id, count(c.page_id) AS degree FROM pages j LEFT JOIN pages c ON c.page_id // 3 = j.page_id AND c.page_id > 0 GROUP BY 1")
+def a5_crawl_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.when(F.col("page_id") > 0, F.floor(F.col("page_id") / 3)).alias("parent"))
+    return aggregates.crawl_degree(jobs).select("id", "degree")
+
+
+@query(f"""WITH {WELINKS}, pairs AS (SELECT DISTINCT source_webentity AS s, target_webentity AS t FROM wl WHERE source_webentity <> target_webentity),
+  either AS (SELECT s, t FROM pairs UNION SELECT t, s FROM pairs), pc AS (SELECT webentity, count(*) AS pages FROM m WHERE status = 'IN' GROUP BY 1)
+  SELECT webentity, (SELECT count(*) FROM pairs WHERE t = webentity) AS indegree, (SELECT count(*) FROM pairs WHERE s = webentity) AS outdegree,
+    (SELECT count(*) FROM pairs WHERE t = webentity) + (SELECT count(*) FROM pairs WHERE s = webentity) AS degree, (SELECT count(*) FROM either WHERE s = webentity) AS undirected_degree, pages FROM pc""")
+def a6_webentity_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = corpus(spark, sf_dir)
+    pages = joins.match_webentities(table(spark, sf_dir, "pages").select("page_id", "url"), "url", known).where("status = 'IN'")
+    return aggregates.webentity_degrees(joins.webentity_links(links(spark, sf_dir), known), pages.select("webentity"))
+
+
+@query(f"WITH {ENTITIES} SELECT status, count(*) AS entities, 2 * count(*) AS prefixes, count(*) AS start_pages FROM e GROUP BY 1")
+def a7_webentity_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.webentity_corpus_stats(corpus(spark, sf_dir))
+
+
+@query("""WITH h AS (SELECT DISTINCT url, unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS href FROM pages WHERE page_id % 7 <> 0)
+  SELECT url AS from_url, count(*) AS n_links FROM (SELECT DISTINCT url, lower(regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1)) || href AS link FROM h) GROUP BY 1""")
+def c1_h9_link_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").withColumn("http_status", F.when(F.col("page_id") % 7 == 0, "404").otherwise("200"))
+    return graph.link_table(pages).groupBy("from_url").agg(F.count("*").alias("n_links"))
+
+
+@query(f"""WITH RECURSIVE {LINKS}, edges AS (SELECT DISTINCT 'https://n' || from_id || '.example.org' AS a, 'https://n' || to_id || '.example.org' AS b FROM links),
+  reach AS (SELECT 'https://n3.example.org' AS url, 0 AS depth UNION SELECT b, depth + 1 FROM reach JOIN edges ON a = url WHERE depth < 6)
+  SELECT url, min(depth) AS depth, 'example.org' AS "group" FROM reach GROUP BY 1""")
+def c2_crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    node = lambda c: F.concat(F.lit("https://n"), F.col(c).cast("string"), F.lit(".example.org/"))
+    edges = links(spark, sf_dir).select(node("from_id").alias("from_url"), node("to_id").alias("to_url"))
+    start = table(spark, sf_dir, "pages").where("page_id = 3").select(node("page_id").alias("url"))
+    return graph.crawl_bfs(start, edges, 6).select("url", "depth", "group")
+
+
+@query("""SELECT page_id AS id, CASE WHEN page_id > 0 THEN page_id // 3 END AS parent, 'default' AS spider, 1 AS depth, url, (SELECT count(*) FROM pages c WHERE c.page_id > 0 AND c.page_id // 3 = p.page_id) AS degree,
+  CASE WHEN page_id % 5 = 0 THEN 'not-fetched' END AS error, CASE WHEN page_id % 5 <> 0 THEN length(html) END AS body_size FROM pages p""")
+def c3_crawl_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").dropDuplicates(["url"])
+    n = F.col("page_id")
+    jobs = table(spark, sf_dir, "pages").select(n.alias("id"), F.when(n > 0, F.floor(n / 3)).alias("parent"), F.lit("default").alias("spider"), F.lit(1).alias("depth"), F.concat("url", F.lit("#"), n).alias("url"))
+    fetched = table(spark, sf_dir, "pages").where("page_id % 5 <> 0").select(F.concat("url", F.lit("#"), n).alias("url"), F.col("url").alias("resolved_url"), F.lit(None).cast("string").alias("error"), F.lit(200).alias("status"), F.lit(None).cast("timestamp").alias("datetime_utc"), F.lit("text/html").alias("mimetype"), F.length("html").alias("body_size"), F.lit("utf-8").alias("encoding"))
+    found = graph.crawl_results(jobs, fetched)
+    return found.select("id", "parent", "spider", "depth", F.regexp_replace("url", "#[0-9]+$", "").alias("url"), "degree", "error", "body_size")
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'not-html' END AS invalidity, page_id % 5 <> 0 AS expand FROM pages""")
+def c4_focus_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").withColumn("mimetype", F.when(F.col("page_id") % 5 == 0, "application/pdf").otherwise("text/html"))
+    return graph.focus_crawl(pages, "the", irrelevant_continue=True).select("page_id", "invalidity", "expand")
+
+
+@query("SELECT page_id, ['own', 'fwd', 'par'][page_id % 3 + 1] AS routed, CASE WHEN page_id % 3 = 2 THEN 'unknown-spider' END AS route_error FROM pages")
+def c6_route_spiders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id") % 3
+    targets = table(spark, sf_dir, "pages").select("page_id", F.when(k == 0, "own").alias("spider"), F.when(k <= 1, "fwd").alias("forward"), F.lit("par").alias("parent_spider"))
+    return graph.route_spiders(targets, ["own", "fwd"]).select("page_id", "routed", "route_error")
+
+
+@query("""WITH d AS (SELECT p.page_id AS id, p.url, CASE WHEN p.page_id > 0 THEN p.page_id // 3 END AS parent, (SELECT count(*) FROM pages c WHERE c.page_id > 0 AND c.page_id // 3 = p.page_id) AS degree FROM pages p)
+  SELECT id AS key, url AS label, CASE WHEN degree > 0 THEN degree ELSE 1 END AS size, (SELECT count(*) FROM d e WHERE e.parent = d.id) AS n_edges FROM d""")
+def c7_crawl_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("page_id")
+    jobs = table(spark, sf_dir, "pages").select(n.alias("id"), F.when(n > 0, F.floor(n / 3)).alias("parent"), "url")
+    nodes, edges = graph.crawl_graph(aggregates.crawl_degree(jobs), label="url")
+    out = edges.groupBy(F.col("source").alias("key")).agg(F.count("*").alias("n_edges"))
+    return nodes.join(out, "key", "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))
+
+
+@query(f"WITH {ENTITIES} SELECT host AS webentity, unnest(['http://' || host, 'https://' || host, 'http://' || host || '/start']) AS url FROM e WHERE status = 'IN'")
+def c8_start_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.start_pages(corpus(spark, sf_dir))

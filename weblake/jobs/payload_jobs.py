@@ -1 +1,130 @@
+"""Queries of payload flatteners: documents are made of relational rows, so the rows are the answer."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weblake.jobs.query import query
+from weblake.operators import payloads
+from weblake.sources.tables import table
+
+
+def s(**named) -> Column:
+    """A struct of columns; plain values are literals."""
+    return F.struct(*((v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in named.items()))
+
+
+def text_of(c: str) -> Column:
+    return F.col(c).cast("string")
+
+
+def payload(df: DataFrame, c: Column, *keep: str) -> DataFrame:
+    return df.select(*keep, F.to_json(c).alias("payload"))
+
+
+@query("""SELECT o_orderkey::VARCHAR AS video_id, o_orderpriority AS title, CASE WHEN o_orderkey % 2 = 0 THEN 'fr' ELSE 'en' END AS default_language, o_custkey AS view_count, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey END AS like_count,
+  o_orderkey % 2 = 0 AS has_captions, CASE WHEN o_orderkey % 2 = 0 THEN 'Music' END AS category, [o_orderstatus, o_orderpriority] AS tags, []::VARCHAR[] AS topics FROM orders""")
+def n1_youtube_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.col("o_orderkey") % 2 == 0
+    snippet = s(title=F.col("o_orderpriority"), defaultLanguage=F.when(even, "fr"), defaultAudioLanguage="en", categoryId=F.when(even, "10").otherwise("99"), tags=F.array("o_orderstatus", "o_orderpriority"))
+    stats = s(viewCount=text_of("o_custkey"), likeCount=F.when(F.col("o_orderkey") % 3 != 0, text_of("o_orderkey")))
+    doc = s(id=text_of("o_orderkey"), snippet=snippet, statistics=stats, contentDetails=s(caption=F.when(even, "true").otherwise("false")))
+    found = payloads.youtube_videos(payload(table(spark, sf_dir, "orders"), doc))
+    return found.select("video_id", "title", "default_language", "view_count", "like_count", "has_captions", "category", "tags", "topics")
+
+
+@query("""SELECT o_custkey::VARCHAR AS video_id, 'c' || o_orderkey AS comment_id, o_orderpriority AS text, 1 AS like_count, 2 AS reply_count, NULL::VARCHAR AS parent_comment_id, 0 AS place FROM orders
+  UNION ALL SELECT o_custkey::VARCHAR, 'r' || o_orderkey || '-' || i, o_orderstatus, i, NULL, 'c' || o_orderkey, i FROM orders, (SELECT unnest([1, 2]) AS i)""")
+def n2_youtube_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    id_ = F.concat(F.lit("c"), text_of("o_orderkey"))
+    reply = lambda i: s(id=F.concat(F.lit("r"), text_of("o_orderkey"), F.lit(f"-{i}")), snippet=s(textOriginal=F.col("o_orderstatus"), likeCount=i, parentId=id_))
+    top = s(snippet=s(textOriginal=F.col("o_orderpriority"), likeCount=1))
+    doc = s(id=id_, snippet=s(videoId=text_of("o_custkey"), totalReplyCount=2, topLevelComment=top), replies=s(comments=F.array(reply(1), reply(2))))
+    return payloads.youtube_comments(payload(table(spark, sf_dir, "orders"), doc)).select("video_id", "comment_id", "text", "like_count", "reply_count", "parent_comment_id", "place")
+
+
+@query("SELECT 'UC' || c_custkey AS channel_id, c_name AS title, ['two words', c_mktsegment] AS keywords, ['T' || c_nationkey] AS topic_keywords FROM customer")
+def n3_youtube_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.concat(F.lit('"two words" "'), F.col("c_mktsegment"), F.lit('"'))
+    doc = s(id=F.concat(F.lit("UC"), text_of("c_custkey")), snippet=s(title=F.col("c_name")), topicDetails=s(topicCategories=F.array(F.concat(F.lit("https://en.wikipedia.org/wiki/T"), text_of("c_nationkey")))), brandingSettings=s(channel=s(keywords=words)))
+    return payloads.youtube_channels(payload(table(spark, sf_dir, "customer"), doc)).select("channel_id", "title", "keywords", "topic_keywords")
+
+
+@query("SELECT conv_id, turn AS place, turn * 1.5::DOUBLE AS start, 0.0::DOUBLE AS dur, coalesce(text, '') AS text FROM conversations")
+def n5_youtube_caption_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    safe = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    line = F.concat(F.lit('<text start="'), (F.col("turn") * 1.5).cast("string"), F.lit('">'), safe, F.lit("</text>"))
+    files = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("xml"))
+    return payloads.youtube_caption_lines(files, "conv_id", "xml").withColumn("place", F.col("place").cast("long"))
+
+
+@query("""SELECT o_orderkey::VARCHAR AS id, strftime(make_timestamp(o_orderkey * 1000000), '%Y-%m-%dT%H:%M:%S') AS utc_time, o_custkey::VARCHAR AS author_unique_id, CASE WHEN o_orderkey % 2 = 1 THEN 'd' || o_orderkey END AS duet_from_id,
+  CASE WHEN o_orderkey % 2 = 1 THEN 'name' || o_custkey END AS duet_from_user_name, ['a b'] AS stickers_texts, [o_orderpriority] AS challenges_titles FROM orders WHERE o_orderkey % 3 <> 0""")
+def n6_tiktok_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = F.col("o_orderkey") % 2 == 1
+    duet = F.when(odd, F.concat(F.lit("d"), text_of("o_orderkey"))).otherwise("0")
+    extra = F.array(s(awemeId="other", userId="0", userUniqueId="nobody", isCommerce=False), s(awemeId=duet, userId="1", userUniqueId=F.concat(F.lit("name"), text_of("o_custkey")), isCommerce=True))
+    doc = s(id=text_of("o_orderkey"), createTime=F.col("o_orderkey"), author=s(uniqueId=text_of("o_custkey")), duetInfo=s(duetFromId=duet), textExtra=extra, stickersOnItem=F.array(s(stickerText=F.array(F.lit("a"), F.lit("b")))), challenges=F.array(s(title=F.col("o_orderpriority"))))
+    rows = payload(table(spark, sf_dir, "orders"), s(type=F.when(F.col("o_orderkey") % 3 == 0, 4).otherwise(1), item=doc))
+    return payloads.tiktok_videos(rows, search=True).select("id", "utc_time", "author_unique_id", "duet_from_id", "duet_from_user_name", "stickers_texts", "challenges_titles")
+
+
+@query("SELECT doc_id::VARCHAR AS pk, ['tag' || doc_id % 7] AS hashtags, ['some.one'] AS mentioned_names, false AS has_translation, source AS user_username FROM documents")
+def n8_instagram_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.concat(F.lit("x #Tag"), (F.col("doc_id") % 7).cast("string"), F.lit(" @Some.One"))
+    doc = s(pk=text_of("doc_id"), text=said, user=s(username=F.col("source")))
+    return payloads.instagram_comments(payload(table(spark, sf_dir, "documents"), doc)).select("pk", "hashtags", "mentioned_names", "has_translation", "user_username")
+
+
+@query("SELECT doc_id::VARCHAR AS id, lang AS caption, n_chars::VARCHAR AS liked_by_count, 'https://www.instagram.com/p/B' || doc_id || '/' AS url FROM documents")
+def n9_instagram_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc = s(id=text_of("doc_id"), shortcode=F.concat(F.lit("B"), text_of("doc_id")), edge_media_to_caption=s(edges=F.array(s(node=s(text=F.col("lang"))))), edge_liked_by=s(count=F.col("n_chars")))
+    return payloads.instagram_hashtag_posts(payload(table(spark, sf_dir, "documents"), doc)).select("id", "caption", "liked_by_count", "url")
+
+
+@query("""SELECT o_custkey::VARCHAR AS post_id, 'c' || o_orderkey AS comment_id, NULL::VARCHAR AS parent_id, 0 AS depth, o_orderpriority AS text FROM orders
+  UNION ALL SELECT o_custkey::VARCHAR, 'd' || o_orderkey, 'c' || o_orderkey, 1, o_orderstatus FROM orders""")
+def n12_facebook_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    node = lambda prefix, c, **more: s(node=s(legacy_fbid=F.concat(F.lit(prefix), text_of("o_orderkey")), body=s(text=F.col(c)), **more))
+    reply = s(edges=F.array(node("d", "o_orderstatus")))
+    doc = s(id=text_of("o_custkey"), feedback=s(display_comments=s(edges=F.array(node("c", "o_orderpriority", display_comments=reply)))))
+    return payloads.facebook_comments(payload(table(spark, sf_dir, "orders"), doc)).select("post_id", "comment_id", "parent_id", "depth", "text")
+
+
+@query("SELECT o_orderkey::VARCHAR AS stories_id, o_orderpriority AS title, o_orderkey % 2 = 0 AS full_text_rss FROM orders")
+def n13_mediacloud_topic_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc = s(stories_id=F.col("o_orderkey"), title=F.col("o_orderpriority"), full_text_rss=F.col("o_orderkey") % 2 == 0)
+    return payloads.mediacloud_topic_stories(payload(table(spark, sf_dir, "orders"), doc)).select("stories_id", "title", "full_text_rss")
+
+
+@query("SELECT c_custkey, o_orderpriority AS article, o_orderkey AS views FROM customer JOIN orders ON o_custkey = c_custkey")
+def n14_wikipedia_pageviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_list(s(article=F.col("o_orderpriority"), views=F.col("o_orderkey"))).alias("items"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey").join(items, "c_custkey", "left")
+    return payloads.wikipedia_pageviews(payload(rows, s(items=F.col("items")), "c_custkey")).select("c_custkey", "article", "views")
+
+
+@query("SELECT 'tweet-' || o_orderkey AS entry, o_orderkey::VARCHAR AS id, o_orderpriority AS text FROM orders WHERE o_orderkey % 5 NOT IN (0, 1)")
+def n15_twitter_timeline_tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey") % 5
+    tweet = s(legacy=s(id_str=text_of("o_orderkey"), full_text=F.col("o_orderpriority")))
+    result = s(__typename=F.when(k == 0, "TweetUnavailable").when(k == 2, "TweetWithVisibilityResults").otherwise("Tweet"), tweet=tweet, legacy=F.when(k != 2, tweet["legacy"]))
+    entry = s(entryId=F.concat(F.lit("tweet-"), text_of("o_orderkey")), content=s(itemContent=s(tweet_results=s(result=result), promotedMetadata=F.when(k == 1, s(x=1)))))
+    pages = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(entry).alias("entries"))
+    doc = s(timeline=s(instructions=F.array(s(type="TimelineAddEntries", entries=F.col("entries")))))
+    return payloads.twitter_timeline_tweets(payload(pages, doc)).select("entry", "id", "text")
+
+
+@query("SELECT event_type, count(*) AS tweet_count FROM events GROUP BY 1")
+def n17_tweet_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.date_format("ts", "yyyy-MM-dd")
+    data = table(spark, sf_dir, "events").groupBy("event_type", day.alias("day")).agg(F.count("*").alias("n"))
+    pages = data.groupBy("event_type").agg(F.collect_list(s(start=F.col("day"), end=F.col("day"), tweet_count=F.col("n"))).alias("data"))
+    return payloads.tweet_counts(payload(pages, s(data=F.col("data")), "event_type")).groupBy("event_type").agg(F.sum("tweet_count").alias("tweet_count"))
+
+
+@query("SELECT c_custkey::VARCHAR AS id, 'http://a' || c_custkey || ' http://b' AS prefixes, c_custkey + 2 AS degree FROM customer")
+def n18_webentity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc = s(_id=F.col("c_custkey"), prefixes=F.array(F.concat(F.lit("http://a"), text_of("c_custkey")), F.lit("http://b")), indegree=F.col("c_custkey"), outdegree=2)
+    return payloads.webentity_rows(payload(table(spark, sf_dir, "customer"), doc)).select("id", "prefixes", "degree")

@@ -1 +1,67 @@
+"""Queries that run a stream over stored files to its end and return what it wrote."""
 
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weblake.functions.pages import gate_pages
+from weblake.jobs.join_jobs import JOINED, entities
+from weblake.jobs.query import query
+from weblake.jobs.url_jobs import VARIED, normalized_sql, varied
+from weblake.operators.storage import shared_folder
+from weblake.sources.tables import table
+from weblake.streaming import streams
+
+
+def drained(source: DataFrame, make: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+    """The rows that the stream ``make`` writes for ``source``, which is stored first as the stream's files."""
+    spark = source.sparkSession
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    source.write.parquet(f"{folder}/in")
+    stream = make(streams.read_stream(spark, f"{folder}/in", source.schema, 1000))
+    run = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+@query(f"WITH {VARIED}, {normalized_sql('v')} SELECT DISTINCT n AS url_key FROM norm")
+def x1_stream_unseen_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drained(varied(spark, sf_dir), lambda s: streams.stream_unseen_urls(s, "u", normalized=True)).select("url_key")
+
+
+@query("""SELECT event_id AS index, CASE WHEN event_id % 50 = 7 THEN NULL ELSE event_id::VARCHAR END AS "group", 2 AS n FROM events WHERE event_id < 0
+  UNION ALL SELECT user_id, user_id::VARCHAR, count(*) FROM events GROUP BY 1, 2""")
+def x2_stream_throttled_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per group the jobs released; the times are held against a plain loop in the tests."""
+    found = drained(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), lambda s: streams.stream_throttled_frontier(s, "user_id", "event_id", "ts", throttle=60.0, parallelism=2))
+    return found.groupBy("group").agg(F.count("*").alias("n")).select(F.col("group").cast("long").alias("index"), "group", "n")
+
+
+@query("""WITH top AS (SELECT max(ts) AS t FROM events) SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS count FROM events, top
+  GROUP BY 1, 2, t HAVING date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY <= t - INTERVAL 1 HOUR""")
+def x3_stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    found = drained(events, lambda s: streams.stream_counts(s, "ts", "event_type", "1 day"))
+    return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "count")
+
+
+@query(f"WITH {JOINED} SELECT page_id, entity FROM joined")
+def x4_stream_join_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    source = varied(spark, sf_dir)
+    source.write.parquet(f"{folder}/in")
+    stream = streams.read_stream(spark, f"{folder}/in", source.schema, 1000)
+    sink = lambda batch, n: batch.select("page_id", "entity").write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+    writer = streams.stream_join_by_url(stream, "u", entities(spark, sf_dir), "site", "entity", sink)
+    writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("page_id", "entity")
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'invalid-status' END AS gate_error FROM pages")
+def x5_stream_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, "500").otherwise("200").alias("http_status"), F.col("html").alias("body"))
+    return drained(report, lambda s: streams.stream_enrich(s, gate_pages)).select("page_id", "gate_error")

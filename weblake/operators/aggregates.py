@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weblake.operators.storage import stored
+
 
 def sum_pageviews(pages: DataFrame, items: DataFrame, key: str) -> DataFrame:
     """Total views per input row, 0 where there are none."""
@@ -43,7 +45,7 @@ def webentity_degrees(links: DataFrame, pages: DataFrame) -> DataFrame:
     links: source_webentity, target_webentity; pages: webentity, a row per page. Pairs are made
     distinct first, so hubs cost their neighbours, not their links.
     """
-    pairs = links.where("source_webentity <> target_webentity").select(F.col("source_webentity").alias("s"), F.col("target_webentity").alias("t")).distinct()
+    pairs = stored(links.where("source_webentity <> target_webentity").select(F.col("source_webentity").alias("s"), F.col("target_webentity").alias("t")).distinct())
     out = pairs.groupBy(F.col("s").alias("webentity")).agg(F.count("*").alias("outdegree"))
     into = pairs.groupBy(F.col("t").alias("webentity")).agg(F.count("*").alias("indegree"))
     either = pairs.unionByName(pairs.select(F.col("t").alias("s"), F.col("s").alias("t"))).distinct()
