@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from html import escape
 from html.parser import HTMLParser
@@ -27,6 +28,10 @@ CLOSES = {
 }
 
 
+#: So many open elements at most are looked at for one to close, which keeps deep pages linear.
+REACH = 256
+
+
 class Element:
     """A tag with its attributes; children are elements and strings."""
 
@@ -85,31 +90,37 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Element("[document]")
         self.open = [self.root]
+        self.count: Counter[str] = Counter()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        names, stops = CLOSES.get(tag, (set(), set()))
-        outermost = len(self.open)
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].name in stops:
-                break
-            if self.open[i].name in names:
-                outermost = i
-        del self.open[outermost:]
+        names, stops = CLOSES.get(tag, ((), ()))
+        if any(self.count[n] for n in names):
+            outermost = len(self.open)
+            for i in range(len(self.open) - 1, max(0, len(self.open) - REACH), -1):
+                if self.open[i].name in stops:
+                    break
+                if self.open[i].name in names:
+                    outermost = i
+            self.close_from(outermost)
         e = Element(tag, {k: v or "" for k, v in reversed(attrs)}, self.open[-1])
         self.open[-1].children.append(e)
         if tag not in VOID:
             self.open.append(e)
+            self.count[tag] += 1
+
+    def close_from(self, i: int) -> None:
+        for e in self.open[i:]:
+            self.count[e.name] -= 1
+        del self.open[i:]
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.open.pop()
+            self.close_from(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].name == tag:
-                del self.open[i:]
-                return
+        if self.count[tag]:
+            self.close_from(next(i for i in range(len(self.open) - 1, 0, -1) if self.open[i].name == tag))
 
     def handle_data(self, data: str) -> None:
         self.open[-1].children.append(data)
