@@ -127,3 +127,14 @@ def c7_crawl_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {ENTITIES} SELECT host AS webentity, unnest(['http://' || host, 'https://' || host, 'http://' || host || '/start']) AS url FROM e WHERE status = 'IN'")
 def c8_start_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.start_pages(corpus(spark, sf_dir))
+
+
+@query(r"""WITH h AS (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS href FROM pages)
+  SELECT page_id % 5 <> 0 AS source_relevant, count(*) AS n FROM h GROUP BY 1""")
+def c5_focus_link_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weblake.operators import html
+
+    pages = table(spark, sf_dir, "pages").withColumn("mimetype", F.when(F.col("page_id") % 5 == 0, "application/pdf").otherwise("text/html"))
+    focus = graph.focus_crawl(pages, ".")
+    links = html.scrape_urls(html.named(pages)).join(pages.select("page_id", "url"), "page_id")
+    return graph.focus_link_report(links, focus).groupBy("source_relevant").agg(F.count("*").alias("n"))

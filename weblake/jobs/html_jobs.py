@@ -101,3 +101,23 @@ def h14_h15_extract_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 def h16_extract_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("see <"), "url", F.lit("> and (none).")).alias("said"))
     return html.extract_urls(said, "said").select("page_id", "extracted_url")
+
+
+@query("SELECT page_id, 0 AS place, 'news·20240131·N' || page_id || '·x' AS id, 'T & ' || page_id AS title, 'Body' AS content, 'http://p/' || page_id AS url, '2024-01-31' AS date, 'Le Media' AS media, 'N' || page_id AS media_id FROM pages")
+def h7_scrape_press_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("page_id").cast("string")
+    body = F.concat(
+        F.lit("<article><span class='DocPublicationName'> Le Media, no. 3</span><p class=titreArticle>T &amp; "), n, F.lit("</p><div class=docOcurrContainer>&lt;b&gt;Body&lt;/b&gt;<a href='http://p/"), n,
+        F.lit("'><i hidden>Cet article est paru dans X</i></a></div><div class='publiC-lblNodoc'>news·20240131·N"), n, F.lit("·x</div></article>"),
+    )
+    rows = html.scrape_press_articles(table(spark, sf_dir, "pages").select("page_id", body.alias("html")))
+    return rows.withColumn("content", F.regexp_replace("content", "Cet article est paru dans X$", ""))
+
+
+@query("SELECT doc_id, length(text)::INT AS n FROM documents")
+def r4_decode_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id") % 3
+    body = F.when(k == 0, F.encode("text", "UTF-8")).when(k == 1, F.encode("text", "UTF-16")).otherwise(F.encode("text", "ISO-8859-1"))
+    name = F.when(k == 0, "utf-8").when(k == 1, "utf-16").otherwise("iso-8859-1")
+    docs = table(spark, sf_dir, "documents").select("doc_id", body.alias("body"), name.alias("encoding"))
+    return html.decode_body(docs).select("doc_id", F.length("text").alias("n"))

@@ -128,3 +128,48 @@ def n17_tweet_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def n18_webentity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = s(_id=F.col("c_custkey"), prefixes=F.array(F.concat(F.lit("http://a"), text_of("c_custkey")), F.lit("http://b")), indegree=F.col("c_custkey"), outdegree=2)
     return payloads.webentity_rows(payload(table(spark, sf_dir, "customer"), doc)).select("id", "prefixes", "degree")
+
+
+@query("SELECT o_orderkey::VARCHAR AS id, CASE o_orderkey % 3 WHEN 0 THEN 'Paid Partnership' WHEN 1 THEN 'Promotional Content' ELSE 'own' END AS label, ['u' || o_orderkey] AS video_urls, strftime(make_timestamp(o_orderkey * 1000000), '%Y-%m-%dT%H:%M:%S') AS create_date_utc FROM orders")
+def n7_tiktok_commercials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, url = F.col("o_orderkey"), F.concat(F.lit("u"), text_of("o_orderkey"))
+    old = k % 2 == 0
+    video = s(url=F.when(old, url), video_url=F.when(~old, url))
+    doc = s(id=text_of("o_orderkey"), content_label=F.when(k % 3 < 2, (k % 3 + 1).cast("string")), label="own", videos=F.array(video), create_timestamp=F.when(old, k), posted_time=F.when(~old, k))
+    return payloads.tiktok_commercials(payload(table(spark, sf_dir, "orders"), doc)).select("id", "label", "video_urls", "create_date_utc")
+
+
+@query("""SELECT o_orderkey::VARCHAR AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'GraphSidecar' ELSE 'GraphImage' END AS media_type, CASE WHEN o_orderkey % 2 = 0 THEN ['GraphImage', 'GraphVideo'] ELSE ['GraphImage'] END AS medias_type,
+  CASE WHEN o_orderkey % 2 = 0 THEN ['i1', 'v2'] ELSE ['i0'] END AS medias_url, CASE WHEN o_orderkey % 2 = 0 THEN ['u1', 'u2'] ELSE ['u0'] END AS usertags_medias, ['c1', 'c2'] AS coauthor_usernames FROM orders""")
+def n10_instagram_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tag = lambda name: F.struct(F.array(s(user=s(username=name))).alias("in"))
+    image = lambda n: s(candidates=F.array(s(url=f"i{n}")))
+    side = F.col("o_orderkey") % 2 == 0
+    no_video = F.lit(None).cast("array<struct<url:string>>")
+    medias = F.array(s(media_type=1, image_versions2=image(1), video_versions=no_video, usertags=tag("u1")), s(media_type=2, image_versions2=image(9), video_versions=F.array(s(url="v2")), usertags=tag("u2")))
+    author = lambda n: F.array(s(username=n))
+    doc = s(pk=text_of("o_orderkey"), code="B", media_type=F.when(side, 8).otherwise(1), carousel_media=F.when(side, medias), image_versions2=image(0), usertags=tag("u0"), coauthor_producers=author("c2"), invited_coauthor_producers=author("c1"))
+    return payloads.instagram_posts(payload(table(spark, sf_dir, "orders"), doc)).select("id", "media_type", "medias_type", "medias_url", "usertags_medias", "coauthor_usernames")
+
+
+@query("SELECT c_custkey::VARCHAR AS id, ['t' || c_nationkey] AS bio_links_title, ['friend'] AS mentioned_users, ['tag'] AS hashtags FROM customer")
+def n11_instagram_user_infos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("struct<name:string>")
+    entities = F.array(s(user=s(username="friend"), hashtag=none), s(user=F.lit(None).cast("struct<username:string>"), hashtag=s(name="tag")))
+    doc = s(id=text_of("c_custkey"), bio_links=F.array(s(title=F.concat(F.lit("t"), text_of("c_nationkey")), url="http://x")), biography_with_entities=s(entities=entities))
+    return payloads.instagram_user_infos(payload(table(spark, sf_dir, "customer"), doc)).select("id", "bio_links_title", "mentioned_users", "hashtags")
+
+
+@query("SELECT o_orderkey::VARCHAR AS stories_id, [o_orderpriority, 'b'] AS tags, ['s', 's'] AS tag_sets FROM orders")
+def n13_mediacloud_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc = s(stories_id=F.col("o_orderkey"), story_tags=F.array(s(tag=F.col("o_orderpriority"), tag_set="s"), s(tag="b", tag_set="s")))
+    return payloads.mediacloud_stories(payload(table(spark, sf_dir, "orders"), doc)).select("stories_id", "tags", "tag_sets")
+
+
+@query("SELECT o_orderkey::VARCHAR AS user_id, NULL::VARCHAR AS cursor FROM orders UNION ALL SELECT NULL, 'c' || o_custkey FROM (SELECT DISTINCT o_custkey FROM orders)")
+def n16_twitter_followers_you_know(spark: SparkSession, sf_dir: str) -> DataFrame:
+    user = s(entryId=F.concat(F.lit("user-"), text_of("o_orderkey")), content=s(cursorType=F.lit(None).cast("string"), value=F.lit(None).cast("string")))
+    pages = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(user).alias("users"))
+    cursor = s(entryId="cursor-bottom", content=s(cursorType="Bottom", value=F.concat(F.lit("c"), text_of("o_custkey"))))
+    doc = s(timeline=s(instructions=F.array(s(entries=F.concat("users", F.array(cursor))))))
+    return payloads.twitter_followers_you_know(payload(pages, doc))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterable, Iterator
+from html import unescape
 from typing import Any
 
 import pyarrow as pa
@@ -262,3 +263,58 @@ def extract_urls(df: DataFrame, column: str, source: str = "text", base: str | N
         rows = rows.withColumn("found", F.regexp_replace("found", r"[.,;:!?]+$", ""))
     rows = rows.where("trim(found) <> ''")
     return rows.withColumn("extracted_url", urls.url_join(F.col(base), F.col("found")) if base else F.trim("found")).drop("found")
+
+
+PRESS_NOTE = "Cet article est paru dans"
+
+
+def _read_press(root: Element, row: dict[str, Any]) -> dict[str, Any]:
+    out = []
+    for article in select(root, "article"):
+        parts = {name: select_one(article, css) for name, css in (("id", ".publiC-lblNodoc"), ("title", ".titreArticle"), ("media", ".DocPublicationName"), ("content", ".docOcurrContainer"))}
+        said = {name: e.text() if e is not None else "" for name, e in parts.items()}
+        links = select(parts["content"], "a") if parts["content"] is not None else []
+        number = said["id"].split("·")
+        day = re.fullmatch(r"(\d{4})(\d{2})(\d{2})", number[1]) if len(number) > 1 else None
+        out.append(
+            {
+                "id": said["id"], "title": said["title"], "content": parse(unescape(said["content"])).text(), "url": next((a.attrs.get("href") for a in links if PRESS_NOTE in a.text()), None),
+                "date": "-".join(day.groups()) if day else None, "media": re.split(r",|\n| {16}", said["media"])[0].strip(), "media_id": number[2] if len(number) > 2 else None,
+            }
+        )
+    return {"articles": out}
+
+
+def scrape_press_articles(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """Articles of press-database exports: id, title, content, url, date and media id (from the id), media."""
+    fields = ("id", "title", "content", "url", "date", "media", "media_id")
+    schema = f"articles:array<struct<{','.join(f'{f}:string' for f in fields)}>>"
+    return map_pages(pages, html, _read_press, schema, keep).select(*keep, F.posexplode("articles").alias("place", "a")).select(*keep, "place", "a.*")
+
+
+def decode_body(df: DataFrame, body: str = "body", encoding: str = "encoding", name: str = "text") -> DataFrame:
+    """Text of bodies in bytes: by the given encoding, else the one detected in the first 64 KiB, else UTF-8; errors are replaced.
+
+    Spark's own decode fails on unknown names, so this is one map; detection runs only where no name is known.
+    """
+    kept = [c for c in df.columns if c != body]
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from charset_normalizer import from_bytes
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, PAGES):
+                part = batch.slice(i, PAGES)
+                out = []
+                for data, enc in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    if data is not None and not enc:
+                        best = from_bytes(data[: 1 << 16]).best()
+                        enc = best.encoding if best is not None else "utf-8"
+                    try:
+                        out.append(None if data is None else data.decode(enc, errors="replace"))
+                    except LookupError:
+                        out.append(data.decode("utf-8", errors="replace"))
+                yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.array(out, pa.string())], names=[*kept, name])
+
+    rows = df.select(body, F.col(encoding).alias("encoding to use"), *kept)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
+    return rows.mapInArrow(run, f"{schema}, {name} string")

@@ -210,3 +210,69 @@ def webentity_rows(df: DataFrame) -> DataFrame:
     names = {"id": "_id", "name": "name", "status": "status", "homepage": "homepage"}
     degrees = [at(k, "long").alias(k) for k in ("pages_total", "indegree", "outdegree", "undirected_degree")]
     return parsed(df).select(*fields(names), F.array_join(strings("prefixes"), " ").alias("prefixes"), *degrees, (at("indegree", "long") + at("outdegree", "long")).alias("degree"), text.timestamp_to_iso((at("lastModificationDate", "long") / 1000).cast("long")).alias("last_modified"))
+
+
+# Media kinds and content labels by code.
+INSTAGRAM_MEDIA = {"1": "GraphImage", "2": "GraphVideo", "8": "GraphSidecar"}
+TIKTOK_LABELS = {"1": "Paid Partnership", "2": "Promotional Content"}
+
+
+def _named(code: Column, names: dict[str, str]) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), code)
+
+
+def tiktok_commercials(df: DataFrame, collected_via: str | None = None) -> DataFrame:
+    """Commercial contents; both spellings of keys that the service has had are read."""
+    time = F.coalesce(at("create_timestamp", "long"), at("create_time", "long"), at("posted_time", "long"))
+    either = lambda x, a, b: F.coalesce(at(a, of=x), at(b, of=x))
+    label = F.when(at("content_label").isNotNull(), _named(at("content_label"), TIKTOK_LABELS)).otherwise(at("label"))
+    return parsed(df).select(
+        at("id").alias("id"), at("creator.username").alias("creator_username"), strings("brand_names").alias("brand_names"), text.timestamp_to_iso(time).alias("create_date_utc"), time.alias("create_timestamp"), label.alias("label"),
+        F.transform(items("videos"), lambda x: either(x, "cover_image_url", "cover_img")).alias("video_cover_image_urls"), F.transform(items("videos"), lambda x: either(x, "url", "video_url")).alias("video_urls"),
+        at("audit_status").alias("audit_status"), at("show_mode").alias("show_mode"), at("video_views").alias("video_views"), F.lit(collected_via).alias("collected_via"),
+    )
+
+
+def instagram_posts(df: DataFrame) -> DataFrame:
+    """Posts of users: kinds and URLs of their media in one order, everybody tagged in them, co-authors."""
+    kind = lambda x: _named(at("media_type", of=x), INSTAGRAM_MEDIA)
+    url = lambda x: F.when(kind(x) == "GraphVideo", at("video_versions[0].url", of=x)).otherwise(at("image_versions2.candidates[0].url", of=x))
+    tagged = lambda x: F.transform(F.coalesce(F.try_variant_get(x, "$.usertags.in", "array<variant>"), F.array().cast("array<variant>")), lambda u: at("user.username", of=u))
+    medias = F.when(kind(F.col("v")) == "GraphSidecar", items("carousel_media")).when(kind(F.col("v")).isNotNull(), F.array("v")).otherwise(F.array().cast("array<variant>"))
+    names = lambda c: F.array_sort(F.array_distinct(F.array_compact(c)))
+    rows = parsed(df).withColumn("medias", medias)
+    caption, link = F.coalesce(at("caption.text"), F.lit("")), text.shortcode_to_url(at("code"))
+    plain = {"username": "user.username", "name": "user.full_name", "is_verified": "user.is_verified", "id": "pk", "shortcode": "code", "caption": "caption.text", "like_count": "like_count", "comment_count": "comment_count", "taken_at_timestamp": "taken_at"}
+    authors = F.transform(F.concat(items("coauthor_producers"), items("invited_coauthor_producers")), lambda u: at("username", of=u))
+    return rows.select(
+        *fields(plain), F.coalesce(kind(F.col("v")), at("media_type")).alias("media_type"), link.alias("url"), text.extract_hashtags(caption).alias("hashtags"), text.extract_handles(caption).alias("mentioned_names"),
+        F.coalesce(at("like_and_view_counts_disabled", "boolean"), F.lit(False)).alias("like_and_view_counts_disabled"), F.concat(link, F.lit("media/?size=l")).alias("main_thumbnail_url"),
+        F.transform("medias", lambda x: kind(x)).alias("medias_type"), F.transform("medias", lambda x: url(x)).alias("medias_url"), names(F.flatten(F.transform("medias", lambda x: tagged(x)))).alias("usertags_medias"),
+        text.timestamp_to_iso(at("taken_at").try_cast("long")).alias("utc_time"), names(authors).alias("coauthor_usernames"),
+    )
+
+
+def instagram_users(df: DataFrame) -> DataFrame:
+    names = {"id": "pk", "username": "username", "full_name": "full_name", "is_private": "is_private", "is_verified": "is_verified", "profile_pic_url": "profile_pic_url"}
+    return parsed(df).select(*fields(names))
+
+
+def instagram_user_infos(df: DataFrame) -> DataFrame:
+    """Profiles: bio links as aligned arrays, names and tags that the biography mentions."""
+    names = {"id": "id", "username": "username", "name": "full_name", "biography": "biography", "followers": "edge_followed_by.count", "following": "edge_follow.count", "external_url": "external_url", "category": "category_name"}
+    mention = lambda key: F.array_compact(F.transform(items("biography_with_entities.entities"), lambda e: at(key, of=e)))
+    return parsed(df).select(
+        *fields(names), F.transform(items("bio_links"), lambda b: at("title", of=b)).alias("bio_links_title"), F.transform(items("bio_links"), lambda b: at("url", of=b)).alias("bio_links_url"),
+        mention("user.username").alias("mentioned_users"), mention("hashtag.name").alias("hashtags"),
+    )
+
+
+def _reader(key: str):
+    return lambda x: at(key, of=x)
+
+
+def mediacloud_stories(df: DataFrame) -> DataFrame:
+    """Stories with their tags as four aligned arrays."""
+    names = {k: k for k in ("guid", "stories_id", "processed_stories_id", "title", "url", "language", "collect_date", "publish_date", "media_id", "media_name", "media_url")}
+    tag = {"tags": "tag", "tag_sets": "tag_set", "tags_ids": "tags_id", "tag_sets_ids": "tag_sets_id"}
+    return parsed(df).select(*fields(names), *(F.transform(items("story_tags"), _reader(k)).alias(n) for n, k in tag.items()))
