@@ -23,6 +23,8 @@ LEAST_RATIO = 0.4
 PROBES = 3
 BITS_PER_GRAM = 16
 UNKNOWN = "und"
+#: Texts are taken from a batch so many rows, and joined so many characters, at a time.
+ROWS = 256
 STEP_CHARS = 200_000
 
 _LETTERS: list[np.ndarray] = []
@@ -147,17 +149,14 @@ def learn_languages(labelled: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, names = batch.column(1).to_pylist(), sorted(set(batch.column(1).to_pylist()))
-            number = np.array([names.index(x) for x in langs])
-            parts = [[] for _ in names]
-            for first, run in steps(batch.column(0).to_pylist()):
-                hashes, owner, _ = grams(run)
-                of = number[first + owner]
-                for k in range(len(names)):
-                    parts[k].append(hashes[of == k])
-            for k, name in enumerate(names):
-                found, n = np.unique(np.concatenate(parts[k]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+            for i in range(0, batch.num_rows, ROWS):
+                texts, langs = (c.to_pylist() for c in batch.slice(i, ROWS).columns)
+                for name in sorted(set(langs)):
+                    own = [t for t, x in zip(texts, langs, strict=True) if x == name]
+                    parts = [np.unique(grams(run)[0], return_counts=True) for _, run in steps(own)]
+                    found, at = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+                    n = np.bincount(at, weights=np.concatenate([c for _, c in parts])).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
     counts = rows.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = stored(counts)
@@ -179,18 +178,21 @@ def identify_languages(docs: DataFrame, filters: LanguageFilters, id_col: str =
     the language holds, corrected for false positives. A narrow map over whole texts.
     """
     known = docs.sparkSession.sparkContext.broadcast(filters)
-    columns = docs.select(F.col(text_col).alias("text to read"), F.col(id_col), *keep)
-    fields = columns.schema.fields[1:]
+    # The text goes to the tasks once, also where it is kept.
+    columns = docs.select(F.col(id_col), *keep, *([] if text_col in keep else [F.col(text_col)]))
+    at_text = columns.columns.index(text_col)
+    fields = columns.schema.fields[: 1 + len(keep)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = [], []
-            for _, texts in steps(batch.column(0).to_pylist()):
-                a, b = known.value.predict(texts)
-                langs += a
-                scores += b
-            rest = batch.columns[1:]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*(f.name for f in fields), *names])
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
+                langs, scores = [], []
+                for _, texts in steps(part.column(at_text).to_pylist()):
+                    a, b = known.value.predict(texts)
+                    langs += a
+                    scores += b
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(fields)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*(f.name for f in fields), *names])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     return columns.mapInArrow(run, f"{schema}, `{names[0]}` string, `{names[1]}` double")
