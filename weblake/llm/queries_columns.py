@@ -49,9 +49,26 @@ def op9_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op2_pfair_mixing, op5_personal_data, op6_chat_format, op7_quality_rules, op9_minimax_shards)}
 
+
+
+def _escaped_sql(c: str) -> str:
+    for plain, broken in [("\\", "\\\\"), *((x, x[0] + "\\" + x[1:]) for x in chat.CONTROLS)]:
+        c = f"replace({c}, '{plain}', '{broken}')"
+    return c
+
+
+_MARKS = len(chat.BEGIN) + len(chat.MESSAGE) + len(chat.END)
 _STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
 _BLANK = r"[\x20\x09-\x0D]+"
 ORACLES = {
+    "op6_chat_format": f"""
+    WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+               UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+    t AS (SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS learned, {_MARKS} + length({_escaped_sql('role')}) + length({_escaped_sql('text')}) AS chars FROM c)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256, sum(length(learned))::BIGINT AS loss_chars,
+           sha256(string_agg(learned, '' ORDER BY turn)) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
+    FROM t WHERE conv_id IS NOT NULL GROUP BY conv_id
+    """,
     "op7_quality_rules": rf"""
     WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
     w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '{_BLANK}'), lambda x: x <> '') AS words,
