@@ -92,7 +92,7 @@ def test_token_efficiency_and_masks(spark):
     texts = ["key 9fKx2LmQ8vTz4RwY7uBn1PcD here", "getElementByIdAndClassName user_account_settings_page", "id 123E4567-E89B-12D3-A456-426614174000", "password=abcdefghijkl0123456789abcdef tail", None]
     docs = docs_of(spark, texts)
     got = {r.doc_id: [s.kind for s in r.spans] for r in secrets.find_secrets(docs, BYTE_RANKS, RANKS_PATTERN).collect()}
-    assert got == {0: ["random"], 1: [], 2: [], 3: ["assign"], 4: []}
+    assert got == {0: ["random"], 1: [], 2: [], 3: ["assign", "hex"], 4: []}
     out = secrets.mask_secrets(docs, BYTE_RANKS, RANKS_PATTERN)
     masked = {r.doc_id: r.text for r in out.collect()}
     assert out.columns == docs.columns and masked[0] == "key [SECRET] here" and masked[3] == "[SECRET] tail" and masked[1] == texts[1] and masked[4] is None

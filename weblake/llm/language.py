@@ -125,7 +125,7 @@ class LanguageFilters:
         for i, rate in enumerate(self.false_positive):
             mask = masks[i // 64]
             hits = np.bincount(owner, weights=(mask >> mask.dtype.type(i % 64)) & mask.dtype.type(1), minlength=len(texts))
-            shares[i] = (hits - total * rate) / (max(1e-9, 1 - rate) * np.maximum(total, 1))
+            shares[i] = np.maximum(0, (hits - total * rate) / (max(1e-9, 1 - rate) * np.maximum(total, 1)))
         best = shares.argmax(axis=0) if len(self.languages) else np.zeros(len(texts), int)
         known = has_letter & bool(self.languages)
         score = np.clip(shares.max(axis=0), 0, 1) if len(self.languages) else np.zeros(len(texts))

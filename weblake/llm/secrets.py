@@ -30,7 +30,8 @@ WINDOW = 512
 DIGEST_LENGTHS = (32, 40, 48, 56, 64, 96, 128)
 DIGEST = re.compile(r"[0-9a-fA-F]+")
 UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
-IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4})(?:[-_/=+]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}(?![a-z])|[0-9]{1,4}))*")
+# Atomic groups: a part of a name is never split again, so the test is linear.
+IDENTIFIER = re.compile(r"(?>[-_/=+]*(?>[A-Z]?[a-z]{2,}|[A-Z]{2,}(?![a-z])|[0-9]{1,4}))++")
 
 _ENCODINGS: dict[str, tiktoken.Encoding] = {}
 
