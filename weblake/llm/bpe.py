@@ -189,18 +189,19 @@ def loaded(path: str) -> ForcedCutBPE:
     return _LOADED[path]
 
 
-def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("ids", "decoded"), carry: tuple[str, ...] = ()) -> DataFrame:
     """Encodes each text and decodes the ids again.
 
     Returns id, n_tokens, ids_sha256 (of the decimal ids joined by a space), decoded_sha256 and, if
-    kept, ``ids`` (array of int) and ``decoded``; no other input columns. A null text counts as
-    empty: no ids. Texts are encoded one at a time in a narrow map, so memory is bounded by the
+    kept, ``ids`` (array of int) and ``decoded``; of other input columns, those of ``carry``. A null
+    text counts as empty: no ids. Texts are encoded one at a time in a narrow map, so memory is bounded by the
     longest text; every executor reads the vocabulary file at ``vocabulary``. The decoded text joins
     the tokens by a space, as a vocabulary without a decoder does.
     """
     id_type = docs.schema[id_col].dataType
     fields = [f"`{id_col}` {id_type.simpleString()}", "n_tokens long", "ids_sha256 string", "decoded_sha256 string"]
     fields += ["ids array<int>"] * ("ids" in keep) + ["decoded string"] * ("decoded" in keep)
+    fields += [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(vocabulary)
@@ -218,7 +219,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                     if "decoded" in keep:
                         decoded.append(tokens)
                 columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(id_sums, pa.string()), pa.array(decoded_sums, pa.string())]
-                columns += [pa.array(ids, pa.list_(pa.int32()))] * ("ids" in keep) + [pa.array(decoded, pa.string())] * ("decoded" in keep)
+                columns += [pa.array(ids, pa.list_(pa.int32()))] * ("ids" in keep) + [pa.array(decoded, pa.string())] * ("decoded" in keep) + part.columns[2:]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.rsplit(" ", 1)[0].strip("`") for f in fields])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, ", ".join(fields))
+    return docs.select(F.col(id_col), F.col(text_col), *carry).mapInArrow(run, ", ".join(fields))

@@ -95,7 +95,12 @@ def mix_order(docs: DataFrame, weights: Mapping[str, float] | None = None, tempe
     return placed.join(slots, ["source", "start", "turn"]).select(id_col, "source", "block", "turn_round", position.alias("position"), "offset")
 
 
+def placed(docs: DataFrame, id_col: str = "doc_id", **kwargs) -> DataFrame:
+    """``docs`` with all their columns, and ``mix position`` and ``mix offset`` as by ``mix_order``; ids must be unique."""
+    order = mix_order(docs, id_col=id_col, **kwargs).select(F.col(id_col).alias("mix id"), F.col("position").alias("mix position"), F.col("offset").alias("mix offset"))
+    return docs.join(order, docs[id_col] == order["mix id"]).drop("mix id")
+
+
 def mixed(docs: DataFrame, id_col: str = "doc_id", **kwargs) -> DataFrame:
     """``docs`` with all their columns, its rows sorted into the mix; ids must be unique."""
-    order = mix_order(docs, id_col=id_col, **kwargs).select(F.col(id_col).alias("mix id"), F.col("position").alias("mix position"), F.col("offset").alias("mix offset"))
-    return docs.join(order, docs[id_col] == order["mix id"]).orderBy("mix position", "mix offset").drop("mix id", "mix position", "mix offset")
+    return placed(docs, id_col, **kwargs).orderBy("mix position", "mix offset").drop("mix position", "mix offset")
