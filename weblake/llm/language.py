@@ -135,7 +135,7 @@ class LanguageFilters:
 def learn_languages(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> LanguageFilters:
     """Filters of the languages of labelled texts; rows without text or language teach nothing.
 
-    Texts are sampled by a hash of their id, about ``sample_rows`` of each language and all of rarer
+    Texts are sampled by a hash of their id (without id, of the text), about ``sample_rows`` of each language and all of rarer
     ones, and read whole. An n-gram belongs to a language that has it at LEAST_RATE of its n-grams,
     so a language has 1 / LEAST_RATE of each length at most: that bounds what the driver gathers and
     what is broadcast, whatever the input's size.
@@ -145,7 +145,7 @@ def learn_languages(labelled: DataFrame, id_col: str = "doc_id", text_col: str =
     if not sizes:
         return LanguageFilters.of([])
     part = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample_rows / n))))
-    rows = rows.where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 20)) < part[F.col("lang")] * (1 << 20))
+    rows = rows.where(F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.col("text"))), F.lit(1 << 20)) < part[F.col("lang")] * (1 << 20))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weblake.llm.columns import indexes, let
 from weblake.llm.ranks import ranked
+from weblake.llm.storage import CONTENT, ROW, numbered
 
 #: Blocks in a round; weights are rounded to this share, but to one block at least.
 ROUND_BLOCKS = 1000
@@ -52,7 +53,9 @@ def mix_order(docs: DataFrame, weights: Mapping[str, float] | None = None, tempe
 
     Returns id, source, block (number within the source), turn_round, position (the block's place in
     the mix, 0, 1, ...) and offset (place in the block); other input columns are left out. Nothing is
-    dropped or repeated: each row has one place. A null source counts as the empty name.
+    dropped or repeated: each row has one place. A null source counts as the empty name. Rows of one
+    id, or of none, follow each other in any order, or, if ``numbered`` has been over docs, by their
+    values; the row's number is then returned too.
 
     Weights: as given (sources that are not named get the least weight given), else the power
     ``temperature`` of the source's blocks. Each round deals a source its share of about 1,000
@@ -62,7 +65,8 @@ def mix_order(docs: DataFrame, weights: Mapping[str, float] | None = None, tempe
     same members are alike: only those of the at most two kinds for each source are worked out, each
     in one row, and all blocks look theirs up.
     """
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(source_col), F.lit("")).alias("source"))
+    more = [c for c in (CONTENT, ROW) if c in docs.columns]
+    rows = docs.select(F.col(id_col), F.coalesce(F.col(source_col), F.lit("")).alias("source"), *more)
     sizes = rows.groupBy("source").agg(F.count("*").alias("rows"))
     sizes = sizes.select("source", F.ceil(F.col("rows") / block_rows).cast("long").alias("blocks"))
     if weights:
@@ -85,22 +89,24 @@ def mix_order(docs: DataFrame, weights: Mapping[str, float] | None = None, tempe
     slots = kinds.select("start", "length", "base", F.posexplode(_earliest_deadline_first(F.col("members"))).alias("slot", "taken"))
     slots = slots.select("start", "length", "base", "slot", F.col("taken.source").alias("source"), F.col("taken.turn").cast("long").alias("turn"))
 
-    placed = ranked(rows, "source", [F.xxhash64(id_col), F.col(id_col)], F.xxhash64(id_col), extra=shares.select("source", "share", "starts"))
+    salt = F.when(F.col(id_col).isNull(), F.col(CONTENT)).otherwise(F.xxhash64(id_col)) if more else F.xxhash64(id_col)
+    placed = ranked(rows, "source", [salt, F.col(id_col), *map(F.col, more)], salt, extra=shares.select("source", "share", "starts"))
     placed = placed.withColumn("block", F.floor(F.col("rank") / block_rows)).withColumn("turn_round", F.floor(F.col("block") / F.col("share")))
     placed = placed.select(
-        id_col, "source", "block", "turn_round", (F.col("block") % F.col("share")).alias("turn"), (F.col("rank") % block_rows).cast("int").alias("offset"),
+        id_col, *more[1:], "source", "block", "turn_round", (F.col("block") % F.col("share")).alias("turn"), (F.col("rank") % block_rows).cast("int").alias("offset"),
         F.array_max(F.filter("starts", lambda s: s <= F.col("turn_round"))).alias("start"),
     )
     position = F.col("base") + (F.col("turn_round") - F.col("start")) * F.col("length") + F.col("slot")
-    return placed.join(slots, ["source", "start", "turn"]).select(id_col, "source", "block", "turn_round", position.alias("position"), "offset")
+    return placed.join(slots, ["source", "start", "turn"]).select(id_col, *more[1:], "source", "block", "turn_round", position.alias("position"), "offset")
 
 
 def placed(docs: DataFrame, id_col: str = "doc_id", **kwargs) -> DataFrame:
-    """``docs`` with all their columns, and ``mix position`` and ``mix offset`` as by ``mix_order``; ids must be unique."""
-    order = mix_order(docs, id_col=id_col, **kwargs).select(F.col(id_col).alias("mix id"), F.col("position").alias("mix position"), F.col("offset").alias("mix offset"))
-    return docs.join(order, docs[id_col] == order["mix id"]).drop("mix id")
+    """``docs`` with all their rows and columns, and ``mix position`` and ``mix offset`` as by ``mix_order``."""
+    rows = numbered(docs)
+    order = mix_order(rows, id_col=id_col, **kwargs).select(ROW, F.col("position").alias("mix position"), F.col("offset").alias("mix offset"))
+    return rows.join(order, ROW).select(*docs.columns, "mix position", "mix offset")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", **kwargs) -> DataFrame:
-    """``docs`` with all their columns, its rows sorted into the mix; ids must be unique."""
+    """``docs`` with all their rows and columns, sorted into the mix."""
     return placed(docs, id_col, **kwargs).orderBy("mix position", "mix offset").drop("mix position", "mix offset")

@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Columns of ``numbered``.
+ROW, CONTENT = "weblake row", "weblake content"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,6 +33,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df``, stored, with a number of its own for each row, and a hash of its values.
+
+    They tell rows apart that share an id or have none. The number is fixed once it is stored; the
+    hash does not depend on files, so that an order by it is the same in every run.
+    """
+    hashed = F.xxhash64(*df.columns, *(F.isnull(c) for c in df.columns))
+    return stored(df.withColumn(CONTENT, hashed).withColumn(ROW, F.monotonically_increasing_id()))
+
+
 def dropped(*frames: DataFrame) -> None:
     """Deletes the files of tables made by ``stored`` that nothing reads any more."""
     for df in frames:
