@@ -86,12 +86,30 @@ def n9_instagram_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_custkey::VARCHAR AS post_id, 'c' || o_orderkey AS comment_id, NULL::VARCHAR AS parent_id, 0 AS depth, o_orderpriority AS text FROM orders
   UNION ALL SELECT o_custkey::VARCHAR, 'd' || o_orderkey, 'c' || o_orderkey, 1, o_orderstatus FROM orders""")
 def n12_facebook_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    node = lambda prefix, c, **more: s(node=s(legacy_fbid=F.concat(F.lit(prefix), text_of("o_orderkey")), body=s(text=F.col(c)), **more))
-    reply = s(edges=F.array(node("d", "o_orderstatus")))
-    doc = s(id=text_of("o_custkey"), feedback=s(display_comments=s(edges=F.array(node("c", "o_orderpriority", display_comments=reply)))))
+    key = lambda prefix: F.concat(F.lit(prefix), text_of("o_orderkey"))
+    node = lambda prefix, c, **more: s(node=s(id=key(prefix), preferred_body=s(text=F.col(c)), **more))
+    reply = s(edges=F.array(node("d", "o_orderstatus", depth=1, comment_parent=s(id=key("c")), feedback=s(total_comment_count=0))))
+    comments = s(edges=F.array(node("c", "o_orderpriority", depth=0, feedback=s(display_comments=reply))))
+    k = F.col("o_orderkey") % 3
+    doc = s(id=text_of("o_custkey"), data=s(node=F.when(k == 0, s(display_comments=comments)), feedback=F.when(k == 2, s(display_comments=comments))), display_comments=F.when(k == 1, comments))
     return payloads.facebook_comments(payload(table(spark, sf_dir, "orders"), doc)).select("post_id", "comment_id", "parent_id", "depth", "text")
 
 
+@query("""SELECT o_custkey::VARCHAR AS post_id, 'c' || o_orderkey || '-' || i AS comment_id, CASE WHEN i > 0 THEN 'c' || o_orderkey || '-' || (i - 1) END AS parent_id, i::INT AS depth, o_orderpriority AS text,
+  i AS reactions, CASE WHEN i < 2 + o_orderkey % 5 THEN 1 ELSE 0 END AS replies FROM orders, (SELECT unnest(range(7)) AS i) WHERE i <= 2 + o_orderkey % 5""")
+def n12_facebook_comments_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies below replies, down to depth 2 to 6."""
+    key = lambda i: F.concat(F.lit("c"), text_of("o_orderkey"), F.lit(f"-{i}"))
+    below = None
+    for i in range(6, -1, -1):
+        more = F.lit(i) < 2 + F.col("o_orderkey") % 5
+        feedback = s(reactors=s(count=i), total_comment_count=F.when(more, 1)) if below is None else s(reactors=s(count=i), total_comment_count=F.when(more, 1), display_comments=F.when(more, below))
+        node = s(id=key(i), depth=i, preferred_body=s(text=F.col("o_orderpriority")), comment_parent=s(id=key(0) if i else F.lit(None).cast("string")), reply_parent_comment=s(id=key(i - 1) if i else F.lit(None).cast("string")), feedback=feedback)
+        below = s(edges=F.array(s(node=node)))
+    doc = s(data=s(node=s(id=text_of("o_custkey"), display_comments=below)))
+    return payloads.facebook_comments(payload(table(spark, sf_dir, "orders"), doc)).select("post_id", "comment_id", "parent_id", "depth", "text", "reactions", "replies")
+
+
 @query("SELECT o_orderkey::VARCHAR AS stories_id, o_orderpriority AS title, o_orderkey % 2 = 0 AS full_text_rss FROM orders")
 def n13_mediacloud_topic_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = s(stories_id=F.col("o_orderkey"), title=F.col("o_orderpriority"), full_text_rss=F.col("o_orderkey") % 2 == 0)

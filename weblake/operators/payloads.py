@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weblake.functions import text, urls
+from weblake.operators.storage import stored
 
 # Ids of video categories.
 YOUTUBE_CATEGORIES = {
@@ -179,16 +180,38 @@ def twitter_followers_you_know(df: DataFrame, path: str = "timeline.instructions
     return page.select(F.when(at("entryId").startswith("user-"), F.substring_index(at("entryId"), "-", -1)).alias("user_id"), F.when(at("content.cursorType") == "Bottom", at("content.value")).alias("cursor")).where("user_id is not null or cursor is not null")
 
 
-def facebook_comments(df: DataFrame, max_depth: int = 3) -> DataFrame:
-    """Comments of stored posts, replies down to ``max_depth``: post_id, comment_id, parent_id, depth, place, text."""
-    roots = F.coalesce(*(F.try_variant_get("v", f"$.{p}display_comments.edges", "array<variant>") for p in ("", "feedback.", "data.feedback.")))
-    level = parsed(df).select(at("id").alias("post_id"), F.posexplode(roots).alias("place", "v")).select("post_id", F.lit(None).cast("string").alias("parent_id"), "place", F.try_variant_get("v", "$.node", "variant").alias("v"))
-    out = None
-    for depth in range(max_depth + 1):
-        rows = level.select("post_id", at("legacy_fbid").alias("comment_id"), "parent_id", F.lit(depth).alias("depth"), "place", at("body.text").alias("text"), at("author.name").alias("author"), at("created_time", "long").alias("timestamp"))
-        out = rows if out is None else out.unionByName(rows)
-        level = level.select("post_id", at("legacy_fbid").alias("parent_id"), F.posexplode(items("display_comments.edges")).alias("place", "v")).select("post_id", "parent_id", "place", F.try_variant_get("v", "$.node", "variant").alias("v"))
-    return out
+def _facebook_edges(of: str) -> Column:
+    """The comments' edges at the first of three roots that is there; none if that is no list."""
+    roots = [F.try_variant_get(of, f"$.{p}display_comments.edges", "variant") for p in ("data.node.", "", "data.feedback.")]
+    first = F.coalesce(*(F.when(~F.is_variant_null(r), r) for r in roots))
+    return F.coalesce(F.try_variant_get(first, "$", "array<variant>"), F.array().cast("array<variant>"))
+
+
+def facebook_comments(df: DataFrame) -> DataFrame:
+    """Comments of stored pages with all replies below them, however deep; place counts siblings from 0.
+
+    depth and parent_id are what the comment says; post_id is the id of the page's document or node.
+    One step per level, until a level is empty.
+    """
+    author = {f"author_{k}": f"author.{k}" for k in ("name", "short_name", "gender", "url")}
+
+    def below(rows: DataFrame) -> DataFrame:
+        return stored(rows.select("post_id", F.posexplode(_facebook_edges("v")).alias("place", "edge")).select("post_id", "place", F.try_variant_get("edge", "$.node", "variant").alias("v")))
+
+    def flat(level: DataFrame) -> DataFrame:
+        return level.select(
+            "post_id", at("id").alias("comment_id"), at("legacy_fbid").alias("fbid"), F.coalesce(at("depth", "int"), F.lit(0)).alias("depth"), F.coalesce(at("reply_parent_comment.id"), at("comment_parent.id")).alias("parent_id"), "place",
+            *fields(author), at("author.is_verified", "boolean").alias("author_is_verified"), at("created_time", "long").alias("created_time"), at("preferred_body.text").alias("text"),
+            F.size(items("attachments")).alias("attachments"), at("feedback.reactors.count", "long").alias("reactions"), F.coalesce(at("feedback.total_comment_count", "long"), F.lit(0)).alias("replies"),
+        )
+
+    level = below(parsed(df).select(F.coalesce(at("id"), at("data.node.id")).alias("post_id"), "v"))
+    out = flat(level)
+    while True:
+        level = below(level.select("post_id", F.try_variant_get("v", "$.feedback", "variant").alias("v")))
+        if level.isEmpty():
+            return out
+        out = out.unionByName(flat(level))
 
 
 def youtube_caption_lines(df: DataFrame, track: str, xml: str) -> DataFrame:
