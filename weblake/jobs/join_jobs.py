@@ -198,3 +198,14 @@ def w7_thread_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("turn")
     comments = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(t > 0, F.when(t % 2 == 1, t - 1).otherwise(0)).alias("up"), t.alias("at"))
     return frontier.thread_order(comments, "conv_id", "turn", "up", "at").select("conv_id", "turn", "depth", "position")
+
+
+@query(
+    """WITH RECURSIVE t AS (SELECT conv_id, turn, 0 AS depth FROM conversations WHERE turn = 0 UNION ALL SELECT c.conv_id, c.turn, t.depth + 1 FROM conversations c JOIN t ON c.conv_id = t.conv_id AND c.turn = t.turn + 1)
+  SELECT c.conv_id, c.turn, t.depth::INT AS depth, t.depth::INT + 1 AS position, CASE WHEN t.depth IS NULL THEN 'no-root' END AS error FROM conversations c LEFT JOIN t ON c.conv_id = t.conv_id AND c.turn = t.turn"""
+)
+def w7_thread_order_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn as the reply to the one before, as deep as conversations are long."""
+    t = F.col("turn")
+    comments = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(t > 0, t - 1).alias("up"), (t + 1_700_000_000_000).alias("at"))
+    return frontier.thread_order(comments, "conv_id", "turn", "up", "at").select("conv_id", "turn", "depth", "position", "error")

@@ -49,24 +49,24 @@ def best_caption_track(tracks: DataFrame, video: str, langs: list[str], strict:
     return ranked.groupBy(video).agg(F.min_by(F.struct(*[c for c in tracks.columns if c != video]), F.struct("lang rank", "generated", "lang")).alias("t")).select(video, "t.*")
 
 
-def thread_order(comments: DataFrame, post: str, id_col: str, parent: str, arrival: str, max_depth: int = 12) -> DataFrame:
-    """``comments``, depth and position: a comment, then its replies, siblings by arrival.
+def thread_order(comments: DataFrame, post: str, id_col: str, parent: str, arrival: str) -> DataFrame:
+    """``comments``, depth, position and error: a comment, then its replies, siblings by arrival, then id.
 
-    One join per level builds each comment's path of padded arrival numbers; deeper ones than
-    ``max_depth`` are left out.
+    One join per level, until a level is empty, builds each comment's path of arrivals and ids. All
+    rows stay: those that no root reaches (a parent is missing, or they are their own ancestors) have
+    an error and no place; rows of one id share one.
     """
-    pad = lambda c: F.lpad(c.cast("string"), 12, "0")
-    nodes = comments.select(post, F.col(id_col).alias("id"), F.col(parent).alias("up"), F.col(arrival).alias("at"))
-    level = stored(nodes.where("up is null").select(post, "id", pad(F.col("at")).alias("way"), F.lit(0).alias("depth")))
+    nodes = comments.select(post, F.col(id_col).alias("id"), F.struct(F.col(parent).alias("up"), F.col(arrival).alias("at")).alias("n"))
+    nodes = stored(nodes.groupBy(post, "id").agg(F.min("n").alias("n")).select(post, "id", "n.up", F.struct("n.at", "id").alias("step")))
+    level = stored(nodes.where("up is null").select(post, "id", F.array("step").alias("way"), F.lit(0).alias("depth")))
     found = level
-    for depth in range(1, max_depth + 1):
-        above = level.select(post, F.col("id").alias("up"), F.col("way").alias("above"))
-        level = stored(nodes.join(above, [post, "up"]).select(post, "id", F.concat("above", F.lit("/"), pad(F.col("at"))).alias("way"), F.lit(depth).alias("depth")))
-        if level.isEmpty():
-            break
+    while not level.isEmpty():
+        above = level.select(post, F.col("id").alias("up"), F.col("way").alias("above"), "depth")
+        level = stored(nodes.join(above, [post, "up"]).select(post, "id", F.array_append("above", F.col("step")).alias("way"), (F.col("depth") + 1).alias("depth")))
         found = found.unionByName(level)
     placed = found.withColumn("position", F.row_number().over(Window.partitionBy(post).orderBy("way")))
-    return comments.join(placed.select(post, F.col("id").alias(id_col), "depth", "position"), [post, id_col])
+    out = comments.join(placed.select(post, F.col("id").alias(id_col), "depth", "position"), [post, id_col], "left")
+    return out.withColumn("error", F.when(F.col("depth").isNull(), "no-root"))
 
 
 def limit_per_query(df: DataFrame, query: str, order: Column | str, n: int) -> DataFrame:
