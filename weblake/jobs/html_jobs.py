@@ -118,6 +118,7 @@ def h7_scrape_press_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r4_decode_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id") % 3
     body = F.when(k == 0, F.encode("text", "UTF-8")).when(k == 1, F.encode("text", "UTF-16")).otherwise(F.encode("text", "ISO-8859-1"))
-    name = F.when(k == 0, "utf-8").when(k == 1, "utf-16").otherwise("iso-8859-1")
+    known = F.col("doc_id") % 2 == 0
+    name = F.when(k == 0, F.when(known, "utf-8")).when(k == 1, F.when(known, "utf-16")).otherwise("iso-8859-1")
     docs = table(spark, sf_dir, "documents").select("doc_id", body.alias("body"), name.alias("encoding"))
     return html.decode_body(docs).select("doc_id", F.length("text").alias("n"))

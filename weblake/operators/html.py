@@ -293,22 +293,32 @@ def scrape_press_articles(pages: DataFrame, html: str = "html", keep: tuple[str,
 
 
 def decode_body(df: DataFrame, body: str = "body", encoding: str = "encoding", name: str = "text") -> DataFrame:
-    """Text of bodies in bytes: by the given encoding, else the one detected in the first 64 KiB, else UTF-8; errors are replaced.
+    """Text of bodies in bytes: by the given encoding, else the one detected in all bytes, else UTF-8; errors are replaced.
 
-    Spark's own decode fails on unknown names, so this is one map; detection runs only where no name is known.
+    Spark's own decode fails on unknown names, so this is one map; detection runs only where no name
+    is known, and asks for strict UTF-8 first, unless nulls or escapes hint at another encoding.
     """
     kept = [c for c in df.columns if c != body]
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from charset_normalizer import from_bytes
 
+        def detected(data: bytes) -> str:
+            if b"\0" not in data and b"\x1b" not in data:
+                try:
+                    data.decode("utf-8")
+                    return "utf-8"
+                except UnicodeDecodeError:
+                    pass
+            best = from_bytes(data).best()
+            return best.encoding if best is not None else "utf-8"
+
         for batch in batches:
             for i in range(0, batch.num_rows, PAGES):
                 part = batch.slice(i, PAGES)
                 out = []
                 for data, enc in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     if data is not None and not enc:
-                        best = from_bytes(data[: 1 << 16]).best()
-                        enc = best.encoding if best is not None else "utf-8"
+                        enc = detected(data)
                     try:
                         out.append(None if data is None else data.decode(enc, errors="replace"))
                     except LookupError:
