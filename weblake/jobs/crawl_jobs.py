@@ -35,6 +35,12 @@ def w4_frontier_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return head.withColumn("place", F.row_number().over(Window.orderBy("priority", F.desc("index"))))
 
 
+@query(f"WITH {QUEUE} SELECT index, priority, row_number() OVER (ORDER BY priority, index DESC) AS place FROM q WHERE status = 'todo'")
+def w4_frontier_order_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All jobs with their places."""
+    return frontier.frontier_places(queue(spark, sf_dir), lifo=True).select("index", "priority", "place")
+
+
 @query(f"WITH {QUEUE}, r AS (SELECT *, row_number() OVER (PARTITION BY \"group\" ORDER BY priority, index) - 1 AS p FROM q WHERE status = 'todo') SELECT index, CASE WHEN \"group\" IS NULL THEN 0 ELSE p // 2 END AS batch, CASE WHEN \"group\" IS NULL THEN 0.0 ELSE (p // 2) * 0.5::DOUBLE END AS start FROM r")
 def w5_politeness_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frontier.politeness_plan(queue(spark, sf_dir), throttle=0.5, parallelism=2).select("index", "batch", F.col("start").cast("double").alias("start"))
@@ -90,6 +96,17 @@ def c2_crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.crawl_bfs(start, edges, 6).select("url", "depth", "group")
 
 
+@query(f"""WITH RECURSIVE {LINKS}, edges AS (SELECT DISTINCT 'https://n' || from_id || '.example.org' AS a, 'https://n' || to_id || '.example.org' AS b FROM links),
+  reach AS (SELECT 'https://n' || page_id || '.example.org' AS url, 0 AS depth FROM pages WHERE page_id % 10 = 3 UNION SELECT b, depth + 1 FROM reach JOIN edges ON a = url WHERE depth < 6)
+  SELECT url, min(depth) AS depth, 'example.org' AS "group" FROM reach GROUP BY 1""")
+def c2_crawl_bfs_of_tenth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a tenth of all pages."""
+    node = lambda c: F.concat(F.lit("https://n"), F.col(c).cast("string"), F.lit(".example.org/"))
+    edges = links(spark, sf_dir).select(node("from_id").alias("from_url"), node("to_id").alias("to_url"))
+    start = table(spark, sf_dir, "pages").where("page_id % 10 = 3").select(node("page_id").alias("url"))
+    return graph.crawl_bfs(start, edges, 6).select("url", "depth", "group")
+
+
 @query("""SELECT page_id AS id, CASE WHEN page_id > 0 THEN page_id // 3 END AS parent, 'default' AS spider, 1 AS depth, url, (SELECT count(*) FROM pages c WHERE c.page_id > 0 AND c.page_id // 3 = p.page_id) AS degree,
   CASE WHEN page_id % 5 = 0 THEN 'not-fetched' END AS error, CASE WHEN page_id % 5 <> 0 THEN length(html) END AS body_size FROM pages p""")
 def c3_crawl_results(spark: SparkSession, sf_dir: str) -> DataFrame:

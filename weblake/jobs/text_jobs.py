@@ -95,6 +95,18 @@ def f1_hashtags_and_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.extract_hashtags(x).alias("hashtags"), text.extract_handles(x).alias("handles"))
 
 
+_WHOLE = _TAGGED.replace("left(text, 40)", "coalesce(text, '')")
+
+
+@query(f"""WITH {_WHOLE} SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(list_filter(string_split_regex(x, '[^\\p{{L}}\\p{{N}}_#]+'), lambda w: w LIKE '#%'), lambda w: lower(ltrim(w, '#'))), lambda w: w <> ''))) AS hashtags,
+  list_sort(list_distinct(list_filter(list_transform(list_filter(string_split_regex(x, '[^\\p{{L}}\\p{{N}}_.@]+'), lambda w: w LIKE '@%'), lambda w: lower(ltrim(w, '@'))), lambda w: w <> ''))) AS handles FROM t""")
+def f1_hashtags_and_handles_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of whole texts, with some more at their ends."""
+    n = F.col("doc_id")
+    x = F.concat(F.coalesce("text", F.lit("")), F.lit(" #Tag"), (n % 7).cast("string"), F.lit(", #été #été @Some.one_"), (n % 5).cast("string"), F.lit(" end"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.extract_hashtags(x).alias("hashtags"), text.extract_handles(x).alias("handles"))
+
+
 @query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN (o_orderkey % 100 * 1000 + 500)::VARCHAR WHEN 1 THEN (o_orderkey % 100 * 1000000)::VARCHAR ELSE '1' || lpad((o_orderkey % 1000)::VARCHAR, 3, '0') END AS n,
   CASE WHEN o_orderkey % 3 = 1 THEN o_orderkey % 100 * 1000000 END AS likes FROM orders""")
 def f4_f5_human_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,19 @@ def frontier_order(frontier: DataFrame, lifo: bool = False) -> DataFrame:
     return frontier.where("status = 'todo'").orderBy("priority", F.desc("index") if lifo else F.asc("index"))
 
 
+def frontier_places(frontier: DataFrame, lifo: bool = False) -> DataFrame:
+    """All jobs to do, and ``place``, 1, 2, ... in the order of ``frontier_order``.
+
+    Ranges of that order are numbered each on its own, after the rows of the ranges before.
+    """
+    order = [F.asc("priority"), F.desc("index") if lifo else F.asc("index")]
+    ranges = stored(frontier.where("status = 'todo'").repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    return ranges.withColumn("within", within).join(offsets, "range").withColumn("place", F.col("before") + F.col("within")).drop("range", "within", "before")
+
+
 def politeness_plan(frontier: DataFrame, throttle: float = 0.2, parallelism: int = 1) -> DataFrame:
     """Jobs to do with ``batch`` and ``start``, seconds from now, if requests took no time.
 
