@@ -1,7 +1,9 @@
 import hashlib
+import math
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,28 +125,90 @@ def test_shard_query(spark, sf_dir):
     assert {r.law for r in rows} == {"bytes"} and {r.shard for r in rows} == set(range(8))
 
 
-@pytest.mark.parametrize("weights", [None, {"s0": 3.0, "s1": 1.0, "s2": 2.0}])
-def test_mix_stays_within_a_block_of_its_weights(spark, weights):
-    n = {"s0": 4000, "s1": 900, "s2": 333, "": 40}
+def brute_mix(blocks, units):
+    """The blocks in order, each (source, number), and each source's fluid at each slot, in exact fractions."""
+    sources = sorted(blocks)
+
+    def time(v):
+        return sum(min(units[q] * v, Fraction(blocks[q])) for q in sources)
+
+    windows = {(s, i): (math.floor(time(Fraction(i, units[s]))), math.ceil(time(Fraction(i + 1, units[s])))) for s in sources for i in range(blocks[s])}
+    order, done = [], Counter()
+    for t in range(sum(blocks.values())):
+        ready = [(windows[s, done[s]][1], s) for s in sources if done[s] < blocks[s] and windows[s, done[s]][0] <= t]
+        deadline, s = min(ready)
+        assert t < deadline
+        order.append((s, done[s]))
+        done[s] += 1
+    return order, windows
+
+
+def fluids(blocks, weights, slots):
+    """Blocks of each source that have flowed at the weights by each slot, as floats."""
+    done, left = dict.fromkeys(blocks, 0.0), [s for s in blocks if blocks[s]]
+    out = [dict(done)]
+    for _ in range(slots):
+        room = 1.0
+        while room > 1e-12 and left:
+            total = sum(weights[s] for s in left)
+            step = min([room, *((blocks[s] - done[s]) * total / weights[s] for s in left)])
+            for s in left:
+                done[s] += step * weights[s] / total
+            room -= step
+            left = [s for s in left if blocks[s] - done[s] > 1e-9]
+        out.append(dict(done))
+    return out
+
+
+MIXES = [
+    ({"s0": 4000, "s1": 900, "s2": 333, "": 40}, None, 2),
+    ({"s0": 4000, "s1": 900, "s2": 333, "": 40}, {"s0": 3.0, "s1": 1.0, "s2": 2.0}, 2),
+    ({"a": 2500, "b": 2000}, {"a": 0.55555, "b": 0.44445}, 1),
+    ({"a": 3000, "b": 20}, {"a": 0.9999, "b": 0.0001}, 1),
+    ({f"s{i:02}": 7 + i * i % 90 for i in range(60)}, {f"s{i:02}": 1 / (i + 1) for i in range(60)}, 1),
+    ({"one": 70}, None, 32),
+]
+
+
+@pytest.mark.parametrize("n, weights, rows_each", MIXES)
+def test_mix_equals_brute_force_and_stays_within_a_block_of_the_target(spark, n, weights, rows_each):
     rows = [(i, s or None, None) for i, s in enumerate(s for s, k in n.items() for _ in range(k))]
     docs = spark.createDataFrame(rows, "doc_id long, source string, position string")
-    got = mixing.mix_order(docs, weights, block_rows=2).collect()
+    got = mixing.mix_order(docs, weights, block_rows=rows_each).collect()
     assert sorted(r.doc_id for r in got) == list(range(len(rows)))
-    blocks = {}
-    for r in got:
-        blocks.setdefault(r.position, set()).add((r.source, r.block, r.turn_round))
-    assert sorted(blocks) == list(range(len(blocks))) and all(len(b) == 1 for b in blocks.values())
-    order = [next(iter(blocks[p])) for p in range(len(blocks))]
-    for source in n:
-        assert [b for s, b, _ in order if s == source] == list(range(-(-n[source] // 2)))
-    by_round = {}
-    for s, _, k in order:
-        by_round.setdefault(k, []).append(s)
-    for members in by_round.values():
-        share, seen = Counter(members), Counter()
-        for t, s in enumerate(members, 1):
-            seen[s] += 1
-            assert all(abs(seen[x] - share[x] * t / len(members)) < 1 for x in share)
+    blocks = {s: -(-k // rows_each) for s, k in n.items()}
+    weights = {s: weights.get(s, min(weights.values())) if weights else k**0.5 for s, k in n.items()}
+    total = sum(weights[s] for s in sorted(weights))
+    order, windows = brute_mix(blocks, {s: round(w / total * mixing.SCALE) for s, w in weights.items()})
+    assert {(r.position, r.source, r.block) for r in got} == {(p, *b) for p, b in enumerate(order)}
+    assert all((r.release, r.deadline) == windows[r.source, r.block] for r in got)
+    digests = {}
+    for r in sorted(got, key=lambda r: (r.position, r.offset)):
+        digests.setdefault(r.source, []).append(hashlib.md5(str(r.doc_id).encode()).hexdigest())
+    assert all(d == sorted(d) for d in digests.values())
+    done = Counter()
+    for p, target in enumerate(fluids(blocks, weights, len(order))):
+        assert all(abs(done[s] - target[s]) < 1 + 1e-6 for s in n), p
+        if p < len(order):
+            done[order[p][0]] += 1
+
+
+def test_large_mixes_have_larger_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 50)
+    monkeypatch.setattr(mixing, "CHUNK", 16)
+    docs = spark.createDataFrame([(i, "ab"[i % 3 == 0]) for i in range(2000)], "doc_id long, source string")
+    got = mixing.mix_order(docs, block_rows=2).collect()
+    assert max(r.offset for r in got) == 39 and len(got) == 2000
+    assert {r.position for r in got} == set(range(34 + 17))
+
+
+def test_mix_of_null_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "a")] * 40 + [(None, "b")] * 9 + [(2, None)] * 3, "doc_id long, source string")
+    got = mixing.mix_order(docs, block_rows=4).collect()
+    assert Counter((r.doc_id, r.source) for r in got) == {(1, "a"): 40, (None, "b"): 9, (2, ""): 3}
+    assert len({(r.position, r.offset) for r in got}) == 52
+    with pytest.raises(ValueError):
+        mixing.mix_order(docs, {"a": 0.0})
 
 
 def test_mixed_keeps_rows_and_columns(spark):

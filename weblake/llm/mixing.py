@@ -4,109 +4,174 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weblake.llm.columns import indexes, let
 from weblake.llm.ranks import ranked
-from weblake.llm.storage import CONTENT, ROW, numbered
+from weblake.llm.storage import stored
 
-#: Blocks in a round; weights are rounded to this share, but to one block at least.
-ROUND_BLOCKS = 1000
+#: Rows of a block, while the mix has no more than MOST_BLOCKS of them; beyond, blocks grow.
 BLOCK_ROWS = 32
+MOST_BLOCKS = 1 << 18
+#: Weights become whole numbers of this sum, so that all times are exact.
+SCALE = 1 << 40
+#: Blocks that one array of the schedule holds.
+CHUNK = 128
+#: A table of block positions up to this many rows may be broadcast.
+BROADCAST_ROWS = 1 << 19
+LAST = (1 << 63) - 1
 
 
-def _earliest_deadline_first(members: Column) -> Column:
-    """The slots of one round: for each, its source and which block of that source it takes.
+def _div(a: Column, b: Column) -> Column:
+    return F.call_function("div", a, b)
 
-    members: array of struct(source, share), sorted. Block i (from 0) of a source with ``share`` of
-    the ``length`` slots may take slot floor(i * length / share) at the earliest and must be done by
-    slot ceil((i + 1) * length / share). In each slot the released block with the earliest deadline
-    runs, ties by source; the shares fill the round, so all deadlines are met.
+
+def _window(members: Column, k: Column, turn: Column) -> Column:
+    """Release and deadline of block ``turn`` of source k, with k and turn.
+
+    In the fluid mix all sources flow at rates in the ratio of their units until they are dry, so
+    when source k has let through j blocks, source q has let through min(blocks, units * j / k's units),
+    and the time is the sum of these. A block may run from the slot in which the fluid starts on it
+    until the slot in which the fluid ends it. Whole numbers throughout: nothing is rounded.
+    """
+
+    def time(u: Column, j: Column, up: bool) -> Column:
+        zero = F.struct(F.lit(0).cast("long").alias("dry"), F.lit(0).cast("long").alias("flow"))
+
+        def add(acc: Column, q: Column) -> Column:
+            dry = q["blocks"] * u <= j * q["units"]
+            return F.struct((acc["dry"] + F.when(dry, q["blocks"]).otherwise(0)).alias("dry"), (acc["flow"] + F.when(dry, 0).otherwise(q["units"])).alias("flow"))
+
+        return F.aggregate(members, zero, add, lambda acc: acc["dry"] + _div(acc["flow"] * j + (u - 1 if up else 0), u))
+
+    def of(m: Column) -> Column:
+        more = turn < m["blocks"]
+        return F.struct(
+            F.when(more, time(m["units"], turn + 1, True)).otherwise(F.lit(LAST)).alias("deadline"), k.alias("k"),
+            F.when(more, time(m["units"], turn, False)).otherwise(F.lit(LAST)).alias("release"), turn.alias("turn"),
+        )
+
+    return let(F.get(members, k), of)
+
+
+def _schedule(members: Column) -> Column:
+    """The slots of the mix in order, in arrays of CHUNK: struct(deadline, k, release, turn).
+
+    In each slot, of the sources' next blocks that are released, the one with the earliest deadline
+    runs, ties by source. The fluid keeps every slot busy and meets all deadlines, so this does too:
+    each source is always less than one block away from its fluid.
     """
+    slot = "array<struct<deadline:bigint,k:int,release:bigint,turn:bigint>>"
+
+    def steps(m: Column) -> Column:
+        total = F.aggregate(m, F.lit(0).cast("long"), lambda acc, x: acc + x["blocks"])
+        first = F.transform(m, lambda _, k: _window(m, k, F.lit(0).cast("long"))).cast(slot)
 
-    def schedule(m: Column) -> Column:
-        length = F.aggregate(m, F.lit(0).cast("long"), lambda acc, x: acc + x["share"])
-        start = F.struct(F.transform(m, lambda _: F.lit(0)).alias("done"), F.array().cast("array<struct<source:string,turn:int>>").alias("slots"))
+        def step(state: Column, t: Column) -> Column:
+            def run(pick: Column) -> Column:
+                after = _window(m, pick["k"], pick["turn"] + 1)
+                return F.struct(
+                    let(after, lambda a: F.transform(state["next"], lambda x: F.when(x["k"] == pick["k"], a).otherwise(x))).alias("next"),
+                    F.array_append(state["slots"], pick).alias("slots"),
+                )
 
-        def step(n: Column, state: Column, t: Column) -> Column:
-            def waiting(x: Column, k: Column) -> Column:
-                i = F.get(state["done"], k)
-                ready = (i < x["share"]) & (F.floor(i * n / x["share"]) <= t)
-                return F.when(ready, F.struct(F.ceil((i + 1) * n / x["share"]).alias("deadline"), k.alias("k"), i.alias("turn")))
+            return let(F.array_min(F.filter(state["next"], lambda x: x["release"] <= t)), run)
 
+        def chunk(state: Column, c: Column, n: Column) -> Column:
+            begin = F.struct(state["next"].alias("next"), F.array().cast(slot).alias("slots"))
+            of = F.transform(indexes(F.least(F.lit(CHUNK).cast("long"), n - c * CHUNK).cast("int")), lambda i: i + c.cast("long") * CHUNK)
             return let(
-                F.array_min(F.array_compact(F.transform(m, waiting))),
-                lambda pick: F.struct(
-                    F.transform(state["done"], lambda d, k: d + F.when(k == pick["k"], 1).otherwise(0)).alias("done"),
-                    F.array_append(state["slots"], F.struct(F.get(m, pick["k"])["source"].alias("source"), pick["turn"].alias("turn"))).alias("slots"),
-                ),
+                F.aggregate(of, begin, step),
+                lambda done: F.struct(done["next"].alias("next"), F.array_append(state["chunks"], done["slots"]).alias("chunks")),
             )
 
-        return let(length, lambda n: F.aggregate(indexes(n.cast("int")), start, lambda s, t: step(n, s, t), lambda s: s["slots"]))
+        start = F.struct(first.alias("next"), F.array().cast(f"array<{slot}>").alias("chunks"))
+        chunks = lambda n: indexes(F.ceil(n / CHUNK).cast("int"))
+        return let(total, lambda n: F.aggregate(chunks(n), start, lambda s, c: chunk(s, c, n), lambda s: s["chunks"]))
 
-    return let(members, schedule)
+    return let(members, steps)
 
 
-def mix_order(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = 0.5, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Where each document stands in a mix of the sources to target weights.
-
-    Returns id, source, block (number within the source), turn_round, position (the block's place in
-    the mix, 0, 1, ...) and offset (place in the block); other input columns are left out. Nothing is
-    dropped or repeated: each row has one place. A null source counts as the empty name. Rows of one
-    id, or of none, follow each other in any order, or, if ``numbered`` has been over docs, by their
-    values; the row's number is then returned too.
-
-    Weights: as given (sources that are not named get the least weight given), else the power
-    ``temperature`` of the source's blocks. Each round deals a source its share of about 1,000
-    blocks by Pfair windows and earliest deadline first, so at every point of a round each source
-    is less than one block away from its share. A source that runs dry has its last blocks spread
-    over its last round; after it, rounds are dealt to the others in the same ratios. Rounds of the
-    same members are alike: only those of the at most two kinds for each source are worked out, each
-    in one row, and all blocks look theirs up.
+def plan_of(sizes: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = 0.5, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row: ``block_rows`` and ``members``, an array of struct(source, blocks, units) sorted by source.
+
+    sizes: a row per source with its ``rows``.
     """
-    more = [c for c in (CONTENT, ROW) if c in docs.columns]
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(source_col), F.lit("")).alias("source"), *more)
-    sizes = rows.groupBy("source").agg(F.count("*").alias("rows"))
-    sizes = sizes.select("source", F.ceil(F.col("rows") / block_rows).cast("long").alias("blocks"))
     if weights:
-        least = min(weights.values())
-        weight = F.coalesce(F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))[F.col("source")], F.lit(least)).cast("double")
+        if min(weights.values()) <= 0:
+            raise ValueError("weights must be positive")
+        named = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))
+        weight = F.coalesce(F.try_element_at(named, F.col("source")), F.lit(min(weights.values()))).cast("double")
     else:
-        weight = F.pow("blocks", F.lit(temperature))
-    everything = Window.partitionBy()
-    shares = sizes.withColumn("weight", weight).withColumn("share", F.greatest(F.lit(1), F.round(ROUND_BLOCKS * F.col("weight") / F.sum("weight").over(everything))).cast("long"))
-    # Rounds that start another kind of round: a source's last partial one, and the first without it.
-    full = F.floor(F.col("blocks") / F.col("share"))
-    shares = shares.withColumn("starts", F.array(F.lit(0).cast("long"), full, F.ceil(F.col("blocks") / F.col("share"))))
-    shares = shares.withColumn("starts", F.array_sort(F.array_distinct(F.flatten(F.collect_set("starts").over(everything)))))
-    kinds = shares.select("source", "blocks", "share", F.posexplode("starts").alias("n", "start"), F.get("starts", F.col("n") + 1).alias("until"))
-    kinds = kinds.select("source", "start", "until", F.least("share", F.col("blocks") - F.col("start") * F.col("share")).alias("share")).where("share > 0")
-    kinds = kinds.groupBy("start", "until").agg(F.array_sort(F.collect_list(F.struct("source", "share"))).alias("members"))
-    kinds = kinds.withColumn("length", F.aggregate("members", F.lit(0).cast("long"), lambda acc, x: acc + x["share"]))
-    before = Window.partitionBy().orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    kinds = kinds.withColumn("base", F.coalesce(F.sum(F.col("length") * (F.col("until") - F.col("start"))).over(before), F.lit(0)))
-    slots = kinds.select("start", "length", "base", F.posexplode(_earliest_deadline_first(F.col("members"))).alias("slot", "taken"))
-    slots = slots.select("start", "length", "base", "slot", F.col("taken.source").alias("source"), F.col("taken.turn").cast("long").alias("turn"))
-
-    salt = F.when(F.col(id_col).isNull(), F.col(CONTENT)).otherwise(F.xxhash64(id_col)) if more else F.xxhash64(id_col)
-    placed = ranked(rows, "source", [salt, F.col(id_col), *map(F.col, more)], salt, extra=shares.select("source", "share", "starts"))
-    placed = placed.withColumn("block", F.floor(F.col("rank") / block_rows)).withColumn("turn_round", F.floor(F.col("block") / F.col("share")))
-    placed = placed.select(
-        id_col, *more[1:], "source", "block", "turn_round", (F.col("block") % F.col("share")).alias("turn"), (F.col("rank") % block_rows).cast("int").alias("offset"),
-        F.array_max(F.filter("starts", lambda s: s <= F.col("turn_round"))).alias("start"),
+        weight = F.pow("rows", F.lit(temperature))
+    one = sizes.agg(F.array_sort(F.collect_list(F.struct("source", "rows", weight.alias("weight")))).alias("m"))
+    one = one.where(F.size("m") > 0)
+    rows = F.aggregate("m", F.lit(0).cast("long"), lambda acc, x: acc + x["rows"])
+    total = F.aggregate("m", F.lit(0.0), lambda acc, x: acc + x["weight"])
+    one = one.select("m", F.greatest(F.lit(block_rows).cast("long"), F.ceil(rows / MOST_BLOCKS)).alias("block_rows"), total.alias("weight"))
+    member = lambda x: F.struct(
+        x["source"].alias("source"), F.ceil(x["rows"] / F.col("block_rows")).alias("blocks"),
+        F.greatest(F.lit(1).cast("long"), F.round(x["weight"] / F.col("weight") * SCALE).cast("long")).alias("units"),
     )
-    position = F.col("base") + (F.col("turn_round") - F.col("start")) * F.col("length") + F.col("slot")
-    return placed.join(slots, ["source", "start", "turn"]).select(id_col, *more[1:], "source", "block", "turn_round", position.alias("position"), "offset")
+    return one.select("block_rows", F.transform("m", member).alias("members"))
+
+
+def positions(plan: DataFrame) -> DataFrame:
+    """A row per block of the plan: source, block, position (its slot), release and deadline."""
+    # Stored first: a generator's filters would work the schedule out again.
+    chunks = stored(plan.select(_schedule(F.col("members")).alias("chunks")))
+    slots = chunks.select(F.posexplode("chunks").alias("chunk", "slots"))
+    slots = slots.select("chunk", F.posexplode("slots").alias("slot", "s"))
+    slots = slots.select("s.k", F.col("s.turn").alias("block"), (F.col("chunk").cast("long") * CHUNK + F.col("slot")).alias("position"), "s.release", "s.deadline")
+    names = plan.select(F.posexplode("members").alias("k", "m")).select("k", "m.source")
+    return slots.join(names, "k").drop("k")
+
+
+def placed(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = 0.5, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``docs`` with all rows and columns and each row's place in a mix of the sources to target weights.
+
+    Adds ``mix source`` (the source, null as the empty name), ``mix block`` (number within the source),
+    ``mix position`` (the block's place in the mix, 0, 1, ...), ``mix offset`` (place in the block), ``mix
+    release`` and ``mix deadline`` (the slots between which Pfair lets the block run). Nothing is dropped
+    or repeated. Within a source rows are in the order of the MD5 of their id, rows of one id or
+    of none in the order of their values; rows equal in all columns are interchangeable.
+
+    Weights: as given, positive (sources that are not named get the least weight given), else the power
+    ``temperature`` of the source's rows. At every position each source is less than one block
+    away from the mix that flows at the weights, over the whole run: sources that run dry leave
+    the others in their ratios. Blocks have ``block_rows`` rows, more where there would be over MOST_BLOCKS of
+    them: the schedule is worked out in one row from the sources' sizes alone, and its work does not
+    grow with the corpus beyond that (steps times sources; thousands of sources take minutes).
+    """
+    source = F.coalesce(F.col(source_col), F.lit(""))
+    content = F.xxhash64(*docs.columns, *(F.isnull(c) for c in docs.columns))
+    known = F.col(id_col).cast("string")
+    rows = docs.withColumn("mix source", source).withColumn("mix salt", F.md5(F.coalesce(known, content.cast("string")).cast("binary")))
+    sizes = docs.groupBy(source.alias("source")).agg(F.count("*").alias("rows"))
+    plan = stored(plan_of(sizes, weights, temperature, block_rows))
+    slots = positions(plan).withColumnsRenamed({"source": "mix source", "block": "mix block", "position": "mix position", "release": "mix release", "deadline": "mix deadline"})
+    blocks = F.aggregate("members", F.lit(0).cast("long"), lambda acc, x: acc + x["blocks"])
+    if plan.where(blocks > BROADCAST_ROWS).isEmpty():
+        slots = F.broadcast(slots)
+    shares = plan.select("block_rows", F.explode("members").alias("m")).select(F.col("m.source").alias("mix source"), "block_rows")
+    # The first three hexadecimal digits are the bucket, so that buckets follow the order of the digests.
+    bucket = F.conv(F.substring("mix salt", 1, 3), 16, 10).cast("int")
+    rows = ranked(rows, "mix source", [F.col("mix salt"), F.isnull(id_col), content], bucket, extra=shares)
+    rows = rows.withColumn("mix block", F.floor(F.col("rank") / F.col("block_rows"))).withColumn("mix offset", (F.col("rank") % F.col("block_rows")).cast("int"))
+    rows = rows.join(slots, ["mix source", "mix block"])
+    return rows.select(*docs.columns, "mix source", "mix block", "mix position", "mix offset", "mix release", "mix deadline")
+
 
+def mix_order(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = 0.5, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Where each document stands in the mix: id, source, block, position, offset, release, deadline; see ``placed``.
 
-def placed(docs: DataFrame, id_col: str = "doc_id", **kwargs) -> DataFrame:
-    """``docs`` with all their rows and columns, and ``mix position`` and ``mix offset`` as by ``mix_order``."""
-    rows = numbered(docs)
-    order = mix_order(rows, id_col=id_col, **kwargs).select(ROW, F.col("position").alias("mix position"), F.col("offset").alias("mix offset"))
-    return rows.join(order, ROW).select(*docs.columns, "mix position", "mix offset")
+    Other input columns are left out, texts are not read. A null source counts as the empty name.
+    """
+    rows = placed(docs.select(id_col, source_col), weights, temperature, id_col, source_col, block_rows)
+    return rows.select(id_col, *(F.col(f"mix {c}").alias(c) for c in ("source", "block", "position", "offset", "release", "deadline")))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", **kwargs) -> DataFrame:
     """``docs`` with all their rows and columns, sorted into the mix."""
-    return placed(docs, id_col, **kwargs).orderBy("mix position", "mix offset").drop("mix position", "mix offset")
+    return placed(docs, id_col=id_col, **kwargs).orderBy("mix position", "mix offset").select(*docs.columns)

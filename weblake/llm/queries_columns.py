@@ -61,6 +61,26 @@ _MARKS = len(chat.BEGIN) + len(chat.MESSAGE) + len(chat.END)
 _STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
 _BLANK = r"[\x20\x09-\x0D]+"
 ORACLES = {
+    "op2_pfair_mixing": f"""
+    WITH RECURSIVE s AS (SELECT coalesce(source, '') AS source, count(*) AS rows FROM documents GROUP BY 1),
+    r AS (SELECT greatest({mixing.BLOCK_ROWS}, ceil(sum(rows) / {mixing.MOST_BLOCKS}.0))::BIGINT AS block_rows, list_sum(list(pow(rows, 0.5::DOUBLE) ORDER BY source)) AS weight FROM s),
+    m AS (SELECT row_number() OVER (ORDER BY source) AS k, source, block_rows, ceil(rows / block_rows::DOUBLE)::HUGEINT AS blocks,
+                 greatest(1, round(pow(rows, 0.5::DOUBLE) / weight * {mixing.SCALE}))::HUGEINT AS units FROM s, r),
+    j AS (SELECT k, units AS u, unnest(range(0, blocks::BIGINT + 1)) AS j FROM m),
+    fl AS (SELECT a.k, a.j, sum(CASE WHEN q.blocks * u <= j * q.units THEN q.blocks ELSE 0 END) AS dry, sum(CASE WHEN q.blocks * u <= j * q.units THEN 0 ELSE q.units END) * j AS flow, any_value(u) AS u
+           FROM j a, m q GROUP BY a.k, a.j),
+    t AS (SELECT k, j, (dry + flow // u)::BIGINT AS down, (dry + (flow + u - 1) // u)::BIGINT AS up FROM fl),
+    w AS (SELECT a.k, a.j AS block, a.down AS release, b.up AS deadline FROM t a JOIN t b ON b.k = a.k AND b.j = a.j + 1),
+    edf AS (
+      SELECT -1::BIGINT AS position, (SELECT list(0::BIGINT) FROM m) AS done, NULL::BIGINT AS k, NULL::BIGINT AS block, NULL::BIGINT AS release, NULL::BIGINT AS deadline
+      UNION ALL
+      SELECT position + 1, list_transform(done, lambda x, i: x + CASE WHEN i = p.k THEN 1 ELSE 0 END), p.k, p.block, p.release, p.deadline
+      FROM (SELECT e.position, e.done, arg_min(w, (w.deadline, w.k)) AS p FROM edf e JOIN w ON w.block = e.done[w.k] AND w.release <= e.position + 1 GROUP BY ALL)
+    ),
+    d AS (SELECT doc_id, coalesce(source, '') AS source, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY md5(doc_id::VARCHAR)) - 1 AS n FROM documents)
+    SELECT d.doc_id, d.source, n // block_rows AS block, position, (n % block_rows)::INTEGER AS "offset", release, deadline
+    FROM d JOIN m USING (source) JOIN edf ON edf.k = m.k AND edf.block = n // m.block_rows
+    """,
     "op6_chat_format": f"""
     WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
