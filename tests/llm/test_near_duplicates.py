@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from weblake.llm import embeddings, minhash
+from weblake.llm import blocks, embeddings, minhash
 from weblake.llm.components import connected_components
 
 
@@ -113,9 +113,11 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == reached([*range(101), *range(500, 900)], links)
 
 
-@pytest.mark.parametrize("block", [1024, 7])
-def test_vectors_equal_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, cell, hot", [(1024, 1024, 1000), (7, 20, 1000), (7, 1024, 5), (1024, 9, 1000)])
+def test_vectors_equal_brute_force(spark, monkeypatch, block, cell, hot):
     monkeypatch.setattr(embeddings, "BLOCK_ROWS", block)
+    monkeypatch.setattr(embeddings, "CELL_ROWS", cell)
+    monkeypatch.setattr(blocks, "HOT_ROWS", hot)
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(12, 16))
     rows = []
@@ -123,8 +125,9 @@ def test_vectors_equal_brute_force(spark, monkeypatch, block):
         x = centres[i % 12] + rng.normal(size=16) * rng.choice([0.02, 0.1, 0.2])
         rows.append((i, [float(v) for v in x], i % 2))
     rows += [(400 + i, list(rows[5][1]), 1) for i in range(30)]
-    rows += [(500, None, 1), (501, [0.0] * 16, 1), (502, [float("nan")] + [1.0] * 15, 1), (503, [None] + [1.0] * 15, 1), (504, list(rows[5][1]), None), (505, [], 1), (506, rows[5][1][:8], 1), (507, [v * 1e-200 for v in rows[5][1]], 1), (508, [v * 1e200 for v in rows[5][1]], 1)]
+    rows += [(500, None, 1), (501, [0.0] * 16, 1), (502, [float("nan")] + [1.0] * 15, 1), (503, [None] + [1.0] * 15, 1), (504, list(rows[5][1]), None), (505, [], 1), (506, rows[5][1][:8], 1), (None, list(rows[5][1]), 1), (None, None, 1), (507, [v * 1e-200 for v in rows[5][1]], 1), (508, [v * 1e200 for v in rows[5][1]], 1)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, label int, kept string")
+    rows, lost = [r for r in rows if r[0] is not None], 2
     units = {}
     for i, v, label in rows:
         if label is None or not v or None in v or not np.isfinite(v).all() or not np.any(v):
@@ -133,8 +136,16 @@ def test_vectors_equal_brute_force(spark, monkeypatch, block):
         units[i] = label, x / np.linalg.norm(x)
     links = [(a, b) for a in units for b in units if a != b and units[a][0] == units[b][0] and len(units[a][1]) == len(units[b][1]) and units[a][1] @ units[b][1] >= 0.98]
     component = reached([r[0] for r in rows], links)
-    got = {r.vec_id: r for r in embeddings.near_duplicate_vectors(df).collect()}
-    assert len(got) == len(rows)
+    got = embeddings.near_duplicate_vectors(df).collect()
+    assert sum((r.vec_id, r.n_links, r.component_id, r.kept) == (None, 0, None, True) for r in got) == lost and len(got) == len(rows) + lost
+    got = {r.vec_id: r for r in got if r.vec_id is not None}
     for i, r in got.items():
         assert (r.n_links, r.component_id, r.kept) == (sum(a == i for a, _ in links), component[i], component[i] == i)
     assert embeddings.near_duplicate_vectors(df.limit(0)).count() == 0
+
+
+def test_ids_must_be_numbers(spark):
+    with pytest.raises(TypeError):
+        minhash.near_duplicates(spark.createDataFrame([("x", "a b")], "doc_id string, text string"))
+    with pytest.raises(TypeError):
+        embeddings.near_duplicate_vectors(spark.createDataFrame([("x", [1.0], 1)], "vec_id string, embedding array<double>, label int"))

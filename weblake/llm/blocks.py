@@ -8,6 +8,36 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, LongType
+
+
+#: A key with more rows than this, and more than this part of all rows, is hot.
+HOT_ROWS = 1000
+HOT_PARTS = 1000
+
+
+def checked_ids(df: DataFrame, id_col: str) -> DataFrame:
+    """``df`` with its ids as long; ids that are no whole numbers are refused."""
+    kind = df.schema[id_col].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{id_col} must be of a whole-number type, not {kind.simpleString()}: number the rows first")
+    return df if isinstance(kind, LongType) else df.withColumn(id_col, F.col(id_col).cast("long"))
+
+
+def join_split(rows: DataFrame, keyed: DataFrame, on: str | list[str], n: str) -> DataFrame:
+    """``rows`` joined with the one row of each key in ``keyed``, whose column ``n`` counts the key's rows.
+
+    Hot keys, at most HOT_PARTS of them, are broadcast, so their rows stay where they are; all other
+    rows are shuffled by key.
+    """
+    on = [on] if isinstance(on, str) else on
+    total = keyed.agg(F.sum(n).alias("n")).head()["n"] or 0
+    hot = F.col(n) > max(HOT_ROWS, total // HOT_PARTS)
+    if keyed.where(hot).isEmpty():
+        return rows.join(keyed, on)
+    few = F.broadcast(keyed.where(hot))
+    cold = rows.join(F.broadcast(keyed.where(hot).select(*on)), on, "left_anti").join(keyed.where(~hot), on)
+    return rows.join(few, on).unionByName(cold)
 
 
 def in_block_pairs(rows: DataFrame, size: Column, salt: Column, block_rows: int) -> DataFrame:

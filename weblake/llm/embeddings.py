@@ -7,99 +7,120 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weblake.llm.blocks import runs
+from weblake.llm.blocks import checked_ids, join_split, runs
 from weblake.llm.components import connected_components
 from weblake.llm.storage import dropped, stored
 
 COSINE = 0.98
-#: Pivots are chosen among about this many vectors, those of the smallest hashed ids.
-SAMPLE_ROWS = 2000
-PIVOTS = 64
+#: A cell for so many distinct vectors of a label, up to MOST_CELLS; only the LABELS largest labels are cut into
+#: cells, others are one cell each. Pivots are chosen among SAMPLE_ROWS vectors of the label, those of the smallest
+#: hashed ids. That bounds what the driver gathers and what is broadcast.
+CELL_ROWS = 1024
+MOST_CELLS = 128
+LABELS = 64
+SAMPLE_ROWS = 512
 BLOCK_ROWS = 1024
 #: Slack for rounding in the bounds that leave cells out; links themselves are decided by the cosine.
 SLACK = 1e-9
 
 
-def _units(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """id, label, dim, digest and ``unit`` (the vector over its length, as doubles), of usable vectors."""
-    kind = vectors.schema[label_col].dataType.simpleString()
+def unit_vectors(vectors: list[bytes], kind: str) -> np.ndarray:
+    """Packed vectors of one length over their lengths, in double precision."""
+    x = np.frombuffer(b"".join(vectors), kind).reshape(len(vectors), -1).astype(np.float64)
+    # Scaled first, so that squares of very large or small components neither overflow nor vanish.
+    x = x / np.abs(x).max(axis=1)[:, None]
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
+def _usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> tuple[DataFrame, str]:
+    """id, label, dim, digest and ``vec`` (the components, packed) of usable vectors, and the numpy type of ``vec``."""
+    label = vectors.schema[label_col].dataType.simpleString()
+    kind = "float32" if vectors.schema[vector_col].dataType.elementType.simpleString() == "float" else "float64"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, labels, dims, digests, units = [], [], [], [], []
-            for at, label, vector in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+            at, dims, digests, packed = [], [], [], []
+            for i, vector in enumerate(batch.column(2)):
                 if not vector.is_valid or vector.values.null_count:
                     continue
-                x = np.asarray(vector.values.to_numpy(zero_copy_only=False), np.float64)
-                # Scaled first, so that squares of very large or small components neither overflow nor vanish.
-                top = np.abs(x).max() if len(x) else 0.0
-                if not 0 < top < np.inf:
+                x = np.asarray(vector.values.to_numpy(zero_copy_only=False), kind) + np.zeros(1, kind)  # -0.0 is 0.0
+                if not len(x) or not np.isfinite(x).all() or not x.any():
                     continue
-                scaled = x / top
-                ids.append(at.as_py())
-                labels.append(label.as_py())
+                at.append(i)
                 dims.append(len(x))
                 digests.append(hashlib.md5(x.tobytes()).hexdigest())
-                units.append((scaled / np.sqrt((scaled * scaled).sum())).tobytes())
-            schema = batch.schema
-            yield pa.RecordBatch.from_arrays([pa.array(ids, schema.field(0).type), pa.array(labels, schema.field(1).type), pa.array(dims, pa.int32()), pa.array(digests, pa.string()), pa.array(units, pa.binary())], names=["id", "label", "dim", "digest", "unit"])
-
-    rows = vectors.where(F.col(label_col).isNotNull()).select(id_col, label_col, vector_col)
-    return rows.mapInArrow(run, f"id long, label {kind}, dim int, digest string, unit binary")
-
+                packed.append(x.tobytes())
+            good = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([good.column(0), good.column(1), pa.array(dims, pa.int32()), pa.array(digests, pa.string()), pa.array(packed, pa.binary())], names=["id", "label", "dim", "digest", "vec"])
 
-def choose_pivots(units: DataFrame) -> np.ndarray:
-    """PIVOTS of the sampled vectors, each the farthest from those before; shorter vectors end in zeros."""
-    sample = units.select("id", "unit").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).collect()
-    if not sample:
-        return np.zeros((1, 1))
-    dim = max(len(r.unit) // 8 for r in sample)
-    points = np.zeros((len(sample), dim))
-    for i, r in enumerate(sample):
-        x = np.frombuffer(r.unit)
-        points[i, : len(x)] = x
-    chosen, far = [0], np.linalg.norm(points - points[0], axis=1)
-    while len(chosen) < min(PIVOTS, len(points)) and far.max() > 0:
-        chosen.append(int(far.argmax()))
-        far = np.minimum(far, np.linalg.norm(points - points[chosen[-1]], axis=1))
-    return points[chosen]
+    rows = vectors.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, label_col, vector_col)
+    return rows.mapInArrow(run, f"id long, label {label}, dim int, digest string, vec binary"), kind
 
 
-def _matrix(units: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(units)).reshape(len(units), -1)
+def choose_pivots(distinct: DataFrame, kind: str) -> dict[tuple, np.ndarray]:
+    """For each of the LABELS largest (label, dim): pivots, each the farthest of the sample from those before.
 
-
-def _in_cells(units: DataFrame, pivots, radius: float) -> DataFrame:
+    Labels of fewer than two cells have none.
+    """
+    sizes = distinct.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") >= 2 * CELL_ROWS)
+    sizes = {(r.label, r.dim): r.n for r in sizes.orderBy(F.desc("n"), "label", "dim").limit(LABELS).collect()}
+    if not sizes:
+        return {}
+    place = F.row_number().over(Window.partitionBy("label", "dim").orderBy(F.xxhash64("id"), "id"))
+    rows = distinct.where(F.col("label").isin(*{label for label, _ in sizes})).select("label", "dim", "vec", "id").withColumn("place", place).where(F.col("place") <= SAMPLE_ROWS)
+    samples: dict[tuple, list[bytes]] = {}
+    for r in rows.orderBy("label", "dim", "place").collect():
+        samples.setdefault((r.label, r.dim), []).append(bytes(r.vec))
+    pivots = {}
+    for key, n in sizes.items():
+        if key not in samples:
+            continue
+        points = unit_vectors(samples[key], kind)
+        chosen, far = [0], np.linalg.norm(points - points[0], axis=1)
+        while len(chosen) < min(MOST_CELLS, n // CELL_ROWS, len(points)) and far.max() > 0:
+            chosen.append(int(far.argmax()))
+            far = np.minimum(far, np.linalg.norm(points - points[chosen[-1]], axis=1))
+        pivots[key] = points[chosen]
+    return pivots
+
+
+def _in_cells(distinct: DataFrame, pivots, kind: str, radius: float) -> DataFrame:
     """Each vector at home in the cell of its nearest pivot, and asking in each cell that may hold a neighbour.
 
     A neighbour y within ``radius`` of x whose nearest pivot is q has d(x, q) <= d(y, q) + radius <=
     d(y, p) + radius <= d(x, p) + 2 * radius for x's own nearest pivot p: other cells are left out by
     the triangle inequality. Of the rest, those go whose border, the plane midway between p and q, is
-    farther from x than the radius.
+    farther from x than the radius. Both vectors of a pair would ask in the other's cell; of two cells,
+    only those at home in one ask in the other, so each pair meets once.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        points = pivots.value
-        between = np.linalg.norm(points[:, None, :] - points[None, :, :], axis=2)
         for batch in batches:
-            dims = batch.column(batch.schema.get_field_index("dim")).to_numpy()
-            all_units = batch.column(batch.schema.get_field_index("unit")).to_pylist()
+            get = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()  # noqa: B023, E731
+            groups: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(get("label"), get("dim"), strict=True)):
+                groups.setdefault(key, []).append(i)
+            vec = get("vec")
             rows, cells, homes = [], [], []
-            for dim in np.unique(dims):
-                at = np.flatnonzero(dims == dim)
-                x = _matrix([all_units[i] for i in at])
-                wide = max(int(dim), points.shape[1])
-                x, p = np.pad(x, ((0, 0), (0, wide - x.shape[1]))), np.pad(points, ((0, 0), (0, wide - points.shape[1])))
-                square = np.maximum(0, (x * x).sum(1)[:, None] + (p * p).sum(1)[None, :] - 2 * x @ p.T)
-                home = square.argmin(axis=1)
-                near = square[np.arange(len(at)), home]
-                ask = np.sqrt(square) <= np.sqrt(near)[:, None] + 2 * radius + SLACK
-                ask &= (square - near[:, None]) <= 2 * between[home] * (radius + SLACK) + SLACK
-                ask[np.arange(len(at)), home] = True
-                i, cell = np.nonzero(ask)
+            for key, at in groups.items():
+                points = pivots.value.get(key)
+                at = np.array(at)
+                if points is None:
+                    home, i, cell = np.zeros(len(at), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+                else:
+                    x, n = unit_vectors([vec[i] for i in at], kind), len(points)
+                    square = np.maximum(0, 2 - 2 * x @ points.T)
+                    home = square.argmin(axis=1)
+                    near = square[np.arange(len(at)), home]
+                    between = np.linalg.norm(points[:, None, :] - points[None, :, :], axis=2)
+                    ask = np.sqrt(square) <= np.sqrt(near)[:, None] + 2 * radius + SLACK
+                    ask &= (square - near[:, None]) <= 2 * between[home] * (radius + SLACK) + SLACK
+                    ahead = (home[:, None] - np.arange(n)[None, :]) % n
+                    ask &= (2 * ahead < n) & (ahead > 0) | (2 * ahead == n) & (np.arange(n)[None, :] < home[:, None])
+                    i, cell = np.nonzero(ask)
                 rows += [at, at[i]]
                 cells += [home, cell]
                 homes += [np.ones(len(at), bool), np.zeros(len(i), bool)]
@@ -107,50 +128,70 @@ def _in_cells(units: DataFrame, pivots, radius: float) -> DataFrame:
                 out = batch.take(pa.array(np.concatenate(rows)))
                 yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.concatenate(cells).astype(np.int32)), pa.array(np.concatenate(homes))], names=[*batch.schema.names, "cell", "home"])
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in units.schema.fields)
-    return units.mapInArrow(run, f"{fields}, cell int, home boolean")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in distinct.schema.fields)
+    return distinct.mapInArrow(run, f"{fields}, cell int, home boolean")
 
 
-def _linked(cells: DataFrame, cosine: float) -> DataFrame:
-    """Within blocks of cells: (id, n, null) for the links of an asking vector, (id, null, to) for a spanning forest of them."""
+def _dealt(cells: DataFrame) -> DataFrame:
+    """Cells cut into blocks, and each row sent to the pairs of blocks that it takes part in.
+
+    Blocks 0 to h - 1 hold those at home, the rest those that ask; a pair has a home block first, and
+    each row knows ``of``, its own. A cell of few rows is one block of all, paired with itself.
+    """
     place = ["label", "dim", "cell"]
-    sizes = cells.groupBy(*place).agg(F.sum(F.col("home").cast("int")).alias("homes"), F.sum((~F.col("home")).cast("int")).alias("asks"))
-    count = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK_ROWS)).cast("int")
-    dealt = cells.join(sizes.select(*place, count("homes").alias("home_blocks"), count("asks").alias("ask_blocks")), place)
-    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    dealt = dealt.withColumn("home_block", F.explode(F.when(F.col("home"), F.array(own("home_blocks"))).otherwise(every("home_blocks"))))
-    dealt = dealt.withColumn("ask_block", F.explode(F.when(F.col("home"), every("ask_blocks")).otherwise(F.array(own("ask_blocks")))))
-    keys = [*place, "home_block", "ask_block"]
-    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "id", "copies", "unit", "home")
+    sizes = stored(cells.groupBy(*place).agg(F.sum(F.col("home").cast("int")).alias("homes"), F.sum((~F.col("home")).cast("int")).alias("asks"), F.count("*").alias("n")))
+    rows = join_split(cells, sizes, place, "n")
+    small = F.col("n") <= 4 * BLOCK_ROWS
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK_ROWS)).cast("int")
+    rows = rows.withColumn("h", F.when(small, 1).otherwise(blocks("homes"))).withColumn("a", F.when(small, 0).otherwise(blocks("asks")))
+    salt = F.xxhash64("id")
+    rows = rows.withColumn("of", F.when(F.col("home") | small, F.pmod(salt, F.col("h"))).otherwise(F.col("h") + F.pmod(salt, F.col("a"))).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("home"), F.col("h") + F.col("a")).otherwise(F.col("h")) - 1)))
+    return rows.withColumn("first", F.least("of", "other")).withColumn("second", F.greatest("of", "other"))
+
+
+def _linked(cells: DataFrame, kind: str, cosine: float) -> DataFrame:
+    """Of the pairs of blocks: (id, n, null) with an id's number of links, and (id, null, to), a spanning forest of them."""
+    keys = ["label", "dim", "cell", "first", "second"]
+    dealt = _dealt(cells).repartition(*keys).sortWithinPartitions(*keys).select(*keys, "of", "id", "copies", "vec", "home")
+    far = np.iinfo(np.int64).max
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, keys):
-            home = t["home"].to_numpy()
-            ids, copies = t["id"].to_numpy(), t["copies"].to_numpy()
-            if not home.any() or home.all():
+            home, of, ids, copies = (t[c].to_numpy() for c in ("home", "of", "id", "copies"))
+            same = t["first"][0].as_py() == t["second"][0].as_py()
+            a = np.flatnonzero(home & (of == t["first"][0].as_py()))
+            b = np.flatnonzero(~home) if same else np.flatnonzero(of == t["second"][0].as_py())
+            if not len(a) or len(a) + len(b) < 2:
                 continue
-            x = _matrix(t["unit"].to_pylist())
-            a, b = np.flatnonzero(~home), np.flatnonzero(home)
-            link = (x[a] @ x[b].T >= cosine) & (ids[a][:, None] != ids[b][None, :])
-            n = (link * copies[b][None, :]).sum(axis=1)
-            some = n > 0
-            if not some.any():
+            x = unit_vectors(t["vec"].to_pylist(), kind)
+            across = (x[a] @ x[b].T >= cosine) & (ids[a][:, None] != ids[b][None, :])
+            n_a, n_b = across @ copies[b], copies[a] @ across
+            within = np.zeros((0, 0), bool)
+            if same:
+                # Which of two equal pairs a product of matrices rounds how depends on its shape: one half decides.
+                within = np.triu(x[a] @ x[a].T >= cosine, 1) & (ids[a][:, None] != ids[a][None, :])
+                within |= within.T
+                n_a = n_a + within @ copies[a]
+            some_a, some_b = np.flatnonzero(n_a), np.flatnonzero(n_b)
+            if not len(some_a):
                 continue
-            link, a = link[some], a[some]
-            b_some = link.any(axis=0)
-            link, b = link[:, b_some], b[b_some]
-            of_a, of_b = ids[a].copy(), ids[b].copy()
-            while True:  # the smallest id that each reaches within the block
-                new_a = np.minimum(of_a, np.where(link, of_b[None, :], np.iinfo(np.int64).max).min(axis=1))
-                new_b = np.minimum(of_b, np.where(link, new_a[:, None], np.iinfo(np.int64).max).min(axis=0))
-                if (new_a == of_a).all() and (new_b == of_b).all():
+            across = across[np.ix_(some_a, some_b)]
+            within = within[np.ix_(some_a, some_a)] if same else within
+            nodes = np.concatenate([ids[a][some_a], ids[b][some_b]])
+            least = nodes.copy()
+            while True:  # the smallest id that each reaches within the run
+                of_a, of_b = least[: len(some_a)], least[len(some_a) :]
+                new_a = np.minimum(of_a, np.where(across, of_b[None, :], far).min(axis=1, initial=far))
+                if same:
+                    new_a = np.minimum(new_a, np.where(within, new_a[None, :], far).min(axis=1, initial=far))
+                new = np.concatenate([new_a, np.minimum(of_b, np.where(across, new_a[:, None], far).min(axis=0, initial=far))])
+                if (new == least).all():
                     break
-                of_a, of_b = new_a, new_b
-            nodes, to = np.concatenate([ids[a], ids[b]]), np.concatenate([of_a, of_b])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(n[some].astype(np.int64)), pa.nulls(len(a), pa.int64())], names=["id", "n", "to"])
-            moved = nodes != to
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.nulls(int(moved.sum()), pa.int64()), pa.array(to[moved])], names=["id", "n", "to"])
+                least = new
+            n = np.concatenate([n_a[some_a], n_b[some_b]]).astype(np.int64)
+            moved = nodes != least
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(n), pa.array(least, mask=~moved)], names=["id", "n", "to"])
 
     return dealt.mapInArrow(run, "id long, n long, to long")
 
@@ -160,32 +201,34 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: s
 
     Returns id, n_links (other vectors linked directly), component_id (the smallest id that links
     reach, itself included) and kept (id = component_id); no other input columns. Vectors that are
-    null, empty, zero or hold null or non-finite components, and those of a null label, link with
-    nothing; so do vectors of different lengths. Ids are of type long; each row is a vector, also
-    where rows repeat.
+    null, empty, zero or hold null or non-finite components, and those of a null label or without
+    id, link with nothing (without id: component_id is null, kept true); so do vectors of different
+    lengths. Ids are whole numbers, other types are refused; each row is a vector, also where rows
+    repeat; different vectors of one id do not link with each other and share their links.
 
     On unit vectors the cosine is a distance, so this is a range join of radius sqrt(2 - 2 * cosine).
-    Equal vectors of a label are joined as one with a count of copies. Pivots, a bounded sample, cut
-    space into cells; a vector is at home in one and asks in those that its radius reaches. Cells are
-    compared in pairs of blocks, which pass on counts and spanning forests, not pairs.
+    Equal vectors of a label are joined as one with a count of copies. Pivots, in number as the label's
+    rows need and from a bounded sample, cut a label into cells; a vector is at home in one and asks
+    in those that its radius reaches. Cells are compared in pairs of blocks, each pair of vectors
+    once, and pass on counts and spanning forests, not pairs.
     """
+    vectors = checked_ids(vectors, id_col)
     context = vectors.sparkSession.sparkContext
-    units = stored(_units(vectors, id_col, vector_col, label_col))
+    usable, kind = _usable(vectors, id_col, vector_col, label_col)
+    usable = stored(usable)
     same = ["label", "dim", "digest"]
-    groups = units.groupBy(*same).agg(F.min("id").alias("first"), F.count("*").alias("copies"))
-    # One row of each group has the vector: rows of its smallest id, of which repeats are dropped.
-    distinct = units.join(groups.withColumn("id", F.col("first")), [*same, "id"]).dropDuplicates([*same, "id"])
-    distinct = stored(distinct.select("id", "label", "dim", "unit", "copies"))
-    pivots = context.broadcast(choose_pivots(distinct))
-    linked = stored(_linked(_in_cells(distinct, pivots, float(np.sqrt(max(0.0, 2 - 2 * cosine)))), cosine))
-    counts = linked.where("n is not null").groupBy("id").agg(F.sum("n").alias("n"))
+    distinct = stored(usable.groupBy(*same).agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.any_value("vec").alias("vec")))
+    pivots = context.broadcast(choose_pivots(distinct, kind))
+    cells = _in_cells(distinct.select("id", "label", "dim", "vec", "copies"), pivots, kind, float(np.sqrt(max(0.0, 2 - 2 * cosine))))
+    linked = stored(_linked(cells, kind, cosine))
+    counts = linked.groupBy("id").agg(F.sum("n").alias("n"))
     components = connected_components(linked.where("to is not null").select(F.col("id").alias("a"), F.col("to").alias("b")))
 
-    known = groups.withColumnRenamed("first", "at")
-    known = known.join(counts.withColumnRenamed("id", "at"), "at", "left").join(components.withColumnRenamed("id", "at"), "at", "left")
-    known = known.select(*same, (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "at").alias("component_id"))
-    found = units.select("id", *same).join(known, same).select("id", "n_links", "component_id")
-    usable = units.select("id").distinct()
-    rest = vectors.select(F.col(id_col).alias("id")).join(usable, "id", "left_anti").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    known = distinct.drop("vec").join(counts, "id", "left").join(components, "id", "left")
+    known = stored(known.select(*same, "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")))
+    found = join_split(usable.select("id", *same), known, same, "copies").select("id", "n_links", "component_id")
+    alone = vectors.select(F.col(id_col).alias("id"))
+    rest = alone.where("id is not null").join(usable.select("id").distinct(), "id", "left_anti").unionByName(alone.where("id is null"))
+    rest = rest.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     dropped(distinct)
-    return found.unionByName(rest).select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return found.unionByName(rest).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
