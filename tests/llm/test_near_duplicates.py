@@ -70,8 +70,8 @@ def test_open_buckets_are_compared_in_blocks(spark, monkeypatch, block):
     texts = {i: " ".join(words[:i] + ["x"] + words[i:]) for i in (5, 30, 60, 90)} | {99: " ".join(words[::-1])}
     idf = spark.sparkContext.broadcast(np.ones(minhash.SLOTS, np.float32))
     same = np.zeros(minhash.SAMPLES, np.uint32).tobytes()
-    rows = [(7, i, 5, i, same, band, t) for i, t in texts.items() for band in (0, 3)]
-    members = spark.createDataFrame(rows, "code long, id long, n long, class long, codes binary, band int, text string")
+    rows = [(7, i, 5, 100, i, same, band, t) for i, t in texts.items() for band in (0, 3)]
+    members = spark.createDataFrame(rows, "code long, id long, n long, size long, class long, codes binary, band int, text string")
     links = minhash._links_in_blocks(members.where("band = 0"), idf).collect()
     assert reached(texts, links) == {5: 5, 30: 5, 60: 5, 90: 5, 99: 99}
     assert minhash._links_in_blocks(members.where("band = 3"), idf).count() == 0

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weblake.llm.blocks import in_block_pairs, runs
+from weblake.llm.blocks import checked_ids, in_block_pairs, join_split, runs
 from weblake.llm.components import connected_components
 from weblake.llm.storage import dropped, stored
 
@@ -21,13 +21,16 @@ BANDS, BAND_ROWS = 20, 4
 SAMPLES = BANDS * BAND_ROWS
 #: Document frequencies are counted by slot of the shingle's hash; that bounds the table for any corpus.
 SLOTS = 1 << 18
-#: Added to each document frequency. Without it, the shingles of a large group of near copies count so much
-#: less than the few edits that tell the copies apart that the group falls below the threshold.
-SMOOTHING = 0.5
 #: Members of a bucket in different classes are compared if their samples agree this much:
 #: five standard deviations of the estimate below the threshold.
 LEAST_ESTIMATE = SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / SAMPLES) ** 0.5
+#: A block holds about so many texts, and so many words.
 BLOCK_ROWS = 512
+BLOCK_WORDS = 1_000_000
+#: Members that one copy of their leader's text is sent with.
+LED_ROWS = 256
+#: Signatures that a task remembers, so that a copy is not sampled again.
+REMEMBERED = 4096
 CHUNK = 512
 COLUMNS = 4096
 #: Sums of weights in another order differ by less.
@@ -127,8 +130,24 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return low / (a[1].sum(dtype=np.float64) + b[1].sum(dtype=np.float64) - low) + ROUNDING
 
 
+def idf_of(found: np.ndarray, documents: int) -> np.ndarray:
+    """1 + log(N / df) / log(N) by slot: from 1, for a shingle in all of N documents, to 2, for one in a single document.
+
+    ``found``: documents by slot; what other shingles add to a slot on average is taken off first.
+    The weight of a rare shingle is bounded by twice that of a common one, because near copies share
+    the shingles of their whole family, which the family itself makes common, and differ in rare
+    ones: by log(N / df) alone a family of thousands, each with one word of two hundred changed, falls
+    apart.
+    """
+    if documents < 2:
+        return np.ones(SLOTS, np.float32)
+    others = (found.sum() - found) / (SLOTS - 1)
+    df = np.clip(found - others, 1, documents)
+    return (1 + np.log(documents / df) / np.log(documents)).astype(np.float32)
+
+
 def learn_idf(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """log(1 + 1 / (share of the documents with the shingle + SMOOTHING)) by slot, over all documents with words.
+    """``idf_of`` over all documents with words.
 
     Each task adds up its documents' distinct shingles by slot and passes on one row for each slot;
     the driver gets the SLOTS sums, a fixed number.
@@ -149,61 +168,72 @@ def learn_idf(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     at, n = total["slot"].to_numpy(), total["n"].to_numpy()
     sums = np.zeros(SLOTS, np.int64)
     sums[at[at >= 0]] = n[at >= 0]
-    documents = n[at < 0].sum()
-    return np.log1p(1 / (sums / max(1, documents) + SMOOTHING)).astype(np.float32)
+    return idf_of(sums, int(n[at < 0].sum()))
 
 
 def signatures(docs: DataFrame, idf, id_col: str, text_col: str) -> DataFrame:
-    """id, ``words`` (digest of the words), ``bands`` (a code for each band) and ``codes`` (samples, 4 bytes each).
+    """id, ``words`` (digest of the words), ``size`` (their shingles), ``bands`` (a code for each band) and ``codes`` (samples, 4 bytes each).
 
     Documents without words are left out.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[np.ndarray, bytes]] = {}
         for batch in batches:
             for i in range(0, batch.num_rows, 128):
                 part = batch.slice(i, 128)
-                ids, digests, bands, codes = [], [], [], []
+                ids, digests, sizes, bands, codes = [], [], [], [], []
                 for at, text in zip(part.column(0), part.column(1), strict=True):
                     h, n, words = shingles(text.as_py())
                     if not words:
                         continue
-                    s = samples(h, weights(h, n, idf.value))
-                    of_band = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
-                    for k in range(BAND_ROWS):
-                        of_band = _mix(of_band * np.uint64(0x9E3779B97F4A7C15) + s[k::BAND_ROWS])
+                    if words not in known:
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        s = samples(h, weights(h, n, idf.value))
+                        of_band = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
+                        for k in range(BAND_ROWS):
+                            of_band = _mix(of_band * np.uint64(0x9E3779B97F4A7C15) + s[k::BAND_ROWS])
+                        known[words] = of_band.view(np.int64), s.astype(np.uint32).tobytes()
                     ids.append(at.as_py())
                     digests.append(words)
-                    bands.append(of_band.view(np.int64))
-                    codes.append(s.astype(np.uint32).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, part.schema.field(0).type), pa.array(digests, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array(codes, pa.binary())], names=["id", "words", "bands", "codes"])
+                    sizes.append(int(n.sum()))
+                    bands.append(known[words][0])
+                    codes.append(known[words][1])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(codes, pa.binary())], names=["id", "words", "size", "bands", "codes"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, words string, bands array<bigint>, codes binary")
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col), F.col(text_col)).mapInArrow(run, "id long, words string, size long, bands array<bigint>, codes binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """The pairs (a, b) whose texts have a weighted Jaccard similarity of SIMILARITY or more."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    """The pairs (a, b) whose texts have a weighted Jaccard similarity of SIMILARITY or more.
 
-        def weighted(i: int, text: str) -> tuple[np.ndarray, np.ndarray]:
-            if i not in recent:
-                if len(recent) >= 64:
-                    recent.clear()
-                h, n, _ = shingles(text)
-                recent[i] = h, weights(h, n, idf.value)
-            return recent[i]
+    The members b of a leader a are dealt to salts of about LED_ROWS each; the leader's text goes once
+    to each salt, ahead of them, so no group meets in one task.
+    """
+    counts = stored(pairs.groupBy("a").agg(F.count("*").alias("n")))
+    salted = join_split(pairs, counts, "a", "n")
+    salted = stored(salted.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / LED_ROWS)).alias("salt")))
+    texts = texts.select("id", "text")
+    heads = salted.select("a", "salt", F.col("a").alias("id")).distinct().join(texts, "id").select("a", "salt", F.lit(0).alias("led"), "id", "text")
+    led = salted.select("a", "salt", F.col("b").alias("id")).join(texts, "id").select("a", "salt", F.lit(1).alias("led"), "id", "text")
+    dealt = heads.unionByName(led).repartition("a", "salt").sortWithinPartitions("a", "salt", "led")
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leader: tuple[np.ndarray, np.ndarray] | None = None
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ok = [similarity(weighted(x, batch.column(2)[i].as_py()), weighted(y, batch.column(3)[i].as_py())) >= SIMILARITY for i, (x, y) in enumerate(zip(a, b, strict=True))]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+            a, b = [], []
+            for head, led, i, text in zip(*(batch.column(c) for c in (0, 2, 3, 4)), strict=True):
+                h, n, _ = shingles(text.as_py())
+                this = h, weights(h, n, idf.value)
+                if not led.as_py():
+                    leader = this
+                elif similarity(leader, this) >= SIMILARITY:
+                    a.append(head.as_py())
+                    b.append(i.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    texts = texts.select("id", "text")
-    both = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def _overlaps(sets: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -246,11 +276,13 @@ def _forest(nodes: np.ndarray, link: np.ndarray) -> list[tuple[int, int]]:
 def _links_in_blocks(members: DataFrame, idf) -> DataFrame:
     """Links (a, b) between members of a bucket whose classes differ, as spanning forests of pairs of blocks.
 
-    members: code, id, n, class, codes, band, text. Each pair is looked at in the first band that it
-    shares; where the samples agree enough, the texts' shingles decide, all pairs of a block at once.
+    members: code, id, n (members of the bucket), size (their shingles), class, codes, band, text. Each
+    pair is looked at in the first band that it shares; where the samples agree enough, the texts'
+    shingles decide, all pairs of a block at once.
     """
     keys = ["code", "first", "second"]
-    dealt = in_block_pairs(members, F.col("n"), F.xxhash64("id"), BLOCK_ROWS)
+    of_words = F.ceil(F.col("size") * F.lit(BLOCK_ROWS / BLOCK_WORDS))
+    dealt = in_block_pairs(members, F.greatest(F.col("n"), of_words), F.xxhash64("id"), BLOCK_ROWS)
     dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,23 +317,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two documents are linked if the weighted Jaccard similarity of their TF-IDF shingles of five
     words is 0.8 or more; a class holds all that links reach, and its smallest id is kept. Words are
     runs of letters and digits, lowered; documents of equal words are one text. A null text or one
-    without words is a class of its own. Ids are of type long; rows of one id share a class; other
-    input columns are left out.
+    without words is a class of its own; so is a row without id, with a null class_id and kept true.
+    Ids are whole numbers, other types are refused; equal rows share a class, and rows of one id
+    with different texts, which should be numbered first, are judged text by text. Other input
+    columns are left out.
 
     Documents of equal words are compared once. Of each bucket of a band, every member is verified
     against the smallest id; what is still in different classes is then compared in blocks by
     samples, and verified if those agree enough, so nothing is capped and a bucket of copies costs one
     comparison for each. Verification reads the texts again, only those of candidates, and passes on
-    links, not the pairs it looked at.
+    links, not the pairs it looked at. Rows of hot buckets, texts and leaders stay spread over tasks.
     """
+    docs = checked_ids(docs, id_col)
     context = docs.sparkSession.sparkContext
     idf = context.broadcast(learn_idf(docs, text_col))
     signed = stored(signatures(docs, idf, id_col, text_col))
-    texts_of = signed.groupBy("words").agg(F.min("id").alias("first"))
-    reps = stored(signed.join(texts_of.select(F.col("first").alias("id")), "id", "left_semi"))
-    banded = reps.select("id", F.posexplode("bands").alias("band", "code"))
-    buckets = banded.groupBy("code").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    members = stored(banded.join(buckets, "code"))
+    texts_of = stored(signed.groupBy("words").agg(F.min("id").alias("first"), F.count("*").alias("n")))
+    reps = stored(signed.join(texts_of.select(F.col("first").alias("id")), "id", "left_semi").dropDuplicates(["id"]))
+    banded = reps.select("id", "size", F.posexplode("bands").alias("band", "code"))
+    buckets = stored(banded.groupBy("code").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1"))
+    members = stored(join_split(banded, buckets, "code", "n"))
 
     led = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     candidates = members.select("id").distinct()
@@ -310,15 +345,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = stored(connected_components(verified(led, texts, idf)))
 
     classed = members.where("n > 2").join(classes, "id", "left").withColumn("class", F.coalesce("component", "id"))
-    open_ = classed.groupBy("code").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("code")
-    classed = classed.join(open_, "code").join(reps.select("id", "codes"), "id").join(texts, "id")
-    more = stored(_links_in_blocks(classed, idf))
+    open_ = classed.groupBy("code").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n"), F.sum("size").alias("size"))
+    open_ = stored(open_.where("low <> high").select("code", "n", "size"))
+    classed = join_split(classed.select("code", "id", "band", "class"), open_, "code", "n")
+    more = stored(_links_in_blocks(classed.join(reps.select("id", "codes"), "id").join(texts, "id"), idf))
     if not more.isEmpty():
         links = classes.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
         classes = stored(connected_components(links))
 
-    named = texts_of.join(classes.withColumnRenamed("id", "first"), "first", "left").select("words", F.coalesce("component", "first").alias("class_id"))
-    found = signed.select("id", "words").join(named, "words").select("id", "class_id")
-    rest = docs.select(F.col(id_col).alias("id")).join(signed.select("id"), "id", "left_anti").select("id", F.col("id").alias("class_id"))
+    named = texts_of.join(classes.withColumnRenamed("id", "first"), "first", "left").select("words", "n", F.coalesce("component", "first").alias("class_id"))
+    found = join_split(signed.select("id", "words"), stored(named), "words", "n").select("id", "class_id")
+    alone = docs.select(F.col(id_col).alias("id"))
+    rest = alone.where("id is not null").join(signed.select("id").distinct(), "id", "left_anti").unionByName(alone.where("id is null"))
     dropped(members, texts)
-    return found.unionByName(rest).select(F.col("id").alias(id_col), "class_id", (F.col("id") == F.col("class_id")).alias("kept"))
+    return found.unionByName(rest.select("id", F.col("id").alias("class_id"))).select(F.col("id").alias(id_col), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
