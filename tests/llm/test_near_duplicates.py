@@ -101,6 +101,24 @@ def test_samples_agree_as_often_as_sets_are_similar():
     assert abs(np.mean(agreed) - np.mean(similar)) < 0.02
 
 
+def test_idf_counts_families(spark):
+    rng = random.Random(8)
+    say = lambda k: " ".join(rng.choices([f"w{i}" for i in range(3000)], k=k))
+    common, family = say(30), say(200).split()
+    texts = [f"{common} {say(40)}" for _ in range(600)]
+    for _ in range(300):
+        copy = list(family)
+        copy[rng.randrange(200)] = "edit" + str(rng.random())
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    idf = minhash.learn_idf(docs)
+    assert (idf == minhash.learn_idf(docs.repartition(2))).all() and idf.min() >= 1 and idf.max() <= 2
+    of = lambda text: np.median(idf[minhash.slots(minhash.shingles(text)[0])])
+    families = len({minhash.family(minhash.shingles(t)[0]) for t in texts[:600]})
+    assert abs(of(common) - (1 + np.log(900 / families) / np.log(900))) < 0.1
+    assert of(texts[0][len(common) :]) > 1.9 and of(" ".join(family)) > 1.45
+
+
 def test_near_duplicates_of_nothing_and_repeats(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g")] * 3 + [(None, None)], "doc_id long, text string")
     assert {(r.doc_id, r.class_id) for r in minhash.near_duplicates(docs).collect()} == {(1, 1), (None, None)}
