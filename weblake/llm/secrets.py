@@ -68,9 +68,13 @@ def spans_of(text: str | None, enc: tiktoken.Encoding) -> list[tuple[int, int, i
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 18]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    base = sorted((a, b) for a, _, b in found)
+    # Base spans and candidates are walked side by side: ``far`` is the farthest end of base spans that start before.
+    base, k, far = sorted((a, b) for a, _, b in found), 0, 0
     for m in CANDIDATE.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, b in base) and looks_random(m[0], enc):
+        while k < len(base) and base[k][0] < m.end():
+            far = max(far, base[k][1])
+            k += 1
+        if far <= m.start() and looks_random(m[0], enc):
             found.append((m.start(), 3, m.end()))
     return sorted(found)
 
@@ -114,7 +118,7 @@ def find_secrets(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "
 
     Spans are sorted by start, then by the order of KINDS; places are code points, end exclusive.
     ``random`` spans come from the token-efficiency test and never overlap the others. A null or empty
-    text has an empty array; other input columns are left out. ``vocabulary`` is a tiktoken rank file
+    text has an empty array; equal texts, and rows of repeated ids, each have their spans; other input columns are left out. ``vocabulary`` is a tiktoken rank file
     that every executor can read, ``pattern`` its splitting pattern. A narrow map, a few texts at a
     time.
     """
