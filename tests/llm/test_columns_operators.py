@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 from fractions import Fraction
 
@@ -66,6 +67,29 @@ def test_added_personal_data(spark):
     assert got == {0: ["iban"], 1: [], 2: ["tel"], 3: [], 4: ["ssn"]}
 
 
+def test_long_texts_full_of_personal_data(spark):
+    part = "ab@cd.ef call 212-555-0123 "
+    started = time.monotonic()
+    (row,) = personal.find_personal_data(docs_of(spark, [part * 30_000])).select(F.size("spans").alias("n"), F.expr("size(filter(spans, s -> s.kind = 'tel'))").alias("tel")).collect()
+    assert (row.n, row.tel) == (60_000, 30_000) and time.monotonic() - started < 90
+
+
+def test_added_spans_give_way_to_base_spans(spark):
+    rng = random.Random(3)
+    parts = ["212-555-0123", "+1 212-555-0123", "123-45-6789", "a@b.co", "call", "ssn", "1.2.3.4", "4111 1111 1111 1111", "x", "+123-45-6789 99", "212-555-0123@b.co"]
+    texts = [rng.choice(" ,;").join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(300)]
+    base = {k.name for k in personal.KINDS if k.base}
+    whole = {r.doc_id: r.spans for r in personal.find_personal_data(docs_of(spark, texts)).collect()}
+    added = {r.doc_id: r.spans for r in personal.find_personal_data(docs_of(spark, texts), kinds=tuple(k for k in personal.KINDS if not k.base)).collect()}
+    n = 0
+    for i in range(len(texts)):
+        based = [(s.start, s.end) for s in whole[i] if s.kind in base]
+        clear = {(s.kind, s.start, s.end) for s in added[i] if not any(s.start < b and a < s.end for a, b in based)}
+        assert {(s.kind, s.start, s.end) for s in whole[i] if s.kind not in base} == clear
+        n += len(added[i]) - len(clear)
+    assert n > 20
+
+
 def brute_quality(text):
     t = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", t)

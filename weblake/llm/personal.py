@@ -126,17 +126,41 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Returns id and ``spans``: array of struct(start, rank, end, kind, score), sorted by start, then
     by the order of ``kinds``; places are code points, end exclusive; other input columns are left
     out. Base kinds keep all confirmed matches. Added kinds keep matches that their checksum
-    confirms or context words support, unless they overlap a base span. A null or empty text has an
-    empty array. A narrow projection of built-in functions: no shuffle, equal texts get equal spans.
+    confirms or context words support, unless they overlap a base span. Spans of different kinds may
+    overlap, and equal starts are in the order of the kinds. A null or empty text has an
+    empty array; rows of repeated ids each have their spans. A narrow projection of built-in functions: no shuffle, equal texts get equal spans.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = docs.select(F.col(id_col), text.alias("text"))
     found = found.select(id_col, *(_spans(F.col("text"), i, k).alias(f"spans_{k.name}") for i, k in enumerate(kinds)))
-    base = F.concat(*(F.col(f"spans_{k.name}") for k in kinds if k.base))
+    base = [F.col(f"spans_{k.name}") for k in kinds if k.base]
     added = [F.col(f"spans_{k.name}") for k in kinds if not k.base]
-    found = found.select(id_col, base.alias("base"), (F.concat(*added) if added else F.array().cast(SPAN)).alias("added"))
-    clear = F.filter("added", lambda a: ~F.exists("base", lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"])))
-    return found.select(id_col, F.sort_array(F.concat("base", clear)).alias("spans"))
+    clear = F.concat(*added) if added else F.array().cast(SPAN)
+    for spans in base:
+        clear = _clear_of(clear, spans)
+    return found.select(id_col, F.sort_array(F.concat(*base, clear)).alias("spans"))
+
+
+def _clear_of(added: Column, spans: Column) -> Column:
+    return F.filter(added, lambda a: ~_overlaps(a, spans))
+
+
+def _overlaps(a: Column, spans: Column) -> Column:
+    """Whether a span overlaps one of the sorted, disjoint ``spans``: the last that starts before its end does or none.
+
+    A binary search: it halves the places between ``low`` (starts before a's end, or -1) and ``high``.
+    """
+    state = F.struct(F.lit(-1).alias("low"), F.size(spans).alias("high"))
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + 1)).cast("int"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["low"] + s["high"], 1)
+        before = (s["high"] - s["low"] > 1) & (F.get(spans, middle)["start"] < a["end"])
+        done = s["high"] - s["low"] <= 1
+        return F.struct(F.when(before, middle).otherwise(s["low"]).alias("low"), F.when(done | before, s["high"]).otherwise(middle).alias("high"))
+
+    last = F.aggregate(rounds, state, halve, lambda s: F.get(spans, s["low"]))
+    return F.coalesce(last["end"] > a["start"], F.lit(False))
 
 
 def spans_text(spans: Column) -> Column:
