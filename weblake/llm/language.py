@@ -98,13 +98,16 @@ class LanguageFilters:
 
     @classmethod
     def of(cls, held: list[tuple[str, int]]) -> LanguageFilters:
-        languages = sorted({x[0] for x in held})
+        by_language: dict[str, list[int]] = {}
+        for language, gram in held:
+            by_language.setdefault(language, []).append(gram)
+        languages = sorted(by_language)
         words = max(1, -(-len(languages) // 64))
         kind = next(k for k, b in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64 * words)) if len(languages) <= b)
         positions = 1 << max(10, int(np.ceil(np.log2(max(1, len(held) * BITS_PER_GRAM // max(1, len(languages)))))))
         table = np.zeros((words, positions), kind)
         for number, language in enumerate(languages):
-            at = cls.places(np.array([g for x, g in held if x == language], np.int64).view(np.uint64), positions)
+            at = cls.places(np.array(by_language[language], np.int64).view(np.uint64), positions)
             for p in at:
                 table[number // 64, p] |= kind(1 << number % 64)
         filled = np.array([((table[i // 64] >> kind(i % 64)) & kind(1)).mean() for i in range(len(languages))])
@@ -174,7 +177,7 @@ def identify_languages(docs: DataFrame, filters: LanguageFilters, id_col: str =
     """Predicts each text's language: id, the columns named in ``keep``, lang_pred and score (or ``names``).
 
     lang_pred is ``und`` with score 0 where the text is null or has no letter, or nothing was learned;
-    ties go to the language that sorts first. score (0 to 1) is the share of the text's n-grams that
+    ties go to the language that sorts first; rows of repeated ids are each judged by their text. score (0 to 1) is the share of the text's n-grams that
     the language holds, corrected for false positives. A narrow map over whole texts.
     """
     known = docs.sparkSession.sparkContext.broadcast(filters)
