@@ -7,15 +7,34 @@ from pyspark.sql import functions as F
 
 from weblake.functions.text import extracted, looks_like_html
 
-# Encoding names after normalization, extensions of media types.
-ENCODINGS = (
-    "ascii big5 cp037 cp1006 cp1026 cp1140 cp1250 cp1251 cp1252 cp1253 cp1254 cp1255 cp1256 cp1257 cp1258 cp424 cp437 cp500 cp737 cp775 "
-    "cp850 cp852 cp855 cp856 cp857 cp860 cp861 cp862 cp863 cp864 cp865 cp866 cp869 cp874 cp875 cp932 cp949 cp950 eucjp euckr gb18030 gb2312 "
-    "gbk hz iso2022jp iso2022kr iso88591 iso885910 iso885913 iso885914 iso885915 iso885916 iso88592 iso88593 iso88594 iso88595 iso88596 "
-    "iso88597 iso88598 iso88599 johab koi8r koi8u latin1 latin2 latin9 maccyrillic macgreek maciceland maclatin2 macroman macturkish ptcp154 "
-    "shiftjis sjis tis620 usascii utf16 utf16be utf16le utf32 utf7 utf8 utf8sig windows1250 windows1251 windows1252 windows1253 windows1254 "
-    "windows1255 windows1256 windows1257 windows1258 xsjis"
-).split()
+# Encoding names after normalization, as families of a prefix and its endings (``-``: none), and
+# extensions of media types.
+ENCODING_FAMILIES = {
+    "": "1125 273 437 646 850 852 855 857 858 860 861 862 863 865 866 869 8859 932 936 949 950",
+    "cp": "037 1006 1026 1125 1140 1250 1251 1252 1253 1254 1255 1256 1257 1258 1361 154 273 424 437 500 65001 720 737 775 819 850 852 855 856 857 858 860 861 862 863 864 865 866 866u 869 874 875 932 936 949 950 gr is",
+    "ibm": "037 039 1026 1125 1140 273 424 437 500 775 850 852 855 857 858 860 861 862 863 864 865 866 869",
+    "windows": "1250 1251 1252 1253 1254 1255 1256 1257 1258",
+    "ms": "1361 932 936 949 950 kanji",
+    "mac": "centraleurope cyrillic greek iceland intosh latin2 roman turkish",
+    "iso8859": "1 2 3 4 5 6 7 8 9 10 11 13 14 15 16",
+    "iso2022": "jp jp1 jp2 jp2004 jp3 jpext kr",
+    "l": "1 2 3 4 5 6 7 8 9 10",
+    "latin": "- 1 2 3 4 5 6 7 8 9 10",
+    "utf": "- 7 8 8sig 16 16be 16le 32 32be 32le",
+    "u": "7 8 16 32",
+    "big5": "- hkscs tw",
+    "cs": "big5 ibm273 iso2022jp iso2022kr iso58gb231280 ptcp154 shiftjis",
+    "ebcdiccp": "be ch he",
+    "euc": "cn gb2312cn jis2004 jisx0213 jp kr",
+    "gb": "18030 180302000 2312 23121980 231280 k",
+    "hz": "- gb gb2312",
+    "koi8": "r u",
+    "ks": "c5601 c56011987 x1001",
+    "shiftjis": "- 2004 x0213",
+    "sjis": "- 2004 x0213",
+}
+OTHER_ENCODINGS = "arabic ascii chinese cyrillic cyrillicasian greek greek8 hebrew hkscs isoir58 jisx0213 johab korean pt154 ptcp154 ruscii thai uhc ujis unicode11utf7 usascii"
+ENCODINGS = sorted({*OTHER_ENCODINGS.split(), *(prefix + end.replace("-", "") for prefix, ends in ENCODING_FAMILIES.items() for end in ends.split())})
 MIMETYPES = {
     ".html": "text/html", ".htm": "text/html", ".txt": "text/plain", ".css": "text/css", ".csv": "text/csv", ".xml": "application/xml",
     ".json": "application/json", ".pdf": "application/pdf", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".jpe": "image/jpeg", ".png": "image/png",
@@ -59,6 +78,39 @@ def gate_pages(report: DataFrame) -> DataFrame:
     return report.withColumn("gate_error", error)
 
 
+def mark_eligible(df: DataFrame, url: str, only_shortened: bool = False, only_html: bool = False) -> DataFrame:
+    """``df`` and ``eligible``: whether the row's URL is to be looked at; other rows stay, to pass through.
+
+    Blank URLs are not; nor, as asked, those that are not shortened or cannot be HTML.
+    """
+    from weblake.functions.urls import could_be_html, is_shortened_url
+
+    trimmed = F.trim(F.coalesce(F.col(url), F.lit("")))
+    fine = trimmed != ""
+    if only_shortened:
+        fine = fine & is_shortened_url(trimmed)
+    if only_html:
+        fine = fine & could_be_html(trimmed)
+    return df.withColumn("eligible", F.coalesce(fine, F.lit(False)))
+
+
+def filter_time_range(df: DataFrame, ts: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Rows from ``start`` (inclusive) to ``end`` (exclusive), ISO dates that may be cut; rows without a time go where a bound is given."""
+    from weblake.functions.text import parse_partial_iso
+
+    at = F.col(ts).cast("timestamp")
+    if start is not None:
+        df = df.where(at >= parse_partial_iso(F.lit(start)))
+    if end is not None:
+        df = df.where(at < parse_partial_iso(F.lit(end)))
+    return df
+
+
+def filter_min_date(df: DataFrame, ts: str, least: int | str) -> DataFrame:
+    """Rows not older than ``least``, in the column's own terms (seconds, or ISO text)."""
+    return df.where(F.col(ts) >= F.lit(least))
+
+
 def content_type_parts(c: Column) -> Column:
     """struct(mimetype, charset) of a Content-Type header."""
     kind = F.trim(F.regexp_extract(c, r"^([^;,]*)", 1))

@@ -157,14 +157,21 @@ def canonicalize_url(c: Column, quoted: bool = False, strip_fragment: bool = Fal
 
 
 def infer_redirection(c: Column, recursive: bool = True) -> Column:
-    """The target that a query parameter of a known name carries, else the URL itself."""
+    """The target that a query parameter of a known name carries, else the URL itself.
+
+    ``q`` is such a name on the redirection pages of search and video sites. Recursive: until nothing
+    changes; each target's own ``http`` stands in the text around it, which bounds the rounds.
+    """
     keys = "|".join(REDIRECT_KEYS)
+    carrier = rf"(?i)(?:[?&](?:{keys})|(?:youtube|google)\.[a-z.]+/(?:redirect|url)\?(?:[^#&]*&)*q)=(https?(?:://|%3A%2F%2F)[^&#]*)"
 
     def once(c: Column) -> Column:
-        held = lambda u: F.regexp_extract(u, rf"(?i)[?&](?:{keys})=(https?(?:://|%3A%2F%2F)[^&#]*)", 1)
+        held = lambda u: F.regexp_extract(u, carrier, 1)
         return let(c, lambda u: let(held(u), lambda h: F.when(h != "", F.coalesce(F.try_url_decode(h), h)).otherwise(u)))
 
-    return once(once(once(c))) if recursive else once(c)
+    if not recursive:
+        return once(c)
+    return let(c, lambda u: F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(F.split(u, "(?i)http")) - 1)), u, lambda acc, _: once(acc)))
 
 
 def kept_query(q: Column, sort: bool = True) -> Column:

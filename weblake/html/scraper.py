@@ -57,6 +57,11 @@ def validate(definition: Any, where: str = "scraper") -> None:
         raise InvalidDefinition(f"{where}: bad extractor {definition['extract']}")
     if not is_plural(definition) and any(k in definition for k in PLURAL_ONLY):
         raise InvalidDefinition(f"{where}: {', '.join(k for k in PLURAL_ONLY if k in definition)} without an iterator")
+    table = definition.get("tabulate")
+    if isinstance(table, dict) and set(table) - {"headers", "headers_inference"} or table is not None and not isinstance(table, bool | dict):
+        raise InvalidDefinition(f"{where}: tabulate is true or a mapping of headers and headers_inference")
+    if table and any(k in definition for k in ("item", "fields", "attr", "extract")):
+        raise InvalidDefinition(f"{where}: tabulate conflicts with what else makes a value")
     if "item" in definition:
         validate(definition["item"], f"{where}.item")
     for name, field in definition.get("fields", {}).items():
@@ -83,6 +88,23 @@ def _at(value: Any, path: str) -> Any:
     return value
 
 
+def tabulated(table: Element, headers: list[str] | None = None, headers_inference: str | None = "th") -> list | None:
+    """Rows of a table: mappings from header to text, or, without any headers, lists of texts; None of what is no table.
+
+    Headers are given, or the ``th`` of its ``thead`` (without one, of the table); cells beyond them go by number.
+    """
+    if table.name != "table":
+        return None
+    part = lambda name: next((c for c in table.children if isinstance(c, Element) and c.name == name), table)
+    cells = lambda row, name: [c for c in row.children if isinstance(c, Element) and c.name == name]
+    if headers is None and headers_inference == "th":
+        headers = [th.text() for th in part("thead").walk() if th.name == "th" and th.parent.name == "tr"]
+    rows = [[td.text() for td in found] for tr in part("tbody").walk() if tr.name == "tr" and (found := cells(tr, "td"))]
+    if headers is None:
+        return rows
+    return [{(headers[i] if i < len(headers) else str(i)): t for i, t in enumerate(row)} for row in rows]
+
+
 class Interpreter:
     """Runs a definition on one page's tree."""
 
@@ -145,6 +167,8 @@ class Interpreter:
             return {k: self.run(f, element) if isinstance(f, dict) else self.value(f, element) for k, f in d["fields"].items()}
         if "item" in d:
             return self.run(d["item"], element) if isinstance(d["item"], dict) else self.value(d["item"], element)
+        if d.get("tabulate"):
+            return tabulated(element, **(d["tabulate"] if isinstance(d["tabulate"], dict) else {}))
         if "attr" in d:
             return element.attrs.get(d["attr"])
         return EXTRACTORS[d.get("extract", "text")](element)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from html import escape
 from html.parser import HTMLParser
@@ -28,17 +28,20 @@ CLOSES = {
 }
 
 
-#: So many open elements at most are looked at for one to close, which keeps deep pages linear.
-REACH = 256
-
-
 class Element:
     """A tag with its attributes; children are elements and strings."""
 
-    __slots__ = ("attrs", "children", "name", "parent")
+    __slots__ = ("attrs", "before", "children", "last", "name", "parent", "place")
 
     def __init__(self, name: str, attrs: dict[str, str] | None = None, parent: Element | None = None):
         self.name, self.attrs, self.parent, self.children = name, attrs or {}, parent, []
+        #: The element before among its siblings, the number among them from 1, and the last element below.
+        self.before: Element | None = parent.last if parent else None
+        self.place: int = self.before.place + 1 if self.before else 1
+        self.last: Element | None = None
+        if parent:
+            parent.last = self
+            parent.children.append(self)
 
     def walk(self) -> Iterator[Element]:
         """All elements below, in document order, without recursion."""
@@ -60,9 +63,6 @@ class Element:
     def text(self) -> str:
         return "".join(n for _, n in self.nodes() if isinstance(n, str)).strip()
 
-    def siblings(self) -> list[Element]:
-        return [c for c in self.parent.children if isinstance(c, Element)] if self.parent else [self]
-
     def inner_html(self) -> str:
         out: list[str] = []
         stack: list[Element | str | tuple[str]] = list(reversed(self.children))
@@ -90,27 +90,25 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Element("[document]")
         self.open = [self.root]
-        self.count: Counter[str] = Counter()
+        #: For each name, where it stands among the open elements, outermost first.
+        self.places: dict[str, list[int]] = {}
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         names, stops = CLOSES.get(tag, ((), ()))
-        if any(self.count[n] for n in names):
-            outermost = len(self.open)
-            for i in range(len(self.open) - 1, max(0, len(self.open) - REACH), -1):
-                if self.open[i].name in stops:
-                    break
-                if self.open[i].name in names:
-                    outermost = i
-            self.close_from(outermost)
+        closed = [p for n in names if (p := self.places.get(n))]
+        if closed:
+            stop = max((p[-1] for n in stops if (p := self.places.get(n))), default=0)
+            above = [p[i] for p in closed if (i := bisect_right(p, stop)) < len(p)]
+            if above:
+                self.close_from(min(above))
         e = Element(tag, {k: v or "" for k, v in reversed(attrs)}, self.open[-1])
-        self.open[-1].children.append(e)
         if tag not in VOID:
+            self.places.setdefault(tag, []).append(len(self.open))
             self.open.append(e)
-            self.count[tag] += 1
 
     def close_from(self, i: int) -> None:
         for e in self.open[i:]:
-            self.count[e.name] -= 1
+            self.places[e.name].pop()
         del self.open[i:]
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -119,8 +117,8 @@ class _Builder(HTMLParser):
             self.close_from(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
-        if self.count[tag]:
-            self.close_from(next(i for i in range(len(self.open) - 1, 0, -1) if self.open[i].name == tag))
+        if self.places.get(tag):
+            self.close_from(self.places[tag][-1])
 
     def handle_data(self, data: str) -> None:
         self.open[-1].children.append(data)
@@ -175,14 +173,13 @@ def _nth(argument: str) -> Callable[[int], bool]:
 
 
 def _pseudo(name: str, argument: str) -> Test:
-    place = lambda e: next(i for i, s in enumerate(e.siblings(), 1) if s is e)
     if name == "nth-child":
         at = _nth(argument)
-        return lambda e: at(place(e))
+        return lambda e: at(e.place)
     if name == "first-child":
-        return lambda e: place(e) == 1
+        return lambda e: e.place == 1
     if name == "last-child":
-        return lambda e: e.siblings()[-1] is e
+        return lambda e: e.parent is None or e.parent.last is e
     if name in ("not", "is"):
         inner = compiled(argument)
         return lambda e: inner(e) is (name == "is")
@@ -244,9 +241,10 @@ def compiled(selector: str) -> Test:
         if how == ">":
             return e.parent is not None and chain_matches(e.parent, chain, i - 1)
         if how in "+~":
-            before = e.siblings()
-            before = before[: next(k for k, x in enumerate(before) if x is e)]
-            return any(chain_matches(x, chain, i - 1) for x in (before[-1:] if how == "+" else before))
+            before = e.before
+            while before is not None and not chain_matches(before, chain, i - 1):
+                before = before.before if how == "~" else None
+            return before is not None
         up = e.parent
         while up is not None:
             if chain_matches(up, chain, i - 1):

@@ -118,10 +118,42 @@ def c3_crawl_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "parent", "spider", "depth", F.regexp_replace("url", "#[0-9]+$", "").alias("url"), "degree", "error", "body_size")
 
 
-@query("""SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'not-html' END AS invalidity, page_id % 5 <> 0 AS expand FROM pages""")
+_FOCUS = """p AS (SELECT doc_id AS page_id, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '(?i)the')) AS n FROM documents),
+  f AS (SELECT page_id, n, CASE WHEN page_id % 7 = 0 THEN 'not-html' WHEN page_id % 5 = 0 THEN 'binary' WHEN n = 0 THEN 'irrelevant' END AS invalidity FROM p)"""
+
+
+def _focus_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages with three links each; some are no HTML, some binary."""
+    k = F.col("doc_id")
+    said = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    links = F.concat(F.lit("<a href='/news/"), k.cast("string"), F.lit("'></a><a href='/other/"), k.cast("string"), F.lit("'></a><a href='/news/x.pdf'></a><a href='mailto:a@b.c'></a>"))
+    page = F.when(k % 7 == 0, "plain text of the page").otherwise(F.concat(F.lit("<html><body><p>"), said, F.lit("</p>"), links, F.lit("</body></html>")))
+    url = F.concat(F.lit("https://site.org/d/"), k.cast("string"))
+    return table(spark, sf_dir, "documents").select(k.alias("page_id"), url.alias("url"), F.when(k % 5 == 0, "image/png").otherwise("text/html").alias("mimetype"), page.alias("html"))
+
+
+@query(f"""WITH {_FOCUS} SELECT page_id, invalidity, invalidity IS NULL AS relevant, CASE WHEN coalesce(invalidity, 'irrelevant') = 'irrelevant' THEN nullif(n, 0)::INT END AS matches, invalidity IS NULL AS expand,
+  CASE WHEN invalidity IS NULL THEN ['https://site.org/news/' || page_id] ELSE []::VARCHAR[] END AS next FROM f""")
 def c4_focus_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").withColumn("mimetype", F.when(F.col("page_id") % 5 == 0, "application/pdf").otherwise("text/html"))
-    return graph.focus_crawl(pages, "the", irrelevant_continue=True).select("page_id", "invalidity", "expand")
+    return graph.focus_crawl(_focus_pages(spark, sf_dir), "the", url_pattern="/news/")
+
+
+@query(f"""WITH {_FOCUS} SELECT page_id, invalidity, invalidity = 'irrelevant' OR invalidity IS NULL AS expand, CASE WHEN coalesce(invalidity, 'irrelevant') = 'irrelevant' THEN ['https://site.org/news/' || page_id, 'https://site.org/other/' || page_id] ELSE []::VARCHAR[] END AS next FROM f""")
+def c4_focus_crawl_goes_on(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.focus_crawl(_focus_pages(spark, sf_dir), "the", irrelevant_continue=True).select("page_id", "invalidity", F.coalesce("expand", F.lit(False)).alias("expand"), "next")
+
+
+@query(r"""SELECT page_id, len(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS n_links, regexp_extract(url, '^(https?://[^/]+)', 1) || regexp_extract(html, 'href="(/[^"]*)"', 1) AS first_link FROM pages WHERE regexp_matches(html, 'href="/')""")
+def d2_spider(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A spider that counts a page's links and wants the first of them."""
+    from weblake.html.tree import select
+
+    def follow(job, page):
+        links = [a.attrs["href"] for a in select(page, "a[href]") if a.attrs["href"].startswith("/")]
+        return {"n_links": len(links)}, links[:1]
+
+    found = graph.spider(table(spark, sf_dir, "pages"), follow, "n_links:bigint")
+    return found.where(F.size("next") > 0).select("page_id", "data.n_links", F.get("next", 0).alias("first_link"))
 
 
 @query("SELECT page_id, ['own', 'fwd', 'par'][page_id % 3 + 1] AS routed, CASE WHEN page_id % 3 = 2 THEN 'unknown-spider' END AS route_error FROM pages")
@@ -146,12 +178,11 @@ def c8_start_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.start_pages(corpus(spark, sf_dir))
 
 
-@query(r"""WITH h AS (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS href FROM pages)
-  SELECT page_id % 5 <> 0 AS source_relevant, count(*) AS n FROM h GROUP BY 1""")
+@query(f"""WITH {_FOCUS} SELECT 'https://site.org/d/' || page_id AS source, ['https://site.org/news/' || page_id, 'https://site.org/other/' || page_id, 'https://site.org/news/x.pdf'][i] AS target, invalidity IS NULL AS source_relevant, invalidity AS source_invalidity,
+  i = 1 AS target_relevant, CASE i WHEN 2 THEN 'irrelevant' WHEN 3 THEN 'not-html' END AS target_invalidity FROM f, (SELECT unnest([1, 2, 3]) AS i) WHERE page_id % 7 <> 0""")
 def c5_focus_link_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weblake.operators import html
 
-    pages = table(spark, sf_dir, "pages").withColumn("mimetype", F.when(F.col("page_id") % 5 == 0, "application/pdf").otherwise("text/html"))
-    focus = graph.focus_crawl(pages, ".")
+    pages = _focus_pages(spark, sf_dir)
     links = html.scrape_urls(html.named(pages)).join(pages.select("page_id", "url"), "page_id")
-    return graph.focus_link_report(links, focus).groupBy("source_relevant").agg(F.count("*").alias("n"))
+    return graph.focus_link_report(links, graph.focus_crawl(pages, "the"), url_pattern="/news/")

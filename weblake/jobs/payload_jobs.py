@@ -170,18 +170,96 @@ def n10_instagram_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.instagram_posts(payload(table(spark, sf_dir, "orders"), doc)).select("id", "media_type", "medias_type", "medias_url", "usertags_medias", "coauthor_usernames")
 
 
-@query("SELECT c_custkey::VARCHAR AS id, ['t' || c_nationkey] AS bio_links_title, ['friend'] AS mentioned_users, ['tag'] AS hashtags FROM customer")
+@query("""SELECT c_custkey::VARCHAR AS id, ['t' || c_nationkey] AS bio_links_title, ['friend'] AS biography_with_username, ['tag' || c_nationkey] AS biography_with_hashtag, c_custkey::VARCHAR AS follower_count,
+  'they' AS pronoun, c_custkey % 2 = 0 AS is_business_account, c_mktsegment AS category_name FROM customer""")
 def n11_instagram_user_infos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = F.lit(None).cast("struct<name:string>")
-    entities = F.array(s(user=s(username="friend"), hashtag=none), s(user=F.lit(None).cast("struct<username:string>"), hashtag=s(name="tag")))
-    doc = s(id=text_of("c_custkey"), bio_links=F.array(s(title=F.concat(F.lit("t"), text_of("c_nationkey")), url="http://x")), biography_with_entities=s(entities=entities))
-    return payloads.instagram_user_infos(payload(table(spark, sf_dir, "customer"), doc)).select("id", "bio_links_title", "mentioned_users", "hashtags")
+    none = F.lit(None).cast("string")
+    entities = F.array(s(user=s(username="friend", hashtag=none)), s(user=s(username="", hashtag=F.concat(F.lit("tag"), text_of("c_nationkey")))))
+    doc = s(
+        id=text_of("c_custkey"), bio_links=F.array(s(title=F.concat(F.lit("t"), text_of("c_nationkey")), url="http://x")), biography_with_entities=s(entities=entities), edge_followed_by=s(count=F.col("c_custkey")),
+        pronouns=F.array(F.lit("they")), is_business_account=F.col("c_custkey") % 2 == 0, category_name=F.col("c_mktsegment"),
+    )
+    found = payloads.instagram_user_infos(payload(table(spark, sf_dir, "customer"), doc))
+    return found.select("id", "bio_links_title", "biography_with_username", "biography_with_hashtag", "follower_count", F.get("pronouns", 0).alias("pronoun"), "is_business_account", "category_name")
 
 
-@query("SELECT o_orderkey::VARCHAR AS stories_id, [o_orderpriority, 'b'] AS tags, ['s', 's'] AS tag_sets FROM orders")
+@query("SELECT c_custkey::VARCHAR AS id, c_name AS username, c_custkey % 3 = 0 AS is_private, 'p' || c_nationkey AS profile_pic_id, ['b'] AS account_badges, c_nationkey::VARCHAR AS latest_reel_media, false AS is_favorite FROM customer")
+def n11_instagram_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc = s(pk=F.col("c_custkey"), username=F.col("c_name"), is_private=F.col("c_custkey") % 3 == 0, profile_pic_id=F.concat(F.lit("p"), text_of("c_nationkey")), account_badges=F.array(F.lit("b")), latest_reel_media=F.col("c_nationkey"), is_favorite=False)
+    return payloads.instagram_users(payload(table(spark, sf_dir, "customer"), doc)).select("id", "username", "is_private", "profile_pic_id", "account_badges", "latest_reel_media", "is_favorite")
+
+
+@query("SELECT o_orderkey::VARCHAR AS stories_id, [o_orderpriority, 'b'] AS tags, ['s', 's'] AS tag_sets, [o_custkey::VARCHAR, NULL] AS tags_ids FROM orders")
 def n13_mediacloud_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    doc = s(stories_id=F.col("o_orderkey"), story_tags=F.array(s(tag=F.col("o_orderpriority"), tag_set="s"), s(tag="b", tag_set="s")))
-    return payloads.mediacloud_stories(payload(table(spark, sf_dir, "orders"), doc)).select("stories_id", "tags", "tag_sets")
+    tags = F.array(s(tag=F.col("o_orderpriority"), tag_set="s", tags_id=F.col("o_custkey")), s(tag="b", tag_set="s", tags_id=F.lit(None).cast("long")))
+    doc = s(stories_id=F.col("o_orderkey"), payload_tags=tags)
+    return payloads.mediacloud_stories(payload(table(spark, sf_dir, "orders"), doc)).select("stories_id", "tags", "tag_sets", "tags_ids")
+
+
+@query("SELECT s_suppkey::VARCHAR AS media_id, s_name AS media_name, s_suppkey % 2 = 0 AS is_healthy, CASE WHEN s_suppkey % 3 = 0 THEN 'n' END AS public_notes, s_suppkey::DOUBLE AS num_stories_90, ['k' || s_nationkey] AS tags FROM supplier")
+def n13_mediacloud_medias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    doc = s(media_id=k, name=F.col("s_name"), is_healthy=k % 2 == 0, public_notes=F.when(k % 3 == 0, "n"), num_stories_90=k, media_source_tags=F.array(s(tag=F.concat(F.lit("k"), text_of("s_nationkey")))))
+    return payloads.mediacloud_medias(payload(table(spark, sf_dir, "supplier"), doc)).select("media_id", "media_name", "is_healthy", "public_notes", "num_stories_90", "tags")
+
+
+@query("SELECT s_suppkey::VARCHAR AS feeds_id, s_name AS name, 'm' || s_nationkey AS media_id, s_suppkey % 2 = 0 AS active, s_suppkey + 0.5::DOUBLE AS last_new_story_time FROM supplier")
+def n13_mediacloud_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    doc = s(payloads_id=k, name=F.col("s_name"), media_id=F.concat(F.lit("m"), text_of("s_nationkey")), active=k % 2 == 0, last_new_story_time=k + 0.5)
+    return payloads.mediacloud_feeds(payload(table(spark, sf_dir, "supplier"), doc)).select("feeds_id", "name", "media_id", "active", "last_new_story_time")
+
+
+@query("""SELECT o_orderkey AS page_id, i::INT AS place, CASE i WHEN 0 THEN o_orderpriority ELSE 'T' || o_custkey END AS title, CASE i WHEN 0 THEN 'https://site.org/' || o_orderkey ELSE 'https://other.org/?a=1&b=' || o_custkey END AS url
+  FROM orders, (SELECT unnest([0, 1]) AS i) WHERE o_orderkey % 7 <> 0""")
+def n4_youtube_channel_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Data of the service's shape: the shown text is cut, the target is under the link's command, one of them behind a redirection."""
+    link = lambda title, url: s(channelExternalLinkViewModel=s(title=s(content=title), link=s(content="site.org/short\u2026", commandRuns=F.array(s(onTap=s(innertubeCommand=s(urlEndpoint=s(url=url))))))))
+    away = F.concat(F.lit("https://www.youtube.com/redirect?event=channel&q=https%3A%2F%2Fother.org%2F%3Fa%3D1%26b%3D"), text_of("o_custkey"))
+    links = F.array(link(F.concat(F.lit(" "), F.col("o_orderpriority"), F.lit(" ")), F.concat(F.lit("https://site.org/"), text_of("o_orderkey"))), link(F.concat(F.lit("T"), text_of("o_custkey")), away))
+    data = F.to_json(s(contents=s(tabs=F.array(s(deep=s(links=links))))))
+    page = F.concat(F.lit("<html><script>var ytInitialData = "), F.when(F.col("o_orderkey") % 7 == 0, "{broken").otherwise(data), F.lit(";</script></html>"))
+    pages = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"), page.alias("html"))
+    return payloads.youtube_channel_links(pages)
+
+
+@query("""SELECT o_orderkey AS video_id, i::INT AS place, CASE i WHEN 0 THEN 'en' ELSE 'fr' END AS lang, 'https://www.youtube.com/api/timedtext?v=' || o_orderkey || '&lang=' || i AS url, i = 1 AND o_orderkey % 2 = 0 AS generated
+  FROM orders, (SELECT unnest([0, 1]) AS i) WHERE o_orderkey % 5 <> 0""")
+def n5_youtube_caption_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = lambda i: F.concat(F.lit("https://www.youtube.com/api/timedtext?v="), text_of("o_orderkey"), F.lit(f"\\u0026lang={i}"))
+    track = lambda i, lang, kind: F.concat(F.lit('{"baseUrl":"'), url(i), F.lit(f'","languageCode":"{lang}"'), kind, F.lit("}"))
+    tracks = F.concat(F.lit('"captionTracks":['), track(0, "en", F.lit("")), F.lit(","), track(1, "fr", F.when(F.col("o_orderkey") % 2 == 0, ',"kind":"asr"').otherwise("")), F.lit("]"))
+    page = F.concat(F.lit("<script>100% + {"), F.when(F.col("o_orderkey") % 5 == 0, "").when(F.col("o_orderkey") % 3 == 0, F.replace(tracks, F.lit('"'), F.lit("%22"))).otherwise(tracks), F.lit("}</script>"))
+    page = F.when(F.col("o_orderkey") % 3 == 0, F.replace(page, F.lit("100% "), F.lit(""))).otherwise(page)
+    return payloads.youtube_caption_tracks(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("video_id"), page.alias("html")))
+
+
+@query("""SELECT o_orderkey AS track, i::INT AS place, i * 1.5::DOUBLE AS start, CASE i WHEN 0 THEN 2.25 ELSE 0 END::DOUBLE AS dur, CASE i WHEN 0 THEN 'it''s é & <' || o_orderpriority || '>' ELSE '"à" — ' || o_custkey END AS text FROM orders, (SELECT unnest([0, 1]) AS i)""")
+def n5_youtube_caption_lines_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities by name, by number and by hexadecimal number."""
+    first = F.concat(F.lit('<text start="0.0" dur="2.25">it&#x27;s &#233; &amp; &lt;'), F.col("o_orderpriority"), F.lit("&gt;</text>"))
+    second = F.concat(F.lit('<text start="1.5"> &quot;&agrave;&quot; &#8212; '), text_of("o_custkey"), F.lit("</text>"))
+    files = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("track"), F.concat(F.lit('<?xml version="1.0"?><transcript>'), first, second, F.lit("</transcript>")).alias("xml"))
+    return payloads.youtube_caption_lines(files, "track", "xml")
+
+
+@query("""SELECT 'http://s.org/' || o_orderkey AS url, 's:http|h:org|h:s|p:' || o_orderkey AS lru, o_custkey AS webentity, 'IN' AS webentity_status, CASE WHEN o_orderkey % 2 = 0 THEN '200' END AS status, o_orderkey % 2 = 0 AS crawled,
+  (o_orderkey * 1000)::VARCHAR AS crawl_timestamp, strftime(make_timestamp(o_orderkey * 1000000), '%Y-%m-%dT%H:%M:%S') AS crawl_datetime, NULL::VARCHAR AS size, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE '<p>hello</p>' END AS body FROM orders""")
+def n18_webentity_page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies deflated, in base64; every third is broken."""
+    import base64
+    import zlib
+
+    k = text_of("o_orderkey")
+    packed = base64.b64encode(zlib.compress(b"<p>hello</p>")).decode()
+    even = F.col("o_orderkey") % 2 == 0
+    doc = s(
+        url=F.concat(F.lit("http://s.org/"), k), lru=F.concat(F.lit("s:http|h:org|h:s|p:"), k), status=F.when(even, 200), crawled=even, crawl_timestamp=F.col("o_orderkey") * 1000,
+        body=F.when(F.col("o_orderkey") % 3 == 0, "bm8gemxpYg==").otherwise(packed),
+    )
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("webentity"), F.lit("IN").alias("webentity_status"), F.to_json(doc).alias("payload"))
+    found = payloads.webentity_page_rows(rows, bodies=True)
+    return found.select("url", "lru", "webentity", "webentity_status", "status", "crawled", "crawl_timestamp", "crawl_datetime", "size", F.col("body").cast("string").alias("body"))
 
 
 @query("SELECT o_orderkey::VARCHAR AS user_id, NULL::VARCHAR AS cursor FROM orders UNION ALL SELECT NULL, 'c' || o_custkey FROM (SELECT DISTINCT o_custkey FROM orders)")

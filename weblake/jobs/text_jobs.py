@@ -47,8 +47,22 @@ def p3_p6_relevance_and_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20'")
 def p4_p5_time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    start, end = text.parse_partial_iso(F.lit("2024-01-05")), text.parse_partial_iso(F.lit("2024-01-20"))
-    return table(spark, sf_dir, "events").where((F.col("ts").cast("timestamp") >= start) & (F.col("ts").cast("timestamp") < end)).select("event_id")
+    return page.filter_time_range(table(spark, sf_dir, "events"), "ts", "2024-01-05", "2024-01-20").select("event_id")
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE n_chars >= 500")
+def p5_min_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page.filter_min_date(table(spark, sf_dir, "documents"), "n_chars", 500).select("doc_id", "n_chars")
+
+
+@query("SELECT page_id, page_id % 5 IN (1, 3) AS for_html, page_id % 5 = 1 AS for_short, page_id % 5 <> 0 AND page_id % 5 <> 4 AS for_all FROM pages")
+def p2_mark_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id") % 5
+    url = F.when(k == 0, " ").when(k == 1, "https://bit.ly/abc").when(k == 2, "https://site.org/a.pdf").when(k == 3, "https://site.org/a.html")
+    rows = table(spark, sf_dir, "pages").select("page_id", url.alias("url"))
+    rows = page.mark_eligible(rows, "url", only_html=True).withColumnRenamed("eligible", "for_html")
+    rows = page.mark_eligible(rows, "url", only_shortened=True).withColumnRenamed("eligible", "for_short")
+    return page.mark_eligible(rows, "url").withColumnRenamed("eligible", "for_all").drop("url")
 
 
 @query("""SELECT page_id, regexp_matches(html, '(?i)^\\s*<(?:html|head|body|title|meta|link|span|div|img|ul|ol|a|p|!|\\?)') AS html,
@@ -76,10 +90,10 @@ def r3_declared_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page.declared_encodings(pages, "page_id", "body")
 
 
-@query("SELECT page_id, 'text/html' AS mimetype, 'utf-8' AS charset, '.html' AS ext, true AS is_text, page_id % 2 = 0 AS supported FROM pages")
+@query("SELECT page_id, 'text/html' AS mimetype, 'utf-8' AS charset, '.html' AS ext, true AS is_text, page_id % 8 < 4 AS supported FROM pages")
 def r5_r7_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     header = F.when(F.col("page_id") % 2 == 0, "text/html; charset=UTF-8").otherwise("text/html , x;charset='utf-8'")
-    name = F.when(F.col("page_id") % 2 == 0, "ISO 8859_1").otherwise("nope")
+    name = F.get(F.array(*map(F.lit, ("ISO 8859_1", "L1", "csISO2022-KR", "Shift_JIS 2004", "utf-8859-1", "nope", "xsjis", ""))), (F.col("page_id") % 8).cast("int"))
     parts, guess = page.content_type_parts(header), page.guess_mimetype(F.col("url"), F.lit(None).cast("string"), F.col("html"))
     return table(spark, sf_dir, "pages").select("page_id", parts["mimetype"].alias("mimetype"), parts["charset"].alias("charset"), guess["ext"].alias("ext"), guess["is_text"].alias("is_text"), page.is_supported_encoding(name).alias("supported"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weblake.functions import urls
 from weblake.operators.storage import stored
+from weblake.operators.tables import numbered_by
 
 
 def _first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -29,26 +30,25 @@ def frontier_order(frontier: DataFrame, lifo: bool = False) -> DataFrame:
 
 
 def frontier_places(frontier: DataFrame, lifo: bool = False) -> DataFrame:
-    """All jobs to do, and ``place``, 1, 2, ... in the order of ``frontier_order``.
-
-    Ranges of that order are numbered each on its own, after the rows of the ranges before.
-    """
+    """All jobs to do, and ``place``, 1, 2, ... in the order of ``frontier_order``."""
     order = [F.asc("priority"), F.desc("index") if lifo else F.asc("index")]
-    ranges = stored(frontier.where("status = 'todo'").repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranges.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("range").orderBy(*order))
-    return ranges.withColumn("within", within).join(offsets, "range").withColumn("place", F.col("before") + F.col("within")).drop("range", "within", "before")
+    return numbered_by(frontier.where("status = 'todo'"), order, "place", start=1)
 
 
 def politeness_plan(frontier: DataFrame, throttle: float = 0.2, parallelism: int = 1) -> DataFrame:
     """Jobs to do with ``batch`` and ``start``, seconds from now, if requests took no time.
 
     Per group, ``parallelism`` at once and ``throttle`` seconds between; jobs without group start at once.
+    A group is cut into ranges of its order that are numbered alone, so a hot group is no single task.
     """
     todo = frontier.where("status = 'todo'")
-    place = F.row_number().over(Window.partitionBy("group").orderBy("priority", "index")) - 1
-    grouped = todo.where("group is not null").withColumn("batch", F.floor(place / parallelism))
+    order = ["priority", "index"]
+    ranges = stored(todo.where("group is not null").repartitionByRange("group", *order).withColumn("range", F.spark_partition_id()))
+    before = Window.partitionBy("group").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.groupBy("group", "range").agg(F.count("*").alias("n")).select("group", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("group", "range").orderBy(*order))
+    grouped = ranges.withColumn("within", within).join(offsets, ["group", "range"])
+    grouped = grouped.withColumn("batch", F.floor((F.col("before") + F.col("within") - 1) / parallelism)).select(*todo.columns, "batch")
     free = todo.where("group is null").withColumn("batch", F.lit(0).cast("long"))
     return grouped.unionByName(free).withColumn("start", F.col("batch") * F.lit(throttle))
 

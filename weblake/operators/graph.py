@@ -2,21 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weblake.functions import text, urls
 from weblake.functions.text import looks_like_html
+from weblake.html.tree import Element, select
 from weblake.operators.aggregates import crawl_degree
-from weblake.operators.html import display_texts, named, page_links
+from weblake.operators.html import map_pages, named, page_links, read_content
 from weblake.operators.storage import stored
 
 
 def link_table(pages: DataFrame) -> DataFrame:
     """from_url, to_url of pages that answered 200 with HTML; once per page, without fragments."""
     good = pages.where((F.col("http_status").try_cast("double") == 200) & looks_like_html(F.col("html")))
-    found = named(good, keep=("page_id", "url"))
-    return page_links(found).join(good.select("page_id", "url"), "page_id").select(F.col("url").alias("from_url"), F.col("link").alias("to_url"))
+    links = page_links(named(good, keep=("page_id", "url")), keep=("url",))
+    return links.select(F.col("url").alias("from_url"), F.col("link").alias("to_url"))
+
+
+def spider(pages: DataFrame, function: Callable, schema: str, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
+    """What a spider function makes of each page: ``keep``, data (a struct of ``schema``) and next, URLs to crawl.
+
+    function(job, page) -> (data, next): job is the mapping of the kept values, page the parsed tree, data
+    a mapping or None, next a list of links, or None; they are joined with the page's URL.
+    """
+
+    def read(root: Element, row: dict[str, Any]) -> dict[str, Any]:
+        data, targets = function(row, root)
+        return {"data": data, "targets": list(targets or [])}
+
+    found = map_pages(pages, html, read, f"data:struct<{schema.replace(' ', '')}>, targets:array<string>", keep)
+    return found.select(*keep, "data", F.transform("targets", lambda t: urls.url_join(F.col("url"), t)).alias("next"))
+
+
+def spider_links(found: DataFrame) -> DataFrame:
+    """from_url, to_url of what a spider wants next: the edges of ``crawl_bfs``."""
+    return found.select(F.col("url").alias("from_url"), F.explode("next").alias("to_url")).distinct()
 
 
 def crawl_bfs(start: DataFrame, links: DataFrame, max_depth: int, normalized: bool = False) -> DataFrame:
@@ -48,21 +72,43 @@ def crawl_results(jobs: DataFrame, pages: DataFrame) -> DataFrame:
     return joined.withColumn("error", F.when(F.col("status").isNull() & F.col("error").isNull(), "not-fetched").otherwise(F.col("error"))).select(*RESULT)
 
 
-def focus_crawl(pages: DataFrame, pattern: str, invert: bool = False, url_pattern: str | None = None, irrelevant_continue: bool = False) -> DataFrame:
-    """page_id, relevant, matches, invalidity and expand (whether its links are followed) of stored pages."""
-    shown = display_texts(pages, keep=("page_id", "url", "mimetype"))
+def focus_crawl(pages: DataFrame, pattern: str | None, invert: bool = False, url_pattern: str | None = None, irrelevant_continue: bool = False, only_html: bool = True, extract: bool = False, extract_fields: tuple[str, ...] = ("title", "description", "content")) -> DataFrame:
+    """page_id, invalidity, relevant, matches, expand and next (links to follow) of stored pages.
+
+    invalidity is the first of not-html, binary, empty and irrelevant (``pattern`` is not in the text, or,
+    with ``extract``, in the fields of the main content); only valid pages are relevant. Links of a page
+    are followed if it is relevant, or irrelevant and ``irrelevant_continue``; those that cannot be HTML,
+    or whose URL lacks ``url_pattern``, are not. pages: page_id, url, mimetype, html.
+    """
+    keep = ("page_id", "url", "mimetype", "like html", "no bytes")
+    rows = pages.withColumn("like html", F.coalesce(looks_like_html(F.col("html")), F.lit(False))).withColumn("no bytes", F.coalesce(F.col("html"), F.lit("")) == "")
+
+    def read(root: Element, row: dict[str, Any]) -> dict[str, Any]:
+        content = {k: v for k, v in read_content(root).items() if k in extract_fields} if extract else {}
+        said = [" ".join(v) if isinstance(v, list) else v for v in (content.get(f) for f in extract_fields) if v]
+        return {"text": "\n".join(said) if extract else root.text(), "hrefs": [h for a in select(root, "a[href]") if (h := a.attrs["href"].strip())]}
+
+    shown = map_pages(rows, "html", read, "text:string, hrefs:array<string>", keep)
     judged = text.relevance(F.col("text"), pattern, invert)
-    invalid = F.when(~F.coalesce(F.col("mimetype").contains("/htm"), F.lit(False)), "not-html").when(text.is_binary_mimetype(F.col("mimetype")), "binary").when(F.trim("text") == "", "empty")
-    out = shown.select("page_id", invalid.alias("invalidity"), judged.alias("j"))
-    relevant = F.col("invalidity").isNull() & F.col("j.relevant")
-    return out.select("page_id", "invalidity", relevant.alias("relevant"), F.when(relevant, F.col("j.matches")).alias("matches"), (F.col("invalidity").isNull() & (relevant | F.lit(irrelevant_continue))).alias("expand"))
+    broken = F.when(F.lit(only_html) & ~F.col("like html"), "not-html").when(text.is_binary_mimetype(F.col("mimetype")), "binary").when(F.col("no bytes"), "empty")
+    out = shown.select("page_id", "url", "hrefs", broken.alias("broken"), judged.alias("j"))
+    relevant = F.col("broken").isNull() & F.col("j.relevant")
+    expand = F.col("broken").isNull() & (relevant | F.lit(irrelevant_continue))
+    links = F.array_distinct(F.transform(F.filter("hrefs", urls.should_follow_href), lambda h: urls.url_join(F.col("url"), h)))
+    good = lambda u: text.relevance(u, url_pattern)["relevant"] & ((urls.could_be_html(u)) if only_html else F.lit(True))
+    return out.select(
+        "page_id", F.coalesce("broken", F.when(~relevant, "irrelevant")).alias("invalidity"), relevant.alias("relevant"), F.when(F.col("broken").isNull(), F.col("j.matches")).alias("matches"),
+        expand.alias("expand"), F.when(expand, F.filter(links, good)).otherwise(F.array().cast("array<string>")).alias("next"),
+    )
 
 
 def focus_link_report(links: DataFrame, focus: DataFrame, url_pattern: str | None = None) -> DataFrame:
-    """source, target, whether each is relevant, and why a target is not followed. links: page_id, url, link."""
-    good = text.relevance(F.col("link"), url_pattern)["relevant"]
-    why = F.when(~urls.could_be_html(F.col("link")), "not-html").when(~good, "irrelevant")
-    return links.join(focus.select("page_id", "relevant"), "page_id").select(F.col("url").alias("source"), F.col("link").alias("target"), F.col("relevant").alias("source_relevant"), good.alias("target_relevant"), why.alias("target_invalidity"))
+    """source, target, whether each is relevant, and what is wrong with each. links: page_id, url, link."""
+    why = F.when(~urls.could_be_html(F.col("link")), "not-html").when(~text.relevance(F.col("link"), url_pattern)["relevant"], "irrelevant")
+    return links.join(focus.select("page_id", "relevant", "invalidity"), "page_id").select(
+        F.col("url").alias("source"), F.col("link").alias("target"), F.col("relevant").alias("source_relevant"), F.col("invalidity").alias("source_invalidity"),
+        why.isNull().alias("target_relevant"), why.alias("target_invalidity"),
+    )
 
 
 def route_spiders(targets: DataFrame, spiders: list[str]) -> DataFrame:

@@ -45,8 +45,15 @@ def map_pages(pages: DataFrame, html: str, read: Callable[[Element, dict[str, An
 
 
 def _top_level(schema: str) -> list[str]:
-    """Fields of a ``name:type, name:type`` schema."""
-    return [x.strip() for x in re.split(r",(?![^<]*>)", schema)]
+    """Fields of a ``name:type, name:type`` schema: parted by commas outside of angle brackets."""
+    out, depth = [""], 0
+    for c in schema:
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [x.strip() for x in out]
 
 
 def _stripped(e: Element | None, attr: str) -> str | None:
@@ -108,10 +115,10 @@ def scrape_rss(found: DataFrame, base: str = "url") -> DataFrame:
     return declared.unionByName(linked)
 
 
-def page_links(found: DataFrame, base: str = "url", unique: bool = True, strip_fragment: bool = True) -> DataFrame:
+def page_links(found: DataFrame, base: str = "url", unique: bool = True, strip_fragment: bool = True, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """Links to follow, resolved and canonical, once per page: made distinct within the row, without a shuffle."""
     whole = F.transform(F.filter("hrefs", urls.should_follow_href), lambda h: urls.canonicalize_url(urls.url_join(F.col(base), h), strip_fragment=strip_fragment))
-    return found.select("page_id", F.explode(F.array_distinct(whole) if unique else whole).alias("link"))
+    return found.select(*keep, F.explode(F.array_distinct(whole) if unique else whole).alias("link"))
 
 
 def scrape(pages: DataFrame, definition: dict, html: str = "html", keep: tuple[str, ...] = ("page_id",), context_cols: tuple[str, ...] = ()) -> DataFrame:
@@ -194,7 +201,7 @@ def _listed(values: list[Any]) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def _read_content(root: Element, row: dict[str, Any]) -> dict[str, Any]:
+def read_content(root: Element, row: dict[str, Any] | None = None) -> dict[str, Any]:
     metas: dict[str, list[str]] = {}
     for m in select(root, "meta[content]"):
         key = (m.attrs.get("property") or m.attrs.get("name") or "").lower()
@@ -212,12 +219,17 @@ def _read_content(root: Element, row: dict[str, Any]) -> dict[str, Any]:
     def meta(*keys: str) -> str | None:
         return next((v for k in keys for v in metas.get(k, []) if v), None)
 
+    elements = list(root.walk())
+    linked_text = dict.fromkeys(map(id, [root, *elements]), 0)  # of the links below each element, summed from the leaves up
+    for e in reversed(elements):
+        linked_text[id(e.parent)] += linked_text[id(e)] + (len(e.text()) if e.name == "a" else 0)
+
     def weight(e: Element) -> int:
         """Text of an element's own paragraphs, less twice what its links hold."""
         paragraphs = sum(len(c.text()) for c in e.children if isinstance(c, Element) and c.name in ("p", "pre", "blockquote", "h1", "h2", "h3", "ul", "ol", "b"))
-        return paragraphs - 2 * sum(len(a.text()) for a in select(e, "a"))
+        return paragraphs - 2 * linked_text[id(e)]
 
-    blocks = [e for e in root.walk() if e.name in ("article", "main", "section", "div", "td", "body") and not any(k in e.attrs.get("class", "").lower().split() for k in ("ad", "nav", "menu", "footer", "sidebar"))]
+    blocks = [e for e in elements if e.name in ("article", "main", "section", "div", "td", "body") and not any(k in e.attrs.get("class", "").lower().split() for k in ("ad", "nav", "menu", "footer", "sidebar"))]
     main = select_one(root, "article") or max(blocks, key=weight, default=None)
     author = linked.get("author")
     title = select_one(root, "title")
@@ -243,7 +255,7 @@ def extract_content(pages: DataFrame, html: str = "html", keep: tuple[str, ...]
     Own heuristic: the article element, else the block whose own paragraphs outweigh its links most;
     metadata from Open Graph, meta tags and JSON-LD. Without content, the error is no-result.
     """
-    found = map_pages(pages, html, _read_content, _CONTENT, keep)
+    found = map_pages(pages, html, read_content, _CONTENT, keep)
     return found.withColumn("extract_error", F.when(F.col("content").isNull(), "no-result"))
 
 

@@ -18,6 +18,18 @@ def last_write_wins(df: DataFrame, key: str, order: str) -> DataFrame:
     return rows.select("row.*")
 
 
+def one_row_each(df: DataFrame, key: str) -> DataFrame:
+    """Of rows with one key, the least by all other columns: the same in every run."""
+    others = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.min(F.struct(*others)).alias("row")).select(key, *(F.col("row")[c].alias(c) for c in others))
+
+
+def left_join_known(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join on ``key``. Rows without one match nothing; a salt spreads them, so that they do not meet in one task."""
+    salt = F.when(F.col(key).isNull(), F.monotonically_increasing_id() % 4096).otherwise(F.lit(-1).cast("long"))
+    return left.withColumn("null salt", salt).join(right.withColumn("null salt", F.lit(-1).cast("long")), [key, "null salt"], "left").drop("null salt")
+
+
 def _keys(stems: Column) -> Column:
     return F.array_join(stems, JOINT)
 
@@ -51,7 +63,7 @@ def join_by_url(left: DataFrame, left_url: str, right: DataFrame, right_url: str
     entities = one.groupBy("entity stems").agg(F.max_by(F.struct(*columns), order).alias("row"))
     probes = right.withColumn("probe stems", F.when(urls.is_url(F.col(right_url)), urls.normalized_lru(F.col(right_url))))
     matched = longest_prefix(probes, "probe stems", entities, "entity stems")
-    joined = probes.join(matched, F.col("probe stems") == F.col("stems"), "left")
+    joined = left_join_known(probes, matched.withColumnRenamed("stems", "probe stems"), "probe stems")
     return joined.select(*right.columns, *(F.col(f"row.{c}").alias(prefix + c) for c in columns))
 
 
@@ -67,18 +79,22 @@ def match_webentities(pages: DataFrame, url: str, corpus: DataFrame) -> DataFram
     entities = prefixes.withColumn("entity stems", stems(F.col("prefix"))).groupBy("entity stems").agg(F.max_by(F.struct("webentity", "status"), "webentity").alias("e"))
     probes = pages.withColumn("probe stems", F.when(urls.is_url(F.col(url)), stems(F.col(url))))
     matched = longest_prefix(probes, "probe stems", entities, "entity stems")
-    return probes.join(matched, F.col("probe stems") == F.col("stems"), "left").select(*pages.columns, F.col("e.webentity").alias("webentity"), F.col("e.status").alias("status"))
+    return left_join_known(probes, matched.withColumnRenamed("stems", "probe stems"), "probe stems").select(*pages.columns, F.col("e.webentity").alias("webentity"), F.col("e.status").alias("status"))
 
 
 def webentity_links(links: DataFrame, corpus: DataFrame, ignore_internal: bool = False) -> DataFrame:
     """source_webentity, target_webentity, source_url, target_url, follow of links between entities that are IN.
 
     A target is taken through its inferred redirection and must be possible HTML; follow: same entity.
+    Each distinct URL is matched once, whether links start or end there.
     """
     inside = links.withColumn("target_url", urls.infer_redirection(F.col("to_url"))).where(urls.could_be_html(F.col("target_url")))
-    source = match_webentities(inside, "from_url", corpus).withColumnsRenamed({"webentity": "source_webentity", "status": "source_status"})
-    both = match_webentities(source, "target_url", corpus).where("source_status = 'IN' and status = 'IN'")
-    out = both.select("source_webentity", F.col("webentity").alias("target_webentity"), F.col("from_url").alias("source_url"), "target_url")
+    inside = inside.select("from_url", "target_url")
+    every = inside.select(F.explode(F.array("from_url", "target_url")).alias("u")).distinct()
+    known = stored(match_webentities(every, "u", corpus).where("status = 'IN'").select("u", "webentity"))
+    both = inside.join(known.select(F.col("u").alias("from_url"), F.col("webentity").alias("source_webentity")), "from_url")
+    both = both.join(known.select(F.col("u").alias("target_url"), F.col("webentity").alias("target_webentity")), "target_url")
+    out = both.select("source_webentity", "target_webentity", F.col("from_url").alias("source_url"), "target_url")
     out = out.withColumn("follow", F.col("source_webentity") == F.col("target_webentity"))
     return out.where("source_webentity <> target_webentity") if ignore_internal else out
 
@@ -127,7 +143,7 @@ def resolve_redirects(start: DataFrame, hops: DataFrame, max_redirects: int = 20
     invalid-redirect, max-redirects, not-recorded), redirect_count and redirect_chain (kinds of hops).
     One equi-join per hop, of the rows that are still on their way; each round is written and read again.
     """
-    ways = stored(next_hops(hops.dropDuplicates(["url"]), infer))
+    ways = stored(next_hops(one_row_each(hops, "url"), infer))
     active = stored(start.select("url").distinct().select("url", F.col("url").alias("at"), F.array("url").alias("seen"), F.array().cast("array<string>").alias("chain")))
     done = []
     for n in range(max_redirects + 1):
@@ -157,12 +173,12 @@ def attach_referenced(tweets: DataFrame, users: DataFrame, originals: DataFrame
     tweets: id, user_id, quoted_id, retweeted_id, text; users: user_id, name. Referenced tweets come
     from ``originals`` (default: the tweets themselves), one row per id.
     """
-    base = (tweets if originals is None else originals).dropDuplicates(["id"])
-    named = base.join(users, "user_id", "left").select("id", "text", "name")
-    out = tweets.join(users, "user_id", "left")
+    base = one_row_each((tweets if originals is None else originals).select("id", "user_id", "text"), "id")
+    named = left_join_known(base, users, "user_id").select("id", "text", "name")
+    out = left_join_known(tweets, users, "user_id")
     for kind in ("quoted", "retweeted"):
         other = named.select(F.col("id").alias(f"{kind}_id"), F.col("text").alias(f"{kind}_text"), F.col("name").alias(f"{kind}_user"), F.lit(True).alias(f"{kind} found"))
-        out = out.join(other, f"{kind}_id", "left")
+        out = left_join_known(out, other, f"{kind}_id")
     error = F.when(F.col("name").isNull(), "user-not-found")
     for kind in ("quoted", "retweeted"):
         error = error.when(F.col(f"{kind}_id").isNotNull() & F.col(f"{kind} found").isNull(), f"{kind}-not-found")
@@ -176,8 +192,8 @@ def tweet_attrition(tweets: DataFrame, tweet_lookup: DataFrame, user_lookup: Dat
     both null if it was found.
     """
     reply = lambda df, key, name: df.select(key, F.struct("status", "code").alias(name))
-    replies = tweets.join(reply(tweet_lookup, "tweet_id", "of tweet"), "tweet_id", "left").join(reply(user_lookup, "user_id", "of user"), "user_id", "left")
-    replies = replies.join(reply(retweet_lookup.withColumnRenamed("tweet_id", "retweeted_id"), "retweeted_id", "of original"), "retweeted_id", "left")
+    replies = left_join_known(left_join_known(tweets, reply(tweet_lookup, "tweet_id", "of tweet"), "tweet_id"), reply(user_lookup, "user_id", "of user"), "user_id")
+    replies = left_join_known(replies, reply(retweet_lookup.withColumnRenamed("tweet_id", "retweeted_id"), "retweeted_id", "of original"), "retweeted_id")
 
     def said(name: str, table: dict[tuple[int, int], str], found: str) -> Column:
         r = F.col(name)

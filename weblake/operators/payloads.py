@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
+import base64
+import json
+import re
+import zlib
+from collections.abc import Iterable, Iterator
+from html import unescape
+from typing import Any
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from weblake.functions import text, urls
 from weblake.operators.storage import stored
 
 # Ids of video categories.
 YOUTUBE_CATEGORIES = {
-    "1": "Film & Animation", "2": "Autos & Vehicles", "10": "Music", "15": "Pets & Animals", "17": "Sports", "18": "Short Movies", "19": "Travel & Events",
+    "1": "Film & Animation ", "2": "Autos & Vehicles", "10": "Music", "15": "Pets & Animals", "17": "Sports", "18": "Short Movies", "19": "Travel & Events",
     "20": "Gaming", "21": "Videoblogging", "22": "People & Blogs", "23": "Comedy", "24": "Entertainment", "25": "News & Politics", "26": "Howto & Style",
     "27": "Education", "28": "Science & Technology", "29": "Nonprofits & Activism",
+    "30": "Movies", "31": "Anime/Animation", "32": "Action/Adventure", "33": "Classics", "34": "Comedy", "35": "Documentary", "36": "Drama", "37": "Family",
+    "38": "Foreign", "39": "Horror", "40": "Sci-Fi/Fantasy", "41": "Thriller", "42": "Shorts", "43": "Shows", "44": "Trailers",
 }
 
 
@@ -214,25 +227,116 @@ def facebook_comments(df: DataFrame) -> DataFrame:
         out = out.unionByName(flat(level))
 
 
+def youtube_caption_tracks(df: DataFrame, video: str = "video_id", html: str = "html") -> DataFrame:
+    """lang, url and generated of the caption tracks that a video's page names, in order; escapes of URLs are undone first."""
+    plain = F.coalesce(F.try_url_decode(F.replace(html, F.lit("+"), F.lit("%2B"))), F.col(html))
+    tracks = df.select(video, F.try_parse_json(F.regexp_extract(plain, r'(?s)"captionTracks":(\[.*?\])', 1)).alias("v"))
+    rows = tracks.select(video, F.posexplode(F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array().cast("array<variant>"))).alias("place", "v"))
+    return rows.select(video, "place", at("languageCode").alias("lang"), at("baseUrl").alias("url"), F.coalesce(at("kind") == "asr", F.lit(False)).alias("generated"))
+
+
+@F.pandas_udf(StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    """Texts without entities and outer blanks: names and numbers of all kinds, which no built-in undoes."""
+    return texts.map(lambda t: None if t is None else unescape(t).strip())
+
+
 def youtube_caption_lines(df: DataFrame, track: str, xml: str) -> DataFrame:
     """Lines of caption files: start, dur (0 if missing), text without escapes."""
-    plain = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&#39;"), F.lit("'")), F.lit("&quot;"), F.lit('"')), F.lit("&lt;"), F.lit("<")), F.lit("&amp;"), F.lit("&"))
     lines = df.select(track, F.posexplode(F.regexp_extract_all(xml, F.lit(r"(?s)(<text\b.*?</text>)"), F.lit(1))).alias("place", "line"))
-    return lines.select(track, "place", F.regexp_extract("line", r'start="([^"]*)"', 1).try_cast("double").alias("start"), F.coalesce(F.regexp_extract("line", r'dur="([^"]*)"', 1).try_cast("double"), F.lit(0.0)).alias("dur"), plain(F.regexp_extract("line", r"(?s)<text\b[^>]*>(.*)</text>", 1)).alias("text"))
+    said = F.regexp_replace(F.regexp_extract("line", r"(?s)<text\b[^>]*>(.*)</text>", 1), "<[^>]*>", "")
+    return lines.select(track, "place", F.regexp_extract("line", r'start="([^"]*)"', 1).try_cast("double").alias("start"), F.coalesce(F.regexp_extract("line", r'dur="([^"]*)"', 1).try_cast("double"), F.lit(0.0)).alias("dur"), _unescaped(said).alias("text"))
+
+
+INITIAL_DATA = re.compile(r"(?:const|let|var)\s+ytInitialData\s*=\s*(\{.+\})\s*;</script>")
+LINK_TARGET = ("link", "commandRuns", 0, "onTap", "innertubeCommand", "urlEndpoint", "url")
+
+
+def _channel_links(html: str | None) -> list[dict[str, str | None]]:
+    """title and url of each link in a page's data, in order; a mapping that holds one is not searched further."""
+    found = INITIAL_DATA.search(html or "")
+    try:
+        stack = [json.loads(found[1])] if found else []
+    except ValueError:
+        return []
+
+    def under(value: Any, path: tuple) -> str | None:
+        for key in path:
+            fits = isinstance(value, list) and len(value) > key if isinstance(key, int) else isinstance(value, dict) and key in value
+            value = value[key] if fits else None
+        return value if isinstance(value, str) else None
+
+    out = []
+    while stack:
+        value = stack.pop()
+        if isinstance(value, tuple):
+            if isinstance(value[1], dict):
+                out.append({"title": (under(value[1], ("title", "content")) or "").strip(), "url": under(value[1], LINK_TARGET)})
+            continue
+        if isinstance(value, dict):
+            inner = []
+            for k, v in value.items():
+                if k == "channelExternalLinkViewModel":
+                    inner.append((k, v))
+                    break
+                inner.append(v)
+            stack += reversed(inner)
+        elif isinstance(value, list):
+            stack += reversed(value)
+    return out
+
+
+def youtube_channel_links(df: DataFrame, page: str = "page_id", html: str = "html") -> DataFrame:
+    """title and url of the links that the data in a channel's page holds, at any depth; redirections are solved."""
+    kind = df.schema[page].dataType.simpleString()
+    links = pa.list_(pa.struct([("title", pa.string()), ("url", pa.string())]))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_channel_links(t.as_py()) for t in part.column(1)], links)], names=[page, "links"])
+
+    found = df.select(page, html).mapInArrow(run, f"`{page}` {kind}, links array<struct<title:string,url:string>>")
+    return found.select(page, F.posexplode("links").alias("place", "l")).select(page, "place", "l.title", urls.infer_redirection(F.col("l.url")).alias("url"))
 
 
-def youtube_channel_links(df: DataFrame) -> DataFrame:
-    """title and url of links that a channel page's data holds; redirections are solved."""
-    found = df.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'"channelExternalLinkViewModel"\s*:\s*(\{"title".*?\}\s*\]?\s*\}\s*\}?)'), F.lit(0))).alias("link"))
-    url = F.regexp_extract("link", r'"link"\s*:\s*\{"content"\s*:\s*"([^"]+)"', 1)
-    return found.select("page_id", F.regexp_extract("link", r'"title"\s*:\s*\{"content"\s*:\s*"([^"]+)"', 1).alias("title"), urls.infer_redirection(url).alias("url"))
+def webentity_rows(df: DataFrame) -> DataFrame:
+    """Web entities of a corpus: prefixes joined by a space, degrees, the time of the last change as ISO text."""
+    names = {"name": "name", "status": "status", "homepage": "homepage"}
+    degrees = [at(k, "long").alias(k) for k in ("pages_total", "undirected_degree", "indegree", "outdegree")]
+    return parsed(df).select(F.coalesce(at("id"), at("_id")).alias("id"), *fields(names), F.array_join(strings("prefixes"), " ").alias("prefixes"), *degrees, (at("indegree", "long") + at("outdegree", "long")).alias("degree"), text.timestamp_to_iso((at("lastModificationDate", "long") / 1000).cast("long")).alias("last_modified"))
 
 
-def webentity_rows(df: DataFrame) -> DataFrame:
-    """Web entities of a corpus dump: prefixes joined by a space, degrees, times as ISO text."""
-    names = {"id": "_id", "name": "name", "status": "status", "homepage": "homepage"}
-    degrees = [at(k, "long").alias(k) for k in ("pages_total", "indegree", "outdegree", "undirected_degree")]
-    return parsed(df).select(*fields(names), F.array_join(strings("prefixes"), " ").alias("prefixes"), *degrees, (at("indegree", "long") + at("outdegree", "long")).alias("degree"), text.timestamp_to_iso((at("lastModificationDate", "long") / 1000).cast("long")).alias("last_modified"))
+def webentity_page_rows(df: DataFrame, bodies: bool = False) -> DataFrame:
+    """Pages of web entities; df: webentity, webentity_status and the page's payload. Times are milliseconds, and ISO text.
+
+    ``bodies`` adds ``body``, the page's bytes: the payload has them deflated, in base64. What is broken is null.
+    """
+    own = {"url": "url", "lru": "lru"}
+    more = {"status": "status", "encoding": "encoding", "content_type": "content_type", "crawl_timestamp": "crawl_timestamp", "size": "size", "error": "error"}
+    packed = [at("body").alias("packed")] if bodies else []
+    rows = parsed(df).select(
+        *fields(own), "webentity", "webentity_status", *fields(more), F.coalesce(at("crawled", "boolean"), F.lit(False)).alias("crawled"),
+        text.timestamp_to_iso((at("crawl_timestamp").try_cast("long") / 1000).cast("long")).alias("crawl_datetime"), *packed,
+    )
+    if not bodies:
+        return rows
+
+    def inflated(data: str | None) -> bytes | None:
+        try:
+            return None if data is None else zlib.decompress(base64.b64decode(data))
+        except (ValueError, zlib.error):
+            return None
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                yield part.set_column(part.num_columns - 1, "body", pa.array([inflated(d.as_py()) for d in part.columns[-1]], pa.binary()))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(run, f"{schema}, body binary")
 
 
 # Media kinds and content labels by code.
@@ -276,17 +380,25 @@ def instagram_posts(df: DataFrame) -> DataFrame:
 
 
 def instagram_users(df: DataFrame) -> DataFrame:
-    names = {"id": "pk", "username": "username", "full_name": "full_name", "is_private": "is_private", "is_verified": "is_verified", "profile_pic_url": "profile_pic_url"}
-    return parsed(df).select(*fields(names))
+    """Users of follower lists."""
+    names = {"id": "pk"} | {k: k for k in ("username", "full_name", "profile_pic_url", "profile_pic_id", "similar_user_id", "latest_reel_media")}
+    flags = ("is_private", "is_verified", "has_anonymous_profile_picture", "has_highlight_reels", "is_favorite")
+    return parsed(df).select(*fields(names), *fields({k: k for k in flags}, "boolean"), F.transform(items("account_badges"), lambda b: b.cast("string")).alias("account_badges"))
 
 
 def instagram_user_infos(df: DataFrame) -> DataFrame:
     """Profiles: bio links as aligned arrays, names and tags that the biography mentions."""
-    names = {"id": "id", "username": "username", "name": "full_name", "biography": "biography", "followers": "edge_followed_by.count", "following": "edge_follow.count", "external_url": "external_url", "category": "category_name"}
-    mention = lambda key: F.array_compact(F.transform(items("biography_with_entities.entities"), lambda e: at(key, of=e)))
+    names = {k: k for k in ("username", "id", "full_name", "profile_pic_url_hd", "biography", "guardian_id", "business_category_name", "category_name", "connected_fb_page")}
+    counts = {"follower_count": "edge_followed_by.count", "follow_count": "edge_follow.count"}
+    flags = (
+        "is_private", "is_verified", "hide_like_and_view_counts", "has_ar_effects", "has_clips", "has_guides", "has_channel", "is_business_account", "is_professional_account",
+        "is_supervision_enabled", "is_guardian_of_viewer", "is_supervised_by_viewer", "is_supervised_user", "is_joined_recently",
+    )
+    mention = lambda key: F.filter(F.transform(items("biography_with_entities.entities"), lambda e: at(key, of=e)), lambda x: x.isNotNull() & (x != ""))
     return parsed(df).select(
-        *fields(names), F.transform(items("bio_links"), lambda b: at("title", of=b)).alias("bio_links_title"), F.transform(items("bio_links"), lambda b: at("url", of=b)).alias("bio_links_url"),
-        mention("user.username").alias("mentioned_users"), mention("hashtag.name").alias("hashtags"),
+        *fields(names), *fields(counts), *fields({k: k for k in flags}, "boolean"), strings("pronouns").alias("pronouns"),
+        F.transform(items("bio_links"), lambda b: at("title", of=b)).alias("bio_links_title"), F.transform(items("bio_links"), lambda b: at("url", of=b)).alias("bio_links_url"),
+        mention("user.username").alias("biography_with_username"), mention("user.hashtag").alias("biography_with_hashtag"),
     )
 
 
@@ -294,8 +406,29 @@ def _reader(key: str):
     return lambda x: at(key, of=x)
 
 
+MEDIACLOUD_TAG = {"tags": "tag", "tag_sets": "tag_set", "tags_ids": "tags_id", "tag_sets_ids": "tag_sets_id"}
+
+
+def _tags(path: str) -> list[Column]:
+    """Tags as four aligned arrays."""
+    return [F.transform(items(path), _reader(k)).alias(n) for n, k in MEDIACLOUD_TAG.items()]
+
+
+def mediacloud_medias(df: DataFrame) -> DataFrame:
+    """Media sources with their tags as four aligned arrays."""
+    names = {"media_id": "media_id", "media_name": "name", "media_url": "url", "public_notes": "public_notes", "start_date": "start_date"}
+    flags, counts = ("is_healthy", "is_monitored"), ("num_stories_90", "num_sentences_90")
+    return parsed(df).select(*fields(names), *fields({k: k for k in flags}, "boolean"), *fields({k: k for k in counts}, "double"), *_tags("media_source_tags"))
+
+
+def mediacloud_feeds(df: DataFrame) -> DataFrame:
+    """Feeds of media sources; times are seconds."""
+    names = {k: k for k in ("name", "url", "type", "media_id")}
+    times = {k: k for k in ("last_attempted_download_time", "last_new_story_time", "last_successful_download_time")}
+    return parsed(df).select(*fields(names), F.coalesce(at("payloads_id"), at("feeds_id")).alias("feeds_id"), at("active", "boolean").alias("active"), *fields(times, "double"))
+
+
 def mediacloud_stories(df: DataFrame) -> DataFrame:
     """Stories with their tags as four aligned arrays."""
     names = {k: k for k in ("guid", "stories_id", "processed_stories_id", "title", "url", "language", "collect_date", "publish_date", "media_id", "media_name", "media_url")}
-    tag = {"tags": "tag", "tag_sets": "tag_set", "tags_ids": "tags_id", "tag_sets_ids": "tag_sets_id"}
-    return parsed(df).select(*fields(names), *(F.transform(items("story_tags"), _reader(k)).alias(n) for n, k in tag.items()))
+    return parsed(df).select(*fields(names), *_tags("payload_tags"))

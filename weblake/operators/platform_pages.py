@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -104,3 +105,83 @@ def telegram_channel_infos(pages: DataFrame, html: str = "html", keep: tuple[str
     head = ("title", "name", "channel_link", "img", "description")
     rows = _rows(pages, _read_channel, (*head, *COUNTERS), html, keep)
     return rows.select(*keep, *head, *(text.clean_human_number(F.coalesce(c, F.lit("0"))).alias(f"nb_{c}s") for c in COUNTERS))
+
+
+USER_COMMENT = {
+    "post_title": ("a.title", "text"), "post_url": ("a.bylink.may-blank", "href"), "post_author": ("p.parent>a.author", "text"), "post_subreddit": ("a.subreddit", "href"), "shown": (".score.unvoted", "text"),
+    "score": (".score.unvoted", "title"), "hidden": (".score-hidden", "text"), "published_date": ("time", "datetime"), "edited_date": ("time.edited-timestamp", "datetime"), "text": ("div.content div.md", "text"),
+    "link": ("div.content div.md a", "href"), "comment_url": ("a.bylink", "href"),
+}
+
+
+def reddit_user_comments(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """Comments of a user's pages in order, with the post that each is under; a page that is null or empty gives no row."""
+    rows = _rows(pages, lambda root: [_picked(c, USER_COMMENT) for c in select(root, "[data-type='comment']")], tuple(USER_COMMENT), html, keep)
+    return rows.select(
+        *keep, "place", "post_title", text.new_reddit_url(F.col("post_url")).alias("post_url"), "post_author", text.new_reddit_url(F.col("post_subreddit")).alias("post_subreddit"),
+        _points(F.col("hidden"), F.col("shown"), F.nullif(F.col("score"), F.lit(""))).alias("points"), "published_date", "edited_date", "text", "link", text.new_reddit_url(F.col("comment_url")).alias("comment_url"),
+    )
+
+
+TELEGRAM = "https://t.me/"
+BACKGROUND = re.compile(r"background-image:url\('(.*?)'\)")
+# Classes of the parts of a message.
+MESSAGE = {
+    "post": ("div.tgme_widget_message", "data-post"), "user": ("a.tgme_widget_message_owner_name", "text"), "user_link": ("div.tgme_widget_message_user a", "href"), "user_img": ("div.tgme_widget_message_user img", "src"),
+    "reply_img": ("a.tgme_widget_message_reply i.tgme_widget_message_reply_thumb", "style"), "reply_user": ("a.tgme_widget_message_reply div.tgme_widget_message_author", "text"),
+    "reply_text": ("a.tgme_widget_message_reply div.tgme_widget_message_metatext", "text"), "animated": ("div.tgme_widget_message_sticker_wrap source[type='application/x-tgsticker']", "srcset"),
+    "still": ("div.tgme_widget_message_sticker_wrap i.tgme_widget_message_sticker", "data-webp"), "player": ("a.tgme_widget_message_video_player", "text"), "video": ("a.tgme_widget_message_video_player video.tgme_widget_message_video", "src"),
+    "video_time": ("a.tgme_widget_message_video_player time.message_video_duration", "text"), "file": (".tgme_widget_message_document_icon", "text"), "link_img": ("a.tgme_widget_message_link_preview i.link_preview_right_image", "style"),
+    "link_site": ("a.tgme_widget_message_link_preview div.link_preview_site_name", "text"), "link_title": ("a.tgme_widget_message_link_preview div.link_preview_title", "text"),
+    "link_description": ("a.tgme_widget_message_link_preview div.link_preview_description", "text"), "views": ("span.tgme_widget_message_views", "text"), "datetime": ("a.tgme_widget_message_date time", "datetime"), "meta": ("span.tgme_widget_message_meta", "text"),
+}
+HISTORY = "section.tgme_channel_history"
+
+
+def _background(style: str | None) -> str | None:
+    found = BACKGROUND.search(style or "")
+    return found[1] if found else None
+
+
+def _read_messages(root: Element, row: dict[str, Any]) -> dict[str, Any]:
+    out = []
+    for section in select(root, HISTORY)[:1]:
+        for m in select(section, "div.tgme_widget_message_wrap"):
+            if select_one(m, "div.service_message") is not None:
+                continue
+            found: dict[str, Any] = _picked(m, MESSAGE)
+            texts = select(m, "div.tgme_widget_message_text.js-message_text")
+            grouped = select(m, "a.tgme_widget_message_photo_wrap.grouped_media_wrap") or select(m, "a.tgme_widget_message_photo_wrap")[:1]
+            found |= {"reply_img": _background(found["reply_img"]), "link_img": _background(found["link_img"]), "text": "".join(t.text() for t in texts)}
+            found |= {"hrefs": [a.attrs.get("href", "") for t in texts for a in select(t, "a")], "photos": [_background(a.attrs.get("style")) for a in grouped]}
+            out.append(found)
+    return {"messages": out}
+
+
+def telegram_messages(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """Messages of channel pages in order, 27 columns; notes of the service and pages without a channel give no row.
+
+    Links in a message's text are hashtags (searches) or plain; pictures are read from their styles; a
+    video that is not on the page is named as too big; views that are not shown are null.
+    """
+    names = [*MESSAGE, "text"]
+    schema = f"messages:array<struct<{','.join(f'{n}:string' for n in names)},hrefs:array<string>,photos:array<string>>>"
+    rows = map_pages(pages, html, _read_messages, schema, keep).select(*keep, F.posexplode("messages").alias("place", "m")).select(*keep, "place", "m.*")
+    tag = lambda h: F.regexp_extract(h, r"^\?q=%23(.*)", 1)
+    is_tag = lambda h: h.startswith("?q=%23")
+    hashtags, links = F.transform(F.filter("hrefs", is_tag), tag), F.filter("hrefs", lambda h: ~is_tag(h))
+    player = F.col("player").isNotNull()
+    return rows.select(
+        *keep, "place", F.concat(F.lit(f"{TELEGRAM}s/"), F.col("post")).alias("link_to_message"), F.col("views").isNotNull().alias("could_be_displayed"), "user", "user_link", "user_img", "text",
+        F.size(hashtags).alias("nb_hashtags"), hashtags.alias("hashtags"), F.col("reply_img").alias("is_reply_img"), F.col("reply_user").alias("is_reply_user"), F.col("reply_text").alias("is_reply_text"),
+        F.coalesce("animated", "still").alias("stickers"), F.size("photos").alias("nb_photos"), "photos", player.cast("int").alias("nb_videos"), F.when(player, F.coalesce("video", F.lit("media is too big"))).alias("videos"),
+        F.col("video_time").alias("videos_times"), F.col("file").isNotNull().cast("int").alias("nb_files"), F.size(links).alias("nb_links"), links.alias("links"), "link_img", "link_site", "link_title", "link_description",
+        text.clean_human_number(F.col("views")).alias("views"), "datetime", F.coalesce(F.col("meta").contains("edited"), F.lit(False)).alias("edited"),
+    )
+
+
+def telegram_next_pages(pages: DataFrame, desc: bool = False, html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """next_url of channel pages: the link to older (``desc``) or newer messages; null on the last page."""
+    css = f"{HISTORY} a[data-{'before' if desc else 'after'}]"
+    found = map_pages(pages, html, lambda root, row: _picked(root, {"next": (css, "href")}), "next:string", keep)
+    return found.select(*keep, urls.url_join(F.lit(TELEGRAM), F.col("next")).alias("next_url"))

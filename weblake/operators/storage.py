@@ -9,9 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where that is unset, as in tests."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("weblake.rounds", None)
+    """``spark.checkpoint.dir`` of the session.
+
+    Only on a local master, as in tests, a temporary folder stands in where that is unset; on a
+    cluster, where executors would each write to a disk of their own, that is an error.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or spark.conf.get("weblake.rounds", None)
     if not folder:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("weblake.rounds", folder)
     return folder.rstrip("/")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weblake.operators.storage import stored
+
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header; all columns text, NUL characters left out; .gz files are read as they are."""
@@ -53,12 +55,16 @@ def joined_plurals(df: DataFrame, separator: str = "|") -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, plural_separator: str = "|") -> None:
-    joined_plurals(df, plural_separator).write.csv(path, header=True, emptyValue="", nullValue="")
+    joined_plurals(df, plural_separator).write.csv(path, header=True, emptyValue="", nullValue="", escape='"')
+
 
+def write_bodies(pages: DataFrame, path: str, bucket: Column, salt: Column | None = None, files: int = 16) -> None:
+    """Bodies as Parquet in a folder per bucket: one file per page does not scale.
 
-def write_bodies(pages: DataFrame, path: str, bucket: Column) -> None:
-    """Bodies as Parquet in a folder per bucket: one file per page does not scale."""
-    pages.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(path)
+    A bucket is dealt to ``files`` tasks by ``salt`` (default: all columns), so a hot one is no single task.
+    """
+    dealt = F.pmod(F.xxhash64(*pages.columns) if salt is None else salt, F.lit(files))
+    pages.withColumn("bucket", bucket).repartition("bucket", dealt).write.partitionBy("bucket").parquet(path)
 
 
 def write_crawl_data(df: DataFrame, path: str) -> None:
@@ -81,18 +87,18 @@ def keep_columns(df: DataFrame, columns: list[str] | None = None, prefix: str =
     return df.select(*kept, *(F.col(c).alias(prefix + c) for c in added))
 
 
-def with_original_index(df: DataFrame, order_by: str, name: str = "original_index", partitions: int = 64) -> DataFrame:
-    """0-based index by a unique numeric key, in its order.
+def numbered_by(df: DataFrame, order: list[Column], name: str, start: int = 0) -> DataFrame:
+    """``df`` and a gapless number in an order: ranges of it are numbered each on its own, after the rows of those before.
 
-    Quantiles of the key cut it into ranges; a row's index is the rows of the ranges before (a count
-    per range) plus its row number in its range: no global window.
+    As many ranges as the session has shuffle partitions; their counts alone are added up in one place.
     """
-    bounds = sorted(set(df.approxQuantile(order_by, [i / partitions for i in range(1, partitions)], 0.005))) if partitions > 1 else []
-    part = F.lit(0)
-    for b in bounds:
-        part = part + (F.col(order_by) >= b).cast("int")
-    ranged = df.withColumn("part", part)
-    numbered = ranged.withColumn("within", F.row_number().over(Window.partitionBy("part").orderBy(order_by)) - 1)
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy("part").agg(F.count("*").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    return numbered.join(offsets.select("part", "offset"), "part").withColumn(name, F.col("offset") + F.col("within")).drop("part", "within", "offset")
+    ranges = stored(df.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    return ranges.withColumn("within", within).join(offsets, "range").withColumn(name, F.col("before") + F.col("within") - 1 + start).drop("range", "within", "before")
+
+
+def with_original_index(df: DataFrame, order_by: str, name: str = "original_index") -> DataFrame:
+    """0-based index by a unique key of any type that has an order."""
+    return numbered_by(df, [F.asc(order_by)], name)
