@@ -387,8 +387,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         classes = stored(connected_components(links))
 
     named = texts_of.join(classes.withColumnRenamed("id", "first"), "first", "left").select("words", "n", F.coalesce("component", "first").alias("class_id"))
-    found = join_split(signed.select("id", "words"), stored(named), "words", "n").select("id", "class_id")
+    # Only ids and digests are read later: the signatures' files can go.
+    slim = stored(signed.select("id", "words"))
+    found = join_split(slim, stored(named), "words", "n").select("id", "class_id")
     alone = docs.select(F.col(id_col).alias("id"))
-    rest = alone.where("id is not null").join(signed.select("id").distinct(), "id", "left_anti").unionByName(alone.where("id is null"))
-    dropped(members, texts)
+    rest = alone.where("id is not null").join(slim.select("id").distinct(), "id", "left_anti").unionByName(alone.where("id is null"))
+    dropped(members, texts, signed, reps, buckets)
     return found.unionByName(rest.select("id", F.col("id").alias("class_id"))).select(F.col("id").alias(id_col), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
