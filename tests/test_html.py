@@ -3,7 +3,7 @@ import pytest
 from weblake.html.scraper import Interpreter, InvalidDefinition, field_names, is_plural, validate
 from weblake.html.tree import SelectorError, compiled, display_text, parse, select, select_one
 
-LIST = "<ul><li id=li1>One<li id=li2 class='x y'>Two <b>bold</ul><ul><li>Three</ul>"
+LIST = "<ol><li id=li1>Oslo<li id=li2 class='x y'>Lima <b>south</ol><ol><li>Quito</ol>"
 
 
 def run(definition, html, **context):
@@ -14,8 +14,8 @@ def run(definition, html, **context):
 @pytest.mark.parametrize(
     ("selector", "texts"),
     [
-        ("li", ["One", "Two bold", "Three"]), ("#li2", ["Two bold"]), ("li.x", ["Two bold"]), ("[id='li1']", ["One"]), ("[id^=li]", ["One", "Two bold"]), ("[id$='2'], b", ["Two bold", "bold"]),
-        ("ul > li:nth-child(1)", ["One", "Three"]), ("li:nth-child(2n)", ["Two bold"]), ("li:has(b)", ["Two bold"]), ("li:not([id])", ["Three"]), ("li:contains('Thr')", ["Three"]), ("#li1 + li b", ["bold"]), ("*[id*=i1]", ["One"]),
+        ("li", ["Oslo", "Lima south", "Quito"]), ("#li2", ["Lima south"]), ("li.x", ["Lima south"]), ("[id='li1']", ["Oslo"]), ("[id^=li]", ["Oslo", "Lima south"]), ("[id$='2'], b", ["Lima south", "south"]),
+        ("ol > li:nth-child(1)", ["Oslo", "Quito"]), ("li:nth-child(2n)", ["Lima south"]), ("li:has(b)", ["Lima south"]), ("li:not([id])", ["Quito"]), ("li:contains('Qui')", ["Quito"]), ("#li1 + li b", ["south"]), ("*[id*=i1]", ["Oslo"]),
     ],
 )
 def test_selectors(selector, texts):
@@ -29,22 +29,22 @@ def test_bad_selectors(selector):
 
 
 def test_scraper_values():
-    assert run({"iterator": "li"}, LIST) == ["One", "Two bold", "Three"]
+    assert run({"iterator": "li"}, LIST) == ["Oslo", "Lima south", "Quito"]
     assert run({"$$": "li", "attr": "id"}, LIST) == ["li1", "li2", None]
     assert run({"iterator": "li", "item": "id", "filter": True}, LIST) == ["li1", "li2"]
-    assert run({"iterator": "li", "fields": {"id": "id", "text": "text"}, "uniq": "id", "filter": "id"}, LIST) == [{"id": "li1", "text": "One"}, {"id": "li2", "text": "Two bold"}]
+    assert run({"iterator": "li", "fields": {"id": "id", "text": "text"}, "uniq": "id", "filter": "id"}, LIST) == [{"id": "li1", "text": "Oslo"}, {"id": "li2", "text": "Lima south"}]
     assert run({"sel": "#none"}, LIST) is None and run({"sel": "#none", "iterator": "li"}, LIST) == []
     assert run({"sel": "li", "attr": "no", "default": "d"}, LIST) == "d"
-    assert run({"$": "#li2", "extract": "inner_html"}, LIST) == "Two <b>bold</b>"
-    assert run({"iterator": "ul", "item": {"iterator": "li", "item": "text"}}, LIST) == [["One", "Two bold"], ["Three"]]
+    assert run({"$": "#li2", "extract": "inner_html"}, LIST) == "Lima <b>south</b>"
+    assert run({"iterator": "ol", "item": {"iterator": "li", "item": "text"}}, LIST) == [["Oslo", "Lima south"], ["Quito"]]
 
 
 def test_scraper_context_and_hooks():
     inner = {"iterator": "li", "fields": {"t": "text", "f": {"get_context": "first"}}}
     assert run({"iterator": "ul", "set_context": {"first": {"sel": "li"}}, "item": inner}, "<ul><li>a<li>b</ul><ul><li>c</ul>") == [[{"t": "a", "f": "a"}, {"t": "b", "f": "a"}], [{"t": "c", "f": "c"}]]
-    assert run({"sel": "li", "eval": lambda element, value, context, root: value.upper() + context["c"]}, LIST, c="!") == "ONE!"
-    assert run({"iterator_eval": lambda element, value, context, root: "b", "item": "text"}, LIST) == ["bold"]
-    assert run({"iterator": "li", "filter_eval": lambda element, value, context, root: len(value) > 3}, LIST) == ["Two bold", "Three"]
+    assert run({"sel": "li", "eval": lambda element, value, context, root: value.upper() + context["c"]}, LIST, c="!") == "OSLO!"
+    assert run({"iterator_eval": lambda element, value, context, root: "b", "item": "text"}, LIST) == ["south"]
+    assert run({"iterator": "li", "filter_eval": lambda element, value, context, root: len(value) > 4}, LIST) == ["Lima south", "Quito"]
 
 
 @pytest.mark.parametrize(
@@ -63,8 +63,8 @@ def test_derived_columns():
 
 
 def test_display_text():
-    html = "<div>Some text isn't\n it?<div>Hello <strong>Mr. Bond</strong>, how <em>are</em> you?<h2>Title</h2><p> A <br>line </p><p>More</p><pre>  as\n  it is</pre><ul><li>x</li><li>y</li></ul><script>no</script></div>"
-    assert display_text(parse(html)) == "Some text isn't it?\nHello Mr. Bond, how are you?\n\nTitle\n\nA\nline\n\nMore\n\n  as\n  it is\n\nx\ny"
+    html = "<section>Rain over\n  the harbour<section>Boats <i>left</i>, none <u>came</u> back.<h3>Tides</h3><p> High <br>water </p><p>Low</p><pre>  kept\n as is</pre><ol><li>north</li><li>south</li></ol><style>no</style></section></section>"
+    assert display_text(parse(html)) == "Rain over the harbour\nBoats left, none came back.\n\nTides\n\nHigh\nwater\n\nLow\n\n  kept\n as is\n\nnorth\nsouth"
     assert display_text(parse("")) == ""
 
 
