@@ -8,7 +8,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
-from operator import add, itemgetter
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-#: Words, and chunks of text, that a task remembers; beyond it the memory starts anew.
-REMEMBERED = 250_000
+#: Words, and chunks of text, that a task remembers in each of two generations: the younger takes the older's place once full.
+REMEMBERED = 125_000
 #: Longer words are not remembered, and merged by a heap.
 SHORT = 64
 SUFFIX = "</w>"
-NONE = (1 << 60, 0)
+#: Two ids, or a rank and an id, as one number: ids need fewer bits than these.
+BITS = 24
+LOW = (1 << BITS) - 1
+NONE = 1 << 60
 #: The first code point without a meaning in any version of Unicode so far.
 FIRST_UNASSIGNED = "\u0378"
 
@@ -60,11 +63,11 @@ class ForcedCutBPE(dict):
             spec = json.load(f)
         self.ids: dict[str, int] = spec["model"]["vocab"]
         self.tokens = {i: t for t, i in self.ids.items()}
-        #: For two ids the rank of their merge and the id it makes.
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        #: For two ids the rank of their merge and the id it makes, both as one number.
+        self.merges: dict[int, int] = {}
         for rank, m in enumerate(spec["model"]["merges"]):
             left, right = m if isinstance(m, list) else m.split(" ")
-            self.merges[self.ids[left], self.ids[right]] = rank, self.ids[left + right]
+            self.merges[self.ids[left] << BITS | self.ids[right]] = rank << BITS | self.ids[left + right]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens |= {i: t for t, i in self.special.items()}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
@@ -72,7 +75,9 @@ class ForcedCutBPE(dict):
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.letters = byte_letters()
         self.joinable = {t[k : k + 2] for token in self.ids for t in [token.removesuffix(SUFFIX)] for k in range(len(t) - 1)}
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[str, str]] = {}
+        self.older_words: dict[str, tuple[str, str]] = {}
+        self.older_chunks: dict[str, tuple[str, str]] = {}
         self.white = regex.compile(r"\s+")
         self.newer = re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _unassigned()) + "]")
         self.library = Tokenizer.from_file(path)
@@ -85,55 +90,62 @@ class ForcedCutBPE(dict):
         if len(parts) > SHORT:
             return self.long_fragment(parts)
         merge = self.merges.get
-        pairs = [merge(p, NONE) for p in zip(parts, parts[1:], strict=False)]
+        pairs = [merge(a << BITS | b, NONE) for a, b in zip(parts, parts[1:], strict=False)]
         while pairs and (least := min(pairs)) != NONE:
             i = pairs.index(least)
-            new = least[1]
+            new = least & LOW
             parts[i : i + 2] = [new]
             del pairs[i]
             if i:
-                pairs[i - 1] = merge((parts[i - 1], new), NONE)
+                pairs[i - 1] = merge(parts[i - 1] << BITS | new, NONE)
             if i < len(pairs):
-                pairs[i] = merge((new, parts[i + 1]), NONE)
+                pairs[i] = merge(new << BITS | parts[i + 1], NONE)
         return parts
 
     def long_fragment(self, parts: list[int]) -> list[int]:
         """The same by a heap, in O(n log n)."""
         n, gone = len(parts), -1
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(*m, i, *p) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if (m := self.merges.get(p))]
-        heap = [(rank, i, left, right, new) for rank, new, i, left, right in heap]
+        heap = [(m, i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if (m := self.merges.get(a << BITS | b)) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, left, right, new = heapq.heappop(heap)
+            least, i, left, right = heapq.heappop(heap)
             j = after[i]
             if parts[i] != left or j >= n or parts[j] != right:
                 continue
-            parts[i], parts[j] = new, gone
+            parts[i], parts[j] = least & LOW, gone
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
             for x, y in ((before[i], i), (i, k)):
-                if x >= 0 and y < n and (m := self.merges.get((parts[x], parts[y]))):
-                    heapq.heappush(heap, (m[0], x, parts[x], parts[y], m[1]))
+                if x >= 0 and y < n and (m := self.merges.get(parts[x] << BITS | parts[y])) is not None:
+                    heapq.heappush(heap, (m, x, parts[x], parts[y]))
         return [p for p in parts if p != gone]
 
-    def word(self, letters: str) -> list[int]:
-        """Ids of a word in byte letters: cut, encoded by fragment, joined."""
+    def word(self, letters: str) -> tuple[str, str]:
+        """Ids and tokens of a word in byte letters, each joined by spaces: cut, encoded by fragment, joined."""
         found = self.known.get(letters)
         if found is not None:
             return found
-        if self.joinable.issuperset(map(add, letters, letters[1:])):
-            found = self.fragment(letters, True)
-        else:
-            cuts = [0, *(k for k in range(1, len(letters)) if letters[k - 1 : k + 1] not in self.joinable)]
-            found = [i for a, b in zip(cuts, cuts[1:], strict=False) for i in self.fragment(letters[a:b], False)] + self.fragment(letters[cuts[-1] :], True)
+        found = self.older_words.get(letters)
+        if found is None:
+            if self.joinable.issuperset(map(add, letters, letters[1:])):
+                ids = self.fragment(letters, True)
+            else:
+                cuts = [0, *(k for k in range(1, len(letters)) if letters[k - 1 : k + 1] not in self.joinable)]
+                ids = [i for a, b in zip(cuts, cuts[1:], strict=False) for i in self.fragment(letters[a:b], False)] + self.fragment(letters[cuts[-1] :], True)
+            found = self.written(ids)
         if len(self.known) >= REMEMBERED:
-            self.known.clear()
+            self.older_words, self.known = self.known, {}
         if len(letters) <= SHORT:
             self.known[letters] = found
         return found
 
+    def written(self, ids: list[int]) -> tuple[str, str]:
+        if len(ids) == 1:
+            return str(ids[0]), self.tokens[ids[0]]
+        return " ".join(map(str, ids)), " ".join(map(self.tokens.__getitem__, ids))
+
     def words_of(self, chunk: str) -> list[str]:
         """The words of a chunk without white space, in byte letters."""
         if chunk.isascii():
@@ -155,9 +167,15 @@ class ForcedCutBPE(dict):
 
     def __missing__(self, chunk: str) -> tuple[str, str]:
         """Ids and tokens of a chunk of text, each joined by spaces."""
-        ids = [self.special[chunk]] if chunk in self.special else [i for w in self.words_of(chunk) for i in self.word(w)]
-        found = " ".join([str(i) for i in ids]), " ".join([self.tokens[i] for i in ids])
+        found = self.older_chunks.get(chunk)
+        if found is None:
+            if chunk in self.special:
+                found = self.written([self.special[chunk]])
+            else:
+                words = [self.word(w) for w in self.words_of(chunk)]
+                found = words[0] if len(words) == 1 else (" ".join([w[0] for w in words]), " ".join([w[1] for w in words]))
         if len(self) >= REMEMBERED:
+            self.older_chunks = dict(self)
             self.clear()
         if len(chunk) <= SHORT:
             self[chunk] = found
@@ -174,9 +192,10 @@ class ForcedCutBPE(dict):
     def encoded(self, text: str | None) -> tuple[str, str]:
         """Ids and tokens of a text, each joined by spaces."""
         found = list(map(self.__getitem__, self.chunks(text or "")))
-        if "" in map(itemgetter(0), found):
+        if ("", "") in found:
             found = [f for f in found if f[0]]
-        return " ".join([f[0] for f in found]), " ".join([f[1] for f in found])
+        ids, tokens = zip(*found, strict=True) if found else ((), ())
+        return " ".join(ids), " ".join(tokens)
 
 
 _LOADED: dict[str, ForcedCutBPE] = {}
