@@ -1,10 +1,13 @@
 import datetime
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from weblake.functions import pages, text, urls
-from weblake.operators import tables
+from weblake.operators import frontier, tables
+from weblake.operators.tables import numbered_by
+from weblake.streaming import streams
 
 
 def value(spark, given, function):
@@ -91,7 +94,6 @@ def test_tables(spark, tmp_path):
 
 def test_throttled_stream_equals_a_loop(spark, tmp_path):
     from weblake.jobs.stream_jobs import drained
-    from weblake.streaming import streams
 
     rows = [(i, None if i % 9 == 0 else f"g{i % 3}", datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=i // 4)) for i in range(120)]
     df = spark.createDataFrame(rows, "index long, g string, ts timestamp")
@@ -107,3 +109,37 @@ def test_throttled_stream_equals_a_loop(spark, tmp_path):
         start = max(at, slots[k])
         slots[k] = start + 2.0
         assert got[i] == start
+
+
+def test_throttled_stream_with_a_watermark_ends_states(spark, tmp_path):
+    # Three batches, each an hour later: the second's watermark has passed every slot of the first, whose state ends.
+    hours = [[(1, "a", 10), (2, "a", 11), (3, "a", 11), (4, None, 11)], [(5, "b", 3600), (6, "b", 3600), (7, "b", 3600)], [(8, "a", 7200), (9, "a", 7200), (10, "a", 7200)]]
+    schema = "index long, g string, ts timestamp"
+    for n, rows in enumerate(hours):
+        df = spark.createDataFrame([(i, g, datetime.datetime.fromtimestamp(t, datetime.timezone.utc)) for i, g, t in rows], schema)
+        df.coalesce(1).write.parquet(f"{tmp_path}/raw{n}")
+        folder = tmp_path / "in"
+        folder.mkdir(exist_ok=True)
+        part = next((tmp_path / f"raw{n}").glob("*.parquet"))
+        part.rename(folder / f"{n}.parquet")
+        os.utime(folder / f"{n}.parquet", (1_000_000 + n, 1_000_000 + n))
+    stream = streams.read_stream(spark, str(tmp_path / "in"), schema, 1)
+    released = streams.stream_throttled_frontier(stream, "g", "index", "ts", 2.0, 2, watermark="10 minutes")
+    run = released.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = {r["index"]: r.release for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: 10.0, 2: 11.0, 3: 12.0, 4: 11.0, 5: 3600.0, 6: 3600.0, 7: 3602.0, 8: 7200.0, 9: 7200.0, 10: 7202.0}
+    removed = sum(s["numRowsRemoved"] for p in run.recentProgress for s in p["stateOperators"])
+    assert removed >= 1
+
+
+def test_hot_and_null_keys_of_dedupe_and_places(spark):
+    rows = [(None, 1, "x"), (None, 0, "y"), ("k", None, "first"), ("k", 1, "z"), ("k", 1, "z")]
+    df = spark.createDataFrame(rows, "nth string, n int, word string")
+    assert sorted((r.nth or "", r.word) for r in frontier.dedupe_by_id(df, "nth", "n").collect()) == [("", "y"), ("k", "first")]
+    spread = spark.range(3000).selectExpr("if(id % 3 = 0, 'hot', concat('g', id % 50)) AS g", "id % 7 AS p", "id")
+    places = numbered_by(spread, ["p", "id"], "place", start=1, within=("g",)).collect()
+    by_group = {}
+    for r in sorted(places, key=lambda r: (r.p, r.id)):
+        by_group.setdefault(r.g, []).append(r.place)
+    assert len(places) == 3000 and all(v == list(range(1, len(v) + 1)) for v in by_group.values())

@@ -110,7 +110,6 @@ def c2_crawl_bfs_of_tenth(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT page_id AS id, CASE WHEN page_id > 0 THEN page_id // 3 END AS parent, 'default' AS spider, 1 AS depth, url, (SELECT count(*) FROM pages c WHERE c.page_id > 0 AND c.page_id // 3 = p.page_id) AS degree,
   CASE WHEN page_id % 5 = 0 THEN 'not-fetched' END AS error, CASE WHEN page_id % 5 <> 0 THEN length(html) END AS body_size FROM pages p""")
 def c3_crawl_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").dropDuplicates(["url"])
     n = F.col("page_id")
     jobs = table(spark, sf_dir, "pages").select(n.alias("id"), F.when(n > 0, F.floor(n / 3)).alias("parent"), F.lit("default").alias("spider"), F.lit(1).alias("depth"), F.concat("url", F.lit("#"), n).alias("url"))
     fetched = table(spark, sf_dir, "pages").where("page_id % 5 <> 0").select(F.concat("url", F.lit("#"), n).alias("url"), F.col("url").alias("resolved_url"), F.lit(None).cast("string").alias("error"), F.lit(200).alias("status"), F.lit(None).cast("timestamp").alias("datetime_utc"), F.lit("text/html").alias("mimetype"), F.length("html").alias("body_size"), F.lit("utf-8").alias("encoding"))

@@ -10,18 +10,19 @@ from weblake.operators.storage import stored
 from weblake.operators.tables import numbered_by
 
 
-def _first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    return df.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("nth = 1").drop("nth")
+def _first(df: DataFrame, key: str, order: str) -> DataFrame:
+    """The first row by ``order`` (nulls first) of each key: an aggregation, so of a hot key each task passes on one row."""
+    return df.groupBy(F.col(key).alias("its key")).agg(F.min_by(F.struct(*df.columns), F.struct(order)).alias("its row")).select("its row.*")
 
 
 def dedupe_urls(df: DataFrame, url: str, order: str, normalized: bool = False) -> DataFrame:
     """First row by ``order`` per canonical (or normalized) URL, and ``url_key``."""
     key = urls.normalize_url(F.col(url)) if normalized else urls.canonicalize_url(F.col(url))
-    return _first(df.withColumn("url_key", key), ["url_key"], order)
+    return _first(df.withColumn("url_key", key), "url_key", order)
 
 
 def dedupe_by_id(df: DataFrame, id_col: str, order: str) -> DataFrame:
-    return _first(df, [id_col], order)
+    return _first(df, id_col, order)
 
 
 def frontier_order(frontier: DataFrame, lifo: bool = False) -> DataFrame:
@@ -43,12 +44,8 @@ def politeness_plan(frontier: DataFrame, throttle: float = 0.2, parallelism: int
     """
     todo = frontier.where("status = 'todo'")
     order = ["priority", "index"]
-    ranges = stored(todo.where("group is not null").repartitionByRange("group", *order).withColumn("range", F.spark_partition_id()))
-    before = Window.partitionBy("group").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranges.groupBy("group", "range").agg(F.count("*").alias("n")).select("group", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("group", "range").orderBy(*order))
-    grouped = ranges.withColumn("within", within).join(offsets, ["group", "range"])
-    grouped = grouped.withColumn("batch", F.floor((F.col("before") + F.col("within") - 1) / parallelism)).select(*todo.columns, "batch")
+    grouped = numbered_by(todo.where("group is not null"), order, "turn", within=("group",))
+    grouped = grouped.withColumn("batch", F.floor(F.col("turn") / parallelism)).select(*todo.columns, "batch")
     free = todo.where("group is null").withColumn("batch", F.lit(0).cast("long"))
     return grouped.unionByName(free).withColumn("start", F.col("batch") * F.lit(throttle))
 
@@ -77,7 +74,7 @@ def thread_order(comments: DataFrame, post: str, id_col: str, parent: str, arriv
         above = level.select(post, F.col("id").alias("up"), F.col("way").alias("above"), "depth")
         level = stored(nodes.join(above, [post, "up"]).select(post, "id", F.array_append("above", F.col("step")).alias("way"), (F.col("depth") + 1).alias("depth")))
         found = found.unionByName(level)
-    placed = found.withColumn("position", F.row_number().over(Window.partitionBy(post).orderBy("way")))
+    placed = numbered_by(found.where(F.col(post).isNotNull()), ["way"], "position", start=1, within=(post,))
     out = comments.join(placed.select(post, F.col("id").alias(id_col), "depth", "position"), [post, id_col], "left")
     return out.withColumn("error", F.when(F.col("depth").isNull(), "no-root"))
 

@@ -87,16 +87,19 @@ def keep_columns(df: DataFrame, columns: list[str] | None = None, prefix: str =
     return df.select(*kept, *(F.col(c).alias(prefix + c) for c in added))
 
 
-def numbered_by(df: DataFrame, order: list[Column], name: str, start: int = 0) -> DataFrame:
+def numbered_by(df: DataFrame, order: list[Column | str], name: str, start: int = 0, within: tuple[str, ...] = ()) -> DataFrame:
     """``df`` and a gapless number in an order: ranges of it are numbered each on its own, after the rows of those before.
 
-    As many ranges as the session has shuffle partitions; their counts alone are added up in one place.
+    As many ranges as the session has shuffle partitions; their counts alone are added up in one place. With
+    ``within`` each group of these columns (not null) has its own numbers; a hot group is as many ranges as its rows need.
     """
-    ranges = stored(df.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranges.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("range").orderBy(*order))
-    return ranges.withColumn("within", within).join(offsets, "range").withColumn(name, F.col("before") + F.col("within") - 1 + start).drop("range", "within", "before")
+    ranges = stored(df.repartitionByRange(*within, *order).withColumn("its range", F.spark_partition_id()))
+    parts = [*within, "its range"]
+    before = Window.partitionBy(*within).orderBy("its range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.groupBy(*parts).agg(F.count("*").alias("n")).select(*parts, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows before"))
+    place = F.row_number().over(Window.partitionBy(*parts).orderBy(*order))
+    numbered = ranges.withColumn("place in range", place).join(offsets, parts)
+    return numbered.withColumn(name, F.col("rows before") + F.col("place in range") - 1 + start).select(*df.columns, name)
 
 
 def with_original_index(df: DataFrame, order_by: str, name: str = "original_index") -> DataFrame:

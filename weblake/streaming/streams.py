@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,30 +33,48 @@ def stream_counts(stream: DataFrame, ts: str, key: str, granularity: str = "1 ho
     return counts.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "count")
 
 
-def stream_throttled_frontier(stream: DataFrame, group: str, index: str, ts: str, throttle: float = 0.2, parallelism: int = 1) -> DataFrame:
+def stream_throttled_frontier(stream: DataFrame, group: str, index: str, ts: str, throttle: float = 0.2, parallelism: int = 1, watermark: str | None = None) -> DataFrame:
     """index, group, release: when each job may start, in event time (seconds).
 
-    Per group a job starts at its own time or ``throttle`` seconds after the job that its slot served
-    last, whichever is later; the state is the time of each of ``parallelism`` slots. Jobs without a
-    group start at once: their state key is their own index. Jobs of one batch go in order of time, then index.
+    The jobs of a group take its ``parallelism`` slots in turn; each starts at its own time or ``throttle``
+    seconds after the slot's last job, whichever is later. Jobs of one batch go in order of time, then index;
+    without a time they start when their slot is free. Jobs without a group start at once and keep no state.
+    The state is the time from which each slot is free, the next one first. With a watermark it ends when the
+    watermark passes the last of them (no job can wait for it then), and jobs later than the watermark are
+    dropped; without, every job is released and a group's state stays.
     """
+    gap = round(throttle * 1_000_000)
 
     def release(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        free = list(state.get[0]) if state.exists else [0.0] * parallelism
+        if state.hasTimedOut:
+            state.remove()
+            return
         jobs = pd.concat(list(frames)).sort_values(["at", "index"])
-        out = []
-        for at in jobs["at"]:
-            slot = min(range(parallelism), key=free.__getitem__)
-            start = max(at, free[slot])
-            free[slot] = start + throttle
-            out.append(start)
-        if jobs["group"].notna().any():
+        at = jobs["at"].to_numpy()
+        if jobs["group"].isna().all():
+            start = at
+        else:
+            free = list(state.get[0]) if state.exists else [0] * parallelism
+            start = np.empty(len(at), np.int64)
+            for slot, since in enumerate(free):
+                # start = max(at, previous start + gap): less its turn's gaps, a running maximum.
+                turns = np.arange(len(at[slot::parallelism])) * gap
+                start[slot::parallelism] = np.maximum(np.maximum.accumulate(at[slot::parallelism] - turns), since) + turns
+                free[slot] = int(start[slot::parallelism][-1]) + gap if len(turns) else since
+            turn = len(at) % parallelism
+            free = free[turn:] + free[:turn]
             state.update((free,))
-        yield pd.DataFrame({"index": jobs["index"], "group": jobs["group"], "release": out})
+            if watermark:
+                state.setTimeoutTimestamp(max(max(free) // 1000, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame({"index": jobs["index"], "group": jobs["group"], "release": start / 1_000_000})
 
-    jobs = stream.select(F.col(index).cast("long").alias("index"), F.col(group).cast("string").alias("group"), F.col(ts).cast("timestamp").cast("double").alias("at"))
+    timed = stream.withColumn("event_time", F.col(ts).cast("timestamp"))
+    if watermark:
+        timed = timed.withWatermark("event_time", watermark)
+    jobs = timed.select(F.col(index).cast("long").alias("index"), F.col(group).cast("string").alias("group"), F.coalesce(F.unix_micros("event_time"), F.lit(0)).alias("at"), "event_time")
     keyed = jobs.withColumn("key", F.coalesce(F.col("group"), F.concat(F.lit("\u0001"), F.col("index").cast("string"))))
-    return keyed.groupBy("key").applyInPandasWithState(release, "index long, group string, release double", "free array<double>", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout
+    return keyed.groupBy("key").applyInPandasWithState(release, "index long, group string, release double", "free array<bigint>", "append", timeout)
 
 
 def stream_join_by_url(stream: DataFrame, url: str, entities: DataFrame, entity_url: str, order: str, sink: Callable[[DataFrame, int], None]):
