@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 from operator import add
 
 import numpy as np
@@ -68,6 +70,8 @@ class ForcedCutBPE(dict):
         for rank, m in enumerate(spec["model"]["merges"]):
             left, right = m if isinstance(m, list) else m.split(" ")
             self.merges[self.ids[left] << BITS | self.ids[right]] = rank << BITS | self.ids[left + right]
+        #: The merges of two letters, by these letters.
+        self.first_merges = {self.tokens[m >> BITS] + self.tokens[m & LOW]: made for m, made in self.merges.items() if len(self.tokens[m >> BITS] + self.tokens[m & LOW]) == 2}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens |= {i: t for t, i in self.special.items()}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
@@ -84,13 +88,15 @@ class ForcedCutBPE(dict):
 
     def fragment(self, letters: str, last: bool) -> list[int]:
         """Ids of a fragment: merges by rank, leftmost first."""
-        parts = [self.ids[c] for c in letters]
+        parts = list(map(self.ids.__getitem__, letters))
         if last:
             parts[-1] = self.ids[letters[-1] + SUFFIX]
         if len(parts) > SHORT:
             return self.long_fragment(parts)
         merge = self.merges.get
-        pairs = [merge(a << BITS | b, NONE) for a, b in zip(parts, parts[1:], strict=False)]
+        pairs = list(map(self.first_merges.get, map(add, letters, letters[1:]), repeat(NONE)))
+        if last and pairs:
+            pairs[-1] = merge(parts[-2] << BITS | parts[-1], NONE)
         while pairs and (least := min(pairs)) != NONE:
             i = pairs.index(least)
             new = least & LOW
@@ -224,21 +230,26 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(vocabulary)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                counts, id_sums, decoded_sums, ids, decoded = [], [], [], [], []
-                for text in part.column(1):
-                    joined, tokens = bpe.encoded(text.as_py())
-                    counts.append(joined.count(" ") + (joined != ""))
-                    id_sums.append(hashlib.sha256(joined.encode("ascii")).hexdigest())
-                    decoded_sums.append(hashlib.sha256(tokens.encode("utf-8")).hexdigest())
-                    if "ids" in keep:
-                        ids.append(np.fromstring(joined, dtype=np.int32, sep=" "))
-                    if "decoded" in keep:
-                        decoded.append(tokens)
-                columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(id_sums, pa.string()), pa.array(decoded_sums, pa.string())]
-                columns += [pa.array(ids, pa.list_(pa.int32()))] * ("ids" in keep) + [pa.array(decoded, pa.string())] * ("decoded" in keep) + part.columns[2:]
-                yield pa.RecordBatch.from_arrays(columns, names=[f.rsplit(" ", 1)[0].strip("`") for f in fields])
+        # Encoding makes no cycles: collecting them would only walk what is remembered, again and again.
+        gc.disable()
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 64):
+                    part = batch.slice(at, 64)
+                    counts, id_sums, decoded_sums, ids, decoded = [], [], [], [], []
+                    for text in part.column(1):
+                        joined, tokens = bpe.encoded(text.as_py())
+                        counts.append(joined.count(" ") + (joined != ""))
+                        id_sums.append(hashlib.sha256(joined.encode("ascii")).hexdigest())
+                        decoded_sums.append(hashlib.sha256(tokens.encode("utf-8")).hexdigest())
+                        if "ids" in keep:
+                            ids.append(np.fromstring(joined, dtype=np.int32, sep=" "))
+                        if "decoded" in keep:
+                            decoded.append(tokens)
+                    columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(id_sums, pa.string()), pa.array(decoded_sums, pa.string())]
+                    columns += [pa.array(ids, pa.list_(pa.int32()))] * ("ids" in keep) + [pa.array(decoded, pa.string())] * ("decoded" in keep) + part.columns[2:]
+                    yield pa.RecordBatch.from_arrays(columns, names=[f.rsplit(" ", 1)[0].strip("`") for f in fields])
+        finally:
+            gc.enable()
 
     return docs.select(F.col(id_col), F.col(text_col), *carry).mapInArrow(run, ", ".join(fields))
