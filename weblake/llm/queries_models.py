@@ -1,4 +1,4 @@
-"""Registered queries of the operators that map texts in Python tasks (1, 3, 8)."""
+"""Registered queries of the operators that map texts in Python tasks (1, 3, 8, 13)."""
 
 from __future__ import annotations
 
@@ -6,12 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weblake.llm import bpe, language, secrets
+from weblake.llm import alignment, bpe, language, secrets
 
 #: Vocabulary files, parameters of the operators.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 RANKS_PATTERN = public_tokenizers.PATTERN
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,5 +34,9 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(n, secrets.BASE), F.sha2(secrets.spans_text(based), 256).alias("base_sha256"), secrets.spans_text(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_bpe, op8_secret_scan)}
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(spark.read.parquet(f"{sf_dir}/documents.parquet"), BYTE_BPE, PIECE_BPE)
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_bpe, op8_secret_scan, op13_cross_tokenizer_alignment)}
 ORACLES: dict[str, str] = {}
