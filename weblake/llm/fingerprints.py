@@ -120,20 +120,18 @@ def first_edit(one: Column, other: Column) -> Column:
 
 
 def neighbours(keys: DataFrame) -> DataFrame:
-    """``keys`` (id, hash, n; a row each) with those of the row before in ascending order, the first row's being the last's.
+    """``keys`` (key, n) with those of the row before in ascending order, the first row's being the last's.
 
     Sorted in ranges; each range's first row takes the last of the range before, from one row a range.
     """
-    order = [F.col("id").asc_nulls_first(), F.col("hash")]
-    ranges = stored(keys.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
-    row = F.struct("id", "hash", "n")
-    last = ranges.groupBy("range").agg(F.max_by(row, F.struct(F.isnotnull("id"), "id", "hash")).alias("last"))
+    ranges = stored(keys.repartitionByRange("key").withColumn("range", F.spark_partition_id()))
+    row = F.struct("key", "n")
+    last = ranges.groupBy("range").agg(F.max_by(row, "key").alias("last"))
     one = Window.partitionBy(F.lit(0)).orderBy("range")
     before = F.coalesce(F.lag("last").over(one), F.last("last").over(one.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     edges = last.select("range", before.alias("edge"))
-    within = Window.partitionBy("range").orderBy(*order)
-    found = ranges.withColumn("before", F.lag(row).over(within)).join(edges, "range")
-    return found.select("id", "hash", "n", F.coalesce("before", "edge").alias("before"))
+    found = ranges.withColumn("before", F.lag(row).over(Window.partitionBy("range").orderBy("key"))).join(edges, "range")
+    return found.select("key", "n", F.coalesce("before", "edge").alias("before"))
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = 4) -> DataFrame:
@@ -151,19 +149,16 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     beginnings that edits need are sent to the document before them.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keys = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), F.length(text).cast("long").alias("n"))
-    before = neighbours(keys.groupBy("id", "hash").agg(F.max("n").alias("n")))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"), fingerprint(text).alias("print"))
-    same = lambda a, b, names=("id", "hash"): [a[x].eqNullSafe(b[f"k_{x}"]) for x in names]
-    keyed = before.select(F.col("id").alias("k_id"), F.col("hash").alias("k_hash"), "n", "before")
-    held = rows.join(keyed, same(rows, keyed)).select("id", "hash", "n", "text", "print", "before")
+    # One column, so that joins and aggregation share a partitioning; in a struct nulls are equal and come first.
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash")).alias("key")
+    before = neighbours(docs.select(key, F.length(text).cast("long").alias("n")).groupBy("key").agg(F.max("n").alias("n")))
+    held = docs.select(key, text.alias("text"), fingerprint(text).alias("print")).join(before, "key")
     # Rows equal in id and text stand next to each other here: one of them speaks for all.
-    sent = held.groupBy("id", "hash").agg(
+    sent = held.groupBy("key").agg(
         F.first("before").alias("before"), F.first("print").alias("next_print"),
         F.first(F.expr(f"left(text, cast(before.n div {int(part)} as int))")).alias("begin"),
     )
-    sent = sent.select(F.col("before.id").alias("k_id"), F.col("before.hash").alias("k_hash"), "begin", "next_print")
-    whole = held.join(sent, same(held, sent))
+    whole = held.join(sent.select(F.col("before.key").alias("key"), "begin", "next_print"), "key").withColumn("id", F.col("key.id"))
     changed = F.concat(F.expr(f"left(text, cast(n - n div {int(part)} as int))"), F.col("begin"))
     edited = whole.select("id", "n", "print", "next_print", changed.alias("edited"))
     done = edited.select("id", "n", "print", "next_print", _digest(F.col("edited")).alias("edited_sha256"), fingerprint(F.col("edited")).alias("edited_print"))
