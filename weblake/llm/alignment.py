@@ -7,6 +7,7 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,8 @@ from weblake.llm.storage import ROW, dropped, stored
 SPACE = "▁"
 #: Code points of texts that are aligned together, and chunks and code points that a task remembers.
 SLICE = 1 << 20
-REMEMBERED = 1 << 17
-REMEMBERED_CHARS = 1 << 24
+REMEMBERED = 1 << 18
+REMEMBERED_CHARS = 1 << 25
 #: Pairs whose counts are sent to every task: the most frequent ones. All others are counted by a join.
 FREQUENT = 1 << 19
 #: Documents whose links are scored together.
@@ -57,6 +58,13 @@ class CSR:
         """The row of each entry."""
         return np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
 
+    def only(self, rows: np.ndarray) -> CSR:
+        """These rows."""
+        lengths = np.diff(self.starts)[rows]
+        starts = np.concatenate([[0], np.cumsum(lengths)])
+        at = np.repeat(self.starts[rows] - starts[:-1], lengths) + np.arange(starts[-1])
+        return CSR(starts, self.columns[at], self.values[at])
+
     def times(self, other: CSR) -> CSR:
         """The product by Gustavson's rows: each entry (i, k) brings row k of the other, scaled, to row i."""
         lengths = np.diff(other.starts)[self.columns]
@@ -65,14 +73,6 @@ class CSR:
         return CSR.of(rows, other.columns[at], np.repeat(self.values, lengths) * other.values[at], len(self.starts) - 1)
 
 
-@dataclass
-class Chunk:
-    """A stretch of text without neighbours: its tokens' groups written out, and whether the tokens spell it."""
-
-    groups: str
-    good: bool
-
-
 class Aligner:
     """Two vocabularies, and the chunks of text that a task has aligned with them."""
 
@@ -98,13 +98,33 @@ class Aligner:
         self.edged = re.compile(r"\A\s|\s\Z|\A\Z")
         self.forget()
 
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
+    def forget(self, kept: np.ndarray | None = None) -> None:
+        """Forgets all chunks but those ``kept`` (ascending numbers)."""
+        if kept is None:
+            #: For each chunk its number; by number the groups written out, the figures, whether its tokens spell it, its links and its uses.
+            self.known: dict[str, int] = {}
+            self.groups: list[str] = []
+            self.figures, self.good, self.used = np.zeros((0, 5), np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
+            self.links = CSR(np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        else:
+            names = list(self.known)
+            self.known = {names[k]: n for n, k in enumerate(kept.tolist())}
+            self.groups = [self.groups[k] for k in kept.tolist()]
+            self.figures, self.good, self.used = self.figures[kept], self.good[kept], self.used[kept] // 2
+            self.links = self.links.only(kept)
         self.plain: set[str] = set()
-        self.chunks: list[Chunk] = []
-        self.figures = np.zeros((0, 5), np.int64)
-        self.links = CSR(np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        self.chars = 0
+        self.chars = sum(map(len, self.known)) + sum(map(len, self.groups))
+
+    def make_room(self) -> None:
+        """Once too much is remembered, forgets the chunks that were used least; those used often stay."""
+        if len(self.known) <= REMEMBERED and self.chars <= REMEMBERED_CHARS:
+            return
+        least = 2
+        while (kept := np.flatnonzero(self.used >= least)).size > REMEMBERED // 2:
+            least *= 2
+        self.forget(kept)
+        if self.chars > REMEMBERED_CHARS // 2:
+            self.forget()
 
     def parts(self, text: str) -> list[str]:
         """The text cut before single spaces between other characters; these spaces begin the next part."""
@@ -128,14 +148,16 @@ class Aligner:
         spaced = [" " + c for c in new]
         a_ids = [e.ids for e in self.byte_bpe.encode_batch_fast(spaced, add_special_tokens=False)]
         b_ids = self.pieces.encode(new, num_threads=1)
-        good = [b"".join(map(self.a_bytes.__getitem__, a)) == (w := s.encode()) and b"".join(map(self.b_bytes.__getitem__, b)) == w for a, b, s in zip(a_ids, b_ids, spaced, strict=True)]
+        ids = [np.fromiter(chain.from_iterable(x), np.int64) for x in (a_ids, b_ids)]
+        counts = [np.fromiter(map(len, x), np.int64, len(new)) for x in (a_ids, b_ids)]
+        good = self.spelt(spaced, *ids, *counts)
         figures = np.zeros((len(new), 5), np.int64)
-        right = [k for k, g in enumerate(good) if g]
+        right = np.flatnonzero(good)
         written = [""] * len(new)
         pairs = CSR(np.zeros(len(new) + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        if right:
-            n_a, n_b = (np.array([len(ids[k]) for k in right], np.int64) for ids in (a_ids, b_ids))
-            a, b = (np.concatenate([np.array(ids[k], np.int64) for k in right]) for ids in (a_ids, b_ids))
+        if len(right):
+            n_a, n_b = (c[right] for c in counts)
+            a, b = (x[np.repeat(good, c)] for x, c in zip(ids, counts, strict=True))
             of_a, of_b = np.repeat(np.arange(len(right)), n_a), np.repeat(np.arange(len(right)), n_b)
             ends = np.concatenate([[0], np.cumsum(self.a_lengths[a])])
             ones = np.ones(ends[-1], np.int64)
@@ -165,17 +187,30 @@ class Aligner:
             overlaps = np.bincount(of_a[overlap.rows], minlength=len(right))
             figures[right] = np.stack([n_a, n_b, np.bincount(of_group, minlength=len(right)), _sums(of_group, links, len(right)), overlaps], axis=1)
             texts = self.written(a, b, group_a, group_b)
-            edges = np.searchsorted(of_group, np.arange(len(right) + 1))
-            for k, i, j in zip(right, edges, edges[1:], strict=False):
-                written[k] = ";".join(texts[i:j])
-        for c, w, g in zip(new, written, good, strict=True):
-            self.known[c] = len(self.chunks)
-            self.chunks.append(Chunk(w, g))
-            self.chars += len(c) + len(w)
-        self.figures = np.concatenate([self.figures, figures])
+            edges = np.searchsorted(of_group, np.arange(len(right) + 1)).tolist()
+            for k, i, j in zip(right.tolist(), edges, edges[1:], strict=False):
+                written[k] = texts[i] if j == i + 1 else ";".join(texts[i:j])
+        self.known.update(zip(new, range(len(self.groups), len(self.groups) + len(new)), strict=True))
+        self.groups += written
+        self.chars += sum(map(len, new)) + sum(map(len, written))
+        self.figures, self.good = np.concatenate([self.figures, figures]), np.concatenate([self.good, good])
+        self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
         starts = np.concatenate([self.links.starts, self.links.starts[-1] + pairs.starts[1:]])
         self.links = CSR(starts, np.concatenate([self.links.columns, pairs.columns]), np.concatenate([self.links.values, pairs.values]))
 
+    def spelt(self, spaced: list[str], a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+        """Whether each chunk's tokens of A, and those of B, are its bytes."""
+        said = [c.encode() for c in spaced]
+        sizes = np.fromiter(map(len, said), np.int64, len(said))
+        good = np.ones(len(said), bool)
+        for ids, counts, table, lengths in ((a, n_a, self.a_bytes, self.a_lengths), (b, n_b, self.b_bytes, self.b_lengths)):
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            spelt = np.concatenate([[0], np.cumsum(lengths[ids])])[ends]
+            tokens = list(map(table.__getitem__, ids.tolist()))
+            if not np.array_equal(np.diff(spelt), sizes) or b"".join(tokens) != b"".join(said):
+                good &= [b"".join(tokens[i:j]) == w for i, j, w in zip(ends.tolist(), ends[1:].tolist(), said, strict=False)]
+        return good
+
     def written(self, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> list[str]:
         """Each group as its ids of A, a bar and its ids of B."""
         sides = []
@@ -187,23 +222,23 @@ class Aligner:
 
     def align(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, CSR]:
         """Each text's groups written out, its figures (tokens of A, of B, groups, links, overlaps), and its links by pair."""
-        if len(self.known) > REMEMBERED or self.chars > REMEMBERED_CHARS:
-            self.forget()
+        self.make_room()
         parts = [self.parts(t) if t else [] for t in texts]
-        if new := list({c for p in parts for c in p}.difference(self.known)):
+        if new := list(set().union(*parts).difference(self.known)):
             self.learn(new)
         kinds = [list(map(self.known.__getitem__, p)) for p in parts]
         # Where a chunk's tokens do not spell it, the text's own tokens decide: it is aligned in one piece.
-        odd = [k for k, found in enumerate(kinds) if not all(self.chunks[c].good for c in set(found))]
+        odd = [k for k, found in enumerate(kinds) if found and not self.good[found].all()]
         if new := list({texts[k] for k in odd}.difference(self.known)):
             self.learn(new)
         for k in odd:
             kinds[k] = [self.known[texts[k]]]
-        counts = np.array([len(k) for k in kinds], np.int64)
-        flat = np.array([c for k in kinds for c in k], np.int64)
+        counts = np.fromiter(map(len, kinds), np.int64, len(kinds))
+        flat = np.fromiter(chain.from_iterable(kinds), np.int64, counts.sum())
+        self.used += np.bincount(flat, minlength=len(self.used))
         uses = CSR.of(np.repeat(np.arange(len(texts)), counts), flat, np.ones(len(flat), np.int64), len(texts))
         figures = np.stack([_sums(uses.rows, self.figures[uses.columns, f] * uses.values, len(texts)) for f in range(5)], axis=1)
-        groups = [";".join([self.chunks[c].groups for c in k]) for k in kinds]
+        groups = [";".join(map(self.groups.__getitem__, k)) for k in kinds]
         return groups, figures, uses.times(self.links)
 
 
