@@ -2,44 +2,40 @@
 
 from __future__ import annotations
 
+import codecs
+import encodings
+import encodings.aliases
+import mimetypes
+import pkgutil
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weblake.functions.text import extracted, looks_like_html
-
-# Encoding names after normalization, as families of a prefix and its endings (``-``: none), and
-# extensions of media types.
-ENCODING_FAMILIES = {
-    "": "1125 273 437 646 850 852 855 857 858 860 861 862 863 865 866 869 8859 932 936 949 950",
-    "cp": "037 1006 1026 1125 1140 1250 1251 1252 1253 1254 1255 1256 1257 1258 1361 154 273 424 437 500 65001 720 737 775 819 850 852 855 856 857 858 860 861 862 863 864 865 866 866u 869 874 875 932 936 949 950 gr is",
-    "ibm": "037 039 1026 1125 1140 273 424 437 500 775 850 852 855 857 858 860 861 862 863 864 865 866 869",
-    "windows": "1250 1251 1252 1253 1254 1255 1256 1257 1258",
-    "ms": "1361 932 936 949 950 kanji",
-    "mac": "centraleurope cyrillic greek iceland intosh latin2 roman turkish",
-    "iso8859": "1 2 3 4 5 6 7 8 9 10 11 13 14 15 16",
-    "iso2022": "jp jp1 jp2 jp2004 jp3 jpext kr",
-    "l": "1 2 3 4 5 6 7 8 9 10",
-    "latin": "- 1 2 3 4 5 6 7 8 9 10",
-    "utf": "- 7 8 8sig 16 16be 16le 32 32be 32le",
-    "u": "7 8 16 32",
-    "big5": "- hkscs tw",
-    "cs": "big5 ibm273 iso2022jp iso2022kr iso58gb231280 ptcp154 shiftjis",
-    "ebcdiccp": "be ch he",
-    "euc": "cn gb2312cn jis2004 jisx0213 jp kr",
-    "gb": "18030 180302000 2312 23121980 231280 k",
-    "hz": "- gb gb2312",
-    "koi8": "r u",
-    "ks": "c5601 c56011987 x1001",
-    "shiftjis": "- 2004 x0213",
-    "sjis": "- 2004 x0213",
-}
-OTHER_ENCODINGS = "arabic ascii chinese cyrillic cyrillicasian greek greek8 hebrew hkscs isoir58 jisx0213 johab korean pt154 ptcp154 ruscii thai uhc ujis unicode11utf7 usascii"
-ENCODINGS = sorted({*OTHER_ENCODINGS.split(), *(prefix + end.replace("-", "") for prefix, ends in ENCODING_FAMILIES.items() for end in ends.split())})
-MIMETYPES = {
-    ".html": "text/html", ".htm": "text/html", ".txt": "text/plain", ".css": "text/css", ".csv": "text/csv", ".xml": "application/xml",
-    ".json": "application/json", ".pdf": "application/pdf", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".jpe": "image/jpeg", ".png": "image/png",
-    ".gif": "image/gif", ".svg": "image/svg+xml", ".js": "text/javascript", ".mp3": "audio/mpeg", ".mp4": "video/mp4", ".zip": "application/zip",
-}
+from weblake.functions.columns import let
+from weblake.functions.text import extracted, is_binary_mimetype, looks_like_html
+
+#: Codecs of Python that are no character sets of texts.
+NO_CHARACTER_SETS = ("charmap", "idna", "mbcs", "oem", "punycode", "raw_unicode_escape", "undefined", "unicode_escape")
+
+
+def _known_encodings() -> list[str]:
+    """All names, normalized, under which Python's codec tables know a character set."""
+    known = {m.name for m in pkgutil.iter_modules(encodings.__path__)} - {"aliases"}
+    named = {*known, *encodings.aliases.aliases, *encodings.aliases.aliases.values()}.difference(NO_CHARACTER_SETS)
+    out = set()
+    for name in named:
+        target = encodings.aliases.aliases.get(name, name)
+        if target in known and target not in NO_CHARACTER_SETS and codecs.lookup(target)._is_text_encoding:
+            out.add(re.sub(r"[\s_\-]", "", name).lower())
+    return sorted(out)
+
+
+ENCODINGS = _known_encodings()
+#: Media types by extension and extensions by media type, as Python's own tables have them.
+_MEDIA = mimetypes.MimeTypes(filenames=())
+MIMETYPES: dict[str, str] = dict(sorted(_MEDIA.types_map[True].items()))
+EXTENSIONS: dict[str, str] = {m: {".htm": ".html", ".jpe": ".jpg"}.get(e, e) for m in sorted(set(MIMETYPES.values())) if (e := _MEDIA.guess_extension(m))}
 
 
 def normalize_encoding(c: Column) -> Column:
@@ -118,17 +114,16 @@ def content_type_parts(c: Column) -> Column:
 
 
 def guess_mimetype(url: Column, content_type: Column, body: Column) -> Column:
-    """struct(mimetype, ext, is_text): by header, else by the URL's extension, else by the look of the body."""
+    """struct(mimetype, ext, is_text): by header, else by the URL's extension, else by the look of the body.
+
+    is_text: the media type is none of bytes (``is_binary_mimetype``); null where no media type is known.
+    """
     from weblake.functions.urls import extension
 
-    known = F.create_map(*(F.lit(x) for pair in MIMETYPES.items() for x in pair))
+    table = lambda pairs: F.create_map(*(F.lit(x) for pair in pairs.items() for x in pair))
     dotted = F.concat(F.lit("."), extension(url))
-    kind = F.coalesce(F.lower(content_type_parts(content_type)["mimetype"]), F.try_element_at(known, dotted), F.when(looks_like_html(body), "text/html"))
-    ext = F.lit(None).cast("string")
-    for e, m in reversed(MIMETYPES.items()):
-        if e not in (".htm", ".jpe", ".jpeg"):
-            ext = F.when(kind == m, e).otherwise(ext)
-    return F.struct(kind.alias("mimetype"), ext.alias("ext"), kind.rlike("^text/|json|xml|javascript").alias("is_text"))
+    kind = F.coalesce(F.lower(content_type_parts(content_type)["mimetype"]), F.try_element_at(table(MIMETYPES), dotted), F.when(looks_like_html(body), "text/html"))
+    return let(kind, lambda k: F.struct(k.alias("mimetype"), F.try_element_at(table(EXTENSIONS), k).alias("ext"), (~is_binary_mimetype(k)).alias("is_text")))
 
 
 def regex_canonical(body: Column) -> Column:

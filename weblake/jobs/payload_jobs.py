@@ -59,15 +59,31 @@ def n5_youtube_caption_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.youtube_caption_lines(files, "conv_id", "xml").withColumn("place", F.col("place").cast("long"))
 
 
-@query("""SELECT o_orderkey::VARCHAR AS id, strftime(make_timestamp(o_orderkey * 1000000), '%Y-%m-%dT%H:%M:%S') AS utc_time, o_custkey::VARCHAR AS author_unique_id, CASE WHEN o_orderkey % 2 = 1 THEN 'd' || o_orderkey END AS duet_from_id,
-  CASE WHEN o_orderkey % 2 = 1 THEN 'name' || o_custkey END AS duet_from_user_name, ['a b'] AS stickers_texts, [o_orderpriority] AS challenges_titles FROM orders WHERE o_orderkey % 3 <> 0""")
+@query("""SELECT o_orderkey::VARCHAR AS id, o_orderkey AS timestamp, strftime(make_timestamp(o_orderkey * 1000000), '%Y-%m-%dT%H:%M:%S') AS utc_time, o_orderkey % 4 = 1 AS original_item, 1280 + o_orderkey % 9 AS video_height, 15 AS video_duration,
+  '720p' AS video_quality, o_custkey::VARCHAR AS author_unique_id, o_custkey * 3 AS author_follower_count, o_orderkey % 2 = 0 AS author_verified, 'song' AS music_title, 60 AS music_duration, o_orderkey * 2 AS digg_count, o_orderkey + 7 AS play_count,
+  CASE WHEN o_orderkey % 2 = 1 THEN 'd' || o_orderkey END AS duet_from_video_id, CASE WHEN o_orderkey % 2 = 1 THEN '2' END AS duet_from_user_id, CASE WHEN o_orderkey % 2 = 1 THEN 'name' || o_custkey END AS duet_from_user_name,
+  CASE WHEN o_orderkey % 2 = 1 THEN true END AS duet_from_user_is_commerce, ['a b', ''] AS stickers_texts, [o_orderpriority, NULL] AS challenges_titles, [NULL, 'about'] AS challenges_descriptions, ['glow'] AS effect_stickers_names,
+  true AS duet_enabled, false AS stitch_enabled, NULL::BOOLEAN AS share_enabled, false AS is_ad, 52 AS n_columns FROM orders WHERE o_orderkey % 3 <> 0""")
 def n6_tiktok_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    odd = F.col("o_orderkey") % 2 == 1
-    duet = F.when(odd, F.concat(F.lit("d"), text_of("o_orderkey"))).otherwise("0")
-    extra = F.array(s(awemeId="other", userId="0", userUniqueId="nobody", isCommerce=False), s(awemeId=duet, userId="1", userUniqueId=F.concat(F.lit("name"), text_of("o_custkey")), isCommerce=True))
-    doc = s(id=text_of("o_orderkey"), createTime=F.col("o_orderkey"), author=s(uniqueId=text_of("o_custkey")), duetInfo=s(duetFromId=duet), textExtra=extra, stickersOnItem=F.array(s(stickerText=F.array(F.lit("a"), F.lit("b")))), challenges=F.array(s(title=F.col("o_orderpriority"))))
-    rows = payload(table(spark, sf_dir, "orders"), s(type=F.when(F.col("o_orderkey") % 3 == 0, 4).otherwise(1), item=doc))
-    return payloads.tiktok_videos(rows, search=True).select("id", "utc_time", "author_unique_id", "duet_from_id", "duet_from_user_name", "stickers_texts", "challenges_titles")
+    """Items of a search as the service writes them, filled with each order's numbers."""
+    item = """{"type": %s, "item": {"id": "@k", "desc": "d", "createTime": @k, "originalItem": @o, "video": {"id": "v", "height": @h, "width": 720, "duration": 15, "ratio": "720p", "cover": "c", "originCover": "o", "dynamicCover": "y",
+      "reflowCover": "r", "bitrate": 900, "format": "mp4", "videoQuality": "720p"}, "author": {"id": "1", "uniqueId": "@c", "nickname": "n", "avatarLarger": "a", "signature": "s", "verified": @e, "secret": false},
+      "authorStats": {"followingCount": 1, "followerCount": @f, "heartCount": 2, "videoCount": 3, "diggCount": 4}, "music": {"id": "m", "title": "song", "authorName": "an", "original": true, "playUrl": "p", "duration": 60},
+      "stats": {"diggCount": @d, "shareCount": 1, "commentCount": 2, "playCount": @p}, "duetInfo": {"duetFromId": "@u"},
+      "textExtra": [{"awemeId": "@u", "userId": "1", "userUniqueId": "first", "isCommerce": false}, {"awemeId": "x", "userId": "0", "userUniqueId": "nobody", "isCommerce": false}, {"awemeId": "@u", "userId": "2", "userUniqueId": "name@c", "isCommerce": true}],
+      "challenges": [{"title": "@t"}, {"desc": "about"}], "stickersOnItem": [{"stickerText": ["a", "b"]}, {"stickerText": []}], "effectStickers": [{"name": "glow"}], "duetEnabled": true, "stitchEnabled": false, "isAd": false}}"""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    filled = F.replace(F.lit(item), F.lit("%s"), F.when(k % 3 == 0, "4").otherwise("1"))
+    values = {
+        "@k": k, "@o": F.when(k % 4 == 1, "true").otherwise("false"), "@h": 1280 + k % 9, "@e": F.when(k % 2 == 0, "true").otherwise("false"), "@f": c * 3, "@d": k * 2, "@p": k + 7,
+        "@u": F.when(k % 2 == 1, F.concat(F.lit("d"), k.cast("string"))).otherwise("0"), "@c": c, "@t": F.col("o_orderpriority"),
+    }
+    for mark, value in values.items():
+        filled = F.replace(filled, F.lit(mark), value.cast("string"))
+    found = payloads.tiktok_videos(table(spark, sf_dir, "orders").select(filled.alias("payload")), search=True)
+    names = "id timestamp utc_time original_item video_height video_duration video_quality author_unique_id author_follower_count author_verified music_title music_duration digg_count play_count duet_from_video_id duet_from_user_id"
+    names += " duet_from_user_name duet_from_user_is_commerce stickers_texts challenges_titles challenges_descriptions effect_stickers_names duet_enabled stitch_enabled share_enabled is_ad"
+    return found.select(*names.split(), F.lit(len(found.columns)).alias("n_columns"))
 
 
 @query("SELECT doc_id::VARCHAR AS pk, ['tag' || doc_id % 7] AS hashtags, ['some.one'] AS mentioned_names, false AS has_translation, source AS user_username FROM documents")
@@ -123,15 +139,61 @@ def n14_wikipedia_pageviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.wikipedia_pageviews(payload(rows, s(items=F.col("items")), "c_custkey")).select("c_custkey", "article", "views")
 
 
-@query("SELECT 'tweet-' || o_orderkey AS entry, o_orderkey::VARCHAR AS id, o_orderpriority AS text FROM orders WHERE o_orderkey % 5 NOT IN (0, 1)")
+# Pages of a search as the service sends them: the customer's orders as entries, by o_orderkey % 8: 0 unavailable, 1 promoted, 2 shown with a notice, 3 quotes
+# a tweet that is shown with a notice, 4 an empty result, 5 no tweet, 6 quotes one that is gone, 7 has no user. A pinned one replaces an entry; a third instruction is none of these.
+def twitter_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tweet = """{"__typename": "Tweet", "rest_id": "@k", "source": "web", "core": {"user_results": {"result": {"__typename": "User", "legacy": {"screen_name": "u@c", "name": "User @c", "followers_count": @c, "verified": false}}}},
+      "legacy": {"id_str": "@k", "user_id_str": "@c", "full_text": "@t", "favorite_count": @k, "created_at": "Mon Jan 01 00:00:00 +0000 2024"@m}@q}"""
+    quoted = """{"__typename": "Tweet", "source": "app", "core": {"user_results": {"result": {"legacy": {"screen_name": "q@c", "name": "Q"}}}}, "legacy": {"id_str": "9@k", "user_id_str": "8@c", "full_text": "said before", "quoted_status_id_str": "1"}}"""
+    wrapped = lambda t: '{"__typename": "TweetWithVisibilityResults", "tweet": ' + t + "}"
+    plain = lambda more="", quote="": tweet.replace("@m", more).replace("@q", quote)
+    results = [
+        '{"__typename": "TweetUnavailable", "reason": "Suspended"}', plain(', "promotedMetadata": {"x": 1}'), wrapped(plain()),
+        plain(', "quoted_status_id_str": "9@k"', ', "quoted_status_result": {"result": ' + wrapped(quoted) + "}"), None, '{"__typename": "Tweet", "rest_id": "@k"}',
+        plain(', "quoted_status_id_str": "77"', ', "quoted_status_result": {"result": {"__typename": "TweetUnavailable"}}'), plain().replace('"core"', '"core_is_missing"'),
+    ]
+    entry = '{"entryId": "tweet-@k", "content": {"itemContent": {"tweet_results": %s}}}'
+    entries = [entry % (f'{{"result": {r}}}' if r else "{}") for r in results]
+    filled = F.get(F.array(*map(F.lit, entries)), (F.col("o_orderkey") % 8).cast("int"))
+    for mark, value in (("@k", "o_orderkey"), ("@c", "o_custkey"), ("@t", "o_orderpriority")):
+        filled = F.replace(filled, F.lit(mark), F.col(value).cast("string"))
+    pages = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", filled.alias("e")))), lambda x: x["e"]), ", ").alias("entries"))
+    pinned = F.replace(F.lit('{"entryId": "sq-I-t-pin", "content": {"itemContent": {"tweet_results": {"result": %s}}}}' % plain().replace("@k", "55").replace("@t", "pinned")), F.lit("@c"), F.col("o_custkey").cast("string"))
+    cursor = '{"entryId": "sq-cursor-top", "content": {"cursorType": "Top"}}'
+    doc = F.concat(
+        F.lit('{"data": {"search_by_raw_query": {"search_timeline": {"timeline": {"instructions": [{"type": "TimelineAddEntries", "entries": [' + cursor + ", "), F.col("entries"),
+        F.lit(']}, {"type": "TimelineReplaceEntry", "entry": '), pinned, F.lit('}, {"type": "TimelineClearCache"}]}}}}}'),
+    )
+    return pages.select("o_custkey", doc.alias("payload"))
+
+
+_TWEETS = """o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+  tweets AS (SELECT o_custkey, 0 AS instruction, n, 'tweet-' || o_orderkey AS entry, 'tweet' AS role, NULL AS around_id, CASE WHEN o_orderkey % 8 <> 5 THEN o_orderkey::VARCHAR END AS id, CASE WHEN o_orderkey % 8 <> 5 THEN o_orderpriority END AS text,
+      CASE o_orderkey % 8 WHEN 3 THEN '9' || o_orderkey WHEN 6 THEN '77' END AS quoted_id, CASE WHEN o_orderkey % 8 <> 5 THEN 'web' END AS source, CASE WHEN o_orderkey % 8 <> 5 THEN o_custkey::VARCHAR END AS user_id,
+      CASE WHEN o_orderkey % 8 NOT IN (5, 7) THEN 'u' || o_custkey END AS user_screen_name, CASE WHEN o_orderkey % 8 <> 5 THEN o_orderkey END AS like_count, CASE WHEN o_orderkey % 8 NOT IN (5, 7) THEN o_custkey END AS user_followers,
+      CASE o_orderkey % 8 WHEN 5 THEN 'parsing' WHEN 7 THEN 'no-user' END AS error FROM o WHERE o_orderkey % 8 NOT IN (0, 1, 4)
+    UNION ALL SELECT o_custkey, 0, n, 'tweet-' || o_orderkey, 'quoted', o_orderkey::VARCHAR, '9' || o_orderkey, 'said before', '1', 'app', '8' || o_custkey, 'q' || o_custkey, NULL, NULL, NULL FROM o WHERE o_orderkey % 8 = 3
+    UNION ALL SELECT DISTINCT o_custkey, 1, 0, 'sq-I-t-pin', 'tweet', NULL, '55', 'pinned', NULL, 'web', o_custkey::VARCHAR, 'u' || o_custkey, 55, o_custkey, NULL FROM orders)"""
+
+
+@query(f"WITH {_TWEETS} SELECT * FROM tweets")
 def n15_twitter_timeline_tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey") % 5
-    tweet = s(legacy=s(id_str=text_of("o_orderkey"), full_text=F.col("o_orderpriority")))
-    result = s(__typename=F.when(k == 0, "TweetUnavailable").when(k == 2, "TweetWithVisibilityResults").otherwise("Tweet"), tweet=tweet, legacy=F.when(k != 2, tweet["legacy"]))
-    entry = s(entryId=F.concat(F.lit("tweet-"), text_of("o_orderkey")), content=s(itemContent=s(tweet_results=s(result=result), promotedMetadata=F.when(k == 1, s(x=1)))))
-    pages = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(entry).alias("entries"))
-    doc = s(timeline=s(instructions=F.array(s(type="TimelineAddEntries", entries=F.col("entries")))))
-    return payloads.twitter_timeline_tweets(payload(pages, doc)).select("entry", "id", "text")
+    found = payloads.twitter_timeline_tweets(twitter_pages(spark, sf_dir))
+    return found.select("o_custkey", "instruction", F.col("n").cast("long").alias("n"), "entry", "role", "around_id", "id", "text", "quoted_id", "source", "user_id", "user_screen_name", "like_count", "user_followers", "error")
+
+
+@query(f"""WITH {_TWEETS}, t AS (SELECT DISTINCT id, user_id, quoted_id, text FROM tweets WHERE error IS NULL AND role = 'tweet'), every AS (SELECT id, min(user_id) AS user_id, min(text) AS text FROM tweets WHERE error IS NULL GROUP BY id),
+  u AS (SELECT user_id, min(user_screen_name) AS name FROM tweets WHERE error IS NULL GROUP BY 1)
+  SELECT t.id, t.user_id, u.name, t.quoted_id, q.text AS quoted_text, qu.name AS quoted_user, CASE WHEN t.quoted_id IS NOT NULL AND q.id IS NULL THEN 'quoted-not-found' END AS error
+  FROM t JOIN u USING (user_id) LEFT JOIN every q ON q.id = t.quoted_id LEFT JOIN u qu ON qu.user_id = q.user_id""")
+def n15_j7_quotes_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tweets of pages with the tweets they quote, which stand inside them or nowhere."""
+    from weblake.operators import joins
+
+    found = payloads.twitter_timeline_tweets(twitter_pages(spark, sf_dir)).where("error is null")
+    users = found.select("user_id", F.col("user_screen_name").alias("name")).distinct()
+    tweets = found.where("role = 'tweet'").select("id", "user_id", "quoted_id", "retweeted_id", "text").distinct()
+    return joins.attach_referenced(tweets, users, originals=found).select("id", "user_id", "name", "quoted_id", "quoted_text", "quoted_user", "error")
 
 
 @query("SELECT event_type, count(*) AS tweet_count FROM events GROUP BY 1")
@@ -262,10 +324,20 @@ def n18_webentity_page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("url", "lru", "webentity", "webentity_status", "status", "crawled", "crawl_timestamp", "crawl_datetime", "size", F.col("body").cast("string").alias("body"))
 
 
-@query("SELECT o_orderkey::VARCHAR AS user_id, NULL::VARCHAR AS cursor FROM orders UNION ALL SELECT NULL, 'c' || o_custkey FROM (SELECT DISTINCT o_custkey FROM orders)")
+@query("""SELECT o_custkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS n, o_orderkey::VARCHAR AS id, 'f' || o_orderkey AS screen_name, o_orderpriority AS name, o_orderkey % 2 = 0 AS verified, o_orderkey + 1 AS followers, 'c' || o_custkey AS cursor
+  FROM orders WHERE o_custkey % 3 <> 0""")
 def n16_twitter_followers_you_know(spark: SparkSession, sf_dir: str) -> DataFrame:
-    user = s(entryId=F.concat(F.lit("user-"), text_of("o_orderkey")), content=s(cursorType=F.lit(None).cast("string"), value=F.lit(None).cast("string")))
-    pages = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(user).alias("users"))
-    cursor = s(entryId="cursor-bottom", content=s(cursorType="Bottom", value=F.concat(F.lit("c"), text_of("o_custkey"))))
-    doc = s(timeline=s(instructions=F.array(s(entries=F.concat("users", F.array(cursor))))))
-    return payloads.twitter_followers_you_know(payload(pages, doc))
+    """Pages as the service sends them: the last instruction has the users; every third page has no bottom cursor and so no users."""
+    entry = '{"entryId": "user-@k", "content": {"itemContent": {"user_results": {"result": {"rest_id": "@k", "legacy": {"screen_name": "f@k", "name": "@p", "followers_count": @n, "verified": @v}}}}}}'
+    filled = F.lit(entry)
+    for mark, value in (("@k", F.col("o_orderkey")), ("@p", F.col("o_orderpriority")), ("@n", F.col("o_orderkey") + 1), ("@v", F.col("o_orderkey") % 2 == 0)):
+        filled = F.replace(filled, F.lit(mark), value.cast("string"))
+    pages = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", filled.alias("e")))), lambda x: x["e"]), ", ").alias("users"))
+    place = F.when(F.col("o_custkey") % 3 != 0, "bottom").otherwise("top")
+    doc = F.concat(
+        F.lit('{"data": {"user": {"result": {"timeline": {"timeline": {"instructions": [{"type": "TimelineClearCache"}, {"type": "TimelineAddEntries", "entries": ['), F.col("users"),
+        F.lit(', {"entryId": "cursor-'), place, F.lit('-1", "content": {"value": "c'), text_of("o_custkey"), F.lit('"}}]}]}}}}}}'),
+    )
+    found = payloads.twitter_followers_you_know(pages.select("o_custkey", doc.alias("payload")))
+    return found.select("o_custkey", "n", "id", "screen_name", "name", "verified", "followers", "cursor")
+

@@ -90,31 +90,32 @@ def r3_declared_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page.declared_encodings(pages, "page_id", "body")
 
 
-@query("SELECT page_id, 'text/html' AS mimetype, 'utf-8' AS charset, '.html' AS ext, true AS is_text, page_id % 8 < 4 AS supported FROM pages")
+_MEDIA = [
+    # header, extension of the URL; media type, extension, whether it is text.
+    ("text/html; charset=UTF-8", "png", "text/html", ".html", True), ("image/svg+xml", "html", "image/svg+xml", ".svg", False), ("application/javascript", "", "application/javascript", None, False),
+    ("application/yaml", "", "application/yaml", None, True), (None, "webp", "image/webp", ".webp", False), (None, "doc", "application/msword", ".doc", False), (None, "jpe", "image/jpeg", ".jpg", False),
+    ("text/plain, x;charset='utf-8'", "", "text/plain", ".txt", True), (None, "", "text/html", ".html", True), ("application/ld+json", "pdf", "application/ld+json", None, True), (None, "PDF", "application/pdf", ".pdf", False),
+]
+_SAID = lambda k: "[" + ", ".join("NULL" if m[k] is None else str(m[k]).lower() if isinstance(m[k], bool) else f"'{m[k]}'" for m in _MEDIA) + "]"
+
+
+@query(f"""SELECT page_id, {_SAID(2)}[page_id % 11 + 1] AS mimetype, CASE WHEN page_id % 11 IN (0, 7) THEN 'utf-8' END AS charset, {_SAID(3)}[page_id % 11 + 1] AS ext, {_SAID(4)}[page_id % 11 + 1] AS is_text,
+  page_id % 8 < 4 AS supported FROM pages""")
 def r5_r7_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    header = F.when(F.col("page_id") % 2 == 0, "text/html; charset=UTF-8").otherwise("text/html , x;charset='utf-8'")
+    """Media types of pages by header, by extension and by look."""
+    of = lambda k: F.get(F.array(*(F.lit(m[k]) for m in _MEDIA)), (F.col("page_id") % len(_MEDIA)).cast("int"))
     name = F.get(F.array(*map(F.lit, ("ISO 8859_1", "L1", "csISO2022-KR", "Shift_JIS 2004", "utf-8859-1", "nope", "xsjis", ""))), (F.col("page_id") % 8).cast("int"))
-    parts, guess = page.content_type_parts(header), page.guess_mimetype(F.col("url"), F.lit(None).cast("string"), F.col("html"))
-    return table(spark, sf_dir, "pages").select("page_id", parts["mimetype"].alias("mimetype"), parts["charset"].alias("charset"), guess["ext"].alias("ext"), guess["is_text"].alias("is_text"), page.is_supported_encoding(name).alias("supported"))
+    url = F.concat(F.lit("https://site.org/file"), F.when(of(1) != "", F.concat(F.lit("."), of(1))).otherwise(""))
+    parts, guess = page.content_type_parts(of(0)), page.guess_mimetype(url, of(0), F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", guess["mimetype"].alias("mimetype"), parts["charset"].alias("charset"), guess["ext"].alias("ext"), guess["is_text"].alias("is_text"), page.is_supported_encoding(name).alias("supported"))
 
 
-_TAGGED = "t AS (SELECT doc_id, left(text, 40) || ' #Tag' || doc_id % 7 || ', #été #été @Some.one_' || doc_id % 5 || ' end' AS x FROM documents)"
+_TAGGED = "t AS (SELECT doc_id, coalesce(text, '') || ' #Tag' || doc_id % 7 || ', #été #été @Some.one_' || doc_id % 5 || ' end' AS x FROM documents)"
 
 
 @query(f"""WITH {_TAGGED} SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(list_filter(string_split_regex(x, '[^\\p{{L}}\\p{{N}}_#]+'), lambda w: w LIKE '#%'), lambda w: lower(ltrim(w, '#'))), lambda w: w <> ''))) AS hashtags,
   list_sort(list_distinct(list_filter(list_transform(list_filter(string_split_regex(x, '[^\\p{{L}}\\p{{N}}_.@]+'), lambda w: w LIKE '@%'), lambda w: lower(ltrim(w, '@'))), lambda w: w <> ''))) AS handles FROM t""")
 def f1_hashtags_and_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("doc_id")
-    x = F.concat(F.left("text", F.lit(40)), F.lit(" #Tag"), (n % 7).cast("string"), F.lit(", #été #été @Some.one_"), (n % 5).cast("string"), F.lit(" end"))
-    return table(spark, sf_dir, "documents").select("doc_id", text.extract_hashtags(x).alias("hashtags"), text.extract_handles(x).alias("handles"))
-
-
-_WHOLE = _TAGGED.replace("left(text, 40)", "coalesce(text, '')")
-
-
-@query(f"""WITH {_WHOLE} SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(list_filter(string_split_regex(x, '[^\\p{{L}}\\p{{N}}_#]+'), lambda w: w LIKE '#%'), lambda w: lower(ltrim(w, '#'))), lambda w: w <> ''))) AS hashtags,
-  list_sort(list_distinct(list_filter(list_transform(list_filter(string_split_regex(x, '[^\\p{{L}}\\p{{N}}_.@]+'), lambda w: w LIKE '@%'), lambda w: lower(ltrim(w, '@'))), lambda w: w <> ''))) AS handles FROM t""")
-def f1_hashtags_and_handles_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of whole texts, with some more at their ends."""
     n = F.col("doc_id")
     x = F.concat(F.coalesce("text", F.lit("")), F.lit(" #Tag"), (n % 7).cast("string"), F.lit(", #été #été @Some.one_"), (n % 5).cast("string"), F.lit(" end"))

@@ -30,6 +30,26 @@ def left_join_known(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.withColumn("null salt", salt).join(right.withColumn("null salt", F.lit(-1).cast("long")), [key, "null salt"], "left").drop("null salt")
 
 
+#: A key with more rows than this, and more than this part of all rows, is hot.
+HOT_ROWS, HOT_PARTS = 1000, 1000
+
+
+def left_join_split(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join on ``key`` with the one row of each key in ``right``, where some keys may have very many rows in ``left``.
+
+    Keys are counted first. The rows of hot ones, at most HOT_PARTS keys, stay where they are and their
+    right rows come to them; all other rows are shuffled by key, those without one spread by a salt.
+    """
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("n")).head()["n"] or 0
+    hot = counts.where(F.col("n") > max(HOT_ROWS, total // HOT_PARTS)).select(key)
+    if hot.isEmpty():
+        return left_join_known(left, right, key)
+    hot = F.broadcast(hot)
+    near = left.join(hot, key, "left_semi").join(F.broadcast(right.join(hot, key, "left_semi")), key, "left")
+    return near.unionByName(left_join_known(left.join(hot, key, "left_anti"), right, key))
+
+
 def _keys(stems: Column) -> Column:
     return F.array_join(stems, JOINT)
 
@@ -171,14 +191,16 @@ def attach_referenced(tweets: DataFrame, users: DataFrame, originals: DataFrame
     """Tweets with their user's name, their quoted and their retweeted tweet's text and user, and an error if one is missing.
 
     tweets: id, user_id, quoted_id, retweeted_id, text; users: user_id, name. Referenced tweets come
-    from ``originals`` (default: the tweets themselves), one row per id.
+    from ``originals`` (default: the tweets themselves), one row per id. An id that very many tweets refer to is
+    no single task.
     """
     base = one_row_each((tweets if originals is None else originals).select("id", "user_id", "text"), "id")
-    named = left_join_known(base, users, "user_id").select("id", "text", "name")
-    out = left_join_known(tweets, users, "user_id")
+    users = one_row_each(users.select("user_id", "name"), "user_id")
+    named = stored(left_join_split(base, users, "user_id").select("id", "text", "name"))
+    out = left_join_split(tweets, users, "user_id")
     for kind in ("quoted", "retweeted"):
         other = named.select(F.col("id").alias(f"{kind}_id"), F.col("text").alias(f"{kind}_text"), F.col("name").alias(f"{kind}_user"), F.lit(True).alias(f"{kind} found"))
-        out = left_join_known(out, other, f"{kind}_id")
+        out = left_join_split(out, other, f"{kind}_id")
     error = F.when(F.col("name").isNull(), "user-not-found")
     for kind in ("quoted", "retweeted"):
         error = error.when(F.col(f"{kind}_id").isNotNull() & F.col(f"{kind} found").isNull(), f"{kind}-not-found")

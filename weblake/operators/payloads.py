@@ -105,32 +105,42 @@ def youtube_channels(df: DataFrame) -> DataFrame:
     return parsed(df).select(*fields(names), strings("topicDetails.topicIds").alias("topic_ids"), topics.alias("topic_categories"), F.transform(topics, lambda t: F.substring_index(t, "/", -1)).alias("topic_keywords"), keywords.alias("keywords"))
 
 
+# Columns of a video record, the path of each in the service's document, and its type.
+TIKTOK_FIELDS = [
+    ("id", "id", "string"), ("description", "desc", "string"), ("timestamp", "createTime", "long"), ("original_item", "originalItem", "boolean"),
+    ("video_id", "video.id", "string"), ("video_height", "video.height", "long"), ("video_width", "video.width", "long"), ("video_duration", "video.duration", "long"),
+    ("video_ratio", "video.ratio", "string"), ("video_cover", "video.cover", "string"), ("video_origin_cover", "video.originCover", "string"), ("video_dynamic_cover", "video.dynamicCover", "string"),
+    ("video_reflow_cover", "video.reflowCover", "string"), ("video_bitrate", "video.bitrate", "long"), ("video_format", "video.format", "string"), ("video_quality", "video.videoQuality", "string"),
+    ("author_id", "author.id", "string"), ("author_unique_id", "author.uniqueId", "string"), ("author_nickname", "author.nickname", "string"), ("author_avatar", "author.avatarLarger", "string"),
+    ("author_signature", "author.signature", "string"), ("author_verified", "author.verified", "boolean"), ("author_secret", "author.secret", "boolean"),
+    ("author_following_count", "authorStats.followingCount", "long"), ("author_follower_count", "authorStats.followerCount", "long"), ("author_heart_count", "authorStats.heartCount", "long"),
+    ("author_video_count", "authorStats.videoCount", "long"), ("author_digg_count", "authorStats.diggCount", "long"),
+    ("music_id", "music.id", "string"), ("music_title", "music.title", "string"), ("music_author_name", "music.authorName", "string"), ("music_original", "music.original", "boolean"),
+    ("music_play_url", "music.playUrl", "string"), ("music_duration", "music.duration", "long"), ("music_album", "music.album", "string"),
+    ("digg_count", "stats.diggCount", "long"), ("share_count", "stats.shareCount", "long"), ("comment_count", "stats.commentCount", "long"), ("play_count", "stats.playCount", "long"),
+]
+
+
 def tiktok_videos(df: DataFrame, search: bool = False) -> DataFrame:
     """Videos; items of a search are unwrapped, those that are no video are left out."""
     rows = parsed(df)
     if search:
         rows = rows.where(at("type", "int") == 1).select(F.try_variant_get("v", "$.item", "variant").alias("v"))
-    plain = {"id": "id", "description": "desc", "timestamp": "createTime", "is_original_item": "originalItem"}
-    groups = {
-        "video": ("id", "height", "width", "duration", "ratio", "cover", "originCover", "dynamicCover", "reflowCover", "bitrate", "format", "videoQuality"),
-        "author": ("id", "uniqueId", "nickname", "avatarLarger", "signature", "verified", "secret"),
-        "authorStats": ("followingCount", "followerCount", "heartCount", "videoCount", "diggCount"),
-        "music": ("id", "title", "authorName", "original", "playUrl", "duration", "album"),
-        "stats": ("diggCount", "shareCount", "commentCount", "playCount"),
-    }
-    snake = lambda s: "".join(f"_{c.lower()}" if c.isupper() else c for c in s)
-    nested = {f"{snake(g)}_{snake(k)}": f"{g}.{k}" for g, keys in groups.items() for k in keys}
-    flags = {k: v for k, v in (("duet_enabled", "duetEnabled"), ("stitch_enabled", "stitchEnabled"), ("share_enabled", "shareEnabled"), ("is_ad", "isAd"))}
+    snake = lambda key: "".join(f"_{c.lower()}" if c.isupper() else c for c in key)
     duet = F.nullif(at("duetInfo.duetFromId"), F.lit("0"))
-    named = F.get(F.filter(items("textExtra"), lambda x: at("awemeId", of=x) == duet), 0)
+    # Of several mentions of the video that is answered, the last says whose it is.
+    named = F.try_element_at(F.filter(items("textExtra"), lambda x: at("awemeId", of=x) == duet), F.lit(-1))
     each = lambda path, key: F.transform(items(path), lambda x: at(key, of=x))
-    return rows.select(
-        *fields(plain), text.timestamp_to_iso(at("createTime").try_cast("long")).alias("utc_time"), *fields(nested),
-        duet.alias("duet_from_id"), at("userId", of=named).alias("duet_from_user_id"), at("userUniqueId", of=named).alias("duet_from_user_name"), at("isCommerce", "boolean", of=named).alias("duet_from_user_is_commerce"),
-        each("challenges", "title").alias("challenges_titles"), each("challenges", "desc").alias("challenges_descs"),
-        F.transform(items("stickersOnItem"), lambda x: F.array_join(F.try_variant_get(x, "$.stickerText", "array<string>"), " ")).alias("stickers_texts"), each("effectStickers", "name").alias("effect_stickers_names"),
-        *fields(flags, "boolean"),
-    )
+    columns = {
+        **{name: at(path, kind) for name, path, kind in TIKTOK_FIELDS},
+        "utc_time": text.timestamp_to_iso(at("createTime").try_cast("long")),
+        "duet_from_video_id": duet, "duet_from_user_id": at("userId", of=named), "duet_from_user_name": at("userUniqueId", of=named), "duet_from_user_is_commerce": at("isCommerce", "boolean", of=named),
+        "challenges_titles": each("challenges", "title"), "challenges_descriptions": each("challenges", "desc"),
+        "stickers_texts": F.transform(items("stickersOnItem"), lambda x: F.array_join(F.try_variant_get(x, "$.stickerText", "array<string>"), " ")), "effect_stickers_names": each("effectStickers", "name"),
+        **{snake(key) if key != "isAd" else "is_ad": at(key, "boolean") for key in ("duetEnabled", "stitchEnabled", "shareEnabled", "isAd")},
+    }
+    order = ["id", "description", "timestamp", "utc_time", *(c for c in columns if c not in ("id", "description", "timestamp", "utc_time"))]
+    return rows.select(*(columns[c].alias(c) for c in order))
 
 
 def instagram_comments(df: DataFrame) -> DataFrame:
@@ -175,22 +185,75 @@ def tweet_counts(df: DataFrame) -> DataFrame:
     return parsed(df).select(*rest, F.explode(items("data")).alias("v")).select(*rest, at("start").alias("start"), at("end").alias("end"), at("tweet_count", "long").alias("tweet_count"))
 
 
-def twitter_timeline_tweets(df: DataFrame, path: str = "timeline.instructions") -> DataFrame:
-    """entry, user and payload of the tweets of timeline pages, in order; promoted, empty and unavailable ones are left out."""
-    page = parsed(df).select(F.posexplode(items(path)).alias("instruction", "v"))
-    entries = F.when(at("type") == "TimelineReplaceEntry", F.array(F.try_variant_get("v", "$.entry", "variant"))).when(at("type") == "TimelineAddEntries", items("entries"))
-    rows = page.select("instruction", F.posexplode(entries).alias("n", "v")).where(at("entryId").rlike("^(?:sq-I-t-|tweet-)") & at("content.itemContent.promotedMetadata", "variant").isNull())
-    result = F.try_variant_get("v", "$.content.itemContent.tweet_results.result", "variant")
-    rows = rows.select("instruction", "n", at("entryId").alias("entry"), result.alias("v")).where("v is not null")
-    shown = F.when(at("__typename") == "TweetWithVisibilityResults", F.try_variant_get("v", "$.tweet", "variant")).otherwise(F.col("v"))
-    rows = rows.where(F.coalesce(at("__typename"), F.lit("")) != "TweetUnavailable").withColumn("v", shown)
-    return rows.select("instruction", "n", "entry", at("legacy.id_str").alias("id"), at("legacy.full_text").alias("text"), at("legacy.user_id_str").alias("user_id"), at("legacy.quoted_status_id_str").alias("quoted_id"), at("core.user_results.result.legacy.screen_name").alias("screen_name"))
+SEARCH_ROOT = "data.search_by_raw_query.search_timeline.timeline.instructions"
+FOLLOWERS_ROOT = "data.user.result.timeline.timeline.instructions"
+# Columns of a user and of a tweet, the path of each in the service's ``legacy`` objects, and its type.
+TWITTER_USER = [
+    ("screen_name", "screen_name", "string"), ("name", "name", "string"), ("description", "description", "string"), ("location", "location", "string"), ("created_at", "created_at", "string"),
+    ("followers", "followers_count", "long"), ("friends", "friends_count", "long"), ("tweets", "statuses_count", "long"), ("likes", "favourites_count", "long"), ("lists", "listed_count", "long"), ("verified", "verified", "boolean"),
+]
+TWITTER_TWEET = [
+    ("text", "full_text", "string"), ("lang", "lang", "string"), ("created_at", "created_at", "string"), ("retweet_count", "retweet_count", "long"), ("like_count", "favorite_count", "long"),
+    ("reply_count", "reply_count", "long"), ("quote_count", "quote_count", "long"), ("quoted_id", "quoted_status_id_str", "string"), ("retweeted_id", "retweeted_status_id_str", "string"),
+    ("to_id", "in_reply_to_status_id_str", "string"), ("to_user_id", "in_reply_to_user_id_str", "string"),
+]
+
+
+def _unwrapped(result: Column) -> Column:
+    """The tweet in a result: what is shown with a notice stands one level deeper."""
+    return F.when(at("__typename", of=result) == "TweetWithVisibilityResults", F.try_variant_get(result, "$.tweet", "variant")).otherwise(result)
 
 
-def twitter_followers_you_know(df: DataFrame, path: str = "timeline.instructions") -> DataFrame:
-    """Users of the pages' entries, and the page's bottom cursor."""
-    page = parsed(df).select(F.explode(items(path)).alias("v")).select(F.explode(items("entries")).alias("v"))
-    return page.select(F.when(at("entryId").startswith("user-"), F.substring_index(at("entryId"), "-", -1)).alias("user_id"), F.when(at("content.cursorType") == "Bottom", at("content.value")).alias("cursor")).where("user_id is not null or cursor is not null")
+def _tweet(v: Column) -> Column:
+    """The record of an unwrapped tweet, with its user's, whose id is the tweet's own ``user_id_str``."""
+    user = F.try_variant_get(v, "$.core.user_results.result.legacy", "variant")
+    own = [at(f"legacy.{path}", kind, of=v).alias(name) for name, path, kind in TWITTER_TWEET]
+    of_user = [at(path, kind, of=user).alias(f"user_{name}") for name, path, kind in TWITTER_USER]
+    return F.struct(at("legacy.id_str", of=v).alias("id"), *own, at("source", of=v).alias("source"), at("legacy.user_id_str", of=v).alias("user_id"), *of_user)
+
+
+def twitter_timeline_tweets(df: DataFrame, path: str = SEARCH_ROOT) -> DataFrame:
+    """Tweets of timeline pages, and the tweets that they quote: a row each, with their users.
+
+    instruction, n and entry say where on the page a tweet stands; role is ``tweet`` or ``quoted``, and a quoted
+    tweet's row follows that of the tweet around it, of which ``around_id`` is the id. Both come out of
+    the same document, so what the page holds is resolved without a join; other ids (``quoted_id``,
+    ``retweeted_id``) meet their tweets in ``joins.attach_referenced``. Entries are read from instructions that
+    add or replace them; empty results, unavailable and promoted tweets (by the tweet's own
+    ``promotedMetadata``) are left out, as are quoted ones that are gone. A result that is no tweet has the error
+    ``parsing``, one without a user ``no-user``. Other columns are kept.
+    """
+    rest = [c for c in df.columns if c != "payload"]
+    page = parsed(df).select(*rest, F.posexplode(items(path)).alias("instruction", "v"))
+    entries = F.when(at("type") == "TimelineReplaceEntry", F.array(F.try_variant_get("v", "$.entry", "variant"))).when(at("type") == "TimelineAddEntries", items("entries"))
+    rows = page.select(*rest, "instruction", F.posexplode(entries).alias("n", "v")).where(at("entryId").rlike("^(?:sq-I-t-|tweet-)"))
+    result = F.try_variant_get("v", "$.content.itemContent.tweet_results.result", "variant")
+    rows = rows.select(*rest, "instruction", "n", at("entryId").alias("entry"), result.alias("v")).where(F.col("v").isNotNull() & ~F.is_variant_null("v"))
+    rows = rows.where(F.coalesce(at("__typename"), F.lit("")) != "TweetUnavailable").withColumn("v", _unwrapped(F.col("v")))
+    rows = rows.where(F.try_variant_get("v", "$.legacy.promotedMetadata", "variant").isNull())
+    quoted = _unwrapped(F.try_variant_get("v", "$.quoted_status_result.result", "variant"))
+    both = F.array(F.struct(F.lit("tweet").alias("role"), F.lit(None).cast("string").alias("around_id"), F.col("v").alias("v")), F.struct(F.lit("quoted").alias("role"), at("legacy.id_str").alias("around_id"), quoted.alias("v")))
+    rows = rows.select(*rest, "instruction", "n", "entry", F.explode(both).alias("one")).select(*rest, "instruction", "n", "entry", "one.role", "one.around_id", "one.v")
+    rows = rows.where((F.col("role") == "tweet") | at("legacy.id_str").isNotNull())
+    no_user = F.try_variant_get("v", "$.core.user_results.result.legacy", "variant").isNull()
+    error = F.when(at("legacy.id_str").isNull(), "parsing").when(no_user, "no-user")
+    return rows.select(*rest, "instruction", "n", "entry", "role", "around_id", _tweet(F.col("v")).alias("t"), error.alias("error")).select(*rest, "instruction", "n", "entry", "role", "around_id", "t.*", "error")
+
+
+def twitter_followers_you_know(df: DataFrame, path: str = FOLLOWERS_ROOT) -> DataFrame:
+    """Users of the pages' last instructions, a row each with ``cursor``, by which the next page is asked for.
+
+    A page without a bottom cursor, or without entries, has no users. Other columns are kept.
+    """
+    rest = [c for c in df.columns if c != "payload"]
+    last = F.try_element_at(items(path), F.lit(-1))
+    page = parsed(df).select(*rest, F.try_variant_get(last, "$.entries", "array<variant>").alias("entries"))
+    cursor = F.get(F.filter("entries", lambda e: at("entryId", of=e).startswith("cursor-bottom")), 0)
+    users = F.filter("entries", lambda e: at("entryId", of=e).startswith("user-"))
+    rows = page.select(*rest, at("content.value", of=cursor).alias("cursor"), F.when(cursor.isNotNull(), users).alias("users")).select(*rest, "cursor", F.posexplode("users").alias("n", "e"))
+    v = F.try_variant_get("e", "$.content.itemContent.user_results.result", "variant")
+    record = [at(f"legacy.{path}", kind).alias(name) for name, path, kind in TWITTER_USER]
+    return rows.select(*rest, "cursor", "n", v.alias("v")).select(*rest, "n", at("rest_id").alias("id"), *record, "cursor")
 
 
 def _facebook_edges(of: str) -> Column:
