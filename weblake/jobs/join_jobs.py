@@ -108,26 +108,44 @@ def j4_lookup_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.lookup_enrich(table(spark, sf_dir, "orders").select("o_orderkey", key.alias("key")), "key", people, ["did", "handle"], ["name", "segment"]).drop("key")
 
 
-# Hops by page_id % 10: 0, 1, 2 move on to the next page; 3 answers; 4 loops with 5; 6 points at itself; 7 has no location; 8, 9 answer.
-_HOP_URL = "https://s{}.example.org/"
-
-
-@query(
-    """WITH h AS (SELECT page_id AS n, page_id % 10 AS k, 'https://s' || page_id || '.example.org/' AS url FROM pages), last AS (SELECT max(n) AS top FROM h),
-  r AS (SELECT n, k, url, CASE WHEN k <= 2 THEN n - k + 3 WHEN k = 4 THEN n + 1 WHEN k = 5 THEN n ELSE n END AS target FROM h),
-  x AS (SELECT n, k, url, CASE WHEN k <= 2 AND n - k + 3 > top THEN least(top + 1, n - k + 3) WHEN k = 4 AND n = top THEN n + 1 WHEN k IN (4) THEN n + 1 WHEN k = 5 THEN n - 1 ELSE target END AS t, top FROM r, last)
-  SELECT url, CASE WHEN k = 4 AND n < top THEN 'https://s' || (n + 1) || '.example.org/' WHEN k = 5 THEN 'https://s' || (n - 1) || '.example.org/' ELSE 'https://s' || t || '.example.org/' END AS resolved_url,
-    CASE WHEN k IN (4, 5) AND (k = 5 OR n < top) THEN 'infinite-redirects' WHEN k = 6 THEN 'self-redirect' WHEN k = 7 THEN 'invalid-redirect' WHEN t > top THEN 'not-recorded' END AS resolution_error FROM x"""
-)
+# Answers by page_id % 10: 0, 1, 2 lead on to the next page by location, refresh header and script; 3 answers, and every other one has a canonical link; 4 and 5 lead to each other;
+# 6 points at itself; 7 has no location; 8 has a meta tag with a URL that is not asked for but carries the next page's; 9 is not found. Pages of another host lead on to the next,
+# save every thirtieth: most of these chains are too long.
+_STEPS = """p AS (SELECT page_id AS n, page_id % 10 AS k, 'https://s' || page_id || '.example.org/' AS url, 'https://s' || (page_id + 1) || '.example.org/' AS onward FROM pages),
+  e AS (SELECT url, CASE WHEN k IN (0, 1, 2, 4) THEN onward WHEN k = 5 THEN 'https://s' || (n - 1) || '.example.org/' WHEN k = 6 THEN url WHEN k = 8 THEN 'https://go.example.org/?n=' || n || '&url=https%3A%2F%2Fs' || (n + 1) || '.example.org%2F' END AS next,
+      CASE k WHEN 1 THEN 'refresh-header' WHEN 2 THEN 'js-relocation' WHEN 3 THEN 'hit' WHEN 8 THEN 'meta-refresh' WHEN 9 THEN 'hit' ELSE 'location-header' END AS kind, CASE WHEN k IN (0, 4, 5, 6, 7) THEN 301 WHEN k = 9 THEN 404 ELSE 200 END AS status,
+      CASE WHEN n % 20 = 3 THEN url || 'canonical' END AS canonical FROM p
+    UNION ALL SELECT 'https://go.example.org/?n=' || n || '&url=https%3A%2F%2Fs' || (n + 1) || '.example.org%2F', onward, 'infer', NULL, NULL FROM p WHERE k = 8
+    UNION ALL SELECT 'https://l' || n || '.example.org/', CASE WHEN n % 30 <> 29 THEN 'https://l' || (n + 1) || '.example.org/' END, CASE WHEN n % 30 <> 29 THEN 'location-header' ELSE 'hit' END, CASE WHEN n % 30 <> 29 THEN 302 ELSE 200 END, NULL FROM p),
+  w AS (SELECT url AS start, url AS here, [url] AS seen, []::VARCHAR[] AS kinds FROM e WHERE kind <> 'infer'
+    UNION ALL SELECT start, e.next, list_append(seen, e.next), list_append(kinds, e.kind) FROM w JOIN e ON e.url = w.here WHERE e.next IS NOT NULL AND NOT list_contains(seen, e.next) AND len(seen) < 20),
+  last AS (SELECT start, max_by(here, len(seen)) AS here, max_by(seen, len(seen)) AS seen, max_by(kinds, len(seen)) AS kinds FROM w GROUP BY start),
+  r AS (SELECT start, here, e.*, CASE WHEN e.url IS NULL THEN kinds ELSE list_append(kinds, e.kind) END AS chain,
+      CASE WHEN e.url IS NULL THEN 'not-recorded' WHEN e.next = here THEN 'self-redirect' WHEN e.next IS NULL AND e.kind <> 'hit' THEN 'invalid-redirect' WHEN e.next IS NULL THEN NULL WHEN list_contains(seen, e.next) AND len(seen) < 20 THEN 'infinite-redirects' ELSE 'max-redirects' END AS error
+    FROM last LEFT JOIN e ON e.url = here)"""
+
+
+@query(f"""WITH RECURSIVE {_STEPS} SELECT start AS url, CASE WHEN error IS NULL AND canonical IS NOT NULL THEN canonical ELSE here END AS resolved_url, status AS http_status, error AS resolution_error,
+  (len(chain) - CASE WHEN list_contains(chain, 'hit') THEN 1 ELSE 0 END + CASE WHEN error IS NULL AND canonical IS NOT NULL THEN 1 ELSE 0 END)::INT AS redirect_count, array_to_string(chain, '|') || CASE WHEN error IS NULL AND canonical IS NOT NULL THEN '|canonical' ELSE '' END AS redirect_chain FROM r""")
 def j5_resolve_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, k = F.col("page_id"), F.col("page_id") % 10
-    url = lambda c: F.concat(F.lit("https://s"), c.cast("string"), F.lit(".example.org/"))
-    hops = table(spark, sf_dir, "pages").select(
-        url(n).alias("url"), F.when(k.isin(0, 4, 5, 6, 7), 301).otherwise(200).alias("status"),
-        F.when(k.isin(0, 4), url(n + 1)).when(k == 5, url(n - 1)).when(k == 6, url(n)).alias("location"), F.when(k == 1, F.concat(F.lit("0; url="), url(n + 1))).alias("refresh"),
-        F.when(k == 2, F.concat(F.lit("<script>location = '"), url(n + 1), F.lit("'</script>"))).otherwise("<p>").alias("body"),
+    url = lambda c, host="s": F.concat(F.lit(f"https://{host}"), c.cast("string"), F.lit(".example.org/"))
+    carrier = F.concat(F.lit("https://go.example.org/?n="), n.cast("string"), F.lit("&url=https%3A%2F%2Fs"), (n + 1).cast("string"), F.lit(".example.org%2F"))
+    pages = table(spark, sf_dir, "pages")
+    body = (
+        F.when(k == 2, F.concat(F.lit("<script>location = '"), url(n + 1), F.lit("'</script>"))).when(k == 8, F.concat(F.lit('<meta http-equiv="refresh" content="0; url='), carrier, F.lit('">')))
+        .when(n % 20 == 3, F.lit('<link rel="canonical" href="/canonical">')).otherwise("<p>")
+    )
+    hops = pages.select(
+        url(n).alias("url"), F.when(k.isin(0, 4, 5, 6, 7), 301).when(k == 9, 404).otherwise(200).alias("status"), F.when(k.isin(0, 4), url(n + 1)).when(k == 5, url(n - 1)).when(k == 6, url(n)).alias("location"),
+        F.when(k == 1, F.concat(F.lit("0; url="), url(n + 1))).alias("refresh"), body.alias("body"),
     )
-    return joins.resolve_redirects(hops.select("url"), hops).select("url", "resolved_url", "resolution_error")
+    on = n % 30 != 29
+    none = F.lit(None).cast("string")
+    long = pages.select(url(n, "l").alias("url"), F.when(on, 302).otherwise(200).alias("status"), F.when(on, url(n + 1, "l")).alias("location"), none.alias("refresh"), F.lit("<p>").alias("body"))
+    hops = hops.unionByName(long)
+    found = joins.resolve_redirects(hops.select("url"), hops, canonicalize=True)
+    return found.withColumn("redirect_chain", F.array_join("redirect_chain", "|"))
 
 
 @query("SELECT user_id FROM (SELECT DISTINCT user_id FROM events) WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")

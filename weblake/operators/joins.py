@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weblake.functions import urls
-from weblake.operators.storage import stored
+from weblake.operators.storage import dropped, stored
 
 #: Stands between stems; no URL has it.
 JOINT = "\u0001"
@@ -41,11 +41,10 @@ def left_join_split(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     right rows come to them; all other rows are shuffled by key, those without one spread by a salt.
     """
     counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("n")).head()["n"] or 0
-    hot = counts.where(F.col("n") > max(HOT_ROWS, total // HOT_PARTS)).select(key)
-    if hot.isEmpty():
+    total, most = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).head()
+    if most <= (least := max(HOT_ROWS, total // HOT_PARTS)):
         return left_join_known(left, right, key)
-    hot = F.broadcast(hot)
+    hot = F.broadcast(counts.where(F.col("n") > least).select(key))
     near = left.join(hot, key, "left_semi").join(F.broadcast(right.join(hot, key, "left_semi")), key, "left")
     return near.unionByName(left_join_known(left.join(hot, key, "left_anti"), right, key))
 
@@ -134,57 +133,95 @@ def unseen(df: DataFrame, seen: DataFrame, key: str) -> DataFrame:
 REDIRECT_STATUS = (301, 302, 303, 307, 308)
 
 
-def next_hops(hops: DataFrame, infer: bool = True) -> DataFrame:
-    """url, status, next, hop: where each URL leads, by status, refresh header, meta tag or script.
+def next_hops(hops: DataFrame, follow_refresh: bool = True, follow_meta: bool = True, follow_js: bool = True) -> DataFrame:
+    """url, status, next, kind, canonical: where the answer to each URL leads, by status, refresh header, meta tag or script.
 
-    hops: url, status, location, refresh, body. ``hop`` is hit, infer, location, refresh, meta-refresh or
-    js-relocation; a redirect status without a location has neither.
+    hops: url, status, location, refresh, body. ``kind`` is hit, location-header, refresh-header, meta-refresh or
+    js-relocation; a redirect status without a location has the second and no ``next``. ``canonical`` is
+    the link of a hit's page, joined with its URL, unless that is the URL.
     """
-    from weblake.functions.pages import http_refresh, js_location, meta_refresh
+    from weblake.functions.pages import http_refresh, js_location, meta_refresh, regex_canonical
 
-    inferred = urls.infer_redirection(F.col("url"), recursive=False)
     moved = F.col("status").isin(*REDIRECT_STATUS)
     fine = ~moved & (F.col("status") < 400)
+    none = F.lit(None).cast("string")
     ways = [
-        ("infer", F.when(inferred != F.col("url"), inferred) if infer else F.lit(None).cast("string")),
-        ("location", F.when(moved & (F.trim("location") != ""), urls.url_join(F.col("url"), F.col("location")))),
-        ("refresh", F.when(fine, urls.url_join(F.col("url"), http_refresh(F.col("refresh"))["url"]))),
-        ("meta-refresh", F.when(fine, urls.url_join(F.col("url"), meta_refresh(F.col("body"))["url"]))),
-        ("js-relocation", F.when(fine, urls.url_join(F.col("url"), js_location(F.col("body"))))),
+        ("refresh-header", F.when(fine, http_refresh(F.col("refresh"))["url"]) if follow_refresh else none),
+        ("meta-refresh", F.when(fine, meta_refresh(F.col("body"))["url"]) if follow_meta else none),
+        ("js-relocation", F.when(fine, js_location(F.col("body"))) if follow_js else none),
     ]
-    hop = F.coalesce(*(F.when(v.isNotNull(), F.lit(k)) for k, v in ways), F.when(moved, F.lit(None)).otherwise("hit"))
-    return hops.select("url", "status", F.coalesce(*(v for _, v in ways)).alias("next"), hop.alias("hop"))
-
-
-def resolve_redirects(start: DataFrame, hops: DataFrame, max_redirects: int = 20, infer: bool = True) -> DataFrame:
-    """Follows each ``url`` of ``start`` through a table of recorded hops.
-
-    Returns url, resolved_url, http_status, resolution_error (infinite-redirects, self-redirect,
-    invalid-redirect, max-redirects, not-recorded), redirect_count and redirect_chain (kinds of hops).
-    One equi-join per hop, of the rows that are still on their way; each round is written and read again.
+    way = F.coalesce(F.when(moved, F.struct(F.lit("location-header").alias("kind"), F.when(F.trim("location") != "", F.trim("location")).alias("to"))), *(F.when(v.isNotNull(), F.struct(F.lit(k).alias("kind"), F.trim(v).alias("to"))) for k, v in ways))
+    link = regex_canonical(F.col("body"))
+    rows = hops.select("url", "status", way.alias("way"), F.when(link != F.col("url"), urls.url_join(F.col("url"), link)).alias("canonical"))
+    kind = F.coalesce("way.kind", F.lit("hit"))
+    return rows.select("url", "status", urls.url_join(F.col("url"), F.col("way.to")).alias("next"), kind.alias("kind"), F.when(kind == "hit", F.col("canonical")).alias("canonical"))
+
+
+def _inferred(url: Column) -> Column:
+    """The URL, what it carries as its target, what that carries, and so on, until nothing is carried."""
+    step = lambda acc, _: F.concat(acc, F.filter(F.array(urls.infer_redirection(F.element_at(acc, -1), recursive=False)), lambda u: u != F.element_at(acc, -1)))
+    return F.array_distinct(F.aggregate(F.sequence(F.lit(1), F.size(F.split(url, "(?i)http"))), F.array(url), step))
+
+
+def resolve_redirects(
+    start: DataFrame, hops: DataFrame, max_redirects: int = 20, infer: bool = True, canonicalize: bool = False, follow_refresh: bool = True, follow_meta: bool = True, follow_js: bool = True
+) -> DataFrame:
+    """Follows each ``url`` of ``start`` through a table of recorded answers.
+
+    Returns url, resolved_url (the last URL reached), http_status, resolution_error, redirect_count and
+    redirect_chain (the kinds of its URLs: see ``next_hops``; also ``infer``, a URL that carries its target and is
+    not asked for, and ``canonical``, the link of the page at the end, with ``canonicalize``). At most
+    ``max_redirects`` URLs are visited, those inferred included. Errors, whose chain and URL are those
+    of what was visited: infinite-redirects (a URL comes up again), self-redirect, invalid-redirect (no location),
+    max-redirects, not-recorded. Null URLs are left out; of several answers to a URL the least counts.
+
+    All URLs and what they carry are numbered first; each leads to one other. Paths then double: a
+    URL's next 2n URLs are its next n and those of the URL after, so log2(max_redirects) joins do, by number,
+    of the URLs whose paths go on. A URL to which very many lead is no single task.
     """
-    ways = stored(next_hops(one_row_each(hops, "url"), infer))
-    active = stored(start.select("url").distinct().select("url", F.col("url").alias("at"), F.array("url").alias("seen"), F.array().cast("array<string>").alias("chain")))
-    done = []
-    for n in range(max_redirects + 1):
-        step = active.join(ways.withColumnRenamed("url", "at"), "at", "left")
-        error = (
-            F.when(F.col("hop").isNull() & F.col("status").isNull(), "not-recorded")
-            .when(F.col("hop").isNull(), "invalid-redirect")
-            .when(F.col("next") == F.col("at"), "self-redirect")
-            .when(F.array_contains("seen", F.col("next")), "infinite-redirects")
-            .when(F.lit(n == max_redirects) & F.col("next").isNotNull(), "max-redirects")
-        )
-        step = stored(step.withColumn("error", error).withColumn("chain", F.when(F.col("hop").isNotNull(), F.array_append("chain", F.col("hop"))).otherwise(F.col("chain"))))
-        ended = F.col("error").isNotNull() | F.col("next").isNull()
-        done.append(step.where(ended).select("url", F.col("at").alias("resolved_url"), F.col("status").alias("http_status"), F.col("error").alias("resolution_error"), F.greatest(F.size("chain") - 1, F.lit(0)).alias("redirect_count"), F.col("chain").alias("redirect_chain")))
-        active = step.where(~ended).select("url", F.col("next").alias("at"), F.array_append("seen", F.col("next")).alias("seen"), "chain")
-        if active.isEmpty():
+    asked = next_hops(one_row_each(hops.where(F.col("url").isNotNull()), "url"), follow_refresh, follow_meta, follow_js)
+    asked = stored(asked)
+    said = start.select("url").unionByName(asked.select("url")).unionByName(asked.select(F.col("next").alias("url"))).where("url is not null")
+    every = said.select(F.explode(_inferred(F.col("url"))).alias("url")) if infer else said
+    target = F.when(F.lit(infer), F.nullif(urls.infer_redirection(F.col("url"), recursive=False), F.col("url")))
+    nodes = every.distinct().withColumn("carried", target).join(asked, "url", "left")
+    unasked = lambda c: F.when(F.col("carried").isNull(), F.col(c)).alias(c)
+    nodes = nodes.select("url", F.coalesce("carried", "next").alias("next"), F.when(F.col("carried").isNotNull(), "infer").otherwise(F.col("kind")).alias("kind"), unasked("status"), unasked("canonical"))
+    nodes = stored(nodes.withColumn("id", F.monotonically_increasing_id()))
+    self_ = F.col("next") == F.col("url")
+    onward = nodes.select("id", "kind", F.when(~self_, F.col("next")).alias("next"))
+    onward = left_join_split(onward, nodes.select(F.col("url").alias("next"), F.col("id").alias("onto")), "next")
+    paths = stored(onward.select("id", F.array("id").alias("path"), F.array("kind").alias("kinds"), "onto"))
+    for _ in range(max(0, max_redirects - 1).bit_length()):
+        more = paths.where("onto is not null")
+        if more.isEmpty():
             break
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+        after = paths.select(F.col("id").alias("onto"), F.col("path").alias("more path"), F.col("kinds").alias("more kinds"), F.col("onto").alias("more onto"))
+        longer = left_join_split(more, after, "onto").select("id", F.concat("path", "more path").alias("path"), F.concat("kinds", "more kinds").alias("kinds"), F.col("more onto").alias("onto"))
+        longer = stored(longer.unionByName(paths.where("onto is null")))
+        dropped(paths)
+        paths = longer
+    visited = F.slice("path", 1, max_redirects)
+    # The first number that stands in the path before: all paths are short.
+    again = F.array_position(F.transform(visited, lambda x, i: F.array_contains(F.slice(visited, F.lit(1), i), x)), True)
+    ends = paths.select("id", "path", "kinds", "onto", again.alias("again"))
+    n = F.when(F.col("again") > 0, F.col("again") - 1).otherwise(F.least(F.size("path"), F.lit(max_redirects))).cast("int")
+    ends = ends.withColumn("n", n)
+    more = (F.col("n") < F.size("path")) | F.col("onto").isNotNull()
+    ends = ends.select(
+        "id", F.element_at("path", F.col("n")).alias("last"), F.array_compact(F.slice("kinds", F.lit(1), F.col("n"))).alias("chain"),
+        F.when(F.col("again") > 0, "infinite-redirects").when(more, "max-redirects").alias("error"),
+    )
+    at_end = nodes.select(F.col("id").alias("last"), F.col("url").alias("at"), "status", "kind", "next", "canonical")
+    known = left_join_split(start.select("url").where("url is not null").distinct().join(nodes.select("url", "id"), "url").join(ends, "id"), at_end, "last")
+    broken = F.when(F.col("kind").isNull(), "not-recorded").when(F.col("next") == F.col("at"), "self-redirect").when((F.col("kind") != "hit") & F.col("next").isNull(), "invalid-redirect")
+    known = known.withColumn("error", F.coalesce("error", broken))
+    canonical = F.when(F.lit(canonicalize) & F.col("error").isNull(), F.col("canonical"))
+    chain = F.when(canonical.isNotNull(), F.array_append("chain", F.lit("canonical"))).otherwise(F.col("chain"))
+    hits = F.when(F.array_contains("chain", "hit"), 1).otherwise(0)
+    return known.select(
+        "url", F.coalesce(canonical, "at").alias("resolved_url"), F.col("status").alias("http_status"), F.col("error").alias("resolution_error"), (F.size(chain) - hits).alias("redirect_count"), chain.alias("redirect_chain")
+    )
 
 
 def attach_referenced(tweets: DataFrame, users: DataFrame, originals: DataFrame | None = None) -> DataFrame:
