@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weblake.functions import urls
-from weblake.operators.storage import stored
+from weblake.operators.joins import left_join_split
+from weblake.operators.storage import dropped, stored
 from weblake.operators.tables import numbered_by
 
 
@@ -59,23 +60,56 @@ def best_caption_track(tracks: DataFrame, video: str, langs: list[str], strict:
     return ranked.groupBy(video).agg(F.min_by(F.struct(*[c for c in tracks.columns if c != video]), F.struct("lang rank", "generated", "lang")).alias("t")).select(video, "t.*")
 
 
+def _tour(nodes: DataFrame, post: str) -> DataFrame:
+    """The steps of a walk round each post's trees: el, pred (the step before), enters, down, rooted.
+
+    A node is entered, its children are walked round one after the other, and it is left: step 2 * num
+    enters, 2 * num + 1 leaves. A step has at most one step after it, so no key of ``pred`` repeats.
+    nodes: post, id, up, at and num, a number of its own for each node.
+    """
+    own = nodes.select("num", "id", "at", F.col("up").isNull().alias("root"), post, F.when(F.col("up").isNotNull(), F.struct(F.col(post), F.col("up").alias("id"))).alias("parent"))
+    known = left_join_split(own, nodes.select(F.struct(F.col(post), F.col("id")).alias("parent"), F.col("num").alias("above")), "parent")
+    # Nodes whose parent is missing begin a walk of their own, which no root leads to.
+    family = F.struct(F.col(post), F.coalesce("above", F.lit(-1)).alias("above"), F.when(F.col("root") | F.col("above").isNotNull(), F.lit(-1)).otherwise(F.col("num")).alias("alone"))
+    places = stored(numbered_by(known.select("num", "root", "above", family.alias("family"), "at", "id"), ["at", "id"], "place", within=("family",)))
+    before = places.select("family", (F.col("place") + 1).alias("place"), F.col("num").alias("prior"))
+    last = places.where("above is not null").groupBy(F.col("above").alias("num")).agg(F.max_by("num", "place").alias("last"))
+    linked = places.join(before, ["family", "place"], "left").join(last, "num", "left")
+    enter = F.struct(
+        (F.col("num") * 2).alias("el"), F.coalesce(F.col("prior") * 2 + 1, F.col("above") * 2).alias("pred"), F.lit(1).cast("long").alias("enters"), F.lit(1).cast("long").alias("down"), F.col("root").alias("rooted"),
+    )
+    leave = F.struct(
+        (F.col("num") * 2 + 1).alias("el"), F.coalesce(F.col("last") * 2 + 1, F.col("num") * 2).alias("pred"), F.lit(0).cast("long").alias("enters"), F.lit(-1).cast("long").alias("down"), F.lit(False).alias("rooted"),
+    )
+    return linked.select(F.explode(F.array(enter, leave)).alias("s")).select("s.*")
+
+
 def thread_order(comments: DataFrame, post: str, id_col: str, parent: str, arrival: str) -> DataFrame:
     """``comments``, depth, position and error: a comment, then its replies, siblings by arrival, then id.
 
-    One join per level, until a level is empty, builds each comment's path of arrivals and ids. All
-    rows stay: those that no root reaches (a parent is missing, or they are their own ancestors) have
-    an error and no place; rows of one id share one.
+    The trees of a post are walked round (see ``_tour``), and each step of the walk learns how many nodes
+    were entered up to it, and how deep it is, by pointers that double: as many joins as the logarithm
+    of the post's comments, however deep they are, by keys that never repeat. All rows stay: those that no
+    root reaches (a parent is missing, they are their own ancestors, or post or id are null) have an error
+    and no place; rows of one id share one, by the least of their parents (null first) and arrivals.
     """
-    nodes = comments.select(post, F.col(id_col).alias("id"), F.struct(F.col(parent).alias("up"), F.col(arrival).alias("at")).alias("n"))
-    nodes = stored(nodes.groupBy(post, "id").agg(F.min("n").alias("n")).select(post, "id", "n.up", F.struct("n.at", "id").alias("step")))
-    level = stored(nodes.where("up is null").select(post, "id", F.array("step").alias("way"), F.lit(0).alias("depth")))
-    found = level
-    while not level.isEmpty():
-        above = level.select(post, F.col("id").alias("up"), F.col("way").alias("above"), "depth")
-        level = stored(nodes.join(above, [post, "up"]).select(post, "id", F.array_append("above", F.col("step")).alias("way"), (F.col("depth") + 1).alias("depth")))
-        found = found.unionByName(level)
-    placed = numbered_by(found.where(F.col(post).isNotNull()), ["way"], "position", start=1, within=(post,))
-    out = comments.join(placed.select(post, F.col("id").alias(id_col), "depth", "position"), [post, id_col], "left")
+    rows = comments.select(post, F.col(id_col).alias("id"), F.struct(F.col(parent).alias("up"), F.col(arrival).alias("at")).alias("n")).where(F.col(post).isNotNull() & F.col("id").isNotNull())
+    nodes = stored(rows.groupBy(post, "id").agg(F.min("n").alias("n")).select(post, "id", "n.up", "n.at", F.monotonically_increasing_id().alias("num")))
+    most = nodes.groupBy(post).count().agg(F.max("count")).head()[0] or 0
+    steps = stored(_tour(nodes, post))
+    # Steps that go round in a circle never come to a beginning.
+    for _ in range((2 * most).bit_length()):
+        on = steps.where("pred is not null")
+        if on.isEmpty():
+            break
+        back = steps.select(F.col("el").alias("pred"), *(F.col(c).alias(f"b {c}") for c in ("pred", "enters", "down", "rooted")))
+        joined = on.join(back, "pred").select("el", F.col("b pred").alias("pred"), (F.col("enters") + F.col("b enters")).alias("enters"), (F.col("down") + F.col("b down")).alias("down"), F.col("b rooted").alias("rooted"))
+        after = stored(joined.unionByName(steps.where("pred is null")))
+        dropped(steps)
+        steps = after
+    placed = steps.where("pred is null and rooted and el % 2 = 0").select(F.shiftright("el", 1).alias("num"), (F.col("down") - 1).cast("int").alias("depth"), F.col("enters").cast("int").alias("position"))
+    placed = placed.join(nodes.select("num", post, F.col("id").alias(id_col)), "num").drop("num")
+    out = comments.join(placed, [post, id_col], "left")
     return out.withColumn("error", F.when(F.col("depth").isNull(), "no-root"))
 
 
