@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weblake.functions import urls
 from weblake.operators.storage import dropped, stored
 
-#: Stands between stems; no URL has it.
-JOINT = "\u0001"
-
-
 def last_write_wins(df: DataFrame, key: str, order: str) -> DataFrame:
     """One row per key: the last by ``order``."""
     rows = df.groupBy(key).agg(F.max_by(F.struct(*df.columns), order).alias("row"))
@@ -49,24 +45,43 @@ def left_join_split(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return near.unionByName(left_join_known(left.join(hot, key, "left_anti"), right, key))
 
 
-def _keys(stems: Column) -> Column:
-    return F.array_join(stems, JOINT)
+def _chains(entities: DataFrame) -> DataFrame:
+    """``stems`` of each entity and its ``chain``: the entities whose stems are a prefix of its own, itself included, shortest first.
+
+    entities: a row per distinct ``stems``, and ``entity``. As many entries as the stems of one entity are.
+    """
+    prefixes = entities.select("stems", F.explode(F.sequence(F.lit(1), F.size("stems"))).alias("n")).withColumn("prefix", F.slice("stems", F.lit(1), F.col("n")))
+    met = left_join_split(prefixes, entities.select(F.col("stems").alias("prefix"), "entity"), "prefix").where("entity is not null")
+    return met.groupBy("stems").agg(F.array_sort(F.collect_list(F.struct("n", "entity"))).alias("chain"))
 
 
-def longest_prefix(probe: DataFrame, probe_stems: str, entities: DataFrame, entity_stems: str) -> DataFrame:
-    """For each distinct array of stems in ``probe``, the entity whose stems are its longest prefix.
+def longest_prefix(rows: DataFrame, stems: Column, entities: DataFrame, name: str) -> DataFrame:
+    """``rows`` and ``name``, the entity whose stems are the longest prefix of the row's; null if there is none.
 
-    entities: one row per distinct ``entity_stems``. Returns ``stems`` (the key of the probe) and the
-    entity's columns. Only prefixes as long as some entity are made, so common short ones never
-    meet; each probe's longest match is an aggregation, not a sort.
+    entities: a row per distinct ``stems`` (not empty), and ``entity``, a struct. In the order of stems, all
+    that begin with an entity's stems follow it without a gap. So of a row only the last entity at or
+    before it matters: each entity whose stems are a prefix of the row's is one of that entity's own
+    prefixes, which it brings along. Rows and entities are sorted together, in ranges; each range begins with the
+    last entity of the ranges before. Rows of equal stems have a salt behind them in the order, so that
+    a host, a page or a blank URL that half of all rows have is many even ranges: no key gathers rows.
     """
-    lengths = entities.agg(F.collect_set(F.size(entity_stems))).first()[0]
-    keyed = entities.withColumn("prefix key", _keys(F.col(entity_stems)))
-    distinct = probe.select(F.col(probe_stems).alias("stems")).where(F.size(probe_stems) > 0).distinct()
-    wanted = F.filter(F.array(*(F.lit(n) for n in sorted(lengths))).cast("array<int>"), lambda n: n <= F.size("stems"))
-    prefixes = distinct.withColumn("n", F.explode(wanted)).withColumn("prefix key", _keys(F.slice("stems", F.lit(1), F.col("n"))))
-    found = prefixes.join(keyed, "prefix key").groupBy("stems").agg(F.max_by(F.struct(*entities.columns), "n").alias("entity"))
-    return found.select("stems", "entity.*")
+    held = _chains(entities)
+    order = ["its stems", "its kind", "its salt"]
+    none = F.lit(None).cast(held.schema["chain"].dataType)
+    probes = rows.select(stems.alias("its stems"), F.lit(1).alias("its kind"), F.monotonically_increasing_id().alias("its salt"), F.struct(*rows.columns).alias("its row"), none.alias("its chain"))
+    marks = held.select(F.col("stems").alias("its stems"), F.lit(0).alias("its kind"), F.lit(0).cast("long").alias("its salt"), F.lit(None).cast(probes.schema["its row"].dataType).alias("its row"), F.col("chain").alias("its chain"))
+    ranges = stored(probes.unionByName(marks).repartitionByRange(*order).withColumn("its range", F.spark_partition_id()))
+    mark = F.when(F.col("its kind") == 0, F.struct(F.col("its stems").alias("stems"), F.col("its chain").alias("chain")))
+    # One row a range.
+    edges = ranges.groupBy("its range").agg(F.max_by(mark, F.when(F.col("its kind") == 0, F.struct("its stems"))).alias("mark"))
+    before = Window.partitionBy(F.lit(0)).orderBy("its range").rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.select("its range", F.last("mark", ignorenulls=True).over(before).alias("edge"))
+    within = Window.partitionBy("its range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = ranges.withColumn("near", F.last(mark, ignorenulls=True).over(within)).where("`its kind` = 1").join(edges, "its range").withColumn("near", F.coalesce("near", "edge"))
+    differs = F.array_position(F.zip_with(F.col("near.stems"), F.col("its stems"), lambda x, y: F.coalesce(x == y, F.lit(False))), False)
+    alike = F.when(differs > 0, differs - 1).otherwise(F.size("near.stems"))
+    found = F.try_element_at(F.filter("near.chain", lambda c: c["n"] <= alike), F.lit(-1))["entity"]
+    return near.select("its row.*", F.when(F.col("its stems").isNotNull(), found).alias(name))
 
 
 def join_by_url(left: DataFrame, left_url: str, right: DataFrame, right_url: str, order: str, select: list[str] | None = None, prefix: str = "", separator: str | None = None) -> DataFrame:
@@ -78,12 +93,11 @@ def join_by_url(left: DataFrame, left_url: str, right: DataFrame, right_url: str
     """
     columns = [c for c in left.columns if select is None or c in select]
     one = left.withColumn("one url", F.explode(F.split(F.col(left_url), rf"\Q{separator}\E")) if separator else F.col(left_url))
-    one = one.where(urls.is_url(F.col("one url"))).withColumn("entity stems", urls.normalized_lru(F.col("one url")))
-    entities = one.groupBy("entity stems").agg(F.max_by(F.struct(*columns), order).alias("row"))
-    probes = right.withColumn("probe stems", F.when(urls.is_url(F.col(right_url)), urls.normalized_lru(F.col(right_url))))
-    matched = longest_prefix(probes, "probe stems", entities, "entity stems")
-    joined = left_join_known(probes, matched.withColumnRenamed("stems", "probe stems"), "probe stems")
-    return joined.select(*right.columns, *(F.col(f"row.{c}").alias(prefix + c) for c in columns))
+    one = one.where(urls.is_url(F.col("one url"))).withColumn("entity stems", urls.normalized_lru(F.col("one url"))).where(F.size("entity stems") > 0)
+    entities = one.groupBy(F.col("entity stems").alias("stems")).agg(F.max_by(F.struct(*columns), order).alias("entity"))
+    stems = F.when(urls.is_url(F.col(right_url)), urls.normalized_lru(F.col(right_url)))
+    joined = longest_prefix(right, stems, entities, "its entity")
+    return joined.select(*right.columns, *(F.col("its entity")[c].alias(prefix + c) for c in columns))
 
 
 def match_webentities(pages: DataFrame, url: str, corpus: DataFrame) -> DataFrame:
@@ -95,10 +109,9 @@ def match_webentities(pages: DataFrame, url: str, corpus: DataFrame) -> DataFram
     stems = lambda c: urls.lru(urls.canonicalize_url(c, strip_fragment=True), suffix_aware=True)
     status = F.when(F.trim(F.coalesce("STATUS", F.lit(""))) == "", "IN").otherwise(F.col("STATUS"))
     prefixes = corpus.select(F.col("ID").alias("webentity"), status.alias("status"), F.explode(F.split("PREFIXES", " ")).alias("prefix")).where("prefix <> ''")
-    entities = prefixes.withColumn("entity stems", stems(F.col("prefix"))).groupBy("entity stems").agg(F.max_by(F.struct("webentity", "status"), "webentity").alias("e"))
-    probes = pages.withColumn("probe stems", F.when(urls.is_url(F.col(url)), stems(F.col(url))))
-    matched = longest_prefix(probes, "probe stems", entities, "entity stems")
-    return left_join_known(probes, matched.withColumnRenamed("stems", "probe stems"), "probe stems").select(*pages.columns, F.col("e.webentity").alias("webentity"), F.col("e.status").alias("status"))
+    entities = prefixes.withColumn("stems", stems(F.col("prefix"))).where(F.size("stems") > 0).groupBy("stems").agg(F.max_by(F.struct("webentity", "status"), "webentity").alias("entity"))
+    found = longest_prefix(pages, F.when(urls.is_url(F.col(url)), stems(F.col(url))), entities, "its entity")
+    return found.select(*pages.columns, F.col("its entity.webentity").alias("webentity"), F.col("its entity.status").alias("status"))
 
 
 def webentity_links(links: DataFrame, corpus: DataFrame, ignore_internal: bool = False) -> DataFrame:
