@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,12 @@ def payload(df: DataFrame, c: Column, *keep: str) -> DataFrame:
     return df.select(*keep, F.to_json(c).alias("payload"))
 
 
+def filled(template: str, values: dict[str, Column | str]) -> Column:
+    """A document with a column's value at each mark."""
+    parts = re.split("(" + "|".join(map(re.escape, values)) + ")", template)
+    return F.concat(*((F.col(v) if isinstance(v := values[p], str) else v).cast("string") if k % 2 else F.lit(p) for k, p in enumerate(parts)))
+
+
 @query("""SELECT o_orderkey::VARCHAR AS video_id, o_orderpriority AS title, CASE WHEN o_orderkey % 2 = 0 THEN 'fr' ELSE 'en' END AS default_language, o_custkey AS view_count, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey END AS like_count,
   o_orderkey % 2 = 0 AS has_captions, CASE WHEN o_orderkey % 2 = 0 THEN 'Music' END AS category, [o_orderstatus, o_orderpriority] AS tags, []::VARCHAR[] AS topics FROM orders""")
 def n1_youtube_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,21 +74,19 @@ def n5_youtube_caption_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
   true AS duet_enabled, false AS stitch_enabled, NULL::BOOLEAN AS share_enabled, false AS is_ad, 52 AS n_columns FROM orders WHERE o_orderkey % 3 <> 0""")
 def n6_tiktok_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of a search as the service writes them, filled with each order's numbers."""
-    item = """{"type": %s, "item": {"id": "@k", "desc": "d", "createTime": @k, "originalItem": @o, "video": {"id": "v", "height": @h, "width": 720, "duration": 15, "ratio": "720p", "cover": "c", "originCover": "o", "dynamicCover": "y",
+    item = """{"type": @y, "item": {"id": "@k", "desc": "d", "createTime": @k, "originalItem": @o, "video": {"id": "v", "height": @h, "width": 720, "duration": 15, "ratio": "720p", "cover": "c", "originCover": "o", "dynamicCover": "y",
       "reflowCover": "r", "bitrate": 900, "format": "mp4", "videoQuality": "720p"}, "author": {"id": "1", "uniqueId": "@c", "nickname": "n", "avatarLarger": "a", "signature": "s", "verified": @e, "secret": false},
       "authorStats": {"followingCount": 1, "followerCount": @f, "heartCount": 2, "videoCount": 3, "diggCount": 4}, "music": {"id": "m", "title": "song", "authorName": "an", "original": true, "playUrl": "p", "duration": 60},
       "stats": {"diggCount": @d, "shareCount": 1, "commentCount": 2, "playCount": @p}, "duetInfo": {"duetFromId": "@u"},
       "textExtra": [{"awemeId": "@u", "userId": "1", "userUniqueId": "first", "isCommerce": false}, {"awemeId": "x", "userId": "0", "userUniqueId": "nobody", "isCommerce": false}, {"awemeId": "@u", "userId": "2", "userUniqueId": "name@c", "isCommerce": true}],
       "challenges": [{"title": "@t"}, {"desc": "about"}], "stickersOnItem": [{"stickerText": ["a", "b"]}, {"stickerText": []}], "effectStickers": [{"name": "glow"}], "duetEnabled": true, "stitchEnabled": false, "isAd": false}}"""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    filled = F.replace(F.lit(item), F.lit("%s"), F.when(k % 3 == 0, "4").otherwise("1"))
     values = {
         "@k": k, "@o": F.when(k % 4 == 1, "true").otherwise("false"), "@h": 1280 + k % 9, "@e": F.when(k % 2 == 0, "true").otherwise("false"), "@f": c * 3, "@d": k * 2, "@p": k + 7,
         "@u": F.when(k % 2 == 1, F.concat(F.lit("d"), k.cast("string"))).otherwise("0"), "@c": c, "@t": F.col("o_orderpriority"),
+        "@y": F.when(k % 3 == 0, "4").otherwise("1"),
     }
-    for mark, value in values.items():
-        filled = F.replace(filled, F.lit(mark), value.cast("string"))
-    found = payloads.tiktok_videos(table(spark, sf_dir, "orders").select(filled.alias("payload")), search=True)
+    found = payloads.tiktok_videos(table(spark, sf_dir, "orders").select(filled(item, values).alias("payload")), search=True)
     names = "id timestamp utc_time original_item video_height video_duration video_quality author_unique_id author_follower_count author_verified music_title music_duration digg_count play_count duet_from_video_id duet_from_user_id"
     names += " duet_from_user_name duet_from_user_is_commerce stickers_texts challenges_titles challenges_descriptions effect_stickers_names duet_enabled stitch_enabled share_enabled is_ad"
     return found.select(*names.split(), F.lit(len(found.columns)).alias("n_columns"))
@@ -154,11 +160,13 @@ def twitter_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     entry = '{"entryId": "tweet-@k", "content": {"itemContent": {"tweet_results": %s}}}'
     entries = [entry % (f'{{"result": {r}}}' if r else "{}") for r in results]
-    filled = F.get(F.array(*map(F.lit, entries)), (F.col("o_orderkey") % 8).cast("int"))
-    for mark, value in (("@k", "o_orderkey"), ("@c", "o_custkey"), ("@t", "o_orderpriority")):
-        filled = F.replace(filled, F.lit(mark), F.col(value).cast("string"))
-    pages = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", filled.alias("e")))), lambda x: x["e"]), ", ").alias("entries"))
-    pinned = F.replace(F.lit('{"entryId": "sq-I-t-pin", "content": {"itemContent": {"tweet_results": {"result": %s}}}}' % plain().replace("@k", "55").replace("@t", "pinned")), F.lit("@c"), F.col("o_custkey").cast("string"))
+    kinds = [filled(e, {"@k": "o_orderkey", "@c": "o_custkey", "@t": "o_orderpriority"}) for e in entries]
+    kind = kinds[7]
+    for n, e in enumerate(kinds[:7]):
+        kind = F.when(F.col("o_orderkey") % 8 == n, e).otherwise(kind)
+    pages = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", kind.alias("e")))), lambda x: x["e"]), ", ").alias("entries"))
+    pin = '{"entryId": "sq-I-t-pin", "content": {"itemContent": {"tweet_results": {"result": %s}}}}' % plain().replace("@k", "55").replace("@t", "pinned")
+    pinned = filled(pin, {"@c": "o_custkey"})
     cursor = '{"entryId": "sq-cursor-top", "content": {"cursorType": "Top"}}'
     doc = F.concat(
         F.lit('{"data": {"search_by_raw_query": {"search_timeline": {"timeline": {"instructions": [{"type": "TimelineAddEntries", "entries": [' + cursor + ", "), F.col("entries"),
@@ -329,10 +337,8 @@ def n18_webentity_page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def n16_twitter_followers_you_know(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as the service sends them: the last instruction has the users; every third page has no bottom cursor and so no users."""
     entry = '{"entryId": "user-@k", "content": {"itemContent": {"user_results": {"result": {"rest_id": "@k", "legacy": {"screen_name": "f@k", "name": "@p", "followers_count": @n, "verified": @v}}}}}}'
-    filled = F.lit(entry)
-    for mark, value in (("@k", F.col("o_orderkey")), ("@p", F.col("o_orderpriority")), ("@n", F.col("o_orderkey") + 1), ("@v", F.col("o_orderkey") % 2 == 0)):
-        filled = F.replace(filled, F.lit(mark), value.cast("string"))
-    pages = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", filled.alias("e")))), lambda x: x["e"]), ", ").alias("users"))
+    one = filled(entry, {"@k": "o_orderkey", "@p": "o_orderpriority", "@n": F.col("o_orderkey") + 1, "@v": F.col("o_orderkey") % 2 == 0})
+    pages = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", one.alias("e")))), lambda x: x["e"]), ", ").alias("users"))
     place = F.when(F.col("o_custkey") % 3 != 0, "bottom").otherwise("top")
     doc = F.concat(
         F.lit('{"data": {"user": {"result": {"timeline": {"timeline": {"instructions": [{"type": "TimelineClearCache"}, {"type": "TimelineAddEntries", "entries": ['), F.col("users"),

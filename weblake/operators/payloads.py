@@ -52,6 +52,19 @@ def fields(table: dict[str, str], kind: str = "string") -> list[Column]:
     return [at(path, kind).alias(name) for name, path in table.items()]
 
 
+def shape(paths: dict[str, str]) -> str:
+    """The type of a nested struct with a field at each path: reading it once costs one walk through the document."""
+    tree: dict[str, Any] = {}
+    for path, kind in paths.items():
+        *above, last = path.split(".")
+        node = tree
+        for name in above:
+            node = node.setdefault(name, {})
+        node[last] = kind
+    write = lambda node: node if isinstance(node, str) else "struct<" + ",".join(f"`{k}`:{write(v)}" for k, v in node.items()) + ">"
+    return write(tree)
+
+
 SNIPPET = {"published_at": "snippet.publishedAt", "channel_id": "snippet.channelId", "title": "snippet.title", "description": "snippet.description", "channel_title": "snippet.channelTitle"}
 
 
@@ -123,21 +136,29 @@ TIKTOK_FIELDS = [
 
 def tiktok_videos(df: DataFrame, search: bool = False) -> DataFrame:
     """Videos; items of a search are unwrapped, those that are no video are left out."""
-    rows = parsed(df)
-    if search:
-        rows = rows.where(at("type", "int") == 1).select(F.try_variant_get("v", "$.item", "variant").alias("v"))
     snake = lambda key: "".join(f"_{c.lower()}" if c.isupper() else c for c in key)
-    duet = F.nullif(at("duetInfo.duetFromId"), F.lit("0"))
+    flags = {snake(key) if key != "isAd" else "is_ad": key for key in ("duetEnabled", "stitchEnabled", "shareEnabled", "isAd")}
+    lists = {
+        "textExtra": "array<struct<awemeId:string,userId:string,userUniqueId:string,isCommerce:boolean>>", "challenges": "array<struct<title:string,desc:string>>",
+        "stickersOnItem": "array<struct<stickerText:array<string>>>", "effectStickers": "array<struct<name:string>>",
+    }
+    ddl = shape({path: kind for _, path, kind in TIKTOK_FIELDS} | {key: "boolean" for key in flags.values()} | {"duetInfo.duetFromId": "string"} | lists)
+    found = parsed(df)
+    if search:
+        # In a generator, so that the document isn't parsed once more for a filter below.
+        found = found.select(F.explode(F.filter(F.array("v"), lambda v: at("type", "int", of=v) == 1)).alias("v")).select(F.try_variant_get("v", "$.item", "variant").alias("v"))
+    rows = found.select(F.try_variant_get("v", "$", ddl).alias("r"))
+    duet = F.nullif(F.col("r.duetInfo.duetFromId"), F.lit("0"))
     # Of several mentions of the video that is answered, the last says whose it is.
-    named = F.try_element_at(F.filter(items("textExtra"), lambda x: at("awemeId", of=x) == duet), F.lit(-1))
-    each = lambda path, key: F.transform(items(path), lambda x: at(key, of=x))
+    named = F.try_element_at(F.filter("r.textExtra", lambda x: x["awemeId"] == duet), F.lit(-1))
+    each = lambda path, key: F.transform(F.coalesce(f"r.{path}", F.array()), lambda x: x[key])
     columns = {
-        **{name: at(path, kind) for name, path, kind in TIKTOK_FIELDS},
-        "utc_time": text.timestamp_to_iso(at("createTime").try_cast("long")),
-        "duet_from_video_id": duet, "duet_from_user_id": at("userId", of=named), "duet_from_user_name": at("userUniqueId", of=named), "duet_from_user_is_commerce": at("isCommerce", "boolean", of=named),
+        **{name: F.col(f"r.{path}") for name, path, _ in TIKTOK_FIELDS},
+        "utc_time": text.timestamp_to_iso(F.col("r.createTime")),
+        "duet_from_video_id": duet, "duet_from_user_id": named["userId"], "duet_from_user_name": named["userUniqueId"], "duet_from_user_is_commerce": named["isCommerce"],
         "challenges_titles": each("challenges", "title"), "challenges_descriptions": each("challenges", "desc"),
-        "stickers_texts": F.transform(items("stickersOnItem"), lambda x: F.array_join(F.try_variant_get(x, "$.stickerText", "array<string>"), " ")), "effect_stickers_names": each("effectStickers", "name"),
-        **{snake(key) if key != "isAd" else "is_ad": at(key, "boolean") for key in ("duetEnabled", "stitchEnabled", "shareEnabled", "isAd")},
+        "stickers_texts": F.transform(each("stickersOnItem", "stickerText"), lambda words: F.array_join(words, " ")), "effect_stickers_names": each("effectStickers", "name"),
+        **{name: F.col(f"r.{key}") for name, key in flags.items()},
     }
     order = ["id", "description", "timestamp", "utc_time", *(c for c in columns if c not in ("id", "description", "timestamp", "utc_time"))]
     return rows.select(*(columns[c].alias(c) for c in order))
@@ -204,12 +225,10 @@ def _unwrapped(result: Column) -> Column:
     return F.when(at("__typename", of=result) == "TweetWithVisibilityResults", F.try_variant_get(result, "$.tweet", "variant")).otherwise(result)
 
 
-def _tweet(v: Column) -> Column:
-    """The record of an unwrapped tweet, with its user's, whose id is the tweet's own ``user_id_str``."""
-    user = F.try_variant_get(v, "$.core.user_results.result.legacy", "variant")
-    own = [at(f"legacy.{path}", kind, of=v).alias(name) for name, path, kind in TWITTER_TWEET]
-    of_user = [at(path, kind, of=user).alias(f"user_{name}") for name, path, kind in TWITTER_USER]
-    return F.struct(at("legacy.id_str", of=v).alias("id"), *own, at("source", of=v).alias("source"), at("legacy.user_id_str", of=v).alias("user_id"), *of_user)
+_TWEET_SHAPE = shape(
+    {"source": "string", "legacy.id_str": "string", "legacy.user_id_str": "string"} | {f"legacy.{path}": kind for _, path, kind in TWITTER_TWEET}
+    | {f"core.user_results.result.legacy.{path}": kind for _, path, kind in TWITTER_USER}
+)
 
 
 def twitter_timeline_tweets(df: DataFrame, path: str = SEARCH_ROOT) -> DataFrame:
@@ -234,10 +253,14 @@ def twitter_timeline_tweets(df: DataFrame, path: str = SEARCH_ROOT) -> DataFrame
     quoted = _unwrapped(F.try_variant_get("v", "$.quoted_status_result.result", "variant"))
     both = F.array(F.struct(F.lit("tweet").alias("role"), F.lit(None).cast("string").alias("around_id"), F.col("v").alias("v")), F.struct(F.lit("quoted").alias("role"), at("legacy.id_str").alias("around_id"), quoted.alias("v")))
     rows = rows.select(*rest, "instruction", "n", "entry", F.explode(both).alias("one")).select(*rest, "instruction", "n", "entry", "one.role", "one.around_id", "one.v")
-    rows = rows.where((F.col("role") == "tweet") | at("legacy.id_str").isNotNull())
-    no_user = F.try_variant_get("v", "$.core.user_results.result.legacy", "variant").isNull()
-    error = F.when(at("legacy.id_str").isNull(), "parsing").when(no_user, "no-user")
-    return rows.select(*rest, "instruction", "n", "entry", "role", "around_id", _tweet(F.col("v")).alias("t"), error.alias("error")).select(*rest, "instruction", "n", "entry", "role", "around_id", "t.*", "error")
+    rows = rows.select(*rest, "instruction", "n", "entry", "role", "around_id", F.try_variant_get("v", "$", _TWEET_SHAPE).alias("t"))
+    rows = rows.where((F.col("role") == "tweet") | F.col("t.legacy.id_str").isNotNull())
+    user = "t.core.user_results.result.legacy"
+    # The user's id is what the tweet says.
+    record = [F.col("t.legacy.id_str").alias("id"), *(F.col(f"t.legacy.{path}").alias(name) for name, path, _ in TWITTER_TWEET), F.col("t.source").alias("source"), F.col("t.legacy.user_id_str").alias("user_id")]
+    record += [F.col(f"{user}.{path}").alias(f"user_{name}") for name, path, _ in TWITTER_USER]
+    error = F.when(F.col("t.legacy.id_str").isNull(), "parsing").when(F.col(user).isNull(), "no-user")
+    return rows.select(*rest, "instruction", "n", "entry", "role", "around_id", *record, error.alias("error"))
 
 
 def twitter_followers_you_know(df: DataFrame, path: str = FOLLOWERS_ROOT) -> DataFrame:
