@@ -115,7 +115,7 @@ def _focus_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_FOCUS} SELECT page_id, invalidity, invalidity IS NULL AS relevant, CASE WHEN coalesce(invalidity, 'irrelevant') = 'irrelevant' THEN nullif(n, 0)::INT END AS matches, invalidity IS NULL AS expand,
   CASE WHEN invalidity IS NULL THEN ['https://site.org/news/' || page_id] ELSE []::VARCHAR[] END AS next FROM f""")
 def c4_focus_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.focus_crawl(_focus_pages(spark, sf_dir), "the", url_pattern="/news/")
+    return graph.focus_crawl(_focus_pages(spark, sf_dir), "the", url_pattern="/news/").drop("url", "links")
 
 
 @query(f"""WITH {_FOCUS} SELECT page_id, invalidity, invalidity = 'irrelevant' OR invalidity IS NULL AS expand, CASE WHEN coalesce(invalidity, 'irrelevant') = 'irrelevant' THEN ['https://site.org/news/' || page_id, 'https://site.org/other/' || page_id] ELSE []::VARCHAR[] END AS next FROM f""")
@@ -144,11 +144,16 @@ def c6_route_spiders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH d AS (SELECT p.page_id AS id, p.url, CASE WHEN p.page_id > 0 THEN p.page_id // 3 END AS parent, (SELECT count(*) FROM pages c WHERE c.page_id > 0 AND c.page_id // 3 = p.page_id) AS degree FROM pages p)
-  SELECT id AS key, url AS label, CASE WHEN degree > 0 THEN degree ELSE 1 END AS size, (SELECT count(*) FROM d e WHERE e.parent = d.id) AS n_edges FROM d""")
+  SELECT id::VARCHAR AS key, url AS label, CASE WHEN degree > 0 THEN degree ELSE 1 END AS size, CASE WHEN id % 2 = 0 THEN 200 END AS status, CASE id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS relevant, (SELECT count(*) FROM d e WHERE e.parent = d.id) AS n_edges FROM d""")
 def c7_crawl_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl read from text: every value is a string, a degree of 0 is blank."""
     n = F.col("page_id")
     jobs = table(spark, sf_dir, "pages").select(n.alias("id"), F.when(n > 0, F.floor(n / 3)).alias("parent"), "url")
-    nodes, edges = graph.crawl_graph(aggregates.crawl_degree(jobs), label="url")
+    rows = aggregates.crawl_degree(jobs).select(
+        F.col("id").cast("string").alias("id"), F.coalesce(F.col("parent").cast("string"), F.lit("")).alias("parent"), "url", F.when(F.col("degree") > 0, F.col("degree").cast("string")).otherwise("").alias("degree"),
+        F.when(F.col("id") % 2 == 0, "200").otherwise("").alias("status"), F.when(F.col("id") % 3 == 0, "yes").when(F.col("id") % 3 == 1, "no").otherwise("?").alias("relevant"),
+    )
+    nodes, edges = graph.crawl_graph(rows, label="url", attributes=("status", "relevant"))
     out = edges.groupBy(F.col("source").alias("key")).agg(F.count("*").alias("n_edges"))
     return nodes.join(out, "key", "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))
 
@@ -158,11 +163,65 @@ def c8_start_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.start_pages(corpus(spark, sf_dir))
 
 
+@query(f"""WITH {_FOCUS} SELECT page_id, ['https://site.org/other/' || page_id] AS next FROM f WHERE invalidity IS NULL""")
+def c4_focus_crawl_inverted_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.focus_crawl(_focus_pages(spark, sf_dir), "the", url_pattern="/news/", invert_url=True).where("relevant").select("page_id", "next")
+
+
 @query(f"""WITH {_FOCUS} SELECT 'https://site.org/d/' || page_id AS source, ['https://site.org/news/' || page_id, 'https://site.org/other/' || page_id, 'https://site.org/news/x.pdf'][i] AS target, invalidity IS NULL AS source_relevant, invalidity AS source_invalidity,
-  i = 1 AS target_relevant, CASE i WHEN 2 THEN 'irrelevant' WHEN 3 THEN 'not-html' END AS target_invalidity FROM f, (SELECT unnest([1, 2, 3]) AS i) WHERE page_id % 7 <> 0""")
+  i = 1 AS target_relevant, CASE i WHEN 2 THEN 'irrelevant' WHEN 3 THEN 'not-html' END AS target_invalidity FROM f, (SELECT unnest([1, 2, 3]) AS i) WHERE coalesce(invalidity, 'irrelevant') = 'irrelevant'""")
 def c5_focus_link_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from weblake.operators import html
+    """Links of the pages that were read; each page names its first link twice."""
+    pages = _focus_pages(spark, sf_dir).withColumn("html", F.replace("html", F.lit("</body>"), F.concat(F.lit("<a href='/news/"), F.col("page_id").cast("string"), F.lit("'>again</a></body>"))))
+    return graph.focus_link_report(graph.focus_crawl(pages, "the", url_pattern="/news/"))
+
+
+# A crawl of the documents as pages: document k links to k + 7 (twice), 2 k and 3 k + 1, some of which are none.
+_CRAWLED = f"""{_FOCUS}, u AS (SELECT *, 'https://site.org/d/' || page_id AS url FROM f), e AS (SELECT url AS a, 'https://site.org/d/' || unnest([page_id + 7, page_id * 2, page_id * 3 + 1]) AS b FROM u WHERE invalidity IS NULL),
+  reach AS (SELECT url, 0 AS depth FROM u WHERE page_id % 40 = 3 UNION SELECT b, depth + 1 FROM reach JOIN e ON a = url WHERE depth < 5),
+  least AS (SELECT url, min(depth) AS depth FROM reach GROUP BY 1), tree AS (SELECT l.url, l.depth, min(p.url) AS parent FROM least l LEFT JOIN e ON e.b = l.url LEFT JOIN least p ON p.url = e.a AND p.depth = l.depth - 1 GROUP BY ALL)"""
+
+
+def crawled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id")
+    link = lambda n: F.concat(F.lit("<a href='"), n.cast("string"), F.lit("'>.</a>"))
+    links = F.concat(link(k + 7), link(k * 2), link(k * 3 + 1), link(k + 7), F.lit("</body>"))
+    return _focus_pages(spark, sf_dir).withColumn("html", F.replace(F.regexp_replace("html", "<a href='[^']*'></a>", ""), F.lit("</body>"), links))
+
+
+@query(f"""WITH RECURSIVE {_CRAWLED} SELECT t.url, t.depth, t.parent, u.invalidity, CASE WHEN u.url IS NOT NULL THEN u.invalidity IS NULL END AS relevant, CASE WHEN coalesce(u.invalidity, 'irrelevant') = 'irrelevant' THEN nullif(u.n, 0)::INT END AS matches,
+  CASE WHEN u.url IS NULL THEN 'not-fetched' END AS error, (SELECT count(*) FROM tree c WHERE c.parent = t.url) AS degree FROM tree t LEFT JOIN u ON u.url = t.url""")
+def c4_focused_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages are judged level by level; only relevant ones expand."""
+    pages = crawled_documents(spark, sf_dir)
+    found = graph.focused_crawl(pages.where("page_id % 40 = 3").select("url"), pages, "the", max_depth=5)
+    return found.select("url", "depth", "parent", "invalidity", "relevant", "matches", "error", "degree")
+
+
+@query("""WITH RECURSIVE u AS (SELECT doc_id AS k, 'https://site.org/d/' || doc_id AS url FROM documents),
+  e AS (SELECT url AS a, CASE WHEN k % 7 = 0 THEN 'leaf' ELSE 'hub' END AS by, 'https://site.org/d/' || (k + 7) AS b, 'leaf' AS spider, 2 AS priority FROM u WHERE k % 7 <> 0 UNION ALL SELECT url, 'hub', 'https://site.org/d/' || (k * 2), 'hub', 1 FROM u WHERE k % 7 <> 0
+    UNION ALL SELECT url, 'leaf', 'https://site.org/d/' || (k + 1), 'nobody', 1 FROM u WHERE k % 10 = 1 AND k % 7 <> 0),
+  s AS (SELECT url, 0 AS depth, NULL::VARCHAR AS parent, 'hub' AS spider, NULL::INT AS priority FROM u WHERE k % 50 = 3),
+  l1 AS (SELECT b AS url, 1 AS depth, arg_min(s.url, (e.priority, s.url)) AS parent, arg_min(e.spider, (e.priority, s.url)) AS spider, min(e.priority) AS priority FROM s JOIN e ON e.a = s.url AND e.by = s.spider WHERE b NOT IN (SELECT url FROM s) GROUP BY b),
+  l2 AS (SELECT b AS url, 2 AS depth, arg_min(s.url, (e.priority, s.url)) AS parent, arg_min(e.spider, (e.priority, s.url)) AS spider, min(e.priority) AS priority FROM l1 s JOIN e ON e.a = s.url AND e.by = s.spider
+    WHERE b NOT IN (SELECT url FROM s UNION SELECT url FROM l1) GROUP BY b),
+  every AS (SELECT * FROM s UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2)
+  SELECT v.url, v.depth, v.parent, v.spider, v.priority, CASE WHEN u.k % 7 <> 0 AND v.spider <> 'nobody' THEN v.spider || u.k END AS said, CASE WHEN u.url IS NULL THEN 'not-fetched' END AS error, CASE WHEN v.spider = 'nobody' AND u.url IS NOT NULL THEN 'unknown-spider' END AS spider_error
+  FROM every v LEFT JOIN u ON u.url = v.url""")
+def c6_d2_spider_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two spiders: hubs name the next page for leaves and the double for hubs, some leaves a page for a spider that is none; pages without HTML have no links."""
+    from weblake.html.tree import select
+
+    def hub(job, page):
+        hrefs = [a.attrs["href"] for a in select(page, "a[href]")]
+        return {"said": f"hub{job['job_url'].rsplit('/', 1)[1]}" if hrefs else None}, [{"url": hrefs[0], "spider": "leaf", "priority": 2}, {"url": hrefs[1], "priority": 1}] if hrefs else []
+
+    def leaf(job, page):
+        k = int(job["job_url"].rsplit("/", 1)[1])
+        linked = bool(select(page, "a[href]"))
+        return {"said": f"leaf{k}" if linked else None}, [{"url": f"/d/{k + 1}", "spider": "nobody", "priority": 1}] if linked and k % 10 == 1 else []
 
-    pages = _focus_pages(spark, sf_dir)
-    links = html.scrape_urls(html.named(pages)).join(pages.select("page_id", "url"), "page_id")
-    return graph.focus_link_report(links, graph.focus_crawl(pages, "the"), url_pattern="/news/")
+    pages = crawled_documents(spark, sf_dir)
+    start = pages.where("page_id % 50 = 3").select("url", F.lit("hub").alias("spider"))
+    found = graph.spider_crawl(start, pages, {"hub": hub, "leaf": leaf}, "said:string", max_depth=2)
+    return found.select("url", "depth", "parent", "spider", "priority", "data.said", "error", "spider_error")
