@@ -152,7 +152,9 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # One column, so that joins and aggregation share a partitioning; in a struct nulls are equal and come first.
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash")).alias("key")
     before = neighbours(docs.select(key, F.length(text).cast("long").alias("n")).groupBy("key").agg(F.max("n").alias("n")))
-    held = docs.select(key, text.alias("text"), fingerprint(text).alias("print")).join(before, "key")
+    rows = docs.select(key.alias("row key"), text.alias("text"), fingerprint(text).alias("print"))
+    # Grouped and joined by the stored key alone: the rows' own differs in what may be null, and a cast would hide its partitioning.
+    held = rows.join(before, F.col("row key") == F.col("key")).drop("row key")
     # Rows equal in id and text stand next to each other here: one of them speaks for all.
     sent = held.groupBy("key").agg(
         F.first("before").alias("before"), F.first("print").alias("next_print"),
