@@ -7,6 +7,9 @@ of built-in expressions; null or unusable input gives null.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from dataclasses import dataclass
+
 from functools import reduce
 
 from pyspark.sql import Column
@@ -34,8 +37,34 @@ def or_null(c: Column) -> Column:
     return F.when(c != "", c)
 
 
-def is_url(c: Column, require_protocol: bool = False, allow_spaces_in_path: bool = False) -> Column:
-    """A web URL with a dotted host; IP hosts do not count."""
+@dataclass(frozen=True)
+class SuffixRules:
+    """Rules of public suffixes: plain ones, ``*.name`` (any one label before the name) and ``!name`` (no suffix, though a wildcard says so)."""
+
+    plain: tuple[str, ...]
+    wild: tuple[str, ...] = ()
+    exceptions: tuple[str, ...] = ()
+
+    @classmethod
+    def of(cls, lines: Iterable[str]) -> SuffixRules:
+        """From a rule a line, as the public list has them: comments begin with ``//``, a rule ends at white space."""
+        rules = sorted({line.split()[0].lower().lstrip(".") for line in lines if line.strip() and not line.strip().startswith("//")})
+        pick = lambda mark: tuple(r[len(mark) :] for r in rules if r.startswith(mark))
+        return cls(tuple(r for r in rules if r[0] not in "*!"), pick("*."), pick("!"))
+
+    @property
+    def top_level(self) -> list[str]:
+        """Last labels of all rules."""
+        return sorted({r.rsplit(".", 1)[-1] for r in (*self.plain, *self.wild)})
+
+
+def is_url(c: Column, require_protocol: bool = False, allow_spaces_in_path: bool = False, tld_aware: bool = False, rules: SuffixRules | None = None) -> Column:
+    """A web URL with a dotted host; IP hosts do not count; with ``tld_aware``, whose last label one of ``rules`` ends in."""
+    if tld_aware:
+        if rules is None:
+            raise ValueError("tld_aware needs the rules of public suffixes")
+        last = F.substring_index(get_hostname(c), ".", -1)
+        return is_url(c, require_protocol, allow_spaces_in_path) & F.coalesce(last.isin(*rules.top_level), F.lit(False))
     pattern = VALID.replace("(?:https?://)?", "https?://") if require_protocol else VALID
     if allow_spaces_in_path:
         pattern = pattern.replace(r"(?:[/?#]\S*)?$", r"(?:[/?#].*)?$")
@@ -73,9 +102,21 @@ def get_hostname(c: Column) -> Column:
     return F.nullif(F.lower(host), F.lit(""))
 
 
-def _suffix_labels(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LEVEL_SUFFIXES), F.lit(2)).otherwise(F.lit(1))
+def _suffix_labels(host: Column, rules: SuffixRules | None = None) -> Column:
+    """How many of a host's last labels are its public suffix: by the longest rule, one where none fits."""
+    if rules is None:
+        two = F.substring_index(host, ".", -2)
+        return F.when(two.isin(*TWO_LEVEL_SUFFIXES), F.lit(2)).otherwise(F.lit(1))
+    among = lambda name, names: name.isin(*names) if names else F.lit(False)
+
+    def longest(labels: Column) -> Column:
+        last = lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), ".")
+        every = F.sequence(F.lit(1), F.greatest(F.size(labels), F.lit(1)))
+        found = F.filter(every, lambda n: among(last(n), rules.plain) | ((n > 1) & among(last(F.greatest(n - 1, F.lit(1))), rules.wild)))
+        except_ = F.filter(every, lambda n: among(last(n), rules.exceptions))
+        return F.coalesce(F.array_max(except_) - 1, F.array_max(found), F.lit(1))
+
+    return let(F.split(host, r"\."), longest)
 
 
 def _last_labels(host: Column, n: Column) -> Column:
@@ -83,9 +124,15 @@ def _last_labels(host: Column, n: Column) -> Column:
     return F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n), ".")
 
 
-def get_domain_name(c: Column) -> Column:
-    """The registrable domain: one label more than the public suffix. Hosts of numbers or one label have none."""
-    return let(get_hostname(c), lambda host: F.when(host.contains(".") & ~host.rlike(r"^[0-9.]+$"), _last_labels(host, _suffix_labels(host) + 1)))
+def get_domain_name(c: Column, rules: SuffixRules | None = None) -> Column:
+    """The registrable domain: one label more than the public suffix. Hosts of numbers or one label have none; nor, with ``rules``, have suffixes."""
+
+    def named(host: Column) -> Column:
+        n = _suffix_labels(host, rules)
+        whole = host.contains(".") & ~host.rlike(r"^[0-9.]+$")
+        return F.when(whole if rules is None else whole & (n < F.size(F.split(host, r"\."))), _last_labels(host, n + 1))
+
+    return let(get_hostname(c), named)
 
 
 def strip_subdomains(host: Column) -> Column:
@@ -93,11 +140,13 @@ def strip_subdomains(host: Column) -> Column:
     return F.regexp_replace(host, r"^(?:(?:www[0-9]*|m|mobile)\.)+(?=[^.]+\.)", "")
 
 
-def get_normalized_hostname(c: Column) -> Column:
-    return strip_subdomains(get_hostname(c))
+def get_normalized_hostname(c: Column, infer: bool = False, normalize_amp: bool = False) -> Column:
+    """The host without labels that do not matter: of the target that the URL carries, with ``infer``, and without ``amp.``, with ``normalize_amp``."""
+    host = strip_subdomains(get_hostname(infer_redirection(ensure_protocol(c)) if infer else c))
+    return F.regexp_replace(host, r"^amp\.(?=[^.]+\.)", "") if normalize_amp else host
 
 
-def get_fingerprinted_hostname(c: Column, strip_suffix: bool = False) -> Column:
+def get_fingerprinted_hostname(c: Column, strip_suffix: bool = False, rules: SuffixRules | None = None) -> Column:
     """Without language subdomains either; may be no valid host."""
     host = F.regexp_replace(get_normalized_hostname(c), rf"^(?:{'|'.join(LANGUAGES)})\.(?=[^.]+\.)", "")
     if not strip_suffix:
@@ -105,7 +154,7 @@ def get_fingerprinted_hostname(c: Column, strip_suffix: bool = False) -> Column:
 
     def without(h: Column) -> Column:
         labels = F.split(h, r"\.")
-        return F.array_join(F.slice(labels, F.lit(1), F.greatest(F.size(labels) - F.when(h.contains("."), _suffix_labels(h)).otherwise(0), F.lit(1))), ".")
+        return F.array_join(F.slice(labels, F.lit(1), F.greatest(F.size(labels) - F.when(h.contains("."), _suffix_labels(h, rules)).otherwise(0), F.lit(1))), ".")
 
     return let(host, without)
 

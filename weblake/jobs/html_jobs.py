@@ -65,6 +65,15 @@ def h8_scrape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.scrape(table(spark, sf_dir, "pages"), definition)
 
 
+@query("""SELECT page_id, 0 AS place, [page_id::VARCHAR, '', 'last'] AS cells FROM pages UNION ALL SELECT page_id, 1, ['x', 'y'] FROM pages UNION ALL SELECT page_id, 2, ['in ' || page_id] FROM pages""")
+def h10_tabulate_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table in a cell of a table: its rows are its own, and come after."""
+    n = F.col("page_id").cast("string")
+    nested = F.concat(F.lit("<table><tr><td>"), n, F.lit("<td><table><tr><td>in "), n, F.lit("</table></td><td>last</tr><tr><td>x<td>y</table>"), F.col("html"))
+    rows = html.tabulate(table(spark, sf_dir, "pages").withColumn("html", nested), headers_inference=None)
+    return rows.select("page_id", "place", F.transform(F.array_sort(F.map_keys("cells")), lambda k: rows.cells[k]).alias("cells"))
+
+
 @query("SELECT page_id, i::INT AS place, ['a', 'b'][i + 1] AS k, [page_id::VARCHAR, '2'][i + 1] AS v FROM pages, (SELECT unnest([0, 1]) AS i)")
 def h10_tabulate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = html.tabulate(tagged(spark, sf_dir))

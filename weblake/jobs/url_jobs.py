@@ -143,3 +143,25 @@ def f2_f3_page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("u")
     name = text.page_filename(u)
     return varied(spark, sf_dir).select("page_id", text.folder_path(name, u).alias("flat"), text.folder_path(name, u, "prefix-4").alias("prefix4"), text.folder_path(name, u, "normalized-hostname").alias("by_host"))
+
+
+_RULES = ["// rules of the public list's forms", "com", "jp", "co.uk", "uk", "ac.jp", "*.kawasaki.jp", "!city.kawasaki.jp", "", "org"]
+_HOSTS = [
+    # host, its registrable domain by these rules, the rest of the name without the suffix, and whether its last label is one of theirs.
+    ("www.city.kawasaki.jp", "city.kawasaki.jp", "city", True), ("x.y.kawasaki.jp", "x.y.kawasaki.jp", "x", True), ("y.kawasaki.jp", None, "y", True), ("a.b.co.uk", "b.co.uk", "a.b", True),
+    ("m.site.com", "site.com", "site", True), ("lab.uni.ac.jp", "uni.ac.jp", "lab.uni", True), ("page.nowhere", "page.nowhere", "page", False), ("amp.news.org", "news.org", "amp.news", True),
+]
+_OF = lambda k: "[" + ", ".join("NULL" if h[k] is None else str(h[k]).lower() if isinstance(h[k], bool) else f"'{h[k]}'" for h in _HOSTS) + "][page_id % 8 + 1]"
+
+
+@query(f"""SELECT page_id, {_OF(1)} AS domain, {_OF(2)} AS stripped, {_OF(3)} AS known, CASE page_id % 8 WHEN 0 THEN 'city.kawasaki.jp' WHEN 4 THEN 'site.com' WHEN 7 THEN 'news.org' ELSE {_OF(0)} END AS host FROM pages""")
+def u1_u7_u8_suffix_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domains by rules with wildcards and exceptions, and hosts of the targets that URLs carry."""
+    rules = urls.SuffixRules.of(_RULES)
+    host = F.get(F.array(*(F.lit(h[0]) for h in _HOSTS)), (F.col("page_id") % 8).cast("int"))
+    url = F.concat(F.lit("https://"), host, F.lit("/p"))
+    carrier = F.concat(F.lit("https://go.example.org/?url="), url)
+    return table(spark, sf_dir, "pages").select(
+        "page_id", urls.get_domain_name(url, rules).alias("domain"), urls.get_fingerprinted_hostname(url, strip_suffix=True, rules=rules).alias("stripped"), urls.is_url(url, tld_aware=True, rules=rules).alias("known"),
+        urls.get_normalized_hostname(carrier, infer=True, normalize_amp=True).alias("host"),
+    )

@@ -159,15 +159,44 @@ def scrape_with(pages: DataFrame, function: Callable, schema: str, html: str = "
     return map_pages(pages, html, read, f"items:{struct}", keep).select(*keep, F.explode("items").alias("v")).select(*keep, "v.*")
 
 
-def tabulate(pages: DataFrame, selector: str = "table", headers: list[str] | None = None, html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """Rows of tables: place and a map from header (given, from ``th``, or the cell's number) to text."""
+def _own(table: Element, name: str) -> list[Element]:
+    """Elements of a table that are in no table inside it."""
+    found = []
+    for e in table.walk():
+        if e.name == name:
+            up = e.parent
+            while up is not table and up.name != "table":
+                up = up.parent
+            if up is table:
+                found.append(e)
+    return found
+
+
+def _text_outside_tables(cell: Element) -> str:
+    """The cell's text without that of tables inside it."""
+    said, left = [], list(reversed(cell.children))
+    while left:
+        node = left.pop()
+        if isinstance(node, str):
+            said.append(node)
+        elif node.name != "table":
+            left += reversed(node.children)
+    return "".join(said).strip()
+
+
+def tabulate(pages: DataFrame, selector: str = "table", headers: list[str] | None = None, headers_inference: str | None = "th", html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """Rows of tables: place and a map from header (given, from ``th``, or the cell's number) to text.
+
+    A table in a cell is a table of its own: its rows and text are not those of the one around it. Without
+    ``headers`` and ``headers_inference`` all cells go by number.
+    """
 
     def read(root: Element, row: dict[str, Any]) -> dict[str, Any]:
         out = []
         for table in select(root, selector):
-            names = headers or [th.text() for th in select(table, "th")]
-            for tr in select(table, "tr"):
-                cells = [td.text() for td in select(tr, "td")]
+            names = headers or ([_text_outside_tables(th) for th in _own(table, "th")] if headers_inference == "th" else [])
+            for tr in _own(table, "tr"):
+                cells = [_text_outside_tables(td) for td in tr.children if isinstance(td, Element) and td.name == "td"]
                 if cells:
                     out.append([(names[i] if i < len(names) else str(i), c) for i, c in enumerate(cells)])
         return {"rows": out}
@@ -230,14 +259,15 @@ def read_content(root: Element, row: dict[str, Any] | None = None) -> dict[str,
         return paragraphs - 2 * linked_text[id(e)]
 
     blocks = [e for e in elements if e.name in ("article", "main", "section", "div", "td", "body") and not any(k in e.attrs.get("class", "").lower().split() for k in ("ad", "nav", "menu", "footer", "sidebar"))]
-    main = select_one(root, "article") or max(blocks, key=weight, default=None)
+    # Pages may leave out the body tag: then the root holds the paragraphs.
+    main = select_one(root, "article") or max([*blocks, root], key=weight)
     author = linked.get("author")
     title = select_one(root, "title")
     return {
         "title": meta("og:title") or (title.text() if title is not None else None),
         "canonical_url": _stripped(select_one(root, "link[rel=canonical][href]"), "href") or meta("og:url"),
         "description": meta("og:description", "description"),
-        "content": (display_text(main) if main is not None else "") or None,
+        "content": display_text(main) or None,
         "comments": None,
         "author": meta("author", "article:author") or (author.get("name") if isinstance(author, dict) else author if isinstance(author, str) else None),
         "categories": _listed(metas.get("article:section", [])),
@@ -253,10 +283,10 @@ def extract_content(pages: DataFrame, html: str = "html", keep: tuple[str, ...]
     """Main text and metadata of pages: extract_error and twelve fields.
 
     Own heuristic: the article element, else the block whose own paragraphs outweigh its links most;
-    metadata from Open Graph, meta tags and JSON-LD. Without content, the error is no-result.
+    metadata from Open Graph, meta tags and JSON-LD. Without content, the error is no-trafilatura-result.
     """
     found = map_pages(pages, html, read_content, _CONTENT, keep)
-    return found.withColumn("extract_error", F.when(F.col("content").isNull(), "no-result"))
+    return found.withColumn("extract_error", F.when(F.col("content").isNull(), "no-trafilatura-result"))
 
 
 def blurb(*fields: str):

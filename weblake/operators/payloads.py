@@ -455,7 +455,7 @@ def instagram_posts(df: DataFrame) -> DataFrame:
     names = lambda c: F.array_sort(F.array_distinct(F.array_compact(c)))
     rows = parsed(df).withColumn("medias", medias)
     caption, link = F.coalesce(at("caption.text"), F.lit("")), text.shortcode_to_url(at("code"))
-    plain = {"username": "user.username", "name": "user.full_name", "is_verified": "user.is_verified", "id": "pk", "shortcode": "code", "caption": "caption.text", "like_count": "like_count", "comment_count": "comment_count", "taken_at_timestamp": "taken_at"}
+    plain = {"username": "user.username", "full_name": "user.full_name", "is_verified": "user.is_verified", "id": "pk", "shortcode": "code", "caption": "caption.text", "like_count": "like_count", "comment_count": "comment_count", "taken_at_timestamp": "taken_at"}
     authors = F.transform(F.concat(items("coauthor_producers"), items("invited_coauthor_producers")), lambda u: at("username", of=u))
     return rows.select(
         *fields(plain), F.coalesce(kind(F.col("v")), at("media_type")).alias("media_type"), link.alias("url"), text.extract_hashtags(caption).alias("hashtags"), text.extract_handles(caption).alias("mentioned_names"),

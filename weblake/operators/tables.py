@@ -16,19 +16,27 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_page_files(spark: SparkSession, folder: str, pattern: str = "*.html*") -> DataFrame:
-    """path and body (bytes) of page files under a folder; gzip is undone."""
+    """path, body (bytes) and error of page files under a folder; gzip is undone. A broken file has no body and the error ``bad-gzip``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
 
     def unpacked(batches):
         import gzip
+        import zlib
 
         import pyarrow as pa
 
+        def plain(path, content):
+            try:
+                return gzip.decompress(content) if path.endswith(".gz") else content
+            except (OSError, EOFError, zlib.error):
+                return None
+
         for b in batches:
-            bodies = [gzip.decompress(c) if p.endswith(".gz") else c for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bodies, pa.binary())], names=["path", "body"])
+            bodies = [plain(p, c) for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            errors = ["bad-gzip" if x is None else None for x in bodies]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bodies, pa.binary()), pa.array(errors, pa.string())], names=["path", "body", "error"])
 
-    return files.select("path", "content").mapInArrow(unpacked, "path string, body binary")
+    return files.select("path", "content").mapInArrow(unpacked, "path string, body binary, error string")
 
 
 def attach_bodies(report: DataFrame, files: DataFrame, input_dir: str = "") -> DataFrame:
