@@ -36,7 +36,12 @@ def test_tables_in_definitions(spark):
 
 
 def test_encodings():
-    assert len(pages.ENCODINGS) == 232
+    """Every name is one that Python decodes by, however it is parted; made-up ones are none."""
+    import codecs
+
+    assert {"utf8", "l1", "latin1", "cp1252", "windows1252", "shiftjis", "sjis2004", "koi8r", "big5hkscs", "usascii", "utf8sig", "iso885915", "mackintosh".replace("k", "", 1), "ujis", "646"} <= set(pages.ENCODINGS)
+    assert not {"utf88591", "nope", "base64", "rot13", "idna", "punycode", "unicodeescape", ""} & set(pages.ENCODINGS)
+    assert all(n == n.lower() and not set(n) & set(" -_") for n in pages.ENCODINGS) and codecs.lookup("l1").name == "iso8859-1"
 
 
 def test_redirections_of_any_depth(spark):

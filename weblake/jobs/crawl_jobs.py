@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weblake.jobs.join_jobs import ENTITIES, LINKS, WELINKS, corpus, links
 from weblake.jobs.query import query
 from weblake.operators import aggregates, frontier, graph, joins
+from weblake.operators.storage import shared_folder
+from weblake.operators.visited import VisitedSet
 from weblake.sources.tables import table
 
 
@@ -49,6 +53,15 @@ def w10_next_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frontier.next_frontier(pages.where("page_id % 2 = 1"), pages.where("page_id % 2 = 0"), pages.where("page_id % 4 = 0").select("url"), "url", "page_id").select("page_id")
 
 
+@query("SELECT 'https://n' || user_id || '.example.org' AS key, min(event_id % 4)::INT AS batch FROM events GROUP BY 1")
+def w10_visited_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In which of four batches of events each user's URL is seen for the first time, by a set that stays on disk."""
+    urls_ = table(spark, sf_dir, "events").select(F.concat(F.lit("https://n"), F.col("user_id").cast("string"), F.lit(".example.org")).alias("url"), (F.col("event_id") % 4).cast("int").alias("batch"))
+    known = VisitedSet(spark, f"{shared_folder(spark)}/visited-{uuid.uuid4().hex}")
+    new = [known.add(urls_.where(F.col("batch") == n), "url").withColumn("batch", F.lit(n)) for n in range(4)]
+    return new[0].unionByName(new[1]).unionByName(new[2]).unionByName(new[3])
+
+
 @query("SELECT j.page_id AS id, count(c.page_id) AS degree FROM pages j LEFT JOIN pages c ON c.page_id // 3 = j.page_id AND c.page_id > 0 GROUP BY 1")
 def a5_crawl_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.when(F.col("page_id") > 0, F.floor(F.col("page_id") / 3)).alias("parent"))

@@ -190,7 +190,7 @@ def n15_twitter_timeline_tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("o_custkey", "instruction", F.col("n").cast("long").alias("n"), "entry", "role", "around_id", "id", "text", "quoted_id", "source", "user_id", "user_screen_name", "like_count", "user_followers", "error")
 
 
-@query(f"""WITH {_TWEETS}, t AS (SELECT DISTINCT id, user_id, quoted_id, text FROM tweets WHERE error IS NULL AND role = 'tweet'), every AS (SELECT id, min(user_id) AS user_id, min(text) AS text FROM tweets WHERE error IS NULL GROUP BY id),
+@query(f"""WITH {_TWEETS}, t AS (SELECT DISTINCT id, user_id, quoted_id, text FROM tweets WHERE error IS NULL AND role = 'tweet'), every AS (SELECT id, min(user_id) AS user_id, arg_min(text, (user_id, text)) AS text FROM tweets WHERE error IS NULL GROUP BY id),
   u AS (SELECT user_id, min(user_screen_name) AS name FROM tweets WHERE error IS NULL GROUP BY 1)
   SELECT t.id, t.user_id, u.name, t.quoted_id, q.text AS quoted_text, qu.name AS quoted_user, CASE WHEN t.quoted_id IS NOT NULL AND q.id IS NULL THEN 'quoted-not-found' END AS error
   FROM t JOIN u USING (user_id) LEFT JOIN every q ON q.id = t.quoted_id LEFT JOIN u qu ON qu.user_id = q.user_id""")
