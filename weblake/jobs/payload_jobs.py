@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weblake.jobs.query import query
 from weblake.operators import payloads
+from weblake.operators.storage import stored
 from weblake.sources.tables import table
 
 
@@ -198,7 +199,7 @@ def n15_j7_quotes_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tweets of pages with the tweets they quote, which stand inside them or nowhere."""
     from weblake.operators import joins
 
-    found = payloads.twitter_timeline_tweets(twitter_pages(spark, sf_dir)).where("error is null")
+    found = stored(payloads.twitter_timeline_tweets(twitter_pages(spark, sf_dir)).where("error is null"))
     users = found.select("user_id", F.col("user_screen_name").alias("name")).distinct()
     tweets = found.where("role = 'tweet'").select("id", "user_id", "quoted_id", "retweeted_id", "text").distinct()
     return joins.attach_referenced(tweets, users, originals=found).select("id", "user_id", "name", "quoted_id", "quoted_text", "quoted_user", "error")

@@ -30,13 +30,14 @@ def left_join_known(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 HOT_ROWS, HOT_PARTS = 1000, 1000
 
 
-def left_join_split(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def left_join_split(left: DataFrame, right: DataFrame, key: str, counted: DataFrame | None = None) -> DataFrame:
     """Left join on ``key`` with the one row of each key in ``right``, where some keys may have very many rows in ``left``.
 
     Keys are counted first. The rows of hot ones, at most HOT_PARTS keys, stay where they are and their
     right rows come to them; all other rows are shuffled by key, those without one spread by a salt.
+    counted: a table with the same keys that is cheaper to count than ``left``.
     """
-    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    counts = (left if counted is None else counted).where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
     total, most = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).head()
     if most <= (least := max(HOT_ROWS, total // HOT_PARTS)):
         return left_join_known(left, right, key)
@@ -244,13 +245,14 @@ def attach_referenced(tweets: DataFrame, users: DataFrame, originals: DataFrame
     from ``originals`` (default: the tweets themselves), one row per id. An id that very many tweets refer to is
     no single task.
     """
+    tweets = stored(tweets)
     base = one_row_each((tweets if originals is None else originals).select("id", "user_id", "text"), "id")
     users = one_row_each(users.select("user_id", "name"), "user_id")
     named = stored(left_join_split(base, users, "user_id").select("id", "text", "name"))
-    out = left_join_split(tweets, users, "user_id")
+    out = left_join_split(tweets, users, "user_id", tweets)
     for kind in ("quoted", "retweeted"):
         other = named.select(F.col("id").alias(f"{kind}_id"), F.col("text").alias(f"{kind}_text"), F.col("name").alias(f"{kind}_user"), F.lit(True).alias(f"{kind} found"))
-        out = left_join_split(out, other, f"{kind}_id")
+        out = left_join_split(out, other, f"{kind}_id", tweets)
     error = F.when(F.col("name").isNull(), "user-not-found")
     for kind in ("quoted", "retweeted"):
         error = error.when(F.col(f"{kind}_id").isNotNull() & F.col(f"{kind} found").isNull(), f"{kind}-not-found")
