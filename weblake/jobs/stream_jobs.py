@@ -12,9 +12,10 @@ from weblake.functions.pages import gate_pages
 from weblake.jobs.join_jobs import JOINED, entities
 from weblake.jobs.query import query
 from weblake.jobs.url_jobs import VARIED, normalized_sql, varied
+from weblake.operators.frontier import planned_releases
 from weblake.operators.storage import shared_folder
 from weblake.sources.tables import table
-from weblake.streaming import streams
+from weblake.streaming import queue, streams
 
 
 def drained(source: DataFrame, make: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
@@ -42,6 +43,25 @@ def x2_stream_throttled_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("index", "group", F.timestamp_micros(F.round(F.col("release") * 1000000).cast("long")).cast("timestamp_ntz").alias("release"))
 
 
+@query("""WITH e AS (SELECT event_id, user_id, epoch_us(ts::TIMESTAMP) AS us, 1000000 * (60 + event_id % 1000) AS lasts FROM events),
+  s AS (SELECT *, sum(lasts + 30000000) OVER w - lasts - 30000000 AS before FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING))
+  SELECT event_id AS index, user_id::VARCHAR AS "group", make_timestamp(CASE WHEN user_id IS NULL THEN us
+    ELSE (before + max(us - before) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING))::BIGINT END) AS release FROM s""")
+def x2_stream_released_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs that timers release: each event lasts a while, its acknowledgement comes with the stream, one a user at a time."""
+    lasts = 1_000_000 * (60 + F.col("event_id") % 1000)
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), lasts.alias("lasts"))
+    planned = planned_releases(events, "user_id", "event_id", "at", "lasts", 30_000_000)
+    acknowledged = planned.select("event_id", "user_id", (F.col("release") + F.col("lasts")).alias("at"), F.lit(True).alias("finished"))
+    rows = events.select("event_id", "user_id", "at", F.lit(False).alias("finished")).unionByName(acknowledged)
+    # A last row, of a day later, lets the watermark pass all others.
+    end = rows.agg((F.max("at") + 86_400_000_000).alias("at")).select(F.lit(-1).cast(rows.schema["event_id"].dataType).alias("event_id"), F.lit(None).cast(rows.schema["user_id"].dataType).alias("user_id"), "at", F.lit(False).alias("finished"))
+    timed = rows.unionByName(end).withColumn("at", F.timestamp_micros("at"))
+    with queue.timers_allowed(spark):
+        found = drained(timed, lambda s: queue.stream_released_jobs(s, "user_id", "event_id", "at", "finished", throttle=30.0, period=86_400.0))
+    return found.where("index >= 0").select("index", "group", F.timestamp_micros(F.round(F.col("release") * 1000000).cast("long")).cast("timestamp_ntz").alias("release"))
+
+
 @query("""WITH top AS (SELECT max(ts) AS t FROM events) SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS count FROM events, top
   GROUP BY 1, 2, t HAVING date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY <= t - INTERVAL 1 HOUR""")
 def x3_stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

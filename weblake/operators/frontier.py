@@ -51,6 +51,27 @@ def politeness_plan(frontier: DataFrame, throttle: float = 0.2, parallelism: int
     return grouped.unionByName(free).withColumn("start", F.col("batch") * F.lit(throttle))
 
 
+def planned_releases(jobs: DataFrame, group: str, index: str, at: str, duration: str, throttle: int = 200_000) -> DataFrame:
+    """``jobs`` and ``release``: when each may start if a group does one at a time, with known durations (all in microseconds).
+
+    Jobs go by ``at``, then index; after the one before has ended a group rests for ``throttle``. With S the sum of
+    durations and rests before a job, its release is S and the largest at - S up to it: a running maximum. Ranges of a group
+    are worked out alone and shifted by what the ranges before add up to, so a hot group is no single task.
+    Jobs without a group start at ``at``. Times and durations are not null; of equal ones any order gives the same plan.
+    """
+    ranged = stored(jobs.where(F.col(group).isNotNull()).repartitionByRange(group, at, index).withColumn("its range", F.spark_partition_id()))
+    running = Window.partitionBy(group, "its range").orderBy(at, index).rowsBetween(Window.unboundedPreceding, 0)
+    cost = F.col(duration) + throttle
+    local = ranged.withColumn("sum", F.sum(cost).over(running) - cost).withColumn("wait", F.max(F.col(at) - F.col("sum")).over(running))
+    parts = local.groupBy(group, "its range").agg(F.sum(cost).alias("cost"), F.max("wait").alias("most"))
+    before = Window.partitionBy(group).orderBy("its range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = parts.withColumn("shift", F.coalesce(F.sum("cost").over(before), F.lit(0)))
+    shifts = shifts.withColumn("waited", F.max(F.col("most") - F.col("shift")).over(before)).select(group, "its range", "shift", "waited")
+    release = F.col("shift") + F.col("sum") + F.greatest(F.col("wait") - F.col("shift"), "waited")
+    planned = local.join(shifts, [group, "its range"]).select(*jobs.columns, release.cast("long").alias("release"))
+    return planned.unionByName(jobs.where(F.col(group).isNull()).withColumn("release", F.col(at).cast("long")))
+
+
 def best_caption_track(tracks: DataFrame, video: str, langs: list[str], strict: bool = False) -> DataFrame:
     """Per video the track of the most preferred language; written before generated, then by language."""
     rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, langs)), F.col("lang")), F.lit(0)), F.lit(len(langs) + 1))
