@@ -58,7 +58,7 @@ def x2_stream_released_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = rows.agg((F.max("at") + 86_400_000_000).alias("at")).select(F.lit(-1).cast(rows.schema["event_id"].dataType).alias("event_id"), F.lit(None).cast(rows.schema["user_id"].dataType).alias("user_id"), "at", F.lit(False).alias("finished"))
     timed = rows.unionByName(end).withColumn("at", F.timestamp_micros("at"))
     with queue.timers_allowed(spark):
-        found = drained(timed, lambda s: queue.stream_released_jobs(s, "user_id", "event_id", "at", "finished", throttle=30.0, period=86_400.0))
+        found = drained(timed, lambda s: queue.stream_released_jobs(s, "user_id", "event_id", "at", "finished", throttle=30.0, period=864_000.0))
     return found.where("index >= 0").select("index", "group", F.timestamp_micros(F.round(F.col("release") * 1000000).cast("long")).cast("timestamp_ntz").alias("release"))
 
 

@@ -36,28 +36,33 @@ class Blocks:
     """
 
     def __init__(self, state, ends: list[int]):
-        self.state, self.cached = state, {}
+        self.state, self.cached, self.kept = state, {}, set()
         self.ends = {(ends[i], ends[i + 1]): ends[i + 2 : i + 7] for i in range(0, len(ends), 7)}
 
     def _block(self, kind: int, bucket: int, n: int) -> list:
         key = (kind, bucket, n)
         if key not in self.cached:
-            found = self.state.getValue(key)
-            self.cached[key] = [list(r) for r in found[0]] if found else []
+            self.cached[key] = [list(r) for r in self.state.getValue(key)[0]]
+            self.kept.add(key)
         return self.cached[key]
 
     def _removed(self, kind: int, bucket: int, n: int) -> None:
-        self.cached.pop((kind, bucket, n), None)
-        if self.state.containsKey((kind, bucket, n)):
-            self.state.removeKey((kind, bucket, n))
+        key = (kind, bucket, n)
+        if self.cached.pop(key, None) is None or key in self.kept:
+            self.state.removeKey(key)
+            self.kept.discard(key)
 
     def push(self, kind: int, bucket: int, row: list[int]) -> None:
-        e = self.ends.setdefault((kind, bucket), [0, 0, 0, 0, row[0]])
-        if e[3] == BLOCK:
+        e = self.ends.get((kind, bucket))
+        if e is None:
+            e = self.ends[(kind, bucket)] = [0, 0, 0, 0, row[0]]
+            self.cached[(kind, bucket, 0)] = []
+        elif e[3] == BLOCK:
             full = self.cached.pop((kind, bucket, e[2]), None)
             if full is not None:
                 self.state.updateValue((kind, bucket, e[2]), (full,))
             e[2], e[3] = e[2] + 1, 0
+            self.cached[(kind, bucket, e[2])] = []
         self._block(kind, bucket, e[2]).append(row)
         e[3], e[4] = e[3] + 1, min(e[4], row[0])
 
