@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weblake.jobs.query import query
-from weblake.operators import tables
+from weblake.operators import bodies, tables
 from weblake.operators.storage import shared_folder
 from weblake.sources.tables import table
 
@@ -58,3 +58,17 @@ def s10_keep_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT url, row_number() OVER (ORDER BY url) - 1 AS original_index FROM (SELECT DISTINCT url FROM pages)")
 def s11_index_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.with_original_index(table(spark, sf_dir, "pages").select("url").distinct(), "url")
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 5 <> 0 AND page_id % 4 = 0 THEN html END AS body, CASE WHEN page_id % 5 <> 0 AND page_id % 4 <> 0 THEN 'file-not-found' END AS body_error FROM pages
+  UNION ALL SELECT o_orderkey AS page_id, (SELECT html FROM pages WHERE page_id = 4) AS body, NULL AS body_error FROM orders""")
+def s3_s6_body_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies of a quarter of the pages in a store; a report that names all but a fifth, and one page as often as there are orders."""
+    folder = _folder(spark)
+    name = f"bodies_{uuid.uuid4().hex}"
+    pages = table(spark, sf_dir, "pages")
+    file = lambda c: F.concat(F.col(c).cast("string"), F.lit(".html"))
+    bodies.write_body_store(pages.where("page_id % 4 = 0").select(F.concat(F.lit("in/"), file("page_id")).alias("path"), F.col("html").alias("body")), name, folder, 64)
+    report = pages.select("page_id", F.when(F.col("page_id") % 5 != 0, file("page_id")).alias("path"))
+    often = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"), F.lit("4.html").alias("path"))
+    return bodies.attach_from_store(report.unionByName(often), name, 64, "in").select("page_id", "body", "body_error")
