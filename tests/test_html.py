@@ -2,6 +2,7 @@ import pytest
 
 from weblake.html.scraper import Interpreter, InvalidDefinition, field_names, is_plural, validate
 from weblake.html.tree import SelectorError, compiled, display_text, parse, select, select_one
+from weblake.operators.html import extract_report
 
 LIST = "<ol><li id=li1>Oslo<li id=li2 class='x y'>Lima <b>south</ol><ol><li>Quito</ol>"
 
@@ -73,3 +74,9 @@ def test_damaged_pages():
     assert parse("<div><b>x</div></span>").text() == "x" and parse(None).text() == "" and parse("<![CDATA[x]]>").text() in ("x", "")
     deep = "<div>" * 30_000 + "x"
     assert parse(deep).text() == "x" and display_text(parse(deep)) == "x"
+
+
+def test_report_rows_that_the_gate_turns_away_stay(spark):
+    rows = [(1, "200", "<p>said</p>"), (2, "404", "<p>not read</p>"), (3, "200", None), (4, "200", "<i></i>")]
+    got = extract_report(spark.createDataFrame(rows, "page_id long, http_status string, body string")).select("page_id", "content", "extract_error").collect()
+    assert sorted(map(tuple, got)) == [(1, "said", None), (2, None, "invalid-status"), (3, None, "no-path-nor-body"), (4, None, "no-trafilatura-result")]

@@ -242,13 +242,20 @@ def normalize_url(
     strip_irrelevant_subdomains: bool = True,
     strip_protocol: bool = True,
     strip_trailing_slash: bool = True,
+    platform_aware: bool = False,
 ) -> Column:
-    """What identifies the resource: see the toggles. A fragment is kept as routing if it has a slash."""
+    """What identifies the resource: see the toggles. A fragment is kept as routing if it has a slash.
+
+    platform_aware: an address of a platform that names a video, post, user and so on counts as the one
+    that ``platform_url`` makes of its ids.
+    """
     u = ensure_protocol(c)
     if fix_common_mistakes:
         u = F.regexp_replace(F.regexp_replace(u, "&amp;", "&"), r"^(https?)://(?:https?:?//)+", "$1://")
     if infer:
         u = infer_redirection(u)
+    if platform_aware:
+        u = let(u, lambda x: F.coalesce(platform_url(x), x))
 
     def normalized(u: Column) -> Column:
         host = strip_subdomains(get_hostname(u)) if strip_irrelevant_subdomains else get_hostname(u)
@@ -273,10 +280,13 @@ def normalize_url(
     return let(u, normalized)
 
 
-def fingerprint_url(c: Column, strip_suffix: bool = False) -> Column:
+def fingerprint_url(c: Column, strip_suffix: bool = False, platform_aware: bool = False) -> Column:
     """A key for aggregation: the normalized URL, lowered, with its fingerprinted host."""
-    rest = F.regexp_replace(normalize_url(c), r"^[^/?#]*", "")
-    return F.lower(F.concat(get_fingerprinted_hostname(infer_redirection(ensure_protocol(c)), strip_suffix), rest))
+    rest = F.regexp_replace(normalize_url(c, platform_aware=platform_aware), r"^[^/?#]*", "")
+    target = infer_redirection(ensure_protocol(c))
+    if platform_aware:
+        target = let(target, lambda x: F.coalesce(platform_url(x), x))
+    return F.lower(F.concat(get_fingerprinted_hostname(target, strip_suffix), rest))
 
 
 def is_shortened_url(c: Column) -> Column:
@@ -426,6 +436,33 @@ def parse_twitter_url(c: Column) -> Column:
     return let(ensure_protocol(c), parsed)
 
 
+def platform_url(c: Column) -> Column:
+    """The one address of what a platform's URL names, made of its ids; null for other URLs and platform pages without any.
+
+    Videos of a site are one whether watched, embedded or short; posts go by owner and number however
+    they are linked; screen names, which the platforms do not tell apart by case, are lowered.
+    """
+    site = F.lit("https://www.facebook.com/")
+
+    def facebook(f: Column) -> Column:
+        group = or_null(F.regexp_extract(f["url"], r"/groups/([^/?#]+)", 1))
+        owner = F.coalesce(F.when(f["full_id"].isNotNull(), F.substring_index(f["full_id"], "_", 1)), F.lower(f["handle"]))
+        post = F.when(group.isNotNull(), F.concat(site, F.lit("groups/"), group, F.lit("/posts/"), f["id"])).when(owner.isNotNull(), F.concat(site, owner, F.lit("/posts/"), f["id"]))
+        return _cases(
+            (f["type"] == "video", F.concat(site, F.lit("watch?v="), f["id"])), (f["type"] == "photo", F.concat(site, F.lit("photo?fbid="), f["id"])), (f["type"] == "post", post),
+            (f["type"] == "group", F.concat(site, F.lit("groups/"), group)), (f["type"] == "user", F.concat(site, F.lit("profile.php?id="), f["id"])), (f["type"] == "handle", F.concat(site, F.lower(f["handle"]))),
+        )
+
+    def youtube(y: Column) -> Column:
+        return F.when(y["type"].isin("video", "short"), F.concat(F.lit("https://www.youtube.com/watch?v="), y["id"])).otherwise(y["normalized_url"])
+
+    def twitter(t: Column) -> Column:
+        user = F.concat(F.lit("https://twitter.com/"), F.lower(t["screen_name"]))
+        return F.when(t["tweet_id"].isNotNull(), F.concat(user, F.lit("/status/"), t["tweet_id"])).otherwise(user)
+
+    return let(c, lambda u: F.coalesce(let(parse_facebook_url(u), facebook), let(parse_youtube_url(u), youtube), let(parse_twitter_url(u), twitter)))
+
+
 def parse_bluesky_post_url(c: Column) -> Column:
     """struct(actor, rkey): the second and fourth part of the path."""
     parts = F.split(path(ensure_protocol(c)), "/")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weblake.jobs.query import query
+from weblake.jobs.text_jobs import REPORT, report
 from weblake.operators import html
 from weblake.sources.tables import table
 
@@ -106,6 +107,18 @@ def h14_h15_extract_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content.withColumn("blurb", html.blurb("title", "description", "content", "tags"))
 
 
+_GATED = "CASE WHEN fetch_error IS NOT NULL THEN 'http-errored' WHEN http_status IS NULL OR http_status = '404' THEN 'invalid-status' WHEN mimetype IS NULL OR mimetype NOT LIKE '%/htm%' THEN 'invalid-mimetype' WHEN body IS NULL THEN 'no-path-nor-body' WHEN encoding = 'klingon' THEN 'encoding-not-supported' END"
+
+
+@query(rf"""WITH {REPORT}, g AS (SELECT page_id, {_GATED} AS extract_error, regexp_extract(body, '<article>(.*)</article>', 1, 's') AS article FROM r),
+  t AS (SELECT *, regexp_replace(regexp_replace(article, '<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', '', 'gs'), '<[^>]*>', '', 'g') AS said FROM g)
+  SELECT page_id, extract_error, CASE WHEN extract_error IS NULL THEN regexp_replace(replace(replace(replace(replace(replace(said, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&amp;', '&'), '[\s\xA0]+', '', 'g') END AS letters FROM t""")
+def h14_extract_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that the articles of pages say, without white space; pages that the gate turns away stay as rows, with its reason."""
+    found = html.extract_report(report(spark, sf_dir))
+    return found.select("page_id", "extract_error", F.regexp_replace("content", "[\\s\u00a0]+", "").alias("letters"))
+
+
 @query("SELECT page_id, url AS extracted_url FROM pages")
 def h16_extract_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("see <"), "url", F.lit("> and (none).")).alias("said"))

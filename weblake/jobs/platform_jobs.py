@@ -33,6 +33,19 @@ def g1_reddit_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return platform_pages.reddit_posts(listing(spark, sf_dir, post, "o_custkey", "o_orderkey")).select("page_id", "place", "title", "url", "points", "number_comments", "author", "external_link")
 
 
+@query("""SELECT o_orderkey, o_custkey AS page_id, CASE WHEN o_orderkey % 4 > 1 THEN 'said ' || o_orderkey END AS author_text, CASE WHEN o_orderkey % 4 = 0 THEN 'page-not-found' END AS error FROM orders""")
+def g1_reddit_author_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the authors of listed posts wrote, from stored pages of three quarters of the posts, of which a third is a mere link."""
+    k = F.col("o_orderkey").cast("string")
+    post = joined("<div id='thing_t3_", k, "'><a class=title href='/r/x/", k, "'>t</a><ul class='flat-list buttons'><li><a class='bylink comments' href='https://old.reddit.com/r/x/", k, "'>comment</a></li></ul></div>")
+    posts = platform_pages.reddit_posts(listing(spark, sf_dir, post, "o_custkey", "o_orderkey"))
+    said = F.when(F.col("o_orderkey") % 4 > 1, joined("<div class=usertext-body><div class=md>said ", k, "</div></div>")).otherwise("")
+    html = joined("<div id=siteTable>", said, "</div><div class=commentarea><div class=usertext-body>a reply</div></div>")
+    pages = table(spark, sf_dir, "orders").where("o_orderkey % 4 > 0").select(joined("https://old.reddit.com/r/x/", k).alias("url"), html.alias("html"))
+    found = platform_pages.attach_author_texts(posts, platform_pages.reddit_post_texts(pages))
+    return found.select(F.regexp_extract("url", "([0-9]+)$", 1).cast("long").alias("o_orderkey"), "page_id", "author_text", "error")
+
+
 @query("""SELECT conv_id AS page_id, 'c' || turn AS id, CASE WHEN turn > 0 THEN 'c' || (turn - 1) END AS parent, role AS author, 'https://www.reddit.com/r/x/c' || turn || '/' AS comment_url, 'score hidden' AS points, 't' || turn AS comment FROM conversations""")
 def g2_reddit_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("turn").cast("string")

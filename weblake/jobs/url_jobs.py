@@ -165,3 +165,25 @@ def u1_u7_u8_suffix_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", urls.get_domain_name(url, rules).alias("domain"), urls.get_fingerprinted_hostname(url, strip_suffix=True, rules=rules).alias("stripped"), urls.is_url(url, tld_aware=True, rules=rules).alias("known"),
         urls.get_normalized_hostname(carrier, infer=True, normalize_amp=True).alias("host"),
     )
+
+
+#: Before and after an id: an address, and the normalized address of the platform that stands for it. ``video`` ids have 11 characters.
+PLATFORM_CASES = [
+    ("https://youtu.be/", "?t=4", "youtube.com/watch?v=", "video"), ("http://m.youtube.com/watch?feature=share&v=", "#x", "youtube.com/watch?v=", "video"), ("https://www.youtube.com/embed/", "", "youtube.com/watch?v=", "video"),
+    ("youtube.com/shorts/", "/", "youtube.com/watch?v=", "video"), ("https://l.facebook.com/l.php?u=https%3A%2F%2Fyoutu.be%2F", "", "youtube.com/watch?v=", "video"),
+    ("https://www.facebook.com/watch/?v=", "&ref=x", "facebook.com/watch?v=", "number"), ("https://fr-fr.facebook.com/Some.Page/videos/", "/", "facebook.com/watch?v=", "number"),
+    ("https://www.facebook.com/permalink.php?story_fbid=", "&id=7", "facebook.com/7/posts/", "number"), ("https://m.facebook.com/7/posts/", "?x=y", "facebook.com/7/posts/", "number"),
+    ("https://www.facebook.com/groups/5/permalink/", "/", "facebook.com/groups/5/posts/", "number"), ("https://x.com/SomeOne/status/", "?s=20", "twitter.com/someone/status/", "number"),
+    ("https://mobile.twitter.com/someone/statuses/", "", "twitter.com/someone/status/", "number"), ("https://www.site.org/A/", "/?utm_source=x", "site.org/A/", "number"),
+]
+_CASES_SQL = ", ".join(f"({i}, '{key}', '{kind}')" for i, (_, _, key, kind) in enumerate(PLATFORM_CASES))
+
+
+@query(f"""WITH c(place, key, kind) AS (VALUES {_CASES_SQL}), n AS (SELECT page_id, place, key || CASE WHEN kind = 'video' THEN lpad(page_id::VARCHAR, 11, 'B') ELSE page_id::VARCHAR END AS normalized FROM pages, c)
+  SELECT page_id, place, normalized, lower(normalized) AS fingerprint FROM n""")
+def u4_u5_platform_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of one video or post of a platform, written in many ways, have one key."""
+    ids = {"video": F.lpad(F.col("page_id").cast("string"), 11, "B"), "number": F.col("page_id").cast("string")}
+    given = F.array(*(F.concat(F.lit(a), ids[kind], F.lit(z)) for a, z, _, kind in PLATFORM_CASES))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(given).alias("place", "u"))
+    return rows.select("page_id", "place", urls.normalize_url(F.col("u"), platform_aware=True).alias("normalized"), urls.fingerprint_url(F.col("u"), platform_aware=True).alias("fingerprint"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weblake.functions import urls
+from weblake.functions.pages import gate_pages
 from weblake.html.scraper import Interpreter, field_names, is_plural, validate
 from weblake.html.tree import Element, display_text, parse, select, select_one
 
@@ -289,6 +290,12 @@ def extract_content(pages: DataFrame, html: str = "html", keep: tuple[str, ...]
     return found.withColumn("extract_error", F.when(F.col("content").isNull(), "no-trafilatura-result"))
 
 
+def extract_report(report: DataFrame, html: str = "body", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """``extract_content`` of a report's rows that pass the gate; the others stay, unread, with the gate's reason as ``extract_error``."""
+    gated = gate_pages(report).withColumn(html, F.when(F.col("gate_error").isNull(), F.col(html)))
+    return extract_content(gated, html, (*keep, "gate_error")).withColumn("extract_error", F.coalesce("gate_error", "extract_error")).drop("gate_error")
+
+
 def blurb(*fields: str):
     """Fields joined by newline, lists by spaces, without empty ones."""
     return F.concat_ws("\n", *(F.when(F.trim(F.concat_ws(" ", f)) != "", F.concat_ws(" ", f)) for f in fields))

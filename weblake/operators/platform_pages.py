@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from weblake.functions import text, urls
 from weblake.html.tree import Element, select, select_one
 from weblake.operators.html import map_pages
+from weblake.operators.joins import left_join_split
 
 OLD_REDDIT = "https://old.reddit.com"
 
@@ -56,6 +57,24 @@ def reddit_user_posts(pages: DataFrame, html: str = "html", keep: tuple[str, ...
     return reddit_posts(pages, html, keep, of_user=True)
 
 
+def reddit_post_texts(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """url (as posts have it) and text of stored pages of single posts: what their authors wrote, null for a mere link.
+
+    Of several pages of one post the least text stands; a page without URL is left out.
+    """
+    css = "div#siteTable div.usertext-body"
+    read = lambda root, row: {"author_text": None if (e := select_one(root, css)) is None else e.text()}
+    rows = map_pages(pages.select(F.col(url).alias("page url"), html), html, read, "author_text:string", ("page url",))
+    known = rows.select(text.new_reddit_url(F.col("page url")).alias("url"), "author_text").where("url is not null")
+    return known.groupBy("url").agg(F.min("author_text").alias("author_text"))
+
+
+def attach_author_texts(posts: DataFrame, texts: DataFrame) -> DataFrame:
+    """``posts`` with ``author_text`` and ``error``: ``page-not-found`` where no page of the post is stored. All posts stay."""
+    found = left_join_split(posts, texts.select("url", "author_text", F.lit(True).alias("its page")), "url")
+    return found.withColumn("error", F.when(F.col("its page").isNull(), "page-not-found")).drop("its page")
+
+
 COMMENT = {
     "url": ("div.entry a.bylink", "href"), "author": ("div.entry a.author", "text"), "shown": ("div.entry .score.unvoted", "text"), "score": ("div.entry .score.unvoted", "title"), "hidden": ("div.entry .score-hidden", "text"),
     "published_date": ("div.entry time", "datetime"), "edited_date": ("div.entry time.edited-timestamp", "datetime"), "comment": ("div.entry div.md", "text"),
