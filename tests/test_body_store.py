@@ -1,6 +1,8 @@
 import re
 import uuid
 
+import pytest
+
 from weblake.operators import bodies
 
 
@@ -29,8 +31,10 @@ def test_bodies_are_not_shuffled_and_other_buckets_not_read(spark, tmp_path):
     assert re.search(r"its part#\d+ = \d+|its part#\d+ IN \(\d+\)", pruned)
 
 
-def test_missing_null_repeated_and_hot_paths(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("size", [0, 1000])
+def test_missing_null_repeated_and_hot_paths(spark, tmp_path, monkeypatch, size):
     monkeypatch.setattr(bodies, "HOT_ROWS", 10)
+    monkeypatch.setattr(bodies, "BROADCAST_BYTES", size)
     name = stored(spark, tmp_path, [("in/a", "A"), ("in/b", None), ("in/c", "C"), (None, "N")])
     rows = [(i, "a") for i in range(50)] + [(100, "b"), (101, "gone"), (102, None), (103, "c"), (103, "c")] + [(200 + i, "lost") for i in range(30)]
     got = bodies.attach_from_store(spark.createDataFrame(rows, "id long, path string"), name, 8, "in/").collect()

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PART = "its part"
-#: A path that more rows name, and more than this part of all rows, is hot; its body is copied for so many salts.
-HOT_ROWS, HOT_PARTS, SALTS = 10_000, 1000, 32
+#: A path that more rows name, and more than this part of all rows, is hot. Bodies of hot paths come to the rows if
+#: they are so many bytes at most; else they are copied for so many salts.
+HOT_ROWS, HOT_PARTS = 10_000, 1000
+BROADCAST_BYTES, SALTS = 64_000_000, 128
 
 
 def _bucket(path: Column, buckets: int) -> Column:
@@ -34,9 +36,10 @@ def attach_from_store(report: DataFrame, table: str, buckets: int = 1024, input_
     """``report`` with the ``body`` that its ``path`` names in a store, and ``body_error``: ``file-not-found`` or null.
 
     Only buckets that a path falls in are read (their numbers, at most ``buckets``, filter the folders), and only
-    the report is shuffled, to where the bodies are. Rows without a path stay and meet nothing. A hot path's body, at
-    most HOT_PARTS of them, comes in SALTS copies, so that its rows are spread. A path that the store holds
-    twice gives two rows; a body column of the report is replaced.
+    the report is shuffled, to where the bodies are. Rows without a path stay and meet nothing. Of hot paths there
+    are at most HOT_PARTS: their bodies are broadcast if their measured size is at most BROADCAST_BYTES, else each comes in
+    SALTS copies, so that its rows are spread. A path that the store holds twice gives two rows; a body column of
+    the report is replaced.
     """
     rows = report.drop("body").withColumn("file", F.concat(F.lit(f"{input_dir.rstrip('/')}/" if input_dir else ""), F.col("path")))
     named = rows.where("file is not null")
@@ -48,10 +51,14 @@ def attach_from_store(report: DataFrame, table: str, buckets: int = 1024, input_
         met = named.join(held, F.col("file") == F.col("file path"), "left")
     else:
         hot = F.broadcast(counts.where(F.col("n") > least).select(F.col("file").alias("hot file")))
-        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        copies = held.join(hot, F.col("file path") == F.col("hot file"), "left_semi").withColumn("copy", salts)
-        often = named.join(hot, F.col("file") == F.col("hot file"), "left_semi").withColumn("salt", (F.monotonically_increasing_id() % SALTS).cast("int"))
-        often = often.join(copies, (F.col("file") == F.col("file path")) & (F.col("salt") == F.col("copy")), "left").drop("salt", "copy")
+        asked = held.join(hot, F.col("file path") == F.col("hot file"), "left_semi")
+        often = named.join(hot, F.col("file") == F.col("hot file"), "left_semi")
+        if asked.agg(F.coalesce(F.sum(F.octet_length("body") + F.octet_length("file path")), F.lit(0))).head()[0] <= BROADCAST_BYTES:
+            often = often.join(F.broadcast(asked), F.col("file") == F.col("file path"), "left")
+        else:
+            copies = asked.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            often = often.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+            often = often.join(copies, (F.col("file") == F.col("file path")) & (F.col("salt") == F.col("copy")), "left").drop("salt", "copy")
         seldom = named.join(hot, F.col("file") == F.col("hot file"), "left_anti")
         met = often.unionByName(seldom.join(held, F.col("file") == F.col("file path"), "left"))
     found = met.unionByName(rows.where("file is null"), allowMissingColumns=True)
