@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -21,14 +23,44 @@ def reached(nodes, links):
     return {n: find(n) for n in nodes}
 
 
-def brute_classes(texts, idf):
-    sets = {}
-    for i, t in texts.items():
-        h, n, words = minhash.shingles(t)
-        if words:
-            sets[i] = h, minhash.weights(h, n, idf)
-    ids = sorted(sets)
-    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if minhash.similarity(sets[a], sets[b]) >= 0.8]
+UNWEIGHTED = minhash.Idf(np.zeros(0, np.uint64), np.zeros(0, np.float32), 1.0)
+
+
+def windows(text):
+    """Runs of five words and how often each occurs; a shorter text is one run."""
+    words = "".join(c if c.isalnum() else " " for c in (text or "").lower()).split()
+    n = min(5, len(words))
+    return Counter(tuple(words[k : k + n]) for k in range(len(words) - n + 1)) if words else Counter()
+
+
+def brute_idf(sets):
+    """1 + log(N / df) / log(N / least) of each run of words, counted over families."""
+    hashed = lambda run: minhash.shingles(" ".join(run))[0][:1]
+    hashes = {run: hashed(run) for s in sets for run in s}
+    family = [minhash.family(min((hashes[run] for run in s), key=lambda h: int(h[0]))) for s in sets]
+    having = defaultdict(set)
+    for s, of in zip(sets, family, strict=True):
+        for run in s:
+            having[run].add(of)
+    families, least = len(set(family)), max(1.0, sum(map(len, sets)) / minhash.FREQUENT)
+    scale = math.log(families / least) if families > least else 1.0
+    return {run: 1 + math.log(families / len(of)) / scale if len(of) > least else 2.0 for run, of in having.items()}
+
+
+def brute_classes(texts):
+    sets = {i: s for i, t in texts.items() if (s := windows(t))}
+    idf = brute_idf(list(sets.values()))
+    own = {i: sum(n * idf[run] for run, n in s.items()) for i, s in sets.items()}
+    holders = defaultdict(list)
+    for i in sorted(sets):
+        for run in sets[i]:
+            holders[run].append(i)
+    common = defaultdict(float)
+    for run, ids in holders.items():
+        for k, a in enumerate(ids):
+            for b in ids[k + 1 :]:
+                common[a, b] += min(sets[a][run], sets[b][run]) * idf[run]
+    links = [(a, b) for (a, b), both in common.items() if both >= (0.8 - minhash.ROUNDING) * (own[a] + own[b] - both)]
     return reached(texts, links)
 
 
@@ -57,7 +89,7 @@ def test_classes_equal_brute_force(spark, monkeypatch):
     texts = sample_texts()
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in texts.items()], "doc_id long, text string, words string, class_id int")
     got = {r.doc_id: r for r in minhash.near_duplicates(docs).collect()}
-    expected = brute_classes(texts, minhash.learn_idf(docs))
+    expected = brute_classes(texts)
     assert {i: r.class_id for i, r in got.items()} == expected
     assert all(r.kept == (r.class_id == i) for i, r in got.items())
     assert expected[3] == expected[4] == 3 and expected[5] == 5 and len(set(expected.values())) < len(texts) - 150
@@ -68,7 +100,7 @@ def test_open_buckets_are_compared_in_blocks(spark, monkeypatch, block):
     monkeypatch.setattr(minhash, "BLOCK_ROWS", block)
     words = [f"w{i}" for i in range(100)]
     texts = {i: " ".join(words[:i] + ["x"] + words[i:]) for i in (5, 30, 60, 90)} | {99: " ".join(words[::-1])}
-    idf = spark.sparkContext.broadcast(np.ones(minhash.SLOTS, np.float32))
+    idf = spark.sparkContext.broadcast(UNWEIGHTED)
     same = np.zeros(minhash.SAMPLES, np.uint32).tobytes()
     rows = [(7, i, 5, 100, i, same, band, t) for i, t in texts.items() for band in (0, 3)]
     members = spark.createDataFrame(rows, "code long, id long, n long, size long, class long, codes binary, band int, text string")
@@ -80,7 +112,8 @@ def test_open_buckets_are_compared_in_blocks(spark, monkeypatch, block):
 def test_overlaps_equal_pairwise_sums():
     rng = random.Random(4)
     sets = [minhash.shingles(" ".join(rng.choices("abcd", k=rng.randint(1, 400))))[:2] for _ in range(12)]
-    idf = np.linspace(0.3, 1.2, minhash.SLOTS).astype(np.float32)
+    seen = np.unique(np.concatenate([h for h, _ in sets]))
+    idf = minhash.Idf(seen[::2], np.linspace(0.3, 1.2, len(seen[::2])).astype(np.float32), 2.0)
     both, own = minhash._overlaps(sets, idf)
     for i, a in enumerate(sets):
         for j, b in enumerate(sets):
@@ -101,7 +134,8 @@ def test_samples_agree_as_often_as_sets_are_similar():
     assert abs(np.mean(agreed) - np.mean(similar)) < 0.02
 
 
-def test_idf_counts_families(spark):
+@pytest.mark.parametrize(("frequent", "gathered"), [(1 << 17, 1 << 21), (1 << 14, 3000), (1 << 13, 500)])
+def test_idf_counts_families(spark, monkeypatch, frequent, gathered):
     rng = random.Random(8)
     say = lambda k: " ".join(rng.choices([f"w{i}" for i in range(3000)], k=k))
     common, family = say(30), say(200).split()
@@ -110,13 +144,26 @@ def test_idf_counts_families(spark):
         copy = list(family)
         copy[rng.randrange(200)] = "edit" + str(rng.random())
         texts.append(" ".join(copy))
+    monkeypatch.setattr(minhash, "FREQUENT", frequent)
+    monkeypatch.setattr(minhash, "PASSED", 2 * frequent)
+    monkeypatch.setattr(minhash, "GATHERED", gathered)
+    texts += [None, "", "--"]
     docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
     idf = minhash.learn_idf(docs)
-    assert (idf == minhash.learn_idf(docs.repartition(2))).all() and idf.min() >= 1 and idf.max() <= 2
-    of = lambda text: np.median(idf[minhash.slots(minhash.shingles(text)[0])])
-    families = len({minhash.family(minhash.shingles(t)[0]) for t in texts[:600]})
-    assert abs(of(common) - (1 + np.log(900 / families) / np.log(900))) < 0.1
-    assert of(texts[0][len(common) :]) > 1.9 and of(" ".join(family)) > 1.45
+    again = minhash.learn_idf(docs.repartition(2))
+    assert (idf.hashes == again.hashes).all() and (idf.weights == again.weights).all() and len(idf.hashes) <= frequent
+    expected = brute_idf([s for t in texts if (s := windows(t))])
+    own = {run: minhash.shingles(" ".join(run))[0] for run in expected}
+    got = idf.of(np.concatenate(list(own.values())))
+    assert np.abs(got - np.array(list(expected.values()))).max() < 1e-6
+    assert got.max() == 2 and 1 <= got.min() < 1.5 and len(set(got)) > 2
+    assert idf.of(minhash.shingles(" ".join(family))[0]).min() > 1.2
+
+
+def test_idf_of_nothing(spark):
+    for texts in ([], [(None,), ("",)], [("one text of just a few words",)]):
+        idf = minhash.learn_idf(spark.createDataFrame(texts, "text string"))
+        assert len(idf.hashes) == 0 and (idf.of(np.arange(3, dtype=np.uint64)) == 2).all()
 
 
 def test_near_duplicates_of_nothing_and_repeats(spark):

@@ -1,7 +1,7 @@
 import corpus_pipeline
 from tests.llm.test_near_duplicates import brute_classes
 from tokenizers import Tokenizer
-from weblake.llm import language, minhash, secrets
+from weblake.llm import language, secrets
 from weblake.llm.queries_models import BYTE_RANKS, RANKS_PATTERN, WORD_BPE
 from weblake.llm.storage import stored
 
@@ -13,8 +13,7 @@ def test_run_equals_brute_force(spark, sf_dir):
     ids = list(texts)
     langs, scores = filters.predict([texts[i] or "" for i in ids])
     known = {i: texts[i] for i, lang, s in zip(ids, langs, scores, strict=True) if lang != "und" and s >= corpus_pipeline.LEAST_SCORE}
-    idf = minhash.learn_idf(spark.createDataFrame(list(known.items()), "doc_id long, text string"))
-    classes = brute_classes(known, idf)
+    classes = brute_classes(known)
     enc, library = secrets.encoding(BYTE_RANKS, RANKS_PATTERN), Tokenizer.from_file(WORD_BPE)
     expected = {}
     for i, t in known.items():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +20,14 @@ SIMILARITY = 0.8
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8**4) ** 20 < 0.00003.
 BANDS, BAND_ROWS = 20, 4
 SAMPLES = BANDS * BAND_ROWS
-#: Document frequencies are counted by slot of the shingle's hash; that bounds the table for any corpus.
-SLOTS = 1 << 18
-#: Registers of a slot's distinct count, five bits each: the count is right to about 30 %, a weight to about 2 %.
-REGISTERS, REGISTER_BITS = 12, 5
+#: With P shingles in all (each once a document), a shingle in more than P / FREQUENT families has a
+#: weight of its own; those in fewer all weigh alike. So FREQUENT bounds the table for any corpus.
+FREQUENT = 1 << 17
+#: A chunk of shingles passes on those that make up more than 1 / PASSED of it, so a count over all
+#: chunks is short by P / PASSED at most, half of what makes a shingle frequent.
+PASSED = 2 * FREQUENT
+#: Shingles, or pairs of shingle and family, that a task gathers before it passes them on.
+GATHERED = 1 << 21
 #: Members of a bucket in different classes are compared if their samples agree this much:
 #: five standard deviations of the estimate below the threshold.
 LEAST_ESTIMATE = SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / SAMPLES) ** 0.5
@@ -92,12 +97,30 @@ def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray, str]:
     return found, counts, hashlib.md5(words.tobytes()).hexdigest()
 
 
-def slots(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+def _known(hashes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of h are among the sorted hashes, and the places of these there."""
+    at = np.searchsorted(hashes, h)
+    inside = at < len(hashes)
+    inside[inside] = hashes[at[inside]] == h[inside]
+    return inside, at[inside]
 
 
-def weights(h: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return counts.astype(np.float32) * idf[slots(h)]
+class Idf(NamedTuple):
+    """Weights of the frequent shingles, by their sorted hashes, and that of all others."""
+
+    hashes: np.ndarray
+    weights: np.ndarray
+    rare: float
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        found = np.full(len(h), self.rare, np.float32)
+        known, at = _known(self.hashes, h)
+        found[known] = self.weights[at]
+        return found
+
+
+def weights(h: np.ndarray, counts: np.ndarray, idf: Idf) -> np.ndarray:
+    return counts.astype(np.float32) * idf.of(h)
 
 
 def samples(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -137,71 +160,94 @@ def family(h: np.ndarray) -> int:
     return int(_mix(h[:1] ^ np.uint64(0xA5A5A5A5A5A5A5A5))[0])
 
 
-def counted(registers: np.ndarray) -> np.ndarray:
-    """How many distinct families each row of registers has seen."""
-    m = REGISTERS
-    raw = 0.7213 / (1 + 1.079 / m) * m * m / (2.0 ** -registers.astype(np.float64)).sum(axis=1)
-    empty = (registers == 0).sum(axis=1)
-    return np.where((raw <= 2.5 * m) & (empty > 0), m * np.log(m / np.maximum(1, empty)), raw)
+def idf_of(hashes: np.ndarray, df: np.ndarray, least: float, families: int) -> Idf:
+    """1 + log(N / df) / log(N / least), with df at least ``least``: from 1, for a shingle of all N families, to 2.
 
+    A rare shingle weighs at most twice as much as a common one, and pairs are judged by that: near
+    copies share common shingles and differ in rare ones, and by log(N / df) alone families fall
+    apart whose members differ by one word in two hundred.
+    """
+    often = df > least
+    order = np.argsort(hashes[often])
+    scale = np.log(families / least) if families > least else 1.0
+    own = 1 + np.log(families / df[often][order]) / scale
+    return Idf(hashes[often][order], own.astype(np.float32), 2.0)
 
-def idf_of(registers: np.ndarray, documents: int) -> np.ndarray:
-    """1 + log(N / df) / log(N) by slot: from 1, for a shingle in all of N documents, to 2, for one in a single family.
 
-    What other shingles add to a slot on average is taken off first. A rare shingle weighs at most
-    twice as much as a common one: near copies share common shingles and differ in rare ones, and by
-    log(N / df) alone families fall apart whose members differ by one word in two hundred.
-    """
-    if documents < 2:
-        return np.ones(SLOTS, np.float32)
-    found = counted(registers)
-    df = np.clip(found - (found.sum() - found) / (SLOTS - 1), 1, documents)
-    return (1 + np.log(documents / df) / np.log(documents)).astype(np.float32)
+def _frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, float]:
+    """Sorted hashes, at most PASSED, of all shingles in more than ``least`` documents (and a few in fewer), and ``least``."""
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def chunk() -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate(gathered), return_counts=True)
+            often = n > held / PASSED
+            hashes = pa.array(found[often].view(np.int64)), pa.array([None], pa.int64())
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(hashes), pa.array(np.append(n[often], held))], names=["shingle", "n"])
 
-def learn_idf(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+        gathered, held = [], 0
+        for batch in batches:
+            for text in batch.column(0):
+                h = shingles(text.as_py())[0]
+                gathered.append(h)
+                held += len(h)
+                if held >= GATHERED:
+                    yield chunk()
+                    gathered, held = [], 0
+        if held:
+            yield chunk()
+
+    counts = docs.select(text_col).mapInArrow(run, "shingle long, n long")
+    counts = stored(counts.groupBy("shingle").agg(F.sum("n").alias("n")))
+    total = counts.where("shingle is null").first()
+    least = max(1.0, (total.n if total else 0) / FREQUENT)
+    found = counts.where(F.col("shingle").isNotNull() & (F.col("n") > max(1.0, least / 2))).select("shingle").toArrow()
+    dropped(counts)
+    return np.sort(found["shingle"].to_numpy().view(np.uint64)), least
+
+
+def learn_idf(docs: DataFrame, text_col: str = "text") -> Idf:
     """``idf_of`` over all documents with words.
 
     df counts families of documents, those of the same least hash, so that thousands of near copies
-    do not make their own text common. Each task keeps, for each slot, registers of the families
-    that it has seen there, and passes on one number for each slot; maxima merge them. The driver
-    gets SLOTS numbers, whatever the corpus.
+    do not make their own text common: df of a shingle is the exact number of families that have
+    it in any of their documents. Two passes over the texts: chunks of shingles pass on what is
+    frequent in them, which loses none that is frequent in all; then only these are counted, each once
+    a family. Which shingles a chunk passes on depends on the files, the weights do not. The driver
+    gets at most PASSED hashes and counts, whatever the corpus.
     """
-    shifts = np.arange(REGISTERS, dtype=np.int64) * REGISTER_BITS
-    most = (1 << REGISTER_BITS) - 1
-
-    def packed(registers: np.ndarray, documents: int) -> pa.RecordBatch:
-        at = np.flatnonzero(registers.any(axis=1))
-        numbers = (registers[at].astype(np.int64) << shifts).sum(axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(numbers, documents))], names=["slot", "n"])
+    context = docs.sparkSession.sparkContext
+    hashes, least = _frequent(docs, text_col)
+    known = context.broadcast(hashes)
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        registers, documents = np.zeros((SLOTS, REGISTERS), np.int8), 0
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs() -> pa.RecordBatch:
+            at, of = np.concatenate(gathered), np.repeat(np.array(families, np.uint64).view(np.int64), [len(g) for g in gathered])
+            order = np.lexsort((of, at))
+            at, of = at[order], of[order]
+            new = np.ones(len(at), bool)
+            new[1:] = (at[1:] != at[:-1]) | (of[1:] != of[:-1])
+            return pa.RecordBatch.from_arrays([pa.array(at[new]), pa.array(of[new])], names=["at", "family"])
+
+        gathered, families, held = [], [], 0
         for batch in batches:
             for text in batch.column(0):
-                h, _, words = shingles(text.as_py())
-                if words:
-                    documents += 1
-                    high, low = divmod(family(h), 1 << 48)
-                    register, rank = high % REGISTERS, min(most, 49 - low.bit_length())
-                    at = slots(h)
-                    registers[at, register] = np.maximum(registers[at, register], rank)
-        yield packed(registers, documents)
-
-    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        registers, documents = np.zeros((SLOTS, REGISTERS), np.int8), 0
-        for batch in batches:
-            at, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            documents += int(n[at < 0].sum())
-            at, n = at[at >= 0], n[at >= 0]
-            np.maximum.at(registers, at, ((n[:, None] >> shifts) & most).astype(np.int8))
-        yield packed(registers, documents)
-
-    sketches = docs.select(text_col).mapInArrow(count, "slot long, n long").repartition("slot").mapInArrow(merge, "slot long, n long").toArrow()
-    at, n = sketches["slot"].to_numpy(), sketches["n"].to_numpy()
-    registers = np.zeros((SLOTS, REGISTERS), np.int8)
-    registers[at[at >= 0]] = (n[at >= 0][:, None] >> shifts) & most
-    return idf_of(registers, int(n[at < 0].sum()))
+                h = shingles(text.as_py())[0]
+                if not len(h):
+                    continue
+                # The place -1 counts the families themselves.
+                gathered.append(np.append(_known(known.value, h)[1], -1))
+                families.append(family(h))
+                held += len(gathered[-1])
+                if held >= GATHERED:
+                    yield pairs()
+                    gathered, families, held = [], [], 0
+        if held:
+            yield pairs()
+
+    counts = docs.select(text_col).mapInArrow(run, "at long, family long").groupBy("at").agg(F.count_distinct("family").alias("n")).toArrow()
+    at, n = counts["at"].to_numpy(), counts["n"].to_numpy()
+    known.unpersist()
+    return idf_of(hashes[at[at >= 0]], n[at >= 0], least, int(n[at < 0].sum()))
 
 
 def signatures(docs: DataFrame, idf, id_col: str, text_col: str) -> DataFrame:
@@ -269,7 +315,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _overlaps(sets: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _overlaps(sets: list[tuple[np.ndarray, np.ndarray]], idf: Idf) -> tuple[np.ndarray, np.ndarray]:
     """Weights that each two texts share, and each text's own weight, of (hashes, counts) of several texts.
 
     A shingle that occurs k times is k items; what two texts share is then a product of matrices over
@@ -279,7 +325,7 @@ def _overlaps(sets: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> tup
     owner = np.repeat(np.arange(n), [c.sum() for _, c in sets])
     item = np.concatenate([np.repeat(h, c) for h, c in sets])
     nth = np.concatenate([np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) for _, c in sets])
-    weight = idf[slots(item)].astype(np.float64)
+    weight = idf.of(item).astype(np.float64)
     own = np.bincount(owner, weights=weight, minlength=n)
     keys = item + _mix(nth.astype(np.uint64)) * (nth > 0)
     _, column, count = np.unique(keys, return_inverse=True, return_counts=True)
