@@ -138,8 +138,8 @@ def test_samples_agree_as_often_as_sets_are_similar():
 def test_idf_counts_families(spark, monkeypatch, frequent, gathered):
     rng = random.Random(8)
     say = lambda k: " ".join(rng.choices([f"w{i}" for i in range(3000)], k=k))
-    common, family = say(30), say(200).split()
-    texts = [f"{common} {say(40)}" for _ in range(600)]
+    common, seldom, family = say(30), say(30), say(200).split()
+    texts = [f"{common if i % 4 else seldom} {say(40)}" for i in range(600)]
     for _ in range(300):
         copy = list(family)
         copy[rng.randrange(200)] = "edit" + str(rng.random())
