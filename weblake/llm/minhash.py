@@ -28,6 +28,8 @@ FREQUENT = 1 << 17
 PASSED = 2 * FREQUENT
 #: Shingles, or pairs of shingle and family, that a task gathers before it passes them on.
 GATHERED = 1 << 21
+#: Where there are more than TASKS partitions for each core, up to JOINED of them are gathered in one task.
+TASKS, JOINED = 4, 8
 #: Members of a bucket in different classes are compared if their samples agree this much:
 #: five standard deviations of the estimate below the threshold.
 LEAST_ESTIMATE = SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / SAMPLES) ** 0.5
@@ -196,7 +198,11 @@ def _frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, float]:
         if held:
             yield chunk()
 
-    counts = docs.select(text_col).mapInArrow(run, "shingle long, n long")
+    # A chunk of less than PASSED shingles passes on all of them, so small partitions are joined.
+    rows = docs.select(text_col)
+    partitions = rows.rdd.getNumPartitions()
+    rows = rows.coalesce(max(1, partitions // JOINED, min(partitions, TASKS * docs.sparkSession.sparkContext.defaultParallelism)))
+    counts = rows.mapInArrow(run, "shingle long, n long")
     counts = stored(counts.groupBy("shingle").agg(F.sum("n").alias("n")))
     total = counts.where("shingle is null").first()
     least = max(1.0, (total.n if total else 0) / FREQUENT)
