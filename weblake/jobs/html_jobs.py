@@ -25,7 +25,8 @@ def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").withColumn("html", F.concat(head, "html"))
 
 
-_TEXT = "replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+# Character references are read as browsers read them: these names need no semicolon, as where a title is cut.
+_TEXT = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '\"', 'g'), '&amp;?', '&', 'g')"
 
 
 @query(f"SELECT page_id, trim({_TEXT.format('''regexp_extract(html, '<title>([^<]*)</title>', 1)''')}) AS title FROM pages")
