@@ -112,8 +112,8 @@ _GATED = "CASE WHEN fetch_error IS NOT NULL THEN 'http-errored' WHEN http_status
 
 
 @query(rf"""WITH {REPORT}, g AS (SELECT page_id, {_GATED} AS extract_error, regexp_extract(body, '<article>(.*)</article>', 1, 's') AS article FROM r),
-  t AS (SELECT *, regexp_replace(regexp_replace(article, '<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', '', 'gs'), '<[^>]*>', '', 'g') AS said FROM g)
-  SELECT page_id, extract_error, CASE WHEN extract_error IS NULL THEN regexp_replace(replace(replace(replace(replace(replace(said, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&amp;', '&'), '[\s\xA0]+', '', 'g') END AS letters FROM t""")
+  t AS (SELECT *, regexp_replace(regexp_replace(article, '<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'g') AS said FROM g)
+  SELECT page_id, extract_error, CASE WHEN extract_error IS NULL THEN regexp_replace({_TEXT.format("regexp_replace(said, '&nbsp;?', ' ', 'g')")}, '[\s\xA0]+', '', 'g') END AS letters FROM t""")
 def h14_extract_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All that the articles of pages say, without white space; pages that the gate turns away stay as rows, with its reason."""
     found = html.extract_report(report(spark, sf_dir))
