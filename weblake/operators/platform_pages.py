@@ -9,20 +9,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weblake.functions import text, urls
-from weblake.html.tree import Element, select, select_one
+from weblake.html.tree import Element, Selectors, select, select_one
 from weblake.operators.html import map_pages
 from weblake.operators.joins import left_join_split
 
 OLD_REDDIT = "https://old.reddit.com"
 
 
+_WANTED: dict[tuple[str, ...], Selectors] = {}
+
+
+def _found(e: Element, every: tuple[str, ...]) -> dict[str, list[Element]]:
+    """Matches of each selector below ``e``, by one walk."""
+    if every not in _WANTED:
+        _WANTED[every] = Selectors(every)
+    return _WANTED[every].every(e)
+
+
+def _values(found: dict[str, list[Element]], wanted: dict[str, tuple[str, str]]) -> dict[str, str | None]:
+    """For each name the text (or an attribute) of the first match of its selector."""
+    return {name: None if css not in found else found[css][0].text() if target == "text" else found[css][0].attrs.get(target) for name, (css, target) in wanted.items()}
+
+
 def _picked(e: Element, wanted: dict[str, tuple[str, str]]) -> dict[str, str | None]:
-    """For each name the text (or an attribute) of the first match of a selector below ``e``."""
-    out: dict[str, str | None] = {}
-    for name, (css, target) in wanted.items():
-        found = select_one(e, css)
-        out[name] = None if found is None else found.text() if target == "text" else found.attrs.get(target)
-    return out
+    return _values(_found(e, tuple(css for css, _ in wanted.values())), wanted)
 
 
 def _rows(pages: DataFrame, pick, names: tuple[str, ...], html: str, keep: tuple[str, ...]) -> DataFrame:
@@ -115,7 +125,11 @@ def _read_channel(root: Element) -> list[dict[str, Any]]:
     if info is None:
         return []
     head = {"title": ("div.tgme_channel_info_header span", "text"), "name": ("div.tgme_channel_info_header_username", "text"), "channel_link": ("div.tgme_channel_info_header_username a", "href"), "img": ("div.tgme_channel_info_header img", "src"), "description": ("div.tgme_channel_info_description", "text")}
-    counts = {(select_one(c, ".counter_type") or c).text().rstrip("s"): (select_one(c, ".counter_value") or c).text() for c in select(info, "div.tgme_channel_info_counter")}
+    counts = {}
+    for c in select(info, "div.tgme_channel_info_counter"):
+        parts = _found(c, (".counter_type", ".counter_value"))
+        kind, value = (parts[css][0] if css in parts else c for css in (".counter_type", ".counter_value"))
+        counts[kind.text().rstrip("s")] = value.text()
     return [_picked(info, head) | {k: counts.get(k) for k in COUNTERS}]
 
 
@@ -154,6 +168,8 @@ MESSAGE = {
     "link_site": ("a.tgme_widget_message_link_preview div.link_preview_site_name", "text"), "link_title": ("a.tgme_widget_message_link_preview div.link_preview_title", "text"),
     "link_description": ("a.tgme_widget_message_link_preview div.link_preview_description", "text"), "views": ("span.tgme_widget_message_views", "text"), "datetime": ("a.tgme_widget_message_date time", "datetime"), "meta": ("span.tgme_widget_message_meta", "text"),
 }
+SERVICE, SAID, PHOTO, GROUPED = "div.service_message", "div.tgme_widget_message_text.js-message_text", "a.tgme_widget_message_photo_wrap", "a.tgme_widget_message_photo_wrap.grouped_media_wrap"
+MESSAGE_PARTS = (*(css for css, _ in MESSAGE.values()), SERVICE, SAID, PHOTO, GROUPED)
 HISTORY = "section.tgme_channel_history"
 
 
@@ -166,11 +182,12 @@ def _read_messages(root: Element, row: dict[str, Any]) -> dict[str, Any]:
     out = []
     for section in select(root, HISTORY)[:1]:
         for m in select(section, "div.tgme_widget_message_wrap"):
-            if select_one(m, "div.service_message") is not None:
+            parts = _found(m, MESSAGE_PARTS)
+            if SERVICE in parts:
                 continue
-            found: dict[str, Any] = _picked(m, MESSAGE)
-            texts = select(m, "div.tgme_widget_message_text.js-message_text")
-            grouped = select(m, "a.tgme_widget_message_photo_wrap.grouped_media_wrap") or select(m, "a.tgme_widget_message_photo_wrap")[:1]
+            found: dict[str, Any] = _values(parts, MESSAGE)
+            texts = parts.get(SAID, [])
+            grouped = parts.get(GROUPED) or parts.get(PHOTO, [])[:1]
             found |= {"reply_img": _background(found["reply_img"]), "link_img": _background(found["link_img"]), "text": "".join(t.text() for t in texts)}
             found |= {"hrefs": [a.attrs.get("href", "") for t in texts for a in select(t, "a")], "photos": [_background(a.attrs.get("style")) for a in grouped]}
             out.append(found)
