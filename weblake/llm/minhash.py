@@ -26,6 +26,8 @@ FREQUENT = 1 << 17
 #: A chunk of shingles passes on those that make up more than 1 / PASSED of it, so a count over all
 #: chunks is short by P / PASSED at most, half of what makes a shingle frequent.
 PASSED = 2 * FREQUENT
+#: Ranges of hashes in which chunks pass on their shingles, each as one array.
+RANGES = 64
 #: Shingles, or pairs of shingle and family, that a task gathers before it passes them on.
 GATHERED = 1 << 21
 #: Where there are more than TASKS partitions for each core, up to JOINED of them are gathered in one task.
@@ -177,14 +179,25 @@ def idf_of(hashes: np.ndarray, df: np.ndarray, least: float, families: int) -> I
 
 
 def _frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, float]:
-    """Sorted hashes, at most PASSED, of all shingles in more than ``least`` documents (and a few in fewer), and ``least``."""
+    """Sorted hashes, at most PASSED, of all shingles in more than ``least`` documents (and a few in fewer), and ``least``.
+
+    Chunks pass on arrays of shingles by ranges of hashes, so that their rows are as many as chunks and
+    ranges, whatever the texts; a range's arrays are added up where they meet.
+    """
+    borders = np.array([(k << 64) // RANGES for k in range(1, RANGES)], np.uint64)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def chunk() -> pa.RecordBatch:
             found, n = np.unique(np.concatenate(gathered), return_counts=True)
             often = n > held / PASSED
-            hashes = pa.array(found[often].view(np.int64)), pa.array([None], pa.int64())
-            return pa.RecordBatch.from_arrays([pa.concat_arrays(hashes), pa.array(np.append(n[often], held))], names=["shingle", "n"])
+            found, n = found[often], n[often]
+            cuts = np.concatenate([[0], np.searchsorted(found, borders), [len(found)]])
+            some = np.flatnonzero(np.diff(cuts))
+            # The range -1 says how many shingles the chunk held.
+            of = pa.array([-1, *some.tolist()], pa.int64())
+            parts = [slice(cuts[k], cuts[k + 1]) for k in some]
+            hashes, counts = ([b"", *(x[p].tobytes() for p in parts)] for x in (found, n.astype(np.int64)))
+            return pa.RecordBatch.from_arrays([of, pa.array([held, *[0] * len(some)], pa.int64()), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], names=["range", "held", "hashes", "counts"])
 
         gathered, held = [], 0
         for batch in batches:
@@ -202,13 +215,33 @@ def _frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, float]:
     rows = docs.select(text_col)
     partitions = rows.rdd.getNumPartitions()
     rows = rows.coalesce(max(1, partitions // JOINED, min(partitions, TASKS * docs.sparkSession.sparkContext.defaultParallelism)))
-    counts = rows.mapInArrow(run, "shingle long, n long")
-    counts = stored(counts.groupBy("shingle").agg(F.sum("n").alias("n")))
-    total = counts.where("shingle is null").first()
-    least = max(1.0, (total.n if total else 0) / FREQUENT)
-    found = counts.where(F.col("shingle").isNotNull() & (F.col("n") > max(1.0, least / 2))).select("shingle").toArrow()
-    dropped(counts)
-    return np.sort(found["shingle"].to_numpy().view(np.uint64)), least
+    passed = stored(rows.mapInArrow(run, "range long, held long, hashes binary, counts binary"))
+    least = max(1.0, (passed.agg(F.sum("held")).first()[0] or 0) / FREQUENT)
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def added() -> tuple[np.ndarray, np.ndarray]:
+            found, at = np.unique(np.concatenate(hashes), return_inverse=True)
+            n = np.zeros(len(found), np.int64)
+            np.add.at(n, at, np.concatenate(counts))
+            return found, n
+
+        hashes, counts, new = [], [], 0
+        for batch in batches:
+            for h, n in zip(batch.column(0), batch.column(1), strict=True):
+                hashes.append(np.frombuffer(h.as_py(), np.uint64))
+                counts.append(np.frombuffer(n.as_py(), np.int64))
+                new += len(hashes[-1])
+                if new >= GATHERED:
+                    found, n = added()
+                    hashes, counts, new = [found], [n], 0
+        if hashes:
+            found, n = added()
+            yield pa.RecordBatch.from_arrays([pa.array([found[n > max(1.0, least / 2)].tobytes()], pa.binary())], names=["hashes"])
+
+    dealt = passed.where("range >= 0").repartition(RANGES, "range").select("hashes", "counts")
+    found = dealt.mapInArrow(add, "hashes binary").toArrow()["hashes"].to_pylist()
+    dropped(passed)
+    return np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(h, np.uint64) for h in found)])), least
 
 
 def learn_idf(docs: DataFrame, text_col: str = "text") -> Idf:
