@@ -21,9 +21,13 @@ def one_row_each(df: DataFrame, key: str) -> DataFrame:
 
 
 def left_join_known(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Left join on ``key``. Rows without one match nothing; a salt spreads them, so that they do not meet in one task."""
-    salt = F.when(F.col(key).isNull(), F.monotonically_increasing_id() % 4096).otherwise(F.lit(-1).cast("long"))
-    return left.withColumn("null salt", salt).join(right.withColumn("null salt", F.lit(-1).cast("long")), [key, "null salt"], "left").drop("null salt")
+    """Left join on ``key``. Rows without one match nothing; a salt spreads them, so that they do not meet in one task.
+
+    The salt of ``right`` is -1, but no literal: Spark would take the salt out of the join's keys, and shuffle by ``key`` alone.
+    """
+    salt = F.when(F.col(key).isNull(), F.monotonically_increasing_id() % 65536).otherwise(F.lit(-1).cast("long"))
+    none = F.least(F.lit(-1).cast("long"), F.monotonically_increasing_id())
+    return left.withColumn("null salt", salt).join(right.withColumn("null salt", none), [key, "null salt"], "left").drop("null salt")
 
 
 #: A key with more rows than this, and more than this part of all rows, is hot.
