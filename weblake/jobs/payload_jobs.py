@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weblake.jobs.query import query
 from weblake.operators import payloads
 from weblake.operators.storage import stored
-from weblake.sources.tables import table
+from weblake.sources.tables import spread, table
 
 
 def s(**named) -> Column:
@@ -115,7 +115,8 @@ def n12_facebook_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     comments = s(edges=F.array(node("c", "o_orderpriority", depth=0, feedback=s(display_comments=reply))))
     k = F.col("o_orderkey") % 3
     doc = s(id=text_of("o_custkey"), data=s(node=F.when(k == 0, s(display_comments=comments)), feedback=F.when(k == 2, s(display_comments=comments))), display_comments=F.when(k == 1, comments))
-    return payloads.facebook_comments(payload(table(spark, sf_dir, "orders"), doc)).select("post_id", "comment_id", "parent_id", "depth", "text")
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus"), "o_orderkey")
+    return payloads.facebook_comments(payload(orders, doc)).select("post_id", "comment_id", "parent_id", "depth", "text")
 
 
 @query("""SELECT o_custkey::VARCHAR AS post_id, 'c' || o_orderkey || '-' || i AS comment_id, CASE WHEN i > 0 THEN 'c' || o_orderkey || '-' || (i - 1) END AS parent_id, i::INT AS depth, o_orderpriority AS text,
@@ -130,7 +131,8 @@ def n12_facebook_comments_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
         node = s(id=key(i), depth=i, preferred_body=s(text=F.col("o_orderpriority")), comment_parent=s(id=key(0) if i else F.lit(None).cast("string")), reply_parent_comment=s(id=key(i - 1) if i else F.lit(None).cast("string")), feedback=feedback)
         below = s(edges=F.array(s(node=node)))
     doc = s(data=s(node=s(id=text_of("o_custkey"), display_comments=below)))
-    return payloads.facebook_comments(payload(table(spark, sf_dir, "orders"), doc)).select("post_id", "comment_id", "parent_id", "depth", "text", "reactions", "replies")
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), "o_orderkey")
+    return payloads.facebook_comments(payload(orders, doc)).select("post_id", "comment_id", "parent_id", "depth", "text", "reactions", "replies")
 
 
 @query("SELECT o_orderkey::VARCHAR AS stories_id, o_orderpriority AS title, o_orderkey % 2 = 0 AS full_text_rss FROM orders")

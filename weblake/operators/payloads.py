@@ -6,7 +6,7 @@ import base64
 import json
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from html import unescape
 from typing import Any
 
@@ -52,6 +52,13 @@ def fields(table: dict[str, str], kind: str = "string") -> list[Column]:
     return [at(path, kind).alias(name) for name, path in table.items()]
 
 
+def _field(value: Column, path: str) -> Column:
+    """The field at a path of nested structs."""
+    for name in path.split("."):
+        value = value[name]
+    return value
+
+
 def shape(paths: dict[str, str]) -> str:
     """The type of a nested struct with a field at each path: reading it once costs one walk through the document."""
     tree: dict[str, Any] = {}
@@ -279,38 +286,85 @@ def twitter_followers_you_know(df: DataFrame, path: str = FOLLOWERS_ROOT) -> Dat
     return rows.select(*rest, "cursor", "n", v.alias("v")).select(*rest, "n", at("rest_id").alias("id"), *record, "cursor")
 
 
-def _facebook_edges(of: str) -> Column:
-    """The comments' edges at the first of three roots that is there; none if that is no list."""
-    roots = [F.try_variant_get(of, f"$.{p}display_comments.edges", "variant") for p in ("data.node.", "", "data.feedback.")]
-    first = F.coalesce(*(F.when(~F.is_variant_null(r), r) for r in roots))
-    return F.coalesce(F.try_variant_get(first, "$", "array<variant>"), F.array().cast("array<variant>"))
+FACEBOOK_ROOTS = ("data.node.display_comments.edges", "display_comments.edges", "data.feedback.display_comments.edges")
+#: Columns of a comment, the path of each, and its type. Of attachments only the number counts.
+FACEBOOK_COMMENT = {
+    "comment_id": ("id", "string"), "fbid": ("legacy_fbid", "string"), "depth": ("depth", "int"), "reply_parent": ("reply_parent_comment.id", "string"), "comment_parent": ("comment_parent.id", "string"),
+    "author_name": ("author.name", "string"), "author_short_name": ("author.short_name", "string"), "author_gender": ("author.gender", "string"), "author_url": ("author.url", "string"),
+    "author_is_verified": ("author.is_verified", "boolean"), "created_time": ("created_time", "long"), "text": ("preferred_body.text", "string"), "attachments": ("attachments", "array<boolean>"),
+    "reactions": ("feedback.reactors.count", "long"), "replies": ("feedback.total_comment_count", "long"),
+}
+#: Levels of comments that are read in one walk through a document.
+FACEBOOK_LEVELS = 8
+
+
+def _facebook_shape(levels: int) -> str:
+    """The type of a list of comments with so many levels; what is below them stays a variant."""
+    if not levels:
+        return "array<struct<node:variant>>"
+    paths = dict(FACEBOOK_COMMENT.values()) | {"feedback.data": "variant", "feedback.display_comments.edges": _facebook_shape(levels - 1)}
+    return f"array<struct<node:{shape(paths)}>>"
+
+
+def _facebook_edges(of: str, kind: str = "array<variant>") -> Column:
+    """The comments' edges at the first of three roots that is there; null if that is no list."""
+    raw = [F.try_variant_get(of, f"$.{p}", "variant") for p in FACEBOOK_ROOTS]
+    missing = [r.isNull() | F.is_variant_null(r) for r in raw]
+    lists = [F.try_variant_get(of, f"$.{p}", kind) for p in FACEBOOK_ROOTS]
+    return F.coalesce(lists[0], F.when(missing[0], lists[1]), F.when(missing[0] & missing[1], lists[2]))
+
+
+def _facebook_odd(edges: Column, levels: int = FACEBOOK_LEVELS) -> Column:
+    """Whether a comment's feedback has ``data`` of its own, where its replies may stand."""
+    feedback = lambda e: e["node"]["feedback"]
+    return F.coalesce(F.exists(edges, lambda e: feedback(e)["data"].isNotNull() | (_facebook_odd(feedback(e)["display_comments"]["edges"], levels - 1) if levels > 1 else F.lit(False))), F.lit(False))
+
+
+def _facebook_record(get: Callable[[str, str], Column]) -> list[Column]:
+    """The columns of a comment, each by the function that reads a path as a type."""
+    value = {name: get(path, kind) for name, (path, kind) in FACEBOOK_COMMENT.items()}
+    value |= {"depth": F.coalesce(value["depth"], F.lit(0)), "replies": F.coalesce(value["replies"], F.lit(0).cast("long")), "attachments": F.size(F.coalesce(value["attachments"], F.array().cast("array<boolean>")))}
+    parent = F.coalesce(value.pop("reply_parent"), value.pop("comment_parent"))
+    return [value.pop("comment_id").alias("comment_id"), value.pop("fbid").alias("fbid"), value.pop("depth").alias("depth"), parent.alias("parent_id"), *(c.alias(n) for n, c in value.items())]
 
 
 def facebook_comments(df: DataFrame) -> DataFrame:
     """Comments of stored pages with all replies below them, however deep; place counts siblings from 0.
 
     depth and parent_id are what the comment says; post_id is the id of the page's document or node.
-    One step per level, until a level is empty.
+    The first levels of a document are read in one walk and laid flat one after the other, in one pass. What is
+    deeper, and documents whose comments have replies at an unusual place, go on one step per level, until a level is empty.
     """
-    author = {f"author_{k}": f"author.{k}" for k in ("name", "short_name", "gender", "url")}
 
     def below(rows: DataFrame) -> DataFrame:
         return stored(rows.select("post_id", F.posexplode(_facebook_edges("v")).alias("place", "edge")).select("post_id", "place", F.try_variant_get("edge", "$.node", "variant").alias("v")))
 
     def flat(level: DataFrame) -> DataFrame:
-        return level.select(
-            "post_id", at("id").alias("comment_id"), at("legacy_fbid").alias("fbid"), F.coalesce(at("depth", "int"), F.lit(0)).alias("depth"), F.coalesce(at("reply_parent_comment.id"), at("comment_parent.id")).alias("parent_id"), "place",
-            *fields(author), at("author.is_verified", "boolean").alias("author_is_verified"), at("created_time", "long").alias("created_time"), at("preferred_body.text").alias("text"),
-            F.size(items("attachments")).alias("attachments"), at("feedback.reactors.count", "long").alias("reactions"), F.coalesce(at("feedback.total_comment_count", "long"), F.lit(0)).alias("replies"),
-        )
-
-    level = below(parsed(df).select(F.coalesce(at("id"), at("data.node.id")).alias("post_id"), "v"))
-    out = flat(level)
-    while True:
-        level = below(level.select("post_id", F.try_variant_get("v", "$.feedback", "variant").alias("v")))
-        if level.isEmpty():
-            return out
+        return level.select("post_id", "place", *_facebook_record(lambda path, kind: at(path, kind)))
+
+    def row(place: Column, found: Column | None, v: Column | None) -> Column:
+        return F.struct(place.alias("place"), (F.lit(None).cast(kind) if found is None else found).alias("found"), (F.lit(None) if v is None else v).cast("variant").alias("v"))
+
+    def gathered(edges: Column, levels: int) -> Column:
+        edges = F.coalesce(edges, F.array().cast(_facebook_shape(levels)))
+        if not levels:
+            return F.transform(edges, lambda e, i: row(i, None, F.coalesce(e["node"], F.parse_json(F.lit("null")))))
+        own = F.transform(edges, lambda e, i: row(i, F.struct(*_facebook_record(lambda path, _: _field(e["node"], path))), None))
+        return F.concat(own, F.flatten(F.transform(edges, lambda e: gathered(e["node"]["feedback"]["display_comments"]["edges"], levels - 1))))
+
+    docs = parsed(df).select(F.coalesce(at("id"), at("data.node.id")).alias("post_id"), "v", _facebook_edges("v", _facebook_shape(FACEBOOK_LEVELS)).alias("edges"))
+    kind = flat(docs.withColumn("place", F.lit(0))).drop("post_id", "place").schema.simpleString()
+    page = F.when(_facebook_odd(F.col("edges")), F.array(row(F.lit(None).cast("int"), None, F.col("v"))))
+    rows = docs.select("post_id", F.explode(F.coalesce(page, gathered(F.col("edges"), FACEBOOK_LEVELS))).alias("one")).select("post_id", "one.*")
+    rows = stored(rows)
+    out = rows.where("found is not null").select("post_id", "place", "found.*")
+    deep, odd = rows.where("v is not null and place is not null").select("post_id", "place", "v"), rows.where("place is null").select("post_id", "v")
+    level = deep if odd.isEmpty() else deep.unionByName(below(odd))
+    while not level.isEmpty():
         out = out.unionByName(flat(level))
+        level = below(level.select("post_id", F.try_variant_get("v", "$.feedback", "variant").alias("v")))
+    names = ["post_id", "comment_id", "fbid", "depth", "parent_id", "place"]
+    return out.select(*names, *(c for c in out.columns if c not in names))
 
 
 def youtube_caption_tracks(df: DataFrame, video: str = "video_id", html: str = "html") -> DataFrame:
