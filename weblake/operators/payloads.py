@@ -227,15 +227,22 @@ TWITTER_TWEET = [
 ]
 
 
-def _unwrapped(result: Column) -> Column:
-    """The tweet in a result: what is shown with a notice stands one level deeper."""
-    return F.when(at("__typename", of=result) == "TweetWithVisibilityResults", F.try_variant_get(result, "$.tweet", "variant")).otherwise(result)
-
-
-_TWEET_SHAPE = shape(
-    {"source": "string", "legacy.id_str": "string", "legacy.user_id_str": "string"} | {f"legacy.{path}": kind for _, path, kind in TWITTER_TWEET}
+# What is shown with a notice stands one level deeper, below ``tweet``, as it may in a quoted tweet.
+_SAID = (
+    {"source": "string", "legacy.id_str": "string", "legacy.user_id_str": "string", "legacy.promotedMetadata": "variant"} | {f"legacy.{path}": kind for _, path, kind in TWITTER_TWEET}
     | {f"core.user_results.result.legacy.{path}": kind for _, path, kind in TWITTER_USER}
 )
+_below = lambda name, paths: {f"{name}.{path}": kind for path, kind in paths.items()}
+_SAID_AND_QUOTED = _SAID | _below("quoted_status_result.result", {"__typename": "string"} | _SAID | _below("tweet", _SAID))
+_RESULT_SHAPE = shape({"__typename": "string"} | _SAID_AND_QUOTED | _below("tweet", _SAID_AND_QUOTED))
+_ENTRY_SHAPE = shape({"entryId": "string", "content.itemContent.tweet_results.result": "variant"})
+_INSTRUCTION_SHAPE = f"array<{shape({'type': 'string', 'entry': _ENTRY_SHAPE, 'entries': f'array<{_ENTRY_SHAPE}>'})}>"
+
+
+def _unwrapped(result: Column, names: tuple[str, ...]) -> Column:
+    """The tweet in a result, of which the named parts count."""
+    part = lambda of: F.struct(*(of[n].alias(n) for n in names))
+    return F.when(result["__typename"] == "TweetWithVisibilityResults", part(result["tweet"])).otherwise(part(result))
 
 
 def twitter_timeline_tweets(df: DataFrame, path: str = SEARCH_ROOT) -> DataFrame:
@@ -250,18 +257,21 @@ def twitter_timeline_tweets(df: DataFrame, path: str = SEARCH_ROOT) -> DataFrame
     ``parsing``, one without a user ``no-user``. Other columns are kept.
     """
     rest = [c for c in df.columns if c != "payload"]
-    page = parsed(df).select(*rest, F.posexplode(items(path)).alias("instruction", "v"))
-    entries = F.when(at("type") == "TimelineReplaceEntry", F.array(F.try_variant_get("v", "$.entry", "variant"))).when(at("type") == "TimelineAddEntries", items("entries"))
-    rows = page.select(*rest, "instruction", F.posexplode(entries).alias("n", "v")).where(at("entryId").rlike("^(?:sq-I-t-|tweet-)"))
-    result = F.try_variant_get("v", "$.content.itemContent.tweet_results.result", "variant")
-    rows = rows.select(*rest, "instruction", "n", at("entryId").alias("entry"), result.alias("v")).where(F.col("v").isNotNull() & ~F.is_variant_null("v"))
-    rows = rows.where(F.coalesce(at("__typename"), F.lit("")) != "TweetUnavailable").withColumn("v", _unwrapped(F.col("v")))
-    rows = rows.where(F.try_variant_get("v", "$.legacy.promotedMetadata", "variant").isNull())
-    quoted = _unwrapped(F.try_variant_get("v", "$.quoted_status_result.result", "variant"))
-    both = F.array(F.struct(F.lit("tweet").alias("role"), F.lit(None).cast("string").alias("around_id"), F.col("v").alias("v")), F.struct(F.lit("quoted").alias("role"), at("legacy.id_str").alias("around_id"), quoted.alias("v")))
-    rows = rows.select(*rest, "instruction", "n", "entry", F.explode(both).alias("one")).select(*rest, "instruction", "n", "entry", "one.role", "one.around_id", "one.v")
-    rows = rows.select(*rest, "instruction", "n", "entry", "role", "around_id", F.try_variant_get("v", "$", _TWEET_SHAPE).alias("t"))
-    rows = rows.where((F.col("role") == "tweet") | F.col("t.legacy.id_str").isNotNull())
+    page = parsed(df).select(*rest, F.posexplode(F.try_variant_get("v", f"$.{path}", _INSTRUCTION_SHAPE)).alias("instruction", "i"))
+    entries = F.when(F.col("i.type") == "TimelineReplaceEntry", F.array("i.entry")).when(F.col("i.type") == "TimelineAddEntries", F.col("i.entries"))
+    rows = page.select(*rest, "instruction", F.posexplode(entries).alias("n", "e")).where(F.col("e.entryId").rlike("^(?:sq-I-t-|tweet-)"))
+    rows = rows.select(*rest, "instruction", "n", F.col("e.entryId").alias("entry"), F.col("e.content.itemContent.tweet_results.result").alias("v")).where(F.col("v").isNotNull() & ~F.is_variant_null("v"))
+    # Each result is read in one walk, with what it quotes; as an array's only element, since a filter on a mere column would read it again.
+    rows = rows.select(*rest, "instruction", "n", "entry", F.explode(F.array(F.try_variant_get("v", "$", _RESULT_SHAPE))).alias("r"))
+    promoted = F.when(F.col("r.__typename") == "TweetWithVisibilityResults", F.col("r.tweet.legacy.promotedMetadata")).otherwise(F.col("r.legacy.promotedMetadata"))
+    rows = rows.where((F.coalesce("r.__typename", F.lit("")) != "TweetUnavailable") & promoted.isNull())
+    parts = ("source", "legacy", "core")
+    rows = rows.withColumn("t", _unwrapped(F.col("r"), (*parts, "quoted_status_result")))
+    rows = rows.withColumn("q", _unwrapped(F.col("t.quoted_status_result.result"), parts))
+    tweet = F.struct(F.lit("tweet").alias("role"), F.lit(None).cast("string").alias("around_id"), F.struct(*(F.col(f"t.{p}").alias(p) for p in parts)).alias("t"))
+    quoted = F.struct(F.lit("quoted").alias("role"), F.col("t.legacy.id_str").alias("around_id"), F.col("q").alias("t"))
+    both = F.when(F.col("q.legacy.id_str").isNotNull(), F.array(tweet, quoted)).otherwise(F.array(tweet))
+    rows = rows.select(*rest, "instruction", "n", "entry", F.explode(both).alias("one")).select(*rest, "instruction", "n", "entry", "one.role", "one.around_id", "one.t")
     user = "t.core.user_results.result.legacy"
     # The user's id is what the tweet says.
     record = [F.col("t.legacy.id_str").alias("id"), *(F.col(f"t.legacy.{path}").alias(name) for name, path, _ in TWITTER_TWEET), F.col("t.source").alias("source"), F.col("t.legacy.user_id_str").alias("user_id")]
