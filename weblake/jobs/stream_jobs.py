@@ -18,12 +18,12 @@ from weblake.sources.tables import table
 from weblake.streaming import queue, streams
 
 
-def drained(source: DataFrame, make: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
-    """The rows that the stream ``make`` writes for ``source``, which is stored first as the stream's files."""
+def drained(source: DataFrame, make: Callable[[DataFrame], DataFrame], mode: str = "append", files: int = 1000) -> DataFrame:
+    """The rows that the stream ``make`` writes for ``source``, which is stored first as the stream's files, ``files`` of them a batch."""
     spark = source.sparkSession
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     source.write.parquet(f"{folder}/in")
-    stream = make(streams.read_stream(spark, f"{folder}/in", source.schema, 1000))
+    stream = make(streams.read_stream(spark, f"{folder}/in", source.schema, files))
     run = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
@@ -58,7 +58,8 @@ def x2_stream_released_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = rows.agg((F.max("at") + 86_400_000_000).alias("at")).select(F.lit(-1).cast(rows.schema["event_id"].dataType).alias("event_id"), F.lit(None).cast(rows.schema["user_id"].dataType).alias("user_id"), "at", F.lit(False).alias("finished"))
     timed = rows.unionByName(end).withColumn("at", F.timestamp_micros("at"))
     with queue.timers_allowed(spark):
-        found = drained(timed, lambda s: queue.stream_released_jobs(s, "user_id", "event_id", "at", "finished", throttle=30.0, period=864_000.0))
+        # One batch, however many files: that last row would make the rows of a second batch late.
+        found = drained(timed, lambda s: queue.stream_released_jobs(s, "user_id", "event_id", "at", "finished", throttle=30.0, period=864_000.0), files=2**31 - 1)
     return found.where("index >= 0").select("index", "group", F.timestamp_micros(F.round(F.col("release") * 1000000).cast("long")).cast("timestamp_ntz").alias("release"))
 
 
