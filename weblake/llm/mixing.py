@@ -21,6 +21,8 @@ CHUNK = 128
 #: A table of block positions up to this many rows may be broadcast.
 BROADCAST_ROWS = 1 << 19
 LAST = (1 << 63) - 1
+#: What ``placed`` adds.
+PLACE = ("mix source", "mix block", "mix position", "mix offset", "mix release", "mix deadline")
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -128,12 +130,35 @@ def positions(plan: DataFrame) -> DataFrame:
     return slots.join(names, "k").drop("k")
 
 
+def _placed(docs: DataFrame, weights: Mapping[str, float] | None, temperature: float, id_col: str, source_col: str, block_rows: int) -> DataFrame:
+    """The columns of ``docs`` as ``doc 0``, ``doc 1``, ..., so that none has the name of a column made here, and PLACE; see ``placed``."""
+    names = [f"doc {i}" for i in range(len(docs.columns))]
+    source = F.coalesce(F.col(source_col), F.lit(""))
+    rows = docs.select("*", F.col(id_col), source).toDF(*names, "mix id", "mix source")
+    content = F.xxhash64(*names, *(F.isnull(c) for c in names))
+    known = F.col("mix id").cast("string")
+    rows = rows.withColumn("mix salt", F.md5(F.coalesce(known, content.cast("string")).cast("binary")))
+    sizes = docs.groupBy(source.alias("source")).agg(F.count("*").alias("rows"))
+    plan = stored(plan_of(sizes, weights, temperature, block_rows))
+    slots = positions(plan).withColumnsRenamed({"source": "mix source", "block": "mix block", "position": "mix position", "release": "mix release", "deadline": "mix deadline"})
+    blocks = F.aggregate("members", F.lit(0).cast("long"), lambda acc, x: acc + x["blocks"])
+    if plan.where(blocks > BROADCAST_ROWS).isEmpty():
+        slots = F.broadcast(slots)
+    shares = plan.select("block_rows", F.explode("members").alias("m")).select(F.col("m.source").alias("mix source"), "block_rows")
+    # The first three hexadecimal digits are the bucket, so that buckets follow the order of the digests.
+    bucket = F.conv(F.substring("mix salt", 1, 3), 16, 10).cast("int")
+    rows = ranked(rows, "mix source", [F.col("mix salt"), F.isnull("mix id"), content], bucket, extra=shares)
+    rows = rows.withColumn("mix block", F.floor(F.col("rank") / F.col("block_rows"))).withColumn("mix offset", (F.col("rank") % F.col("block_rows")).cast("int"))
+    return rows.join(slots, ["mix source", "mix block"]).select(*names, *PLACE)
+
+
 def placed(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = 0.5, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``docs`` with all rows and columns and each row's place in a mix of the sources to target weights.
 
     Adds ``mix source`` (the source, null as the empty name), ``mix block`` (number within the source),
     ``mix position`` (the block's place in the mix, 0, 1, ...), ``mix offset`` (place in the block), ``mix
-    release`` and ``mix deadline`` (the slots between which Pfair lets the block run). Nothing is dropped
+    release`` and ``mix deadline`` (the slots between which Pfair lets the block run); a column of
+    ``docs`` of one of these names gives way to it. No row is dropped
     or repeated. Within a source rows are in the order of the MD5 of their id, rows of one id or
     of none in the order of their values; rows equal in all columns are interchangeable.
 
@@ -144,23 +169,9 @@ def placed(docs: DataFrame, weights: Mapping[str, float] | None = None, temperat
     them: the schedule is worked out in one row from the sources' sizes alone, and its work does not
     grow with the corpus beyond that (steps times sources; thousands of sources take minutes).
     """
-    source = F.coalesce(F.col(source_col), F.lit(""))
-    content = F.xxhash64(*docs.columns, *(F.isnull(c) for c in docs.columns))
-    known = F.col(id_col).cast("string")
-    rows = docs.withColumn("mix source", source).withColumn("mix salt", F.md5(F.coalesce(known, content.cast("string")).cast("binary")))
-    sizes = docs.groupBy(source.alias("source")).agg(F.count("*").alias("rows"))
-    plan = stored(plan_of(sizes, weights, temperature, block_rows))
-    slots = positions(plan).withColumnsRenamed({"source": "mix source", "block": "mix block", "position": "mix position", "release": "mix release", "deadline": "mix deadline"})
-    blocks = F.aggregate("members", F.lit(0).cast("long"), lambda acc, x: acc + x["blocks"])
-    if plan.where(blocks > BROADCAST_ROWS).isEmpty():
-        slots = F.broadcast(slots)
-    shares = plan.select("block_rows", F.explode("members").alias("m")).select(F.col("m.source").alias("mix source"), "block_rows")
-    # The first three hexadecimal digits are the bucket, so that buckets follow the order of the digests.
-    bucket = F.conv(F.substring("mix salt", 1, 3), 16, 10).cast("int")
-    rows = ranked(rows, "mix source", [F.col("mix salt"), F.isnull(id_col), content], bucket, extra=shares)
-    rows = rows.withColumn("mix block", F.floor(F.col("rank") / F.col("block_rows"))).withColumn("mix offset", (F.col("rank") % F.col("block_rows")).cast("int"))
-    rows = rows.join(slots, ["mix source", "mix block"])
-    return rows.select(*docs.columns, "mix source", "mix block", "mix position", "mix offset", "mix release", "mix deadline")
+    rows = _placed(docs, weights, temperature, id_col, source_col, block_rows)
+    kept = [(i, c) for i, c in enumerate(docs.columns) if c.lower() not in PLACE]
+    return rows.select(*(F.col(f"doc {i}").alias(c) for i, c in kept), *PLACE)
 
 
 def mix_order(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = 0.5, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -172,6 +183,7 @@ def mix_order(docs: DataFrame, weights: Mapping[str, float] | None = None, tempe
     return rows.select(id_col, *(F.col(f"mix {c}").alias(c) for c in ("source", "block", "position", "offset", "release", "deadline")))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", **kwargs) -> DataFrame:
-    """``docs`` with all their rows and columns, sorted into the mix."""
-    return placed(docs, id_col=id_col, **kwargs).orderBy("mix position", "mix offset").select(*docs.columns)
+def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = 0.5, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``docs`` with all their rows and columns, of whatever names, sorted into the mix."""
+    rows = _placed(docs, weights, temperature, id_col, source_col, block_rows).orderBy("mix position", "mix offset")
+    return rows.select(*(F.col(f"doc {i}").alias(c) for i, c in enumerate(docs.columns)))
